@@ -1,10 +1,96 @@
-"""Dashboard aggregates, histograms, correlation matrices, explorer views."""
+"""Dashboard aggregates, histograms, correlation matrices, explorer views.
+
+All aggregates are single ``agg`` / ``groupBy`` passes (map-side combined).
+Table-wide constants (min/max for bin edges) come from a one-row aggregate
+joined back with a broadcast hint -- one row is a proven size bound -- so no
+operator ever funnels the table through a ``Window.partitionBy()``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.text import search_match
+from cadenza.schema import (AUDIO_FEATURES, CATEGORY_ORDER, CORR_COLUMNS,
+                            EXPLORER_COLUMNS, EXPLORER_LIMIT, EXPLORER_YEARS,
+                            HIST_BINS_EXPLORER, RADAR_FEATURES, STATS_FEATURES)
+
+
+def _present(df: DataFrame, cols: list[str]) -> list[str]:
+    have = set(df.columns)
+    return [c for c in cols if c in have]
+
+
+def _category_rank(col: str = "popularity_category") -> Column:
+    out = F.lit(None).cast("int")
+    for i, c in enumerate(CATEGORY_ORDER):
+        out = F.when(F.col(col) == c, i + 1).otherwise(out)
+    return out
+
+
+# ---------------------------------------------------------------------------
+# KPIs and profiles
+# ---------------------------------------------------------------------------
+
+def overview_kpis(df: DataFrame, target: str = "popularity", artist: str = "artist_name",
+                  approx: bool = False) -> DataFrame:
+    """G1: row count, mean target, distinct artists (exact unless ``approx``)."""
+    distinct = (F.approx_count_distinct(artist) if approx else F.countDistinct(artist))
+    return df.agg(F.count(F.lit(1)).alias("n_tracks"),
+                  F.round(F.avg(target), 6).alias("avg_popularity"),
+                  distinct.alias("n_artists"))
+
+
+def dataset_profile(df: DataFrame) -> DataFrame:
+    """Mean duration, explicit rate x100, distinct primary genres."""
+    return df.agg(F.round(F.avg("duration_min"), 6).alias("avg_duration_min"),
+                  F.round(F.avg("explicit") * 100, 6).alias("explicit_pct"),
+                  F.countDistinct("primary_genre").alias("n_genres"))
+
+
+def year_bounds(df: DataFrame, year: str = "release_year") -> DataFrame:
+    """Slider bounds."""
+    return df.agg(F.min(year).alias("min_year"), F.max(year).alias("max_year"))
+
+
+def view_kpis(df: DataFrame) -> DataFrame:
+    """KPI strip of a (filtered) view."""
+    return df.agg(F.count(F.lit(1)).alias("n_tracks"),
+                  F.round(F.avg("popularity"), 6).alias("avg_popularity"),
+                  F.round(F.avg("energy"), 6).alias("avg_energy"),
+                  F.round(F.avg("danceability"), 6).alias("avg_danceability"))
+
+
+def analytics_kpis(df: DataFrame) -> DataFrame:
+    """Six averages in one pass."""
+    return df.agg(F.round(F.avg("popularity"), 6).alias("avg_popularity"),
+                  F.round(F.avg("danceability"), 6).alias("avg_danceability"),
+                  F.round(F.avg("energy"), 6).alias("avg_energy"),
+                  F.round(F.avg("valence"), 6).alias("avg_valence"),
+                  F.round(F.avg("explicit") * 100, 6).alias("explicit_pct"),
+                  F.round(F.avg("tempo"), 6).alias("avg_tempo"))
+
+
+# ---------------------------------------------------------------------------
+# group profiles
+# ---------------------------------------------------------------------------
+
+def category_counts(df: DataFrame, col: str = "popularity_category") -> DataFrame:
+    """Count per class in the fixed order, absent classes skipped, share
+    of the total. The share window runs over the <= 4 aggregated rows."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    return (counts.select(col, "n", _category_rank(col).alias("ord"),
+                          F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
+                  .orderBy("ord"))
+
+
+def peak_year(df: DataFrame, year: str = "release_year") -> DataFrame:
+    """The year with the most rows; the earlier year wins a tie."""
+    counts = df.where(F.col(year).isNotNull()).groupBy(year).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), F.asc(year)).limit(1).select(
+        F.col(year).alias("peak_year"), "n")
+
 
 def popularity_by_decade(df: DataFrame, target: str = "popularity",
                          decade_col: str = "decade") -> DataFrame:
@@ -13,3 +99,188 @@ def popularity_by_decade(df: DataFrame, target: str = "popularity",
               .groupBy(decade_col)
               .agg(F.round(F.avg(target), 6).alias("avg_popularity"))
               .orderBy(decade_col))
+
+
+def count_by_decade(df: DataFrame, decade_col: str = "decade") -> DataFrame:
+    """Rows per decade, the year-0 decade removed, sorted."""
+    return (df.where(F.col(decade_col).isNotNull() & (F.col(decade_col) != "0s"))
+              .groupBy(decade_col).agg(F.count(F.lit(1)).alias("n"))
+              .orderBy(decade_col))
+
+
+def popularity_by_category(df: DataFrame, target: str = "popularity",
+                           col: str = "popularity_category") -> DataFrame:
+    """Mean target for each of the four classes; an absent class gives
+    NULL. The class list is a 4-element literal array, exploded, so the
+    left join is against a 4-row side."""
+    means = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.avg(target).alias("_m"))
+    classes = (df.sparkSession.range(1)
+                 .select(F.posexplode(F.array(*[F.lit(c) for c in CATEGORY_ORDER])).alias("ord0", col)))
+    return (classes.join(F.broadcast(means), col, "left")
+                   .select(col, (F.col("ord0") + 1).cast("int").alias("ord"),
+                           F.round(F.col("_m"), 6).alias("avg_popularity"))
+                   .orderBy("ord"))
+
+
+def audio_profile(df: DataFrame, feats: list[str] = RADAR_FEATURES,
+                  col: str = "popularity_category") -> DataFrame:
+    """Mean of each feature per class (one group-by, absent classes skipped)."""
+    feats = _present(df, feats)
+    return (df.where(F.col(col).isin(CATEGORY_ORDER))
+              .groupBy(col)
+              .agg(*[F.round(F.avg(f), 6).alias(f"avg_{f}") for f in feats])
+              .withColumn("ord", _category_rank(col))
+              .orderBy("ord"))
+
+
+def feature_stats(df: DataFrame, feats: list[str] = STATS_FEATURES, digits: int = 3) -> DataFrame:
+    """Mean, sample std, min, max per feature (one pass), long form,
+    rounded half-to-even."""
+    feats = _present(df, feats)
+    aggs = []
+    for f in feats:
+        aggs += [F.avg(f).alias(f"{f}__mean"), F.stddev_samp(f).alias(f"{f}__std"),
+                 F.min(f).cast("double").alias(f"{f}__min"), F.max(f).cast("double").alias(f"{f}__max")]
+    wide = df.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"),
+                              F.bround(F.col(f"{f}__mean"), digits).alias("mean"),
+                              F.bround(F.col(f"{f}__std"), digits).alias("std"),
+                              F.bround(F.col(f"{f}__min"), digits).alias("min"),
+                              F.bround(F.col(f"{f}__max"), digits).alias("max")) for f in feats])
+    return wide.select(F.inline(rows))
+
+
+# ---------------------------------------------------------------------------
+# histograms
+# ---------------------------------------------------------------------------
+
+def bin_index(x: Column, lo: Column, hi: Column, n: int) -> Column:
+    """Equal-width bin 1..n; the maximum lands in bin n; lo == hi -> bin 1."""
+    raw = F.floor(F.lit(n) * (x - lo) / (hi - lo)) + 1
+    return (F.when(x.isNull(), None)
+              .when(hi == lo, F.lit(1))
+              .otherwise(F.least(F.greatest(raw, F.lit(1)), F.lit(n)))).cast("int")
+
+
+def histogram(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
+    """Counts per equal-width bin for each of ``cols`` in one pass.
+
+    Plan: one-row min/max aggregate (broadcast, 1 row) -> stack the columns
+    -> ``groupBy(feature, bin).count()`` (combined map-side, at most
+    ``len(cols) * bins`` rows leave each task) -> left join onto the full bin
+    grid generated from the stats row, so empty bins show as 0.
+    Missing values are not counted.
+    """
+    cols = _present(df, cols)
+    stats = df.agg(*[F.struct(F.min(c).cast("double").alias("lo"),
+                              F.max(c).cast("double").alias("hi")).alias(c) for c in cols])
+    stats_long = stats.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).lo.alias("lo"), F.col(c).hi.alias("hi"))
+        for c in cols])))
+    stacked = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])))
+    stacked = stacked.where(F.col("x").isNotNull())
+    binned = (stacked.join(F.broadcast(stats_long), "feature")
+                     .select("feature", bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin")))
+    counts = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    grid = (stats_long.where(F.col("lo").isNotNull())
+                      .select("feature", "lo", "hi",
+                              F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")))
+    width = (F.col("hi") - F.col("lo")) / bins
+    return (grid.join(counts, ["feature", "bin"], "left")
+                .select("feature", "bin",
+                        F.round(F.col("lo") + (F.col("bin") - 1) * width, 6).alias("bin_lo"),
+                        F.round(F.col("lo") + F.col("bin") * width, 6).alias("bin_hi"),
+                        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
+                .orderBy("feature", "bin"))
+
+
+# ---------------------------------------------------------------------------
+# correlation
+# ---------------------------------------------------------------------------
+
+def corr_matrix(df: DataFrame, cols: list[str] = CORR_COLUMNS, digits: int = 4) -> DataFrame:
+    """Full Pearson matrix, pairwise-complete, one aggregate pass with
+    one ``corr`` per unordered pair; mirrored into long form
+    (row_feature, col_feature, corr, label). ``label`` is rounded to 2,
+    half-to-even (G18)."""
+    cols = _present(df, cols)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
+                    for i, (a, b) in enumerate(pairs)])
+    cells = []
+    for i, (a, b) in enumerate(pairs):
+        cells.append(F.struct(F.lit(a).alias("row_feature"), F.lit(b).alias("col_feature"),
+                              F.col(f"{i}").alias("v")))
+        if a != b:
+            cells.append(F.struct(F.lit(b).alias("row_feature"), F.lit(a).alias("col_feature"),
+                                  F.col(f"{i}").alias("v")))
+    long = wide.select(F.inline(F.array(*cells)))
+    return long.select("row_feature", "col_feature",
+                       F.round("v", digits).alias("corr"),
+                       F.bround("v", 2).alias("label"))
+
+
+def corr_target_sorted(matrix: DataFrame, target: str = "popularity") -> DataFrame:
+    """The target's column without itself, ascending, with its sign."""
+    return (matrix.where((F.col("col_feature") == target) & (F.col("row_feature") != target))
+                  .select(F.col("row_feature").alias("feature"), "corr",
+                          F.when(F.col("corr") < 0, "negative").otherwise("positive").alias("sign"))
+                  .orderBy("corr", "feature"))
+
+
+# ---------------------------------------------------------------------------
+# explorer (X1-X6, X10)
+# ---------------------------------------------------------------------------
+
+def search(df: DataFrame, text: str | None, cols: tuple = ("name", "artist_name"),
+           literal: bool = False) -> DataFrame:
+    """Rows whose name or artist matches ``text`` (regex, ignoring case)."""
+    return df.where(search_match(list(cols), text, literal))
+
+
+def explorer_filter(df: DataFrame, text: str | None = None,
+                    classes: list[str] | tuple = tuple(CATEGORY_ORDER),
+                    years: tuple[int, int] = EXPLORER_YEARS, literal: bool = False) -> DataFrame:
+    """Search, class membership (empty choice -> no rows), year range.
+    The class and year predicates reach the parquet scan of a snapshot."""
+    out = search(df, text, literal=literal)
+    out = out.where(F.col("popularity_category").isin(list(classes)) if classes else F.lit(False))
+    return out.where(F.col("release_year").between(years[0], years[1]))
+
+
+def explorer_view(df: DataFrame, text: str | None = None,
+                  classes: list[str] | tuple = tuple(CATEGORY_ORDER),
+                  years: tuple[int, int] = EXPLORER_YEARS, sort_col: str = "popularity",
+                  limit: int = EXPLORER_LIMIT, cols: list[str] = EXPLORER_COLUMNS,
+                  literal: bool = False) -> DataFrame:
+    """Filter, sort descending (missing last), project, first ``limit``.
+
+    Ties are broken by the projected columns, so the shown rows are fixed.
+    Planned as ``TakeOrderedAndProject``: each task keeps its own top
+    ``limit`` rows; only those are merged.
+    """
+    out = explorer_filter(df, text, classes, years, literal)
+    shown = _present(out, cols)
+    order = [F.col(sort_col).desc_nulls_last()] + [F.col(c).asc_nulls_last() for c in shown]
+    return out.orderBy(*order).limit(limit).select(*shown)
+
+
+def explorer_page(view: DataFrame, page: int, size: int, sort_col: str = "popularity") -> DataFrame:
+    """One page of the (already limited, hence bounded) explorer view,
+    after a total order."""
+    order = [F.col(sort_col).desc_nulls_last()] + [F.col(c).asc_nulls_last() for c in view.columns]
+    ranked = view.withColumn("row", F.row_number().over(Window.orderBy(*order)))
+    lo = page * size
+    return ranked.where((F.col("row") > lo) & (F.col("row") <= lo + size))
+
+
+def histogram_view(view: DataFrame, cols: tuple = ("popularity", "energy", "danceability"),
+                   bins: int = HIST_BINS_EXPLORER) -> DataFrame:
+    """Histograms over the filtered view, all columns in one pass."""
+    return histogram(view, list(cols), bins)
+
+
+def histogram_audio(df: DataFrame, bins: int = 35) -> DataFrame:
+    """Histograms of the nine audio features (missing values left out)."""
+    return histogram(df, AUDIO_FEATURES, bins)

@@ -78,3 +78,202 @@ FROM feat WHERE decade <> '0s' GROUP BY decade
 def q_popularity_by_decade(spark, sf_dir):
     from cadenza.operators import explore
     return explore.popularity_by_decade(dashboard_table(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# cleaning (C1-C14)
+# ---------------------------------------------------------------------------
+
+RAW_COLS = ("id, name, popularity, duration_ms, explicit, artists, id_artists, release_date, "
+            "danceability, energy, loudness, speechiness, acousticness, instrumentalness, "
+            "liveness, valence, tempo")
+
+
+@query("dedup_keep_first", f"SELECT {RAW_COLS} FROM t_first")
+def q_dedup_keep_first(spark, sf_dir):
+    return clean.dedup_keep_first(raw_tracks(spark, sf_dir), "id", tables.TRACK_ORDER,
+                                  drop_order=True)
+
+
+@query("dropna_subset", f"SELECT {RAW_COLS} FROM t_first WHERE popularity IS NOT NULL AND name IS NOT NULL")
+def q_dropna_subset(spark, sf_dir):
+    d = clean.dedup_keep_first(raw_tracks(spark, sf_dir), "id", tables.TRACK_ORDER, drop_order=True)
+    return clean.drop_missing(d, ["popularity", "name"])
+
+
+@query("cast_flag", "SELECT id, explicit FROM t_clean")
+def q_cast_flag(spark, sf_dir):
+    d = clean.dedup_keep_first(raw_tracks(spark, sf_dir), "id", tables.TRACK_ORDER, drop_order=True)
+    return clean.drop_missing(d, ["popularity", "name"]).select("id", F.col("explicit").cast("int"))
+
+
+def _parsed(spark, sf_dir):
+    """Deduplicated, parsed tracks before the sanity filter."""
+    from cadenza.functions.dates import release_year
+    from cadenza.functions.text import first_of_list, trim_space
+    d = clean.dedup_keep_first(raw_tracks(spark, sf_dir), "id", tables.TRACK_ORDER, drop_order=True)
+    d = clean.drop_missing(d, ["popularity", "name"])
+    return d.select("*", release_year("release_date").alias("release_year"),
+                    trim_space(first_of_list("artists", "Unknown")).alias("artist_name"),
+                    first_of_list("id_artists", None).alias("artist_id_key"),
+                    trim_space("name").alias("name_trimmed"))
+
+
+@query("release_year", "SELECT id, release_date, release_year FROM t_clean")
+def q_release_year(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("id", "release_date", "release_year")
+
+
+@query("first_artist", "SELECT id, artists, artist_name, artist_id_key FROM t_clean")
+def q_first_artist(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("id", "artists", "artist_name", "artist_id_key")
+
+
+@query("trim_names", "SELECT id, name, artist_name FROM t_clean")
+def q_trim_names(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("id", F.col("name_trimmed").alias("name"), "artist_name")
+
+
+@query("sanity_filter", "SELECT id, release_year, tempo, duration_ms FROM c_tracks")
+def q_sanity_filter(spark, sf_dir):
+    return cleaned_tracks(spark, sf_dir).select("id", "release_year", "tempo", "duration_ms")
+
+
+@query("clean_counts", """
+SELECT 'tracks' AS table_name, count(*) AS n_rows FROM c_tracks
+UNION ALL SELECT 'artists', count(*) FROM c_artists
+""")
+def q_clean_counts(spark, sf_dir):
+    return clean.clean_counts(cleaned_tracks(spark, sf_dir), cleaned_artists(spark, sf_dir))
+
+
+GENRES_SQL = """CASE WHEN genres = '[]' THEN ''
+     WHEN genres LIKE '%,%' THEN regexp_extract(genres, '^\\[''([^'']*)''', 1) || '|'
+                                 || regexp_extract(genres, '"([^"]*)"\\]$', 1)
+     ELSE regexp_extract(genres, '^\\[''([^'']*)''', 1) END"""
+
+
+@query("parse_genres", f"SELECT id, {GENRES_SQL} AS genres_joined, genre_count FROM c_artists")
+def q_parse_genres(spark, sf_dir):
+    a = cleaned_artists(spark, sf_dir)
+    return a.select("id", F.array_join("genres_list", "|").alias("genres_joined"),
+                    F.size("genres_list").cast("int").alias("genre_count"))
+
+
+@query("primary_genre", "SELECT id, primary_genre FROM c_artists")
+def q_primary_genre(spark, sf_dir):
+    return cleaned_artists(spark, sf_dir).select("id", "primary_genre")
+
+
+@query("genre_count", "SELECT id, genre_count FROM c_artists")
+def q_genre_count(spark, sf_dir):
+    return cleaned_artists(spark, sf_dir).select("id", "genre_count")
+
+
+# ---------------------------------------------------------------------------
+# join (J1-J3)
+# ---------------------------------------------------------------------------
+
+JOIN_OUT = "id, artist_id_key, artist_followers, artist_popularity, primary_genre, artist_genre_count"
+
+
+@query("join_left", f"""
+SELECT t.id, t.artist_id_key,
+       coalesce(a.followers, 0) AS artist_followers, coalesce(a.popularity, 0) AS artist_popularity,
+       coalesce(a.primary_genre, 'unknown') AS primary_genre,
+       cast(coalesce(a.genre_count, 0) AS INTEGER) AS artist_genre_count
+FROM c_tracks t LEFT JOIN c_artists a ON t.artist_id_key = a.id
+""")
+def q_join_left(spark, sf_dir):
+    return joined(spark, sf_dir, null_safe=False).select(*JOIN_OUT.split(", "))
+
+
+@query("join_left_nullsafe", f"SELECT {JOIN_OUT} FROM joined")
+def q_join_left_nullsafe(spark, sf_dir):
+    return joined(spark, sf_dir, null_safe=True).select(*JOIN_OUT.split(", "))
+
+
+# ---------------------------------------------------------------------------
+# features (F1-F12, A1-A4)
+# ---------------------------------------------------------------------------
+
+@query("feat_basic", "SELECT id, duration_min, track_age FROM feat")
+def q_feat_basic(spark, sf_dir):
+    return feature_table(spark, sf_dir).select("id", "duration_min", "track_age")
+
+
+@query("popularity_category", "SELECT id, popularity, popularity_category FROM feat")
+def q_popularity_category(spark, sf_dir):
+    return feature_table(spark, sf_dir).select("id", "popularity", "popularity_category")
+
+
+@query("energy_category", "SELECT id, energy, energy_category FROM feat")
+def q_energy_category(spark, sf_dir):
+    return feature_table(spark, sf_dir).select("id", "energy", "energy_category")
+
+
+@query("feat_products", "SELECT id, dance_energy_index, acoustic_instrumental, mood_score, vocal_density FROM feat")
+def q_feat_products(spark, sf_dir):
+    return feature_table(spark, sf_dir).select("id", "dance_energy_index", "acoustic_instrumental",
+                                               "mood_score", "vocal_density")
+
+
+@query("feat_logs", "SELECT id, round(followers_log, 6) AS followers_log FROM feat")
+def q_feat_logs(spark, sf_dir):
+    return feature_table(spark, sf_dir).select("id", r6("followers_log").alias("followers_log"))
+
+
+@query("feat_flags", "SELECT id, is_modern, is_popular_artist FROM feat")
+def q_feat_flags(spark, sf_dir):
+    return feature_table(spark, sf_dir).select("id", "is_modern", "is_popular_artist")
+
+
+@query("decade", "SELECT id, release_year, decade FROM feat")
+def q_decade(spark, sf_dir):
+    return dashboard_table(spark, sf_dir).select("id", "release_year", "decade")
+
+
+@query("shift_to_zero", "SELECT id, loudness, loudness_shifted FROM feat")
+def q_shift_to_zero(spark, sf_dir):
+    return feature_table(spark, sf_dir).select("id", "loudness", "loudness_shifted")
+
+
+@query("minmax_norm", "SELECT id, loudness, loudness_norm FROM feat")
+def q_minmax_norm(spark, sf_dir):
+    return feature_table(spark, sf_dir).select("id", "loudness", "loudness_norm")
+
+
+AUDIO = ["danceability", "energy", "loudness", "speechiness", "acousticness",
+         "instrumentalness", "liveness", "valence", "tempo"]
+
+SKEW_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, avg((b.{c} - m.mu) * (b.{c} - m.mu) * (b.{c} - m.mu)) "
+    f"/ pow(avg((b.{c} - m.mu) * (b.{c} - m.mu)), 1.5) AS skewness FROM base b, "
+    f"(SELECT avg({c}) AS mu FROM base) m" for c in AUDIO)
+
+
+@query("feature_skewness", f"SELECT feature, round(skewness, 6) AS skewness FROM ({SKEW_SQL})")
+def q_feature_skewness(spark, sf_dir):
+    df = features.basic(joined(spark, sf_dir))
+    return features.skewness_frame(df).select("feature", r6("skewness").alias("skewness"))
+
+
+LOG_SQL = " UNION ALL ".join(
+    f"SELECT '{c}_log' AS feature, count(ln(1 + {c})) AS n_values, round(avg(ln(1 + {c})), 6) AS avg_log "
+    f"FROM base WHERE {c} > -1" for c in AUDIO)
+
+
+@query("skew_log_transform", f"""
+SELECT l.feature, l.n_values, l.avg_log
+FROM ({LOG_SQL}) l JOIN ({SKEW_SQL}) s ON l.feature = s.feature || '_log'
+WHERE s.skewness > 1
+""")
+def q_skew_log_transform(spark, sf_dir):
+    feats = feature_table(spark, sf_dir)
+    logs = [c for c in feats.columns if c.endswith("_log") and c[:-4] in AUDIO]
+    wide = feats.agg(*[F.struct(F.count(c).alias("n"), F.avg(c).alias("a")).alias(c) for c in logs])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).n.alias("n_values"),
+                               F.round(F.col(c).a, 6).alias("avg_log")) for c in logs])
+    if not logs:
+        return spark.createDataFrame([], "feature string, n_values bigint, avg_log double")
+    return wide.select(F.inline(cells))
