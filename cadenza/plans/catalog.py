@@ -277,3 +277,289 @@ def q_skew_log_transform(spark, sf_dir):
     if not logs:
         return spark.createDataFrame([], "feature string, n_values bigint, avg_log double")
     return wide.select(F.inline(cells))
+
+
+# ---------------------------------------------------------------------------
+# SQL text helpers for the oracles (generated, not parsed)
+# ---------------------------------------------------------------------------
+
+CATEGORY_ORD_SQL = ("CASE popularity_category WHEN 'Hit' THEN 1 WHEN 'Mainstream' THEN 2 "
+                    "WHEN 'Emerging' THEN 3 WHEN 'Underground' THEN 4 END")
+
+
+def bin_sql(x: str, lo: str, hi: str, n: int) -> str:
+    return (f"cast(CASE WHEN {hi} = {lo} THEN 1 ELSE least(greatest(floor({n} * ({x} - {lo}) / ({hi} - {lo})) + 1, 1), {n}) END"
+            f" AS INTEGER)")
+
+
+def hist_sql(src: str, cols: list[str], bins: int) -> str:
+    stats = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, cast(min({c}) AS DOUBLE) AS lo, cast(max({c}) AS DOUBLE) AS hi FROM {src}"
+        for c in cols)
+    binned = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {bin_sql(f'cast(s.{c} AS DOUBLE)', 'st.lo', 'st.hi', bins)} AS bin "
+        f"FROM {src} s, (SELECT cast(min({c}) AS DOUBLE) AS lo, cast(max({c}) AS DOUBLE) AS hi FROM {src}) st "
+        f"WHERE s.{c} IS NOT NULL" for c in cols)
+    return f"""
+SELECT g.feature, g.bin,
+       round(g.lo + (g.bin - 1) * ((g.hi - g.lo) / {bins}), 6) AS bin_lo,
+       round(g.lo + g.bin * ((g.hi - g.lo) / {bins}), 6) AS bin_hi,
+       cast(coalesce(c.n, 0) AS BIGINT) AS n
+FROM (SELECT s.feature, s.lo, s.hi, cast(b.bin AS INTEGER) AS bin
+      FROM ({stats}) s, range(1, {bins + 1}) b(bin) WHERE s.lo IS NOT NULL) g
+LEFT JOIN (SELECT feature, bin, count(*) AS n FROM ({binned}) GROUP BY feature, bin) c
+  ON g.feature = c.feature AND g.bin = c.bin
+"""
+
+
+EXPLORER_SRC = ("(SELECT * FROM feat WHERE popularity_category IN ('Hit', 'Mainstream', 'Emerging', "
+                "'Underground') AND release_year BETWEEN 2000 AND 2020)")
+EXPLORER_COLS = ["name", "artist_name", "popularity", "popularity_category", "release_year",
+                 "danceability", "energy", "valence", "tempo", "duration_min", "explicit",
+                 "primary_genre"]
+EXPLORER_ORDER = "popularity DESC NULLS LAST, " + ", ".join(f"{c} ASC NULLS LAST" for c in EXPLORER_COLS)
+EXPLORER_SQL = f"SELECT {', '.join(EXPLORER_COLS)} FROM {EXPLORER_SRC} ORDER BY {EXPLORER_ORDER} LIMIT 500"
+SEARCH_TEXT = "anvil|supplier#1[0-9]"
+
+
+# ---------------------------------------------------------------------------
+# dashboard aggregates
+# ---------------------------------------------------------------------------
+
+def _explore():
+    from cadenza.operators import explore
+    return explore
+
+
+@query("overview_kpis", """
+SELECT count(*) AS n_tracks, round(avg(popularity), 6) AS avg_popularity,
+       count(DISTINCT artist_name) AS n_artists FROM feat
+""")
+def q_overview_kpis(spark, sf_dir):
+    return _explore().overview_kpis(feature_table(spark, sf_dir))
+
+
+@query("histogram_popularity", hist_sql("feat", ["popularity"], 50))
+def q_histogram_popularity(spark, sf_dir):
+    return _explore().histogram(feature_table(spark, sf_dir), ["popularity"], 50)
+
+
+@query("category_counts", f"""
+SELECT popularity_category, n, ord, round(n / sum(n) OVER (), 6) AS share
+FROM (SELECT popularity_category, count(*) AS n, {CATEGORY_ORD_SQL} AS ord
+      FROM feat WHERE popularity_category IS NOT NULL GROUP BY popularity_category)
+""")
+def q_category_counts(spark, sf_dir):
+    return _explore().category_counts(feature_table(spark, sf_dir))
+
+
+@query("peak_year", """
+SELECT release_year AS peak_year, count(*) AS n FROM feat
+GROUP BY release_year ORDER BY n DESC, release_year LIMIT 1
+""")
+def q_peak_year(spark, sf_dir):
+    return _explore().peak_year(feature_table(spark, sf_dir))
+
+
+@query("dataset_profile", """
+SELECT round(avg(duration_min), 6) AS avg_duration_min, round(avg(explicit) * 100, 6) AS explicit_pct,
+       count(DISTINCT primary_genre) AS n_genres FROM feat
+""")
+def q_dataset_profile(spark, sf_dir):
+    return _explore().dataset_profile(feature_table(spark, sf_dir))
+
+
+@query("year_bounds", "SELECT min(release_year) AS min_year, max(release_year) AS max_year FROM feat")
+def q_year_bounds(spark, sf_dir):
+    return _explore().year_bounds(feature_table(spark, sf_dir))
+
+
+@query("explorer_kpis", f"""
+SELECT count(*) AS n_tracks, round(avg(popularity), 6) AS avg_popularity,
+       round(avg(energy), 6) AS avg_energy, round(avg(danceability), 6) AS avg_danceability
+FROM {EXPLORER_SRC}
+""")
+def q_explorer_kpis(spark, sf_dir):
+    ex = _explore()
+    return ex.view_kpis(ex.explorer_filter(feature_table(spark, sf_dir)))
+
+
+@query("histogram_filtered", hist_sql(EXPLORER_SRC, ["popularity", "energy", "danceability"], 40))
+def q_histogram_filtered(spark, sf_dir):
+    ex = _explore()
+    return ex.histogram_view(ex.explorer_filter(feature_table(spark, sf_dir)))
+
+
+@query("analytics_kpis", """
+SELECT round(avg(popularity), 6) AS avg_popularity, round(avg(danceability), 6) AS avg_danceability,
+       round(avg(energy), 6) AS avg_energy, round(avg(valence), 6) AS avg_valence,
+       round(avg(explicit) * 100, 6) AS explicit_pct, round(avg(tempo), 6) AS avg_tempo FROM feat
+""")
+def q_analytics_kpis(spark, sf_dir):
+    return _explore().analytics_kpis(feature_table(spark, sf_dir))
+
+
+@query("popularity_by_category", """
+SELECT c.popularity_category, c.ord, round(m.avg_p, 6) AS avg_popularity
+FROM (VALUES ('Hit', 1), ('Mainstream', 2), ('Emerging', 3), ('Underground', 4)) c(popularity_category, ord)
+LEFT JOIN (SELECT popularity_category, avg(popularity) AS avg_p FROM feat GROUP BY popularity_category) m
+  ON c.popularity_category = m.popularity_category
+""")
+def q_popularity_by_category(spark, sf_dir):
+    return _explore().popularity_by_category(feature_table(spark, sf_dir))
+
+
+@query("count_by_decade", "SELECT decade, count(*) AS n FROM feat WHERE decade <> '0s' GROUP BY decade")
+def q_count_by_decade(spark, sf_dir):
+    return _explore().count_by_decade(dashboard_table(spark, sf_dir))
+
+
+RADAR = ["danceability", "energy", "valence", "acousticness", "liveness"]
+
+
+@query("audio_profile", f"""
+SELECT popularity_category, {', '.join(f'round(avg({f}), 6) AS avg_{f}' for f in RADAR)},
+       {CATEGORY_ORD_SQL} AS ord
+FROM feat WHERE popularity_category IN ('Hit', 'Mainstream', 'Emerging', 'Underground')
+GROUP BY popularity_category
+""")
+def q_audio_profile(spark, sf_dir):
+    return _explore().audio_profile(feature_table(spark, sf_dir))
+
+
+@query("feature_stats", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, cast(round_even(avg({c}), 3) AS DOUBLE) AS mean, "
+    f"cast(round_even(stddev_samp({c}), 3) AS DOUBLE) AS std, "
+    f"cast(round_even(cast(min({c}) AS DOUBLE), 3) AS DOUBLE) AS min, "
+    f"cast(round_even(cast(max({c}) AS DOUBLE), 3) AS DOUBLE) AS max FROM feat" for c in AUDIO))
+def q_feature_stats(spark, sf_dir):
+    return _explore().feature_stats(feature_table(spark, sf_dir))
+
+
+CORR_COLS = ["popularity", "danceability", "energy", "loudness", "speechiness", "acousticness",
+             "instrumentalness", "liveness", "valence", "tempo", "duration_min", "explicit",
+             "track_age", "artist_popularity"]
+
+
+def corr_matrix_sql() -> str:
+    pairs = [(a, b) for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i:]]
+    aggs = ", ".join(f"corr(cast({a} AS DOUBLE), cast({b} AS DOUBLE)) AS c{i}"
+                     for i, (a, b) in enumerate(pairs))
+    cells = []
+    for i, (a, b) in enumerate(pairs):
+        cells.append(f"SELECT '{a}' AS row_feature, '{b}' AS col_feature, c{i} AS v FROM w")
+        if a != b:
+            cells.append(f"SELECT '{b}', '{a}', c{i} FROM w")
+    return (f", w AS (SELECT {aggs} FROM feat) "
+            f"SELECT row_feature, col_feature, round(v, 4) AS corr, cast(round_even(v, 2) AS DOUBLE) AS label "
+            f"FROM ({' UNION ALL '.join(cells)})")
+
+
+@query("corr_matrix", corr_matrix_sql())
+def q_corr_matrix(spark, sf_dir):
+    return _explore().corr_matrix(feature_table(spark, sf_dir))
+
+
+@query("corr_target_sorted", corr_matrix_sql().replace(
+    "SELECT row_feature, col_feature, round(v, 4) AS corr, cast(round_even(v, 2) AS DOUBLE) AS label FROM (",
+    "SELECT row_feature AS feature, round(v, 4) AS corr, CASE WHEN round(v, 4) < 0 THEN 'negative' "
+    "ELSE 'positive' END AS sign FROM (") + " WHERE col_feature = 'popularity' AND row_feature <> 'popularity'")
+def q_corr_target_sorted(spark, sf_dir):
+    ex = _explore()
+    return ex.corr_target_sorted(ex.corr_matrix(feature_table(spark, sf_dir)))
+
+
+@query("histogram_audio", hist_sql("feat", AUDIO, 35))
+def q_histogram_audio(spark, sf_dir):
+    return _explore().histogram_audio(feature_table(spark, sf_dir), 35)
+
+
+# ---------------------------------------------------------------------------
+# explorer (X1-X10, S9)
+# ---------------------------------------------------------------------------
+
+@query("search_tracks", f"""
+SELECT id, name, artist_name, popularity FROM feat
+WHERE coalesce(regexp_matches(name, '(?i){SEARCH_TEXT}'), false)
+   OR coalesce(regexp_matches(artist_name, '(?i){SEARCH_TEXT}'), false)
+""")
+def q_search_tracks(spark, sf_dir):
+    return _explore().search(feature_table(spark, sf_dir), SEARCH_TEXT).select(
+        "id", "name", "artist_name", "popularity")
+
+
+@query("explorer_view", EXPLORER_SQL)
+def q_explorer_view(spark, sf_dir):
+    return _explore().explorer_view(feature_table(spark, sf_dir))
+
+
+@query("explorer_page", f"""
+SELECT * FROM (SELECT *, cast(row_number() OVER (ORDER BY {EXPLORER_ORDER}) AS INTEGER) AS row
+               FROM ({EXPLORER_SQL})) WHERE row > 40 AND row <= 60
+""")
+def q_explorer_page(spark, sf_dir):
+    ex = _explore()
+    return ex.explorer_page(ex.explorer_view(feature_table(spark, sf_dir)), page=2, size=20)
+
+
+SAMPLE_ORDER = "md5(concat_ws('|', id, '42')), id"
+
+
+@query("sample_exact", f"SELECT id, popularity FROM feat ORDER BY {SAMPLE_ORDER} LIMIT 5000")
+def q_sample_exact(spark, sf_dir):
+    from cadenza.operators.sampling import sample_exact
+    return sample_exact(feature_table(spark, sf_dir), 5000, "id").select("id", "popularity")
+
+
+@query("scatter_sample", f"""
+SELECT danceability, energy, popularity_category FROM feat ORDER BY {SAMPLE_ORDER} LIMIT 5000
+""")
+def q_scatter_sample(spark, sf_dir):
+    from cadenza.operators.sampling import sample_exact
+    return sample_exact(feature_table(spark, sf_dir), 5000, "id").select(
+        "danceability", "energy", "popularity_category")
+
+
+SNAPSHOT_COLS = ["name", "artist_name", "popularity", "popularity_category", "release_year",
+                 "primary_genre", "explicit", "duration_min", "danceability", "energy", "loudness",
+                 "speechiness", "acousticness", "instrumentalness", "liveness", "valence", "tempo",
+                 "track_age", "artist_popularity", "followers_log", "dance_energy_index",
+                 "mood_score", "vocal_density", "loudness_norm", "is_modern", "is_popular_artist",
+                 "artist_genre_count"]
+SNAPSHOT_SQL = (f"SELECT {', '.join(c if c != 'followers_log' else 'round(followers_log, 6) AS followers_log' for c in SNAPSHOT_COLS)} "
+                f"FROM (SELECT * FROM feat ORDER BY {SAMPLE_ORDER} LIMIT 150000)")
+
+
+def _snapshot(spark, sf_dir):
+    from cadenza.plans.dashboard import snapshot
+    return snapshot(feature_table(spark, sf_dir))
+
+
+@query("dashboard_snapshot", SNAPSHOT_SQL)
+def q_dashboard_snapshot(spark, sf_dir):
+    return _snapshot(spark, sf_dir).withColumn("followers_log", r6("followers_log"))
+
+
+@query("snapshot_roundtrip", SNAPSHOT_SQL)
+def q_snapshot_roundtrip(spark, sf_dir):
+    from cadenza.session import scratch_path
+    from cadenza.sources import parquet
+    path = scratch_path(spark, "snapshot")
+    parquet.write_snapshot(_snapshot(spark, sf_dir), path)
+    return parquet.read_snapshot(spark, path, with_decade=False).withColumn(
+        "followers_log", r6("followers_log"))
+
+
+@query("scan_parquet", f"SELECT {RAW_COLS} FROM m_tracks")
+def q_scan_parquet(spark, sf_dir):
+    return clean.normalise_nan(tables.music_tracks(spark, sf_dir, with_order=False))
+
+
+@query("export_csv", EXPLORER_SQL)
+def q_export_csv(spark, sf_dir):
+    from cadenza.session import scratch_path
+    from cadenza.sources import csv
+    view = _explore().explorer_view(feature_table(spark, sf_dir))
+    path = scratch_path(spark, "export")
+    csv.export_csv(view, path)
+    return csv.read_export(spark, path, view.schema)
