@@ -67,3 +67,22 @@ def score_label(score) -> Column:
     for k, v in SCORE_LABELS.items():
         out = F.when(cat == k, v).otherwise(out)
     return out
+
+
+def round_to(c, digits: int = 0) -> Column:
+    """Round half away from zero on the binary value: ``round(x * 10^d) / 10^d``.
+
+    ``F.round`` rounds the shortest decimal text of a double, so 0.30215
+    (stored just below the tie) would go up; Python and DuckDB go down.
+    """
+    scale = float(10 ** digits)
+    return F.round(_c(c) * F.lit(scale), 0) / F.lit(scale)
+
+
+def pearson(x, y) -> Column:
+    """Pearson correlation over rows where both sides are present; NULL when
+    either side has zero variance (``corr`` raises there under ANSI mode)."""
+    a, b = _c(x).cast("double"), _c(y).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    a2, b2 = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(a2, b2), F.stddev_pop(a2) * F.stddev_pop(b2))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.numeric import pearson, round_to
+
 from cadenza.functions.text import search_match
 from cadenza.schema import (AUDIO_FEATURES, CATEGORY_ORDER, CORR_COLUMNS,
                             EXPLORER_COLUMNS, EXPLORER_LIMIT, EXPLORER_YEARS,
@@ -38,14 +40,14 @@ def overview_kpis(df: DataFrame, target: str = "popularity", artist: str = "arti
     """G1: row count, mean target, distinct artists (exact unless ``approx``)."""
     distinct = (F.approx_count_distinct(artist) if approx else F.countDistinct(artist))
     return df.agg(F.count(F.lit(1)).alias("n_tracks"),
-                  F.round(F.avg(target), 6).alias("avg_popularity"),
+                  round_to(F.avg(target), 6).alias("avg_popularity"),
                   distinct.alias("n_artists"))
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:
     """Mean duration, explicit rate x100, distinct primary genres."""
-    return df.agg(F.round(F.avg("duration_min"), 6).alias("avg_duration_min"),
-                  F.round(F.avg("explicit") * 100, 6).alias("explicit_pct"),
+    return df.agg(round_to(F.avg("duration_min"), 6).alias("avg_duration_min"),
+                  round_to(F.avg("explicit") * 100, 6).alias("explicit_pct"),
                   F.countDistinct("primary_genre").alias("n_genres"))
 
 
@@ -57,19 +59,19 @@ def year_bounds(df: DataFrame, year: str = "release_year") -> DataFrame:
 def view_kpis(df: DataFrame) -> DataFrame:
     """KPI strip of a (filtered) view."""
     return df.agg(F.count(F.lit(1)).alias("n_tracks"),
-                  F.round(F.avg("popularity"), 6).alias("avg_popularity"),
-                  F.round(F.avg("energy"), 6).alias("avg_energy"),
-                  F.round(F.avg("danceability"), 6).alias("avg_danceability"))
+                  round_to(F.avg("popularity"), 6).alias("avg_popularity"),
+                  round_to(F.avg("energy"), 6).alias("avg_energy"),
+                  round_to(F.avg("danceability"), 6).alias("avg_danceability"))
 
 
 def analytics_kpis(df: DataFrame) -> DataFrame:
     """Six averages in one pass."""
-    return df.agg(F.round(F.avg("popularity"), 6).alias("avg_popularity"),
-                  F.round(F.avg("danceability"), 6).alias("avg_danceability"),
-                  F.round(F.avg("energy"), 6).alias("avg_energy"),
-                  F.round(F.avg("valence"), 6).alias("avg_valence"),
-                  F.round(F.avg("explicit") * 100, 6).alias("explicit_pct"),
-                  F.round(F.avg("tempo"), 6).alias("avg_tempo"))
+    return df.agg(round_to(F.avg("popularity"), 6).alias("avg_popularity"),
+                  round_to(F.avg("danceability"), 6).alias("avg_danceability"),
+                  round_to(F.avg("energy"), 6).alias("avg_energy"),
+                  round_to(F.avg("valence"), 6).alias("avg_valence"),
+                  round_to(F.avg("explicit") * 100, 6).alias("explicit_pct"),
+                  round_to(F.avg("tempo"), 6).alias("avg_tempo"))
 
 
 # ---------------------------------------------------------------------------
@@ -81,7 +83,7 @@ def category_counts(df: DataFrame, col: str = "popularity_category") -> DataFram
     of the total. The share window runs over the <= 4 aggregated rows."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     return (counts.select(col, "n", _category_rank(col).alias("ord"),
-                          F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
+                          round_to(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
                   .orderBy("ord"))
 
 
@@ -97,7 +99,7 @@ def popularity_by_decade(df: DataFrame, target: str = "popularity",
     """Mean target per decade, the year-0 decade removed, sorted."""
     return (df.where(F.col(decade_col).isNotNull() & (F.col(decade_col) != "0s"))
               .groupBy(decade_col)
-              .agg(F.round(F.avg(target), 6).alias("avg_popularity"))
+              .agg(round_to(F.avg(target), 6).alias("avg_popularity"))
               .orderBy(decade_col))
 
 
@@ -118,7 +120,7 @@ def popularity_by_category(df: DataFrame, target: str = "popularity",
                  .select(F.posexplode(F.array(*[F.lit(c) for c in CATEGORY_ORDER])).alias("ord0", col)))
     return (classes.join(F.broadcast(means), col, "left")
                    .select(col, (F.col("ord0") + 1).cast("int").alias("ord"),
-                           F.round(F.col("_m"), 6).alias("avg_popularity"))
+                           round_to(F.col("_m"), 6).alias("avg_popularity"))
                    .orderBy("ord"))
 
 
@@ -128,7 +130,7 @@ def audio_profile(df: DataFrame, feats: list[str] = RADAR_FEATURES,
     feats = _present(df, feats)
     return (df.where(F.col(col).isin(CATEGORY_ORDER))
               .groupBy(col)
-              .agg(*[F.round(F.avg(f), 6).alias(f"avg_{f}") for f in feats])
+              .agg(*[round_to(F.avg(f), 6).alias(f"avg_{f}") for f in feats])
               .withColumn("ord", _category_rank(col))
               .orderBy("ord"))
 
@@ -189,8 +191,8 @@ def histogram(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
     width = (F.col("hi") - F.col("lo")) / bins
     return (grid.join(counts, ["feature", "bin"], "left")
                 .select("feature", "bin",
-                        F.round(F.col("lo") + (F.col("bin") - 1) * width, 6).alias("bin_lo"),
-                        F.round(F.col("lo") + F.col("bin") * width, 6).alias("bin_hi"),
+                        round_to(F.col("lo") + (F.col("bin") - 1) * width, 6).alias("bin_lo"),
+                        round_to(F.col("lo") + F.col("bin") * width, 6).alias("bin_hi"),
                         F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
                 .orderBy("feature", "bin"))
 
@@ -206,7 +208,7 @@ def corr_matrix(df: DataFrame, cols: list[str] = CORR_COLUMNS, digits: int = 4)
     half-to-even (G18)."""
     cols = _present(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
+    wide = df.agg(*[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
                     for i, (a, b) in enumerate(pairs)])
     cells = []
     for i, (a, b) in enumerate(pairs):
@@ -217,7 +219,7 @@ def corr_matrix(df: DataFrame, cols: list[str] = CORR_COLUMNS, digits: int = 4)
                                   F.col(f"{i}").alias("v")))
     long = wide.select(F.inline(F.array(*cells)))
     return long.select("row_feature", "col_feature",
-                       F.round("v", digits).alias("corr"),
+                       round_to("v", digits).alias("corr"),
                        F.bround("v", 2).alias("label"))
 
 

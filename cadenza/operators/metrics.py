@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.numeric import pearson, round_to
+
 from cadenza.functions.numeric import popularity_category
 
 REG_METRICS = ["MAE", "MSE", "RMSE", "R2"]
@@ -18,7 +20,7 @@ CLF_METRICS = ["Accuracy", "Precision", "Recall", "F1"]
 
 
 def _long(wide: DataFrame, task: str, names: list[str], digits: int) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.col(m), digits).alias("value"))
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), round_to(F.col(m), digits).alias("value"))
                       for m in names])
     return wide.select(F.lit(task).alias("task"), "model", "ordinal", F.inline(cells))
 
@@ -91,7 +93,7 @@ def confusion_matrix(cls_preds: DataFrame) -> DataFrame:
 def confusion_normalised(cm: DataFrame) -> DataFrame:
     """Each row (actual class) divided by its total."""
     w = Window.partitionBy("model", "actual")
-    return cm.select("*", F.round(F.try_divide(F.col("n"), F.sum("n").over(w)), 6).alias("share"))
+    return cm.select("*", round_to(F.try_divide(F.col("n"), F.sum("n").over(w)), 6).alias("share"))
 
 
 # ---------------------------------------------------------------------------
@@ -142,4 +144,4 @@ def importance_pct(imp: DataFrame, top: int | None = None, digits: int = 2) -> D
         ranked = ranked.where(F.col("rank") <= top)
     total = Window.partitionBy()
     return ranked.select("feature", "importance", "rank",
-                         F.round(F.col("importance") / F.sum("importance").over(total) * 100, digits).alias("pct"))
+                         round_to(F.col("importance") / F.sum("importance").over(total) * 100, digits).alias("pct"))

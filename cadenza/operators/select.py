@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.numeric import pearson, round_to
+
 from cadenza.operators.explore import bin_index
 from cadenza.schema import SELECTION_CANDIDATES, SELECTION_TOP_K
 
@@ -29,9 +31,9 @@ def candidates(df: DataFrame, names: list[str] = SELECTION_CANDIDATES) -> list[s
 def corr_with_target(df: DataFrame, cols: list[str], target: str = "popularity",
                      digits: int = 6) -> DataFrame:
     """Pearson correlation of each column with the target, one pass."""
-    wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in cols])
+    wide = df.agg(*[pearson(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in cols])
     long = wide.unpivot([], cols, "feature", "corr")
-    return long.select("feature", F.round("corr", digits).alias("corr"))
+    return long.select("feature", round_to("corr", digits).alias("corr"))
 
 
 def top_k_abs(scores: DataFrame, value: str, k: int = SELECTION_TOP_K) -> DataFrame:
@@ -72,7 +74,7 @@ def mi_from_counts(joint: DataFrame, digits: int = 6) -> DataFrame:
                      F.sum("nxy").over(wx).alias("nx"), F.sum("nxy").over(wy).alias("ny"))
     term = (F.col("nxy") / F.col("n")) * F.log((F.col("nxy") * F.col("n")) / (F.col("nx") * F.col("ny")))
     return (j.groupBy("feature").agg(F.sum(term).alias("mi"))
-             .select("feature", F.round("mi", digits).alias("mi")))
+             .select("feature", round_to("mi", digits).alias("mi")))
 
 
 def select_features(df: DataFrame, target: str = "popularity", k: int = SELECTION_TOP_K,

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.functions.numeric import pearson, round_to
+
 from cadenza.operators import clean, features, join
 from cadenza.plans.oracle_base import with_features
 from cadenza.sources import tables
@@ -32,7 +34,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def r6(c, digits: int = 6):
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    return round_to(F.col(c) if isinstance(c, str) else c, digits)
 
 
 # ---------------------------------------------------------------------------
@@ -273,7 +275,7 @@ def q_skew_log_transform(spark, sf_dir):
     logs = [c for c in feats.columns if c.endswith("_log") and c[:-4] in AUDIO]
     wide = feats.agg(*[F.struct(F.count(c).alias("n"), F.avg(c).alias("a")).alias(c) for c in logs])
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).n.alias("n_values"),
-                               F.round(F.col(c).a, 6).alias("avg_log")) for c in logs])
+                               round_to(F.col(c).a, 6).alias("avg_log")) for c in logs])
     if not logs:
         return spark.createDataFrame([], "feature string, n_values bigint, avg_log double")
     return wide.select(F.inline(cells))
@@ -292,6 +294,11 @@ def bin_sql(x: str, lo: str, hi: str, n: int) -> str:
             f" AS INTEGER)")
 
 
+def corr_sql(a: str, b: str) -> str:
+    """Pearson in DuckDB, NULL (not NaN) for a zero-variance side."""
+    return f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END"
+
+
 def hist_sql(src: str, cols: list[str], bins: int) -> str:
     stats = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, cast(min({c}) AS DOUBLE) AS lo, cast(max({c}) AS DOUBLE) AS hi FROM {src}"
@@ -443,7 +450,7 @@ CORR_COLS = ["popularity", "danceability", "energy", "loudness", "speechiness",
 
 def corr_matrix_sql() -> str:
     pairs = [(a, b) for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i:]]
-    aggs = ", ".join(f"corr(cast({a} AS DOUBLE), cast({b} AS DOUBLE)) AS c{i}"
+    aggs = ", ".join(f"{corr_sql(f'cast({a} AS DOUBLE)', f'cast({b} AS DOUBLE)')} AS c{i}"
                      for i, (a, b) in enumerate(pairs))
     cells = []
     for i, (a, b) in enumerate(pairs):
@@ -563,3 +570,375 @@ def q_export_csv(spark, sf_dir):
     path = scratch_path(spark, "export")
     csv.export_csv(view, path)
     return csv.read_export(spark, path, view.schema)
+
+
+# ---------------------------------------------------------------------------
+# feature selection
+# ---------------------------------------------------------------------------
+
+CANDIDATES = ["danceability", "energy", "loudness", "speechiness", "acousticness",
+              "instrumentalness", "liveness", "valence", "tempo", "duration_min",
+              "explicit", "track_age", "artist_popularity", "followers_log",
+              "dance_energy_index", "mood_score", "vocal_density", "loudness_norm",
+              "is_modern", "is_popular_artist", "artist_genre_count",
+              "instrumentalness_log", "speechiness_log", "liveness_log"]
+LOG_CANDIDATES = ["instrumentalness_log", "speechiness_log", "liveness_log"]
+
+# feature rows with every possible log column; rows of absent log columns are
+# dropped by the skewness condition below
+FEAT_LOGS = ("(SELECT *, ln(1 + instrumentalness) AS instrumentalness_log, ln(1 + speechiness) AS speechiness_log, "
+             "ln(1 + liveness) AS liveness_log FROM feat)")
+SKEW_CTE = f", sk AS ({SKEW_SQL})\n"
+PRESENT = ("(feature NOT IN ('instrumentalness_log', 'speechiness_log', 'liveness_log') "
+           "OR feature IN (SELECT feature || '_log' FROM sk WHERE skewness > 1))")
+CORR_ROWS = (f"SELECT feature, round(corr, 6) AS corr FROM ("
+             + " UNION ALL ".join(f"SELECT '{c}' AS feature, {corr_sql(f'cast({c} AS DOUBLE)', 'popularity')} AS corr FROM {FEAT_LOGS}"
+                                  for c in CANDIDATES)
+             + f") WHERE {PRESENT}")
+
+
+def mi_sql(bins: int = 10) -> str:
+    comp = f"(SELECT * FROM {FEAT_LOGS} WHERE " + " AND ".join(
+        f"{c} IS NOT NULL" for c in CANDIDATES + ["popularity"]) + ")"
+    stats = ", ".join(f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in CANDIDATES + ["popularity"])
+    binned = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {bin_sql(f'cast(c.{c} AS DOUBLE)', f'cast(st.{c}_lo AS DOUBLE)', f'cast(st.{c}_hi AS DOUBLE)', bins)} AS bx, "
+        f"{bin_sql('cast(c.popularity AS DOUBLE)', 'cast(st.popularity_lo AS DOUBLE)', 'cast(st.popularity_hi AS DOUBLE)', bins)} AS yb "
+        f"FROM {comp} c, (SELECT {stats} FROM {comp}) st" for c in CANDIDATES)
+    return f"""SELECT feature, round(sum((cast(nxy AS DOUBLE) / n) * ln((cast(nxy AS DOUBLE) * n) / (cast(nx AS DOUBLE) * ny))), 6) AS mi
+FROM (SELECT feature, nxy, sum(nxy) OVER (PARTITION BY feature) AS n,
+             sum(nxy) OVER (PARTITION BY feature, bx) AS nx, sum(nxy) OVER (PARTITION BY feature, yb) AS ny
+      FROM (SELECT feature, bx, yb, count(*) AS nxy FROM ({binned}) GROUP BY feature, bx, yb))
+WHERE {PRESENT}
+GROUP BY feature"""
+
+
+def top15(rows: str, value: str) -> str:
+    return f"SELECT * FROM ({rows}) ORDER BY abs({value}) DESC NULLS LAST, feature LIMIT 15"
+
+
+def _select():
+    from cadenza.operators import select
+    return select
+
+
+@query("corr_with_target", SKEW_CTE + CORR_ROWS)
+def q_corr_with_target(spark, sf_dir):
+    s = _select()
+    df = feature_table(spark, sf_dir)
+    return s.corr_with_target(df, s.candidates(df))
+
+
+@query("topk_abs_corr", SKEW_CTE + top15(CORR_ROWS, "corr"))
+def q_topk_abs_corr(spark, sf_dir):
+    s = _select()
+    df = feature_table(spark, sf_dir)
+    return s.top_k_abs(s.corr_with_target(df, s.candidates(df)), "corr")
+
+
+@query("mutual_info_binned", SKEW_CTE + mi_sql())
+def q_mutual_info_binned(spark, sf_dir):
+    s = _select()
+    df = feature_table(spark, sf_dir)
+    return s.mutual_info_binned(df, s.candidates(df))
+
+
+@query("select_features", SKEW_CTE + f"""
+SELECT DISTINCT feature FROM (
+  SELECT feature FROM ({top15(CORR_ROWS, 'corr')})
+  UNION ALL SELECT feature FROM ({top15(mi_sql(), 'mi')}))
+""")
+def q_select_features(spark, sf_dir):
+    return _select().select_features(feature_table(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# metrics and rankings over predictions
+# ---------------------------------------------------------------------------
+
+def _metrics():
+    from cadenza.operators import metrics
+    return metrics
+
+
+def _cat_sql(x: str) -> str:
+    return (f"CASE WHEN {x} >= 70 THEN 'Hit' WHEN {x} >= 40 THEN 'Mainstream' "
+            f"WHEN {x} >= 10 THEN 'Emerging' ELSE 'Underground' END")
+
+
+CLS_CTES = f""", cp AS (SELECT model, ordinal, {_cat_sql('actual')} AS actual, {_cat_sql('predicted')} AS predicted FROM preds),
+cmx AS (SELECT model, ordinal, actual, predicted, count(*) AS n FROM cp GROUP BY model, ordinal, actual, predicted),
+reg AS (
+  SELECT 'regression' AS task, model, ordinal, metric, round(value, 4) AS value FROM (
+    SELECT model, ordinal, avg(abs(actual - predicted)) AS MAE,
+           avg((actual - predicted) * (actual - predicted)) AS MSE,
+           sqrt(avg((actual - predicted) * (actual - predicted))) AS RMSE,
+           1 - sum((actual - predicted) * (actual - predicted)) / (var_pop(actual) * count(*)) AS R2
+    FROM preds GROUP BY model, ordinal) UNPIVOT (value FOR metric IN (MAE, MSE, RMSE, R2))
+),
+per AS (
+  SELECT coalesce(s.model, p.model) AS model, coalesce(s.ordinal, p.ordinal) AS ordinal,
+         coalesce(s.cls, p.cls) AS cls, coalesce(s.support, 0) AS support, coalesce(p.pred, 0) AS pred
+  FROM (SELECT model, ordinal, actual AS cls, sum(n) AS support FROM cmx GROUP BY model, ordinal, actual) s
+  FULL JOIN (SELECT model, ordinal, predicted AS cls, sum(n) AS pred FROM cmx GROUP BY model, ordinal, predicted) p
+    ON s.model = p.model AND s.ordinal = p.ordinal AND s.cls = p.cls
+),
+per2 AS (
+  SELECT per.*, coalesce(t.tp, 0) AS tp FROM per
+  LEFT JOIN (SELECT model, ordinal, actual AS cls, sum(n) AS tp FROM cmx WHERE actual = predicted
+             GROUP BY model, ordinal, actual) t
+    ON per.model = t.model AND per.ordinal = t.ordinal AND per.cls = t.cls
+),
+per3 AS (
+  SELECT *, CASE WHEN pred > 0 THEN tp / pred ELSE 0.0 END AS p,
+            CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS r FROM per2
+),
+clf AS (
+  SELECT 'classification' AS task, model, ordinal, metric, round(value, 4) AS value FROM (
+    SELECT model, ordinal, sum(tp) / sum(support) AS Accuracy,
+           sum(p * support) / sum(support) AS Precision,
+           sum(r * support) / sum(support) AS Recall,
+           sum(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END * support) / sum(support) AS F1
+    FROM per3 GROUP BY model, ordinal) UNPIVOT (value FOR metric IN (Accuracy, Precision, Recall, F1))
+),
+mt AS (SELECT * FROM reg UNION ALL SELECT * FROM clf),
+cls AS (SELECT DISTINCT model, ordinal, actual AS c FROM cmx UNION SELECT DISTINCT model, ordinal, predicted FROM cmx),
+cgrid AS (
+  SELECT a.model, a.ordinal, a.c AS actual, b.c AS predicted, cast(coalesce(cmx.n, 0) AS BIGINT) AS n
+  FROM cls a JOIN cls b ON a.model = b.model AND a.ordinal = b.ordinal
+  LEFT JOIN cmx ON cmx.model = a.model AND cmx.ordinal = a.ordinal AND cmx.actual = a.c AND cmx.predicted = b.c
+),
+board AS (
+  SELECT task, model, ordinal, metric, value,
+         cast(row_number() OVER (PARTITION BY task ORDER BY value DESC, ordinal) AS INTEGER) AS rank
+  FROM mt WHERE (task = 'regression' AND metric = 'R2') OR (task = 'classification' AND metric = 'F1')
+),
+rwide AS (
+  SELECT model, ordinal, max(CASE WHEN metric = 'MAE' THEN value END) AS MAE,
+         max(CASE WHEN metric = 'MSE' THEN value END) AS MSE,
+         max(CASE WHEN metric = 'RMSE' THEN value END) AS RMSE,
+         max(CASE WHEN metric = 'R2' THEN value END) AS R2
+  FROM mt WHERE task = 'regression' GROUP BY model, ordinal
+)
+"""
+
+
+def _preds(spark, sf_dir):
+    return tables.predictions(spark, sf_dir)
+
+
+def _metric_table(spark, sf_dir):
+    m = _metrics()
+    p = _preds(spark, sf_dir)
+    return m.regression_metrics(p).unionByName(m.classification_metrics(m.with_classes(p)))
+
+
+@query("regression_metrics", CLS_CTES + "SELECT * FROM reg")
+def q_regression_metrics(spark, sf_dir):
+    return _metrics().regression_metrics(_preds(spark, sf_dir))
+
+
+@query("classification_metrics", CLS_CTES + "SELECT * FROM clf")
+def q_classification_metrics(spark, sf_dir):
+    m = _metrics()
+    return m.classification_metrics(m.with_classes(_preds(spark, sf_dir)))
+
+
+@query("confusion_matrix", CLS_CTES + "SELECT * FROM cgrid")
+def q_confusion_matrix(spark, sf_dir):
+    m = _metrics()
+    return m.confusion_matrix(m.with_classes(_preds(spark, sf_dir)))
+
+
+@query("confusion_normalised", CLS_CTES + """
+SELECT *, round(n / nullif(sum(n) OVER (PARTITION BY model, actual), 0), 6) AS share FROM cgrid
+""")
+def q_confusion_normalised(spark, sf_dir):
+    m = _metrics()
+    return m.confusion_normalised(m.confusion_matrix(m.with_classes(_preds(spark, sf_dir))))
+
+
+@query("leaderboard", CLS_CTES + "SELECT * FROM board")
+def q_leaderboard(spark, sf_dir):
+    return _metrics().leaderboard(_metric_table(spark, sf_dir))
+
+
+@query("best_model", CLS_CTES + "SELECT task, model AS best_model, value AS best_value FROM board WHERE rank = 1")
+def q_best_model(spark, sf_dir):
+    return _metrics().best_model(_metric_table(spark, sf_dir))
+
+
+@query("metrics_pivot", CLS_CTES + "SELECT * FROM rwide")
+def q_metrics_pivot(spark, sf_dir):
+    return _metrics().metrics_pivot(_metric_table(spark, sf_dir), "regression")
+
+
+@query("leaderboard_top3", CLS_CTES + """
+SELECT b.model, b.rank, w.ordinal, w.MAE, w.MSE, w.RMSE, w.R2
+FROM board b JOIN rwide w ON b.model = w.model
+WHERE b.task = 'regression' AND b.rank <= 3
+""")
+def q_leaderboard_top3(spark, sf_dir):
+    return _metrics().top_k_wide(_metric_table(spark, sf_dir), "regression", 3)
+
+
+IMP_ROWS = f"SELECT feature, abs(corr) AS importance FROM ({CORR_ROWS})"
+
+
+@query("importance_pct", SKEW_CTE + f"""
+SELECT feature, importance, cast(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank,
+       round(importance / sum(importance) OVER () * 100, 2) AS pct
+FROM ({IMP_ROWS})
+""")
+def q_importance_pct(spark, sf_dir):
+    s = _select()
+    df = feature_table(spark, sf_dir)
+    imp = s.corr_with_target(df, s.candidates(df)).select("feature", F.abs("corr").alias("importance"))
+    return _metrics().importance_pct(imp)
+
+
+@query("importance_top20_pct", SKEW_CTE + f"""
+SELECT * FROM (
+  SELECT feature, importance, rank, round(importance / sum(importance) OVER () * 100, 2) AS pct
+  FROM (SELECT feature, importance,
+               cast(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank
+        FROM ({IMP_ROWS})) WHERE rank <= 20)
+WHERE rank <= 5
+""")
+def q_importance_top20_pct(spark, sf_dir):
+    s = _select()
+    df = feature_table(spark, sf_dir)
+    imp = s.corr_with_target(df, s.candidates(df)).select("feature", F.abs("corr").alias("importance"))
+    return _metrics().importance_pct(imp, top=20).where(F.col("rank") <= 5)
+
+
+# ---------------------------------------------------------------------------
+# insights (I1-I14)
+# ---------------------------------------------------------------------------
+
+def _ins():
+    from cadenza.operators import insights
+    return insights
+
+
+def binned_mean_sql(src: str, col: str, bins: int = 10) -> str:
+    return (f"SELECT {bin_sql(f'cast(s.{col} AS DOUBLE)', 'st.lo', 'st.hi', bins)} AS bin, count(*) AS n, "
+            f"round(avg(s.popularity), 6) AS avg_popularity "
+            f"FROM {src} s, (SELECT cast(min({col}) AS DOUBLE) AS lo, cast(max({col}) AS DOUBLE) AS hi FROM {src} "
+            f"WHERE {col} IS NOT NULL) st WHERE s.{col} IS NOT NULL GROUP BY 1")
+
+
+@query("insight_recency", """
+SELECT feature, corr, cast(row_number() OVER (ORDER BY abs(corr) DESC NULLS LAST, feature) AS INTEGER) AS rank
+FROM (SELECT 'track_age' AS feature, round(CASE WHEN isnan(corr(cast(track_age AS DOUBLE), popularity)) THEN NULL ELSE corr(cast(track_age AS DOUBLE), popularity) END, 6) AS corr FROM feat
+      UNION ALL SELECT 'is_modern', round(CASE WHEN isnan(corr(cast(is_modern AS DOUBLE), popularity)) THEN NULL ELSE corr(cast(is_modern AS DOUBLE), popularity) END, 6) FROM feat)
+""")
+def q_insight_recency(spark, sf_dir):
+    return _ins().corr_ranked(feature_table(spark, sf_dir), ["track_age", "is_modern"])
+
+
+ARTIST_F = ["artist_popularity", "followers_log", "artist_genre_count", "is_popular_artist"]
+
+
+@query("insight_artist_vs_audio", "SELECT feature_group, round(avg(abs(c)), 6) AS mean_abs_corr, "
+       "round(max(abs(c)), 6) AS max_abs_corr FROM (" + " UNION ALL ".join(
+           f"SELECT '{'artist' if c in ARTIST_F else 'audio'}' AS feature_group, "
+           f"{corr_sql(f'cast({c} AS DOUBLE)', 'popularity')} AS c FROM feat" for c in ARTIST_F + AUDIO)
+       + ") GROUP BY feature_group")
+def q_insight_artist_vs_audio(spark, sf_dir):
+    return _ins().artist_vs_audio(feature_table(spark, sf_dir))
+
+
+@query("insight_dance_energy", """
+SELECT danceability >= 0.5 AS high_dance, energy >= 0.5 AS high_energy, count(*) AS n,
+       round(avg(popularity), 6) AS avg_popularity
+FROM feat WHERE danceability IS NOT NULL AND energy IS NOT NULL GROUP BY 1, 2
+""")
+def q_insight_dance_energy(spark, sf_dir):
+    return _ins().dance_energy_quadrants(feature_table(spark, sf_dir))
+
+
+@query("insight_loudness", binned_mean_sql("feat", "loudness"))
+def q_insight_loudness(spark, sf_dir):
+    return _ins().binned_mean(feature_table(spark, sf_dir), "loudness")
+
+
+@query("insight_acousticness",
+       f"SELECT *, '2010-2020' AS period FROM ({binned_mean_sql('(SELECT * FROM feat WHERE release_year BETWEEN 2010 AND 2020)', 'acousticness')}) "
+       f"UNION ALL SELECT *, 'all' FROM ({binned_mean_sql('feat', 'acousticness')})")
+def q_insight_acousticness(spark, sf_dir):
+    return _ins().acousticness_by_period(feature_table(spark, sf_dir))
+
+
+@query("insight_explicit", """
+SELECT explicit, count(*) AS n, round(avg(popularity), 6) AS avg_popularity
+FROM feat WHERE explicit IS NOT NULL GROUP BY explicit
+""")
+def q_insight_explicit(spark, sf_dir):
+    return _ins().mean_by(feature_table(spark, sf_dir), "explicit")
+
+
+def band_sql(col: str, bands: list) -> str:
+    whens = " ".join(f"WHEN {col} >= {lo} THEN '{label}'" for label, lo in reversed(bands) if lo is not None)
+    first = bands[0][0]
+    ords = " ".join(f"WHEN '{label}' THEN {i + 1}" for i, (label, _) in enumerate(bands))
+    return f"""
+SELECT band, n, avg_popularity, hit_rate, CASE band {ords} END AS ord FROM (
+  SELECT CASE {whens} ELSE '{first}' END AS band, count(*) AS n, round(avg(popularity), 6) AS avg_popularity,
+         round(avg(CASE WHEN popularity_category = 'Hit' THEN 1.0 ELSE 0.0 END), 6) AS hit_rate
+  FROM feat WHERE {col} IS NOT NULL GROUP BY 1)
+"""
+
+
+TEMPO_BANDS = [("<90", None), ("90-120", 90.0), ("120-130", 120.0), ("130-150", 130.0), (">=150", 150.0)]
+DURATION_BANDS = [("<1.5", None), ("1.5-2.5", 1.5), ("2.5-4", 2.5), ("4-7", 4.0), (">7", 7.0)]
+
+
+@query("insight_tempo", band_sql("tempo", TEMPO_BANDS))
+def q_insight_tempo(spark, sf_dir):
+    ins = _ins()
+    return ins.banded(feature_table(spark, sf_dir), "tempo", ins.TEMPO_BANDS)
+
+
+@query("insight_genre_count", """
+SELECT artist_genre_count, count(*) AS n, round(avg(artist_popularity), 6) AS avg_artist_popularity
+FROM feat WHERE artist_genre_count IS NOT NULL GROUP BY artist_genre_count
+""")
+def q_insight_genre_count(spark, sf_dir):
+    return _ins().mean_by(feature_table(spark, sf_dir), "artist_genre_count", "artist_popularity")
+
+
+@query("insight_decades", """
+SELECT decade, n, round(m, 6) AS avg_popularity, round(m - lag(m) OVER (ORDER BY decade), 6) AS change
+FROM (SELECT decade, count(*) AS n, avg(popularity) AS m FROM feat WHERE decade <> '0s' GROUP BY decade)
+""")
+def q_insight_decades(spark, sf_dir):
+    return _ins().decades_with_change(dashboard_table(spark, sf_dir))
+
+
+@query("insight_speechiness", """
+SELECT speechiness > 0.66 AS above_limit, count(*) AS n,
+       round(avg(CASE WHEN popularity_category = 'Hit' THEN 1.0 ELSE 0.0 END), 6) AS hit_rate
+FROM feat WHERE speechiness IS NOT NULL GROUP BY 1
+""")
+def q_insight_speechiness(spark, sf_dir):
+    return _ins().speechiness_split(feature_table(spark, sf_dir))
+
+
+@query("insight_liveness", binned_mean_sql("feat", "liveness"))
+def q_insight_liveness(spark, sf_dir):
+    return _ins().binned_mean(feature_table(spark, sf_dir), "liveness")
+
+
+@query("insight_valence", f"""
+SELECT b.*, c.corr FROM ({binned_mean_sql('feat', 'valence')}) b,
+     (SELECT round(CASE WHEN isnan(corr(valence, popularity)) THEN NULL ELSE corr(valence, popularity) END, 6) AS corr FROM feat) c
+""")
+def q_insight_valence(spark, sf_dir):
+    return _ins().valence_profile(feature_table(spark, sf_dir))
+
+
+@query("insight_duration", band_sql("duration_min", DURATION_BANDS))
+def q_insight_duration(spark, sf_dir):
+    ins = _ins()
+    return ins.banded(feature_table(spark, sf_dir), "duration_min", ins.DURATION_BANDS)
