@@ -202,21 +202,58 @@ def histogram(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def corr_matrix(df: DataFrame, cols: list[str] = CORR_COLUMNS, digits: int = 4) -> DataFrame:
-    """Full Pearson matrix, pairwise-complete, one aggregate pass with
-    one ``corr`` per unordered pair; mirrored into long form
-    (row_feature, col_feature, corr, label). ``label`` is rounded to 2,
-    half-to-even (G18)."""
+    """Full Pearson matrix, pairwise-complete, as long form
+    (row_feature, col_feature, corr, label); ``label`` is rounded to 2,
+    half-to-even (G18). A zero-variance column gives NULL.
+
+    Plan: one small pass for the mean and missing count of each column (a
+    few numbers to the driver), then ONE pass of plain sums of the centred
+    values (stable, combined map-side): per column sum and sum of squares,
+    per pair the sum of products. Pairs that touch a column with missing
+    values get their own masked sums, so they stay pairwise-complete. The
+    cells are formed from the one-row result, never from rows.
+    """
     cols = _present(df, cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
-                    for i, (a, b) in enumerate(pairs)])
+    k = len(cols)
+    x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    pre = x.agg(F.count(F.lit(1)).alias("n"),
+                *[F.avg(f"x{i}").alias(f"m{i}") for i in range(k)],
+                *[F.count(f"x{i}").alias(f"k{i}") for i in range(k)]).first()
+    n_all = pre["n"]
+    mean = [pre[f"m{i}"] or 0.0 for i in range(k)]
+    full = [pre[f"k{i}"] == n_all for i in range(k)]
+    c = [F.col(f"x{i}") - F.lit(mean[i]) for i in range(k)]
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.sum(c[i]).alias(f"s{i}") for i in range(k) if full[i]]
+    aggs += [F.sum(c[i] * c[i]).alias(f"ss{i}") for i in range(k) if full[i]]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    for i, j in pairs:
+        aggs.append(F.sum(c[i] * c[j]).alias(f"p_{i}_{j}"))
+        if not (full[i] and full[j]):
+            both = c[i].isNotNull() & c[j].isNotNull()
+            aggs += [F.count(F.when(both, 1)).alias(f"n_{i}_{j}"),
+                     F.sum(F.when(both, c[i])).alias(f"sa_{i}_{j}"), F.sum(F.when(both, c[j])).alias(f"sb_{i}_{j}"),
+                     F.sum(F.when(both, c[i] * c[i])).alias(f"saa_{i}_{j}"),
+                     F.sum(F.when(both, c[j] * c[j])).alias(f"sbb_{i}_{j}")]
+    wide = x.agg(*aggs)
     cells = []
-    for i, (a, b) in enumerate(pairs):
-        cells.append(F.struct(F.lit(a).alias("row_feature"), F.lit(b).alias("col_feature"),
-                              F.col(f"{i}").alias("v")))
-        if a != b:
-            cells.append(F.struct(F.lit(b).alias("row_feature"), F.lit(a).alias("col_feature"),
-                                  F.col(f"{i}").alias("v")))
+    for i, j in pairs:
+        if full[i] and full[j]:
+            n = F.col("n").cast("double")
+            sa, sb, saa, sbb = F.col(f"s{i}"), F.col(f"s{j}"), F.col(f"ss{i}"), F.col(f"ss{j}")
+        else:
+            n = F.col(f"n_{i}_{j}").cast("double")
+            sa, sb = F.col(f"sa_{i}_{j}"), F.col(f"sb_{i}_{j}")
+            saa, sbb = F.col(f"saa_{i}_{j}"), F.col(f"sbb_{i}_{j}")
+        ma, mb = sa / n, sb / n
+        cov = F.col(f"p_{i}_{j}") / n - ma * mb
+        va, vb = saa / n - ma * ma, sbb / n - mb * mb
+        r = F.when((n > 0) & (va > 0) & (vb > 0), cov / F.sqrt(va * vb))
+        r = F.when(r > 1.0, 1.0).when(r < -1.0, -1.0).otherwise(r)
+        cells.append(F.struct(F.lit(cols[i]).alias("row_feature"), F.lit(cols[j]).alias("col_feature"), r.alias("v")))
+        if i != j:
+            cells.append(F.struct(F.lit(cols[j]).alias("row_feature"), F.lit(cols[i]).alias("col_feature"),
+                                  r.alias("v")))
     long = wide.select(F.inline(F.array(*cells)))
     return long.select("row_feature", "col_feature",
                        round_to("v", digits).alias("corr"),

@@ -58,11 +58,26 @@ def joined(spark: SparkSession, sf_dir: str, null_safe: bool = True) -> DataFram
                              null_safe=null_safe)
 
 
-def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lazy plan: scans -> clean -> keep-first dedup -> join -> features."""
     feats, _ = features.build(joined(spark, sf_dir))
     return feats
 
 
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table over the joined tracks, which are built once per
+    table set in the shared folder (the costly scans, dedup shuffle and join).
+    The table statistics are one pass over that written table, also done
+    once; the feature columns stay lazy so each query reads only what it
+    needs."""
+    from cadenza.plans import store
+    j = store.table(spark, sf_dir, "joined", joined)
+    stats = store.bundle(spark, sf_dir, "feature_stats",
+                         lambda _s, _d: features.table_stats(features.basic(j)))
+    feats, _ = features.build(j, stats=stats)
+    return feats
+
+
 def dashboard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature table with the derived ``decade`` (the dashboard's frame)."""
     from cadenza.functions.numeric import decade
@@ -1098,53 +1113,63 @@ for _key, _name in [("clf_logistic", "Logistic Regression"), ("clf_tree", "Decis
     QUERIES[_key] = _clf_query(_name)
 
 
-def _tuned(spark, sf_dir):
+def _build_tuned(spark, sf_dir):
+    """Tune the forest once, save the artifacts to the shared folder, load them."""
+    from cadenza.session import scratch_path
+    from cadenza.sources import artifacts
     m, feats, train, test, classes, stats = _prepared(spark, sf_dir)
     grid = {"numTrees": [5, 8, 10], "maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 2]}
-    return m.tune_forest(train, test, feats, stats, grid=grid), (m, feats, train, test, classes, stats)
+    model, tuned, imp = m.tune_forest(train, test, feats, stats, grid=grid)
+    t = m.train_classifiers(train, test, feats, stats, classes,
+                            names=["Decision Tree", "Gaussian Naive Bayes"], sizes=m.Sizes(**QUERY_SIZES))
+    best = _metrics().best_model(t.metrics).first()["best_model"]
+    cm = _metrics().confusion_matrix(t.predictions.where(F.col("model") == best))
+    path = scratch_path(spark, "artifacts")
+    artifacts.save(path, model, tuned, imp, cm)
+    out = artifacts.load(spark, path)
+    out["path"] = path
+    return out
+
+
+def _tuned_bundle(spark, sf_dir):
+    from cadenza.plans import store
+    return store.bundle(spark, sf_dir, "tuned", _build_tuned)
+
+
+def _test_rows(spark, sf_dir):
+    m = _model()
+    feats = selected_features(spark, sf_dir)
+    frame = m.with_split(m.training_frame(feature_table(spark, sf_dir), feats))
+    return frame.where(F.col("is_test"))
 
 
 @query("tune_forest")
 def q_tune_forest(spark, sf_dir):
-    (model, tuned, imp), _ = _tuned(spark, sf_dir)
-    return tuned
+    return _tuned_bundle(spark, sf_dir)["metrics"]
 
 
 @query("tuned_metrics")
 def q_tuned_metrics(spark, sf_dir):
-    (model, tuned, imp), _ = _tuned(spark, sf_dir)
-    return tuned.where(F.col("metric").isin("MAE", "RMSE", "R2", "best_cv_r2"))
+    return _tuned_bundle(spark, sf_dir)["metrics"].where(F.col("metric").isin("MAE", "RMSE", "R2", "best_cv_r2"))
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    (model, tuned, imp), _ = _tuned(spark, sf_dir)
-    return imp
-
-
-def _best_classifier(spark, sf_dir):
-    m, feats, train, test, classes, stats = _prepared(spark, sf_dir)
-    t = m.train_classifiers(train, test, feats, stats, classes,
-                            names=["Decision Tree", "Gaussian Naive Bayes"], sizes=m.Sizes(**QUERY_SIZES))
-    best = _metrics().best_model(t.metrics).first()["best_model"]
-    return t.predictions.where(F.col("model") == best)
+    return _tuned_bundle(spark, sf_dir)["importance"]
 
 
 @query("confusion_best")
 def q_confusion_best(spark, sf_dir):
-    return _metrics().confusion_matrix(_best_classifier(spark, sf_dir))
+    return _tuned_bundle(spark, sf_dir)["confusion"]
 
 
 @query("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
-    from cadenza.session import scratch_path
+    """Load the saved artifacts and score the held-out rows again."""
     from cadenza.sources import artifacts
-    (model, tuned, imp), (m, feats, train, test, classes, stats) = _tuned(spark, sf_dir)
-    cm = _metrics().confusion_matrix(_best_classifier(spark, sf_dir))
-    path = scratch_path(spark, "artifacts")
-    artifacts.save(path, model, tuned, imp, cm)
-    loaded = artifacts.load(spark, path)
-    preds = m.regression_predictions(loaded["model"], test, "Tuned Random Forest", 1)
+    loaded = artifacts.load(spark, _tuned_bundle(spark, sf_dir)["path"])
+    preds = _model().regression_predictions(loaded["model"], _test_rows(spark, sf_dir),
+                                            "Tuned Random Forest", 1)
     return _metrics().regression_metrics(preds)
 
 
@@ -1206,8 +1231,8 @@ def q_score_category(spark, sf_dir):
 
 
 def _scoring_model(spark, sf_dir):
-    (model, tuned, imp), (m, feats, train, test, classes, stats) = _tuned(spark, sf_dir)
-    return model, feats, test
+    b = _tuned_bundle(spark, sf_dir)
+    return b["model"], b["features"], None
 
 
 @query("score_batch")
