@@ -1252,3 +1252,24 @@ def q_score_stream(spark, sf_dir):
     src = scratch_path(spark, "requests")
     req.repartition(4).write.mode("overwrite").parquet(src)
     return score_files(spark, model, feats, src, spark.read.parquet(src).schema, keep=["id"])
+
+
+# ---------------------------------------------------------------------------
+# CSV source (S1): the mapped tracks written as headed CSV, scanned back with
+# the explicit schema
+# ---------------------------------------------------------------------------
+
+@query("scan_csv", f"SELECT {RAW_COLS} FROM m_tracks")
+def q_scan_csv(spark, sf_dir):
+    from cadenza.plans import store
+    from cadenza.schema import TRACKS_SCHEMA
+    from cadenza.session import scratch_path
+    from cadenza.sources.csv import scan_csv
+
+    def write_csv(s, d):
+        path = scratch_path(s, "tracks-csv")
+        (tables.music_tracks(s, d, with_order=False).write.mode("overwrite")
+         .option("header", True).option("escape", '"').csv(path))
+        return {"path": path}
+    path = store.bundle(spark, sf_dir, "tracks_csv", write_csv)["path"]
+    return scan_csv(spark, path, TRACKS_SCHEMA)
