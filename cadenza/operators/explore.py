@@ -201,7 +201,7 @@ def histogram(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
 # correlation
 # ---------------------------------------------------------------------------
 
-def _corr_complete(x: DataFrame, cols: list[str]) -> DataFrame:
+def _corr_complete(x: DataFrame, cols: list[str], constant: list[bool]) -> DataFrame:
     """All columns complete: MLlib's distributed Pearson (a tree aggregate of
     the Gram matrix); the k x k result (bounded by the column count) becomes
     a long frame. Zero-variance entries (NaN) become NULL."""
@@ -216,7 +216,7 @@ def _corr_complete(x: DataFrame, cols: list[str]) -> DataFrame:
     for i in range(k):
         for j in range(k):
             v = float(mat[i][j])
-            v = None if math.isnan(v) else max(-1.0, min(1.0, v))
+            v = None if (math.isnan(v) or constant[i] or constant[j]) else max(-1.0, min(1.0, v))
             rows.append((cols[i], cols[j], v))
     return x.sparkSession.createDataFrame(rows, "row_feature string, col_feature string, v double")
 
@@ -240,12 +240,13 @@ def corr_matrix(df: DataFrame, cols: list[str] = CORR_COLUMNS, digits: int = 4)
     x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
     pre = x.agg(F.count(F.lit(1)).alias("n"),
                 *[F.avg(f"x{i}").alias(f"m{i}") for i in range(k)],
-                *[F.count(f"x{i}").alias(f"k{i}") for i in range(k)]).first()
+                *[F.count(f"x{i}").alias(f"k{i}") for i in range(k)],
+                *[(F.min(f"x{i}") == F.max(f"x{i}")).alias(f"const{i}") for i in range(k)]).first()
     n_all = pre["n"]
     mean = [pre[f"m{i}"] or 0.0 for i in range(k)]
     full = [pre[f"k{i}"] == n_all for i in range(k)]
     if all(full) and n_all > 1:
-        long = _corr_complete(x, cols)
+        long = _corr_complete(x, cols, [bool(pre[f"const{i}"]) for i in range(k)])
         return long.select("row_feature", "col_feature", round_to("v", digits).alias("corr"),
                            F.bround("v", 2).alias("label"))
     c = [F.col(f"x{i}") - F.lit(mean[i]) for i in range(k)]
