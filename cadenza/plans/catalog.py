@@ -1273,3 +1273,51 @@ def q_scan_csv(spark, sf_dir):
         return {"path": path}
     path = store.bundle(spark, sf_dir, "tracks_csv", write_csv)["path"]
     return scan_csv(spark, path, TRACKS_SCHEMA)
+
+
+# ---------------------------------------------------------------------------
+# suggested extras: genre-relative popularity, top-k, mood, artist profile
+# ---------------------------------------------------------------------------
+
+def _prof():
+    from cadenza.operators import profiles
+    return profiles
+
+
+@query("genre_zscore", """
+SELECT f.id, f.primary_genre, f.popularity,
+       round(CASE WHEN g.s = 0 OR g.s IS NULL THEN NULL ELSE (f.popularity - g.m) / g.s END, 6) AS genre_z
+FROM feat f JOIN (SELECT primary_genre, avg(popularity) AS m, stddev_samp(popularity) AS s
+                  FROM feat GROUP BY primary_genre) g ON f.primary_genre = g.primary_genre
+""")
+def q_genre_zscore(spark, sf_dir):
+    return _prof().genre_zscore(feature_table(spark, sf_dir))
+
+
+@query("top_dance_energy", """
+SELECT id, name, artist_name, dance_energy_index FROM feat
+ORDER BY dance_energy_index DESC NULLS LAST, id, name, artist_name LIMIT 10
+""")
+def q_top_dance_energy(spark, sf_dir):
+    return _prof().top_k(feature_table(spark, sf_dir), "dance_energy_index", 10)
+
+
+@query("mood_quadrant", """
+SELECT CASE WHEN valence >= 0.5 AND energy >= 0.5 THEN 'Happy-Energetic'
+            WHEN valence >= 0.5 THEN 'Calm-Positive'
+            WHEN energy >= 0.5 THEN 'Tense-Energetic' ELSE 'Sad-Calm' END AS mood,
+       count(*) AS n, round(avg(popularity), 6) AS avg_popularity, round(avg(mood_score), 6) AS avg_mood_score
+FROM feat WHERE valence IS NOT NULL AND energy IS NOT NULL GROUP BY 1
+""")
+def q_mood_quadrant(spark, sf_dir):
+    return _prof().mood_profile(feature_table(spark, sf_dir))
+
+
+@query("artist_vs_genre", " UNION ALL ".join(
+    f"SELECT a.artist_name, a.primary_genre, '{c}' AS feature, round(a.m, 6) AS artist_mean, "
+    f"round(g.m, 6) AS genre_mean, round(a.m - g.m, 6) AS diff "
+    f"FROM (SELECT artist_name, primary_genre, avg({c}) AS m FROM feat GROUP BY artist_name, primary_genre) a "
+    f"JOIN (SELECT primary_genre, avg({c}) AS m FROM feat GROUP BY primary_genre) g "
+    f"ON a.primary_genre = g.primary_genre" for c in AUDIO))
+def q_artist_vs_genre(spark, sf_dir):
+    return _prof().artist_vs_genre(feature_table(spark, sf_dir))
