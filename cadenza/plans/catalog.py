@@ -1173,7 +1173,7 @@ def q_model_roundtrip(spark, sf_dir):
     return _metrics().regression_metrics(preds)
 
 
-@query("metrics_roundtrip")
+@query("metrics_roundtrip", CLS_CTES + "SELECT * FROM mt")
 def q_metrics_roundtrip(spark, sf_dir):
     from cadenza.session import scratch_path
     path = scratch_path(spark, "metrics")
