@@ -28,11 +28,40 @@ def candidates(df: DataFrame, names: list[str] = SELECTION_CANDIDATES) -> list[s
     return [c for c in names if c in have]
 
 
+def column_profile(df: DataFrame, cols: list[str]) -> dict:
+    """One pass: row count and, per column, non-missing count, min and max
+    (a few numbers per column reach the driver)."""
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"k{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    row = df.agg(*aggs).first()
+    return {"n": row["_n"],
+            "cols": {c: {"count": row[f"k{i}"], "lo": row[f"lo{i}"], "hi": row[f"hi{i}"]}
+                     for i, c in enumerate(cols)}}
+
+
 def corr_with_target(df: DataFrame, cols: list[str], target: str = "popularity",
                      digits: int = 6) -> DataFrame:
-    """Pearson correlation of each column with the target, one pass."""
-    wide = df.agg(*[pearson(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in cols])
-    long = wide.unpivot([], cols, "feature", "corr")
+    """Pearson correlation of each column with the target, one pass.
+
+    A profile pass picks the cheapest exact form per column: NULL for a
+    constant column, the native ``corr`` when both sides are complete, the
+    pairwise-complete ``pearson`` otherwise."""
+    prof = column_profile(df, cols + [target])
+    n, t = prof["n"], prof["cols"][target]
+    exprs = []
+    for c in cols:
+        p = prof["cols"][c]
+        x, y = F.col(c).cast("double"), F.col(target).cast("double")
+        if p["lo"] is None or p["lo"] == p["hi"] or t["lo"] is None or t["lo"] == t["hi"]:
+            e = F.lit(None).cast("double")
+        elif p["count"] == n and t["count"] == n:
+            e = F.corr(x, y)
+        else:
+            e = pearson(x, y)
+        exprs.append(e.alias(c))
+    long = df.agg(*exprs).unpivot([], cols, "feature", "corr")
     return long.select("feature", round_to("corr", digits).alias("corr"))
 
 
@@ -46,20 +75,20 @@ def top_k_abs(scores: DataFrame, value: str, k: int = SELECTION_TOP_K) -> DataFr
 def mutual_info_binned(df: DataFrame, cols: list[str], target: str = "popularity",
                        bins: int = MI_BINS, digits: int = 6) -> DataFrame:
     """E4 (re-aimed): binned mutual information of each column with the
-    target, over complete rows only."""
+    target, over complete rows only. Bin edges are literals from one profile
+    pass over the complete rows; each row emits (feature, bin_x) pairs for
+    one ``groupBy(feature, bin_x, bin_y).count()``."""
     complete = df.select(*cols, target).na.drop()
-    allc = cols + [target]
-    stats = complete.agg(*[F.struct(F.min(c).cast("double").alias("lo"),
-                                    F.max(c).cast("double").alias("hi")).alias(c) for c in allc])
-    stats_long = stats.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).lo.alias("lo"), F.col(c).hi.alias("hi"))
-        for c in cols])), F.col(target).lo.alias("tlo"), F.col(target).hi.alias("thi"))
-    stacked = complete.select(F.col(target).cast("double").alias("y"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])))
-    binned = (stacked.join(F.broadcast(stats_long), "feature")
-                     .select("feature",
-                             bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bx"),
-                             bin_index(F.col("y"), F.col("tlo"), F.col("thi"), bins).alias("by")))
+    prof = column_profile(complete, cols + [target])["cols"]
+
+    def lit_bin(c):
+        lo, hi = prof[c]["lo"], prof[c]["hi"]
+        if lo is None:
+            return F.lit(None).cast("int")
+        return bin_index(F.col(c).cast("double"), F.lit(float(lo)), F.lit(float(hi)), bins)
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), lit_bin(c).alias("bx")) for c in cols])
+    binned = complete.select(lit_bin(target).alias("by"), F.inline(pairs))
     joint = binned.groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("nxy"))
     return mi_from_counts(joint, digits)
 
@@ -72,7 +101,8 @@ def mi_from_counts(joint: DataFrame, digits: int = 6) -> DataFrame:
     wy = Window.partitionBy("feature", "by")
     j = joint.select("*", F.sum("nxy").over(wf).alias("n"),
                      F.sum("nxy").over(wx).alias("nx"), F.sum("nxy").over(wy).alias("ny"))
-    term = (F.col("nxy") / F.col("n")) * F.log((F.col("nxy") * F.col("n")) / (F.col("nx") * F.col("ny")))
+    nxy, n = F.col("nxy").cast("double"), F.col("n").cast("double")
+    term = (nxy / n) * F.log((nxy * n) / (F.col("nx").cast("double") * F.col("ny")))
     return (j.groupBy("feature").agg(F.sum(term).alias("mi"))
              .select("feature", round_to("mi", digits).alias("mi")))
 

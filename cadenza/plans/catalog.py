@@ -985,7 +985,7 @@ def _model():
 
 # ensemble sizes for the registered queries (the library defaults are the
 # reproduced 100 trees / 100 rounds; see README)
-QUERY_SIZES = dict(trees=20, forest_depth=10, boost_rounds=20, tree_depth=8)
+QUERY_SIZES = dict(trees=10, forest_depth=8, boost_rounds=10, tree_depth=8)
 
 
 @query("training_frame", f"SELECT id, popularity, popularity_category FROM feat WHERE {COMPLETE_SQL}")
