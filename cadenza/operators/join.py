@@ -31,14 +31,28 @@ def join_dimension(fact: DataFrame, dim: DataFrame, key: str,
 
     ``null_safe`` (default) matches a missing key with a missing key, as the
     reproduced behaviour does; ``False`` gives SQL semantics. The dimension is
-    unique on ``key`` so the fact side never fans out. No broadcast hint: the
-    planner broadcasts the dimension when its measured size allows, and AQE
-    splits a skewed fact partition (e.g. a hot or missing key) at run time.
+    unique on ``key`` so the fact side never fans out. No broadcast hint on
+    the dimension: the planner broadcasts it when its measured size allows,
+    otherwise it is a sort-merge join where AQE splits a skewed fact partition
+    (a hot key) at run time. Fact rows with a missing key are routed apart
+    (see below), so a third of the rows missing their key cannot pile up in
+    the one partition that NULL hashes to.
     """
     dim_key = "_dim_" + key
     d = dim.withColumnRenamed(key, dim_key)
-    cond = (fact[key].eqNullSafe(d[dim_key]) if null_safe else fact[key] == d[dim_key])
-    out = fact.join(d, cond, "left").drop(dim_key)
+    present = fact.where(F.col(key).isNotNull())
+    missing = fact.where(F.col(key).isNull())
+    out = present.join(d, present[key] == d[dim_key], "left")
+    # Missing keys never meet the shuffle: in SQL semantics they match
+    # nothing; null-safe, they match the dimension's missing-key row, of
+    # which there is at most one (the dimension is unique on the key), so
+    # that side has a proven size bound and is broadcast.
+    if null_safe:
+        d_null = d.where(F.col(dim_key).isNull()).limit(1)
+        miss = missing.join(F.broadcast(d_null), missing[key].eqNullSafe(d_null[dim_key]), "left")
+    else:
+        miss = missing.join(F.broadcast(d.where(F.lit(False))), missing[key] == d[dim_key], "left")
+    out = out.unionByName(miss).drop(dim_key)
     if fill:
         out = out.select(*[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c)
                            for c in out.columns])
