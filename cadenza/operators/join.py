@@ -25,8 +25,12 @@ def slim_dimension(artists: DataFrame, rename: dict = ARTIST_RENAME) -> DataFram
     return artists.select(*[F.col(src).alias(dst) for src, dst in rename.items()])
 
 
+MISSING_KEY_SALTS = 64
+
+
 def join_dimension(fact: DataFrame, dim: DataFrame, key: str,
-                   fill: dict | None = None, null_safe: bool = True) -> DataFrame:
+                   fill: dict | None = None, null_safe: bool = True,
+                   salts: int = MISSING_KEY_SALTS) -> DataFrame:
     """Left equi-join; unmatched rows get ``fill`` values.
 
     ``null_safe`` (default) matches a missing key with a missing key, as the
@@ -34,25 +38,29 @@ def join_dimension(fact: DataFrame, dim: DataFrame, key: str,
     unique on ``key`` so the fact side never fans out. No broadcast hint on
     the dimension: the planner broadcasts it when its measured size allows,
     otherwise it is a sort-merge join where AQE splits a skewed fact partition
-    (a hot key) at run time. Fact rows with a missing key are routed apart
-    (see below), so a third of the rows missing their key cannot pile up in
-    the one partition that NULL hashes to.
+    (a hot key) at run time.
+
+    Missing keys are salted: a fact row without a key gets a salt 1..``salts``
+    from a hash of the row (deterministic, so a retried task lands its rows
+    in the same place), present keys get 0, and the dimension's missing-key
+    row -- at most one -- is repeated once per salt. A third of the rows
+    missing their key thus spread over ``salts`` partitions instead of the one
+    that NULL hashes to, in one join with no second pass over the fact side.
     """
-    dim_key = "_dim_" + key
+    dim_key, fsalt, dsalt = "_dim_" + key, "_salt", "_dim_salt"
+    row_hash = F.xxhash64(*[F.col(c) for c in fact.columns])
+    f = fact.withColumn(fsalt, F.when(F.col(key).isNull(), F.pmod(row_hash, F.lit(salts)) + 1)
+                               .otherwise(F.lit(0)).cast("int"))
     d = dim.withColumnRenamed(key, dim_key)
-    present = fact.where(F.col(key).isNotNull())
-    missing = fact.where(F.col(key).isNull())
-    out = present.join(d, present[key] == d[dim_key], "left")
-    # Missing keys never meet the shuffle: in SQL semantics they match
-    # nothing; null-safe, they match the dimension's missing-key row, of
-    # which there is at most one (the dimension is unique on the key), so
-    # that side has a proven size bound and is broadcast.
+    d_present = d.where(F.col(dim_key).isNotNull()).withColumn(dsalt, F.lit(0))
     if null_safe:
-        d_null = d.where(F.col(dim_key).isNull()).limit(1)
-        miss = missing.join(F.broadcast(d_null), missing[key].eqNullSafe(d_null[dim_key]), "left")
+        d_missing = (d.where(F.col(dim_key).isNull()).limit(1)
+                      .withColumn(dsalt, F.explode(F.sequence(F.lit(1), F.lit(salts)))))
+        d = d_present.unionByName(d_missing)
     else:
-        miss = missing.join(F.broadcast(d.where(F.lit(False))), missing[key] == d[dim_key], "left")
-    out = out.unionByName(miss).drop(dim_key)
+        d = d_present
+    cond = f[key].eqNullSafe(d[dim_key]) & (f[fsalt] == d[dsalt])
+    out = f.join(d, cond, "left").drop(dim_key, fsalt, dsalt)
     if fill:
         out = out.select(*[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c)
                            for c in out.columns])

@@ -103,3 +103,19 @@ def test_feature_statistics(spark):
     assert "speechiness_log" in logged.columns and "liveness_log" not in logged.columns
     lim = spark.createDataFrame([(-1.0,), (-5.0,)], "x double").select(F.log1p("x")).collect()
     assert [r[0] for r in lim] == [None, None]
+
+
+def test_join_missing_keys_salted(spark):
+    fact = spark.range(3000).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 3 == 0, F.lit(None).cast("string")).otherwise(F.lit("a1")).alias("artist_id_key"))
+    artists = spark.createDataFrame([("a1", 100.0, 70.0, "pop", 2), (None, 5.0, 10.0, "nullgenre", 1)],
+                                    "id string, followers double, popularity double, primary_genre string, genre_count int")
+    out = join.join_artists(fact, artists)
+    assert out.count() == 3000
+    assert out.where("artist_id_key IS NULL AND primary_genre = 'nullgenre'").count() == 1000
+    assert out.where("artist_id_key = 'a1' AND primary_genre = 'pop'").count() == 2000
+    sql = join.join_artists(fact, artists, null_safe=False)
+    assert sql.where("artist_id_key IS NULL AND primary_genre = 'unknown'").count() == 1000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan.split("Exchange")[0] or "_salt" in plan

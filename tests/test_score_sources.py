@@ -83,3 +83,13 @@ def test_stream_equals_batch(spark, tmp_dir):
 
 def test_artists_schema_has_genres():
     assert "genres" in ARTISTS_SCHEMA.fieldNames()
+
+
+def test_stage_url_then_scan(spark, tmp_dir):
+    from cadenza.sources.csv import stage_url
+    src = os.path.join(tmp_dir, "artists.csv")
+    with open(src, "w") as fh:
+        fh.write("id,followers,popularity,genres\na1,10,50,\"['pop']\"\n")
+    local = stage_url("file://" + src, os.path.join(tmp_dir, "staged"))
+    got = scan_csv(spark, local, ARTISTS_SCHEMA).first()
+    assert got["id"] == "a1" and got["genres"] == "['pop']"
