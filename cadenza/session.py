@@ -88,3 +88,20 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def sized_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Partitioning settings for a given input size and cluster.
+
+    Scan splits of ``target_partition_bytes`` and enough shuffle partitions
+    that each holds about that much (at least two waves of tasks); AQE then
+    coalesces small ones and splits skewed ones at run time. For 100 TB on
+    1000 executors x 8 cores this gives ~400k shuffle partitions of ~256 MB.
+    """
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+    }

@@ -95,3 +95,10 @@ def test_pearson_null_on_constant(spark):
 def test_score_label(spark):
     out = col_values(spark, [100.0, 69.999, 10.0, 0.0], score_label, "double")
     assert out == ["Hit 🔥", "Mainstream 🎵", "Emerging 🌱", "Underground 🎸"]
+
+
+def test_sized_conf():
+    from cadenza.session import sized_conf
+    c = sized_conf(100 * (1 << 40), 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert int(sized_conf(1 << 20, 8)["spark.sql.shuffle.partitions"]) == 16
