@@ -57,8 +57,11 @@ def work_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    else:
+    elif sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cadenza-ckpt-", dir="/tmp"))
+    else:
+        # executors cannot share a machine-local folder with the driver
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, object store, shared mount)")
     return sc.getCheckpointDir()
 
 
