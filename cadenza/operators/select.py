@@ -114,3 +114,30 @@ def select_features(df: DataFrame, target: str = "popularity", k: int = SELECTIO
     by_corr = top_k_abs(corr_with_target(df, cols, target), "corr", k).select("feature")
     by_mi = top_k_abs(mutual_info_binned(df, cols, target, bins), "mi", k).select("feature")
     return by_corr.union(by_mi).distinct().orderBy("feature")
+
+
+def mutual_info_quantile(df: DataFrame, cols: list[str], target: str = "popularity",
+                         bins: int = MI_BINS, accuracy: int = 10_000, digits: int = 6) -> DataFrame:
+    """E4, quantile bins: edges are approximate quantiles of each column (one
+    ``percentile_approx`` aggregate, bounded sketches), so every bin holds
+    about the same number of rows; a value's bin is the number of edges
+    below it. Ties at an edge and the sketch error make this a rows-only
+    check."""
+    complete = df.select(*cols, target).na.drop()
+    allc = cols + [target]
+    probs = [i / bins for i in range(1, bins)]
+    row = complete.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c)
+                         for c in allc]).first()
+
+    def q_bin(c):
+        edges = sorted(set(row[c] or []))
+        x = F.col(c).cast("double")
+        out = F.lit(1)
+        for e in edges:
+            out = out + (x > F.lit(float(e))).cast("int")
+        return out
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), q_bin(c).alias("bx")) for c in cols])
+    binned = complete.select(q_bin(target).alias("by"), F.inline(pairs))
+    joint = binned.groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("nxy"))
+    return mi_from_counts(joint, digits)

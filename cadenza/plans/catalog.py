@@ -1321,3 +1321,10 @@ def q_mood_quadrant(spark, sf_dir):
     f"ON a.primary_genre = g.primary_genre" for c in AUDIO))
 def q_artist_vs_genre(spark, sf_dir):
     return _prof().artist_vs_genre(feature_table(spark, sf_dir))
+
+
+@query("mutual_info_quantile")
+def q_mutual_info_quantile(spark, sf_dir):
+    s = _select()
+    df = feature_table(spark, sf_dir)
+    return s.mutual_info_quantile(df, s.candidates(df))

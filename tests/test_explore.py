@@ -92,3 +92,14 @@ def test_explorer_view_and_page(spark):
     assert explore.explorer_view(df, years=(2010, 2020)).count() == 0
     page = explore.explorer_page(view, page=1, size=20).collect()
     assert [r["row"] for r in page] == list(range(21, 41))
+
+
+def test_mutual_info_ranks_dependence(spark):
+    from cadenza.operators.select import mutual_info_binned, mutual_info_quantile
+    rng = np.random.default_rng(11)
+    y = rng.normal(size=3000)
+    pdf = pd.DataFrame({"dep": y + rng.normal(size=3000) * 0.1, "noise": rng.normal(size=3000), "popularity": y})
+    df = spark.createDataFrame(pdf)
+    for fn in (mutual_info_binned, mutual_info_quantile):
+        mi = {r["feature"]: r["mi"] for r in fn(df, ["dep", "noise"]).collect()}
+        assert mi["dep"] > 1.0 > 0.1 > mi["noise"] >= 0.0

@@ -48,3 +48,5 @@ def test_training_job(spark, tmp_dir):
     imp = [r["importance"] for r in loaded["importance"].collect()]
     assert imp == sorted(imp, reverse=True)
     assert spark.read.parquet(os.path.join(out, "snapshot")).count() > 0
+    sizes = {r["artifact"]: r["bytes"] for r in artifacts.sizes(spark, out).collect()}
+    assert set(sizes) == {"metrics", "importance", "confusion"} and all(v > 0 for v in sizes.values())
