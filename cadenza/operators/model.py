@@ -32,6 +32,10 @@ from cadenza.schema import SEED, TUNE_CANDIDATES, TUNE_FOLDS, TUNE_GRID
 
 FEATURES_COL = "features"
 SCALED_SUFFIX = "__sc"
+# tree learners: node ids cached between levels (deep trees), and lineage cut
+# into the checkpoint folder every 10 iterations (long boosting chains
+# survive executor loss without recomputing from the start)
+TREE_OPTS = dict(cacheNodeIds=True, checkpointInterval=10)
 
 
 # ---------------------------------------------------------------------------
@@ -120,13 +124,13 @@ def regressors(n: int, ystd: float, target: str = "popularity", sizes: Sizes | N
         "ElasticNet": LinearRegression(regParam=0.05 * (1 + ystd), elasticNetParam=1 / (1 + ystd),
                                        standardization=False, solver="l-bfgs", maxIter=500, tol=1e-9,
                                        **common),
-        "Decision Tree": DecisionTreeRegressor(maxDepth=s.tree_depth, seed=SEED, **common),
+        "Decision Tree": DecisionTreeRegressor(maxDepth=s.tree_depth, seed=SEED, **TREE_OPTS, **common),
         "Random Forest": RandomForestRegressor(numTrees=s.trees, maxDepth=s.forest_depth,
-                                               featureSubsetStrategy="all", seed=SEED, **common),
+                                               featureSubsetStrategy="all", seed=SEED, **TREE_OPTS, **common),
         "Gradient Boosting": GBTRegressor(maxIter=s.boost_rounds, maxDepth=3, stepSize=0.1, seed=SEED,
-                                          **common),
+                                          **TREE_OPTS, **common),
         "Gradient Boosting (deep)": GBTRegressor(maxIter=s.boost_rounds, maxDepth=6, stepSize=0.1,
-                                                 seed=SEED, **common),
+                                                 seed=SEED, **TREE_OPTS, **common),
     }
 
 
@@ -139,15 +143,15 @@ def classifiers(n: int, sizes: Sizes | None = None) -> dict:
     return {
         "Logistic Regression": LogisticRegression(regParam=1.0 / max(n, 1), standardization=False,
                                                   maxIter=500, family="multinomial", **common),
-        "Decision Tree": DecisionTreeClassifier(maxDepth=s.tree_depth, seed=SEED, **common),
+        "Decision Tree": DecisionTreeClassifier(maxDepth=s.tree_depth, seed=SEED, **TREE_OPTS, **common),
         "Random Forest": RandomForestClassifier(numTrees=s.trees, maxDepth=s.forest_depth,
-                                                featureSubsetStrategy="sqrt", seed=SEED, **common),
+                                                featureSubsetStrategy="sqrt", seed=SEED, **TREE_OPTS, **common),
         "Gradient Boosting": OneVsRest(classifier=GBTClassifier(maxIter=s.boost_rounds, maxDepth=3,
-                                                                stepSize=0.1, seed=SEED),
+                                                                stepSize=0.1, seed=SEED, **TREE_OPTS),
                                        **common),
         "Gaussian Naive Bayes": NaiveBayes(modelType="gaussian", **common),
         "Gradient Boosting (deep)": OneVsRest(classifier=GBTClassifier(maxIter=s.boost_rounds, maxDepth=6,
-                                                                       stepSize=0.1, seed=SEED),
+                                                                       stepSize=0.1, seed=SEED, **TREE_OPTS),
                                               **common),
     }
 
@@ -254,7 +258,7 @@ def tune_forest(train: DataFrame, test: DataFrame, feats: list[str], stats: dict
     not depend on partitioning. Returns (pipeline model, metrics frame,
     importance frame)."""
     rf = RandomForestRegressor(featuresCol=FEATURES_COL, labelCol="popularity",
-                               featureSubsetStrategy="sqrt", seed=seed)
+                               featureSubsetStrategy="sqrt", seed=seed, **TREE_OPTS)
     maps = draw_params(rf, grid, k, seed)
     ev = RegressionEvaluator(labelCol="popularity", predictionCol="prediction", metricName="r2")
     cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, evaluator=ev, numFolds=folds,
