@@ -72,6 +72,19 @@ def top_k_abs(scores: DataFrame, value: str, k: int = SELECTION_TOP_K) -> DataFr
                   .limit(k))
 
 
+def literal_bin(x, lo: float | None, hi: float | None, n: int):
+    """Equal-width bin 1..n with edges known on the driver: the same
+    arithmetic as ``bin_index`` (``floor(n * (x - lo) / (hi - lo)) + 1``,
+    clamped), but a constant column is decided here, so the per-row
+    expression stays small enough for whole-stage code generation."""
+    if lo is None:
+        return F.lit(None).cast("int")
+    if hi == lo:
+        return F.when(x.isNotNull(), F.lit(1))
+    raw = F.floor(F.lit(n) * (x - F.lit(float(lo))) / F.lit(float(hi) - float(lo))) + 1
+    return F.least(F.greatest(raw, F.lit(1)), F.lit(n)).cast("int")
+
+
 def mutual_info_binned(df: DataFrame, cols: list[str], target: str = "popularity",
                        bins: int = MI_BINS, digits: int = 6) -> DataFrame:
     """E4 (re-aimed): binned mutual information of each column with the
@@ -82,17 +95,29 @@ def mutual_info_binned(df: DataFrame, cols: list[str], target: str = "popularity
     prof = column_profile(complete, cols + [target])["cols"]
 
     def lit_bin(c):
-        lo, hi = prof[c]["lo"], prof[c]["hi"]
-        if lo is None:
-            return F.lit(None).cast("int")
-        return bin_index(F.col(c).cast("double"), F.lit(float(lo)), F.lit(float(hi)), bins)
-
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), lit_bin(c).alias("bx")) for c in cols])
-    binned = complete.select(lit_bin(target).alias("by"), F.inline(pairs))
-    joint = binned.groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("nxy"))
+        return literal_bin(F.col(c).cast("double"), prof[c]["lo"], prof[c]["hi"], bins)
+
+    joint = _joint_counts(complete, cols, [lit_bin(c) for c in cols], lit_bin(target), bins)
     return mi_from_counts(joint, digits)
 
 
+def _joint_counts(df: DataFrame, cols: list[str], bx: list, by, bins: int) -> DataFrame:
+    """(feature, bx, by, nxy) for every column against the target bin.
+
+    Each row emits one integer per column, ``index * bins^2 + (bx-1) * bins +
+    (by-1)`` -- no strings in the hot path -- and one ``groupBy(code).count()``
+    (combined map-side: at most columns x bins^2 rows leave each task) does
+    the counting; names and bins are decoded on that small result."""
+    sq = bins * bins
+    codes = F.array(*[F.lit(i * sq) + (b - 1) * bins + (by - 1) for i, b in enumerate(bx)])
+    counts = df.select(F.explode(codes).alias("code")).where(F.col("code").isNotNull()) \
+               .groupBy("code").agg(F.count(F.lit(1)).alias("nxy"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return counts.select(F.element_at(names, (F.col("code") / sq).cast("int") + 1).alias("feature"),
+                         ((F.col("code") % sq) / bins).cast("int").alias("bx"),
+                         (F.col("code") % bins).cast("int").alias("by"), "nxy")
+
+
 def mi_from_counts(joint: DataFrame, digits: int = 6) -> DataFrame:
     """MI per feature from joint counts (feature, bx, by, nxy); runs on the
     small histogram table only."""
@@ -137,7 +162,5 @@ def mutual_info_quantile(df: DataFrame, cols: list[str], target: str = "populari
             out = out + (x > F.lit(float(e))).cast("int")
         return out
 
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), q_bin(c).alias("bx")) for c in cols])
-    binned = complete.select(q_bin(target).alias("by"), F.inline(pairs))
-    joint = binned.groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("nxy"))
+    joint = _joint_counts(complete, cols, [q_bin(c) for c in cols], q_bin(target), bins)
     return mi_from_counts(joint, digits)
