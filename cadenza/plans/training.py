@@ -27,19 +27,29 @@ from cadenza.sources.csv import scan_csv
 
 
 def features_from_sources(tracks: DataFrame, artists: DataFrame,
-                          order_by: list[str] | None = None) -> tuple[DataFrame, dict]:
+                          order_by: list[str] | None = None, fit_on: str = "all",
+                          key: str = "id") -> tuple[DataFrame, dict]:
+    """Cleaned, joined, featured tracks. ``fit_on="all"`` (default, as the
+    reproduced job) takes min/max and skewness over every row; ``"train"``
+    over the training rows only (the split is a hash of the key, so it is
+    known before any model code runs and test rows do not leak)."""
     t = clean.clean_tracks(tracks, order_by=order_by)
     a = clean.clean_artists(artists)
     j = materialize(join.join_artists(t, a), "joined")
+    if fit_on == "train":
+        train_rows = features.basic(model.with_split(j, key).where(~F.col("is_test")))
+        return features.build(j, stats=features.table_stats(train_rows))
     return features.build(j)
 
 
 def run(spark: SparkSession, tracks: DataFrame, artists: DataFrame, out_dir: str,
         sizes: model.Sizes | None = None, cap: int | None = None,
         snapshot_cap: int | None = SNAPSHOT_CAP, tune_grid: dict | None = None,
-        regressors: list[str] | None = None, classifiers: list[str] | None = None) -> dict:
-    feats_df, stats = features_from_sources(tracks, artists)
-    selected = [r["feature"] for r in select.select_features(feats_df).collect()]
+        regressors: list[str] | None = None, classifiers: list[str] | None = None,
+        fit_on: str = "all") -> dict:
+    feats_df, stats = features_from_sources(tracks, artists, fit_on=fit_on)
+    sel_rows = (model.with_split(feats_df).where(~F.col("is_test")) if fit_on == "train" else feats_df)
+    selected = [r["feature"] for r in select.select_features(sel_rows).collect()]
     train, test, classes, sc = model.prepare(feats_df, selected, cap=cap)
     reg = model.train_regressors(train, test, selected, sc, names=regressors, sizes=sizes)
     clf = model.train_classifiers(train, test, selected, sc, classes, names=classifiers, sizes=sizes)
@@ -67,6 +77,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--artists", required=True)
     ap.add_argument("--out", required=True)
     ap.add_argument("--master", default=None)
+    ap.add_argument("--fit-on", choices=["all", "train"], default="all",
+                    help="rows that feature statistics and selection see")
     args = ap.parse_args(argv)
     spark = get_session(args.master)
     for label, path in (("tracks", args.tracks), ("artists", args.artists)):
@@ -74,7 +86,7 @@ def main(argv: list[str] | None = None) -> None:
             raise FileNotFoundError(f"{label} file not found: {path}")
     tracks = scan_csv(spark, args.tracks, TRACKS_SCHEMA)
     artists = scan_csv(spark, args.artists, ARTISTS_SCHEMA)
-    print(json.dumps(run(spark, tracks, artists, args.out), default=str, indent=1))
+    print(json.dumps(run(spark, tracks, artists, args.out, fit_on=args.fit_on), default=str, indent=1))
 
 
 if __name__ == "__main__":

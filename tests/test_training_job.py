@@ -50,3 +50,15 @@ def test_training_job(spark, tmp_dir):
     assert spark.read.parquet(os.path.join(out, "snapshot")).count() > 0
     sizes = {r["artifact"]: r["bytes"] for r in artifacts.sizes(spark, out).collect()}
     assert set(sizes) == {"metrics", "importance", "confusion"} and all(v > 0 for v in sizes.values())
+
+
+def test_fit_on_train_uses_training_rows_only(spark, tmp_dir):
+    from pyspark.sql import functions as F
+    from cadenza.operators import model
+    t, a = write_csvs(tmp_dir, n=200, seed=9)
+    tracks, artists = scan_csv(spark, t, TRACKS_SCHEMA), scan_csv(spark, a, ARTISTS_SCHEMA)
+    _, all_stats = training.features_from_sources(tracks, artists)
+    feats, train_stats = training.features_from_sources(tracks, artists, fit_on="train")
+    train_only = model.with_split(feats).where(~F.col("is_test"))
+    assert train_stats["min"] == train_only.agg(F.min("loudness")).first()[0]
+    assert all_stats["min"] <= train_stats["min"]
