@@ -42,6 +42,8 @@ HEADLINE = [
     "model_roundtrip",
     "score_batch",
     "score_stream",
+    "snapshot_load",          # comparable to the baseline's snapshot cold load
+    "model_load",             # comparable to the baseline's model cold load
 ]
 
 
@@ -55,8 +57,31 @@ def main() -> None:
                         extra={"spark.driver.memory": "16g"})
     # warm the JVM once, on a query that does not touch the built tables
     catalog.QUERIES["regression_metrics"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    from pyspark.ml import PipelineModel
+
+    from cadenza.session import scratch_path
+    from cadenza.sources import parquet
+
+    def snapshot_load():
+        # the offline job writes the snapshot (not timed); the dashboard loads it
+        path = scratch_path(spark, "bench-snapshot")
+        parquet.write_snapshot(catalog.QUERIES["dashboard_snapshot"](spark, sf_dir), path)
+        t0 = time.perf_counter()
+        parquet.read_snapshot(spark, path).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t0
+
+    def model_load():
+        path = catalog._tuned_bundle(spark, sf_dir)["path"]
+        t0 = time.perf_counter()
+        PipelineModel.load(f"{path}/model")
+        return time.perf_counter() - t0
+
+    special = {"snapshot_load": snapshot_load, "model_load": model_load}
     times = {}
     for n in names:
+        if n in special:
+            times[n] = round(special[n](), 3)
+            continue
         t0 = time.perf_counter()
         df = (catalog.feature_table(spark, sf_dir) if n == "build_features"
               else catalog.QUERIES[n](spark, sf_dir))
