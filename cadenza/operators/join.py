@@ -25,40 +25,63 @@ def slim_dimension(artists: DataFrame, rename: dict = ARTIST_RENAME) -> DataFram
     return artists.select(*[F.col(src).alias(dst) for src, dst in rename.items()])
 
 
-MISSING_KEY_SALTS = 64
+SALTS = 64
+HOT_FRACTION = 0.01
+HOT_LIMIT = 1000
+
+
+def hot_keys(fact: DataFrame, key: str, fraction: float = HOT_FRACTION,
+             limit: int = HOT_LIMIT) -> list:
+    """Present keys holding more than ``fraction`` of the fact rows. Reads
+    only the key column; the per-key counts are combined map-side and at
+    most ``limit`` keys (fewer than ``1 / fraction``) reach the driver."""
+    keys = fact.select(key)
+    total = keys.count()
+    if total == 0:
+        return []
+    counts = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    rows = counts.where(F.col("_n") > fraction * total).orderBy(F.desc("_n")).limit(limit).collect()
+    return [r[key] for r in rows]
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, key: str,
                    fill: dict | None = None, null_safe: bool = True,
-                   salts: int = MISSING_KEY_SALTS) -> DataFrame:
+                   salts: int = SALTS, hot_fraction: float | None = None) -> DataFrame:
     """Left equi-join; unmatched rows get ``fill`` values.
 
     ``null_safe`` (default) matches a missing key with a missing key, as the
     reproduced behaviour does; ``False`` gives SQL semantics. The dimension is
     unique on ``key`` so the fact side never fans out. No broadcast hint on
     the dimension: the planner broadcasts it when its measured size allows,
-    otherwise it is a sort-merge join where AQE splits a skewed fact partition
-    (a hot key) at run time.
+    otherwise it is a sort-merge join (where AQE can still split skew).
 
-    Missing keys are salted: a fact row without a key gets a salt 1..``salts``
-    from a hash of the row (deterministic, so a retried task lands its rows
-    in the same place), present keys get 0, and the dimension's missing-key
-    row -- at most one -- is repeated once per salt. A third of the rows
-    missing their key thus spread over ``salts`` partitions instead of the one
-    that NULL hashes to, in one join with no second pass over the fact side.
+    Skew is salted explicitly. Fact rows whose key is missing -- and, with
+    ``hot_fraction`` set, rows of the :func:`hot_keys` (more than that share
+    of the rows) -- get a salt 1..``salts`` from a hash of the row
+    (deterministic, so a retried task puts its rows in the same place); all
+    other rows get 0. The dimension rows of those keys -- at most one for the
+    missing key, one per hot key -- are repeated once per salt. A key holding a
+    third of all rows thus spreads over ``salts`` partitions in one join.
+    Hot-key detection reads the fact's key column twice, so turn it on where
+    the fact side is a written table; by default hot present keys are left to
+    AQE's skew-join split, which needs no extra pass.
     """
     dim_key, fsalt, dsalt = "_dim_" + key, "_salt", "_dim_salt"
+    hot = hot_keys(fact, key, hot_fraction) if hot_fraction else []
+    salted = F.col(key).isNull()
+    if hot:
+        salted = salted | F.col(key).isin(hot)
     row_hash = F.xxhash64(*[F.col(c) for c in fact.columns])
-    f = fact.withColumn(fsalt, F.when(F.col(key).isNull(), F.pmod(row_hash, F.lit(salts)) + 1)
+    f = fact.withColumn(fsalt, F.when(salted, F.pmod(row_hash, F.lit(salts)) + 1)
                                .otherwise(F.lit(0)).cast("int"))
     d = dim.withColumnRenamed(key, dim_key)
-    d_present = d.where(F.col(dim_key).isNotNull()).withColumn(dsalt, F.lit(0))
+    is_hot = F.col(dim_key).isin(hot) if hot else F.lit(False)
+    d_plain = d.where(F.col(dim_key).isNotNull() & ~is_hot).withColumn(dsalt, F.lit(0))
+    d_hot = d.where(is_hot)
     if null_safe:
-        d_missing = (d.where(F.col(dim_key).isNull()).limit(1)
-                      .withColumn(dsalt, F.explode(F.sequence(F.lit(1), F.lit(salts)))))
-        d = d_present.unionByName(d_missing)
-    else:
-        d = d_present
+        d_hot = d_hot.unionByName(d.where(F.col(dim_key).isNull()).limit(1))
+    d_hot = d_hot.withColumn(dsalt, F.explode(F.sequence(F.lit(1), F.lit(salts))))
+    d = d_plain.unionByName(d_hot)
     cond = f[key].eqNullSafe(d[dim_key]) & (f[fsalt] == d[dsalt])
     out = f.join(d, cond, "left").drop(dim_key, fsalt, dsalt)
     if fill:

@@ -119,3 +119,20 @@ def test_join_missing_keys_salted(spark):
     assert sql.where("artist_id_key IS NULL AND primary_genre = 'unknown'").count() == 1000
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan.split("Exchange")[0] or "_salt" in plan
+
+
+def test_join_hot_key_salted(spark):
+    fact = spark.range(3000).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("artist_id_key"))
+    artists = spark.createDataFrame([("hot", 1.0, 90.0, "pop", 1)] + [(str(i), 2.0, 10.0, "rock", 2) for i in range(50)],
+                                    "id string, followers double, popularity double, primary_genre string, genre_count int")
+    assert join.hot_keys(fact, "artist_id_key", fraction=0.05) == ["hot"]
+    out = join.join_dimension(fact, join.slim_dimension(artists), "artist_id_key", join.ARTIST_FILL,
+                              hot_fraction=0.05)
+    assert "_salt" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 3000
+    assert out.where("artist_id_key = 'hot' AND primary_genre = 'pop'").count() == 1000
+    assert out.where("artist_id_key <> 'hot' AND primary_genre = 'rock'").count() == 2000
+    no_detect = join.join_dimension(fact, join.slim_dimension(artists), "artist_id_key", hot_fraction=None)
+    assert no_detect.where("primary_genre = 'pop'").count() == 1000
