@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.numeric import pearson, round_to  # noqa: F401
 
+from cadenza import schema
 from cadenza.operators import clean, features, join
 from cadenza.plans.oracle_base import with_features
 from cadenza.sources import tables
@@ -33,6 +34,11 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+def _insights_module():
+    from cadenza.operators import insights
+    return insights
+
+
 def r6(c, digits: int = 6):
     return round_to(F.col(c) if isinstance(c, str) else c, digits)
 
@@ -260,8 +266,7 @@ def q_minmax_norm(spark, sf_dir):
     return feature_table(spark, sf_dir).select("id", "loudness", "loudness_norm")
 
 
-AUDIO = ["danceability", "energy", "loudness", "speechiness", "acousticness",
-         "instrumentalness", "liveness", "valence", "tempo"]
+AUDIO = list(schema.AUDIO_FEATURES)
 
 SKEW_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, avg((b.{c} - m.mu) * (b.{c} - m.mu) * (b.{c} - m.mu)) "
@@ -336,9 +341,7 @@ LEFT JOIN (SELECT feature, bin, count(*) AS n FROM ({binned}) GROUP BY feature,
 
 EXPLORER_SRC = ("(SELECT * FROM feat WHERE popularity_category IN ('Hit', 'Mainstream', 'Emerging', "
                 "'Underground') AND release_year BETWEEN 2000 AND 2020)")
-EXPLORER_COLS = ["name", "artist_name", "popularity", "popularity_category", "release_year",
-                 "danceability", "energy", "valence", "tempo", "duration_min", "explicit",
-                 "primary_genre"]
+EXPLORER_COLS = list(schema.EXPLORER_COLUMNS)
 EXPLORER_ORDER = "popularity DESC NULLS LAST, " + ", ".join(f"{c} ASC NULLS LAST" for c in EXPLORER_COLS)
 EXPLORER_SQL = f"SELECT {', '.join(EXPLORER_COLS)} FROM {EXPLORER_SRC} ORDER BY {EXPLORER_ORDER} LIMIT 500"
 SEARCH_TEXT = "anvil|supplier#1[0-9]"
@@ -436,7 +439,7 @@ def q_count_by_decade(spark, sf_dir):
     return _explore().count_by_decade(dashboard_table(spark, sf_dir))
 
 
-RADAR = ["danceability", "energy", "valence", "acousticness", "liveness"]
+RADAR = list(schema.RADAR_FEATURES)
 
 
 @query("audio_profile", f"""
@@ -458,9 +461,7 @@ def q_feature_stats(spark, sf_dir):
     return _explore().feature_stats(feature_table(spark, sf_dir))
 
 
-CORR_COLS = ["popularity", "danceability", "energy", "loudness", "speechiness", "acousticness",
-             "instrumentalness", "liveness", "valence", "tempo", "duration_min", "explicit",
-             "track_age", "artist_popularity"]
+CORR_COLS = list(schema.CORR_COLUMNS)
 
 
 def corr_matrix_sql() -> str:
@@ -542,12 +543,7 @@ def q_scatter_sample(spark, sf_dir):
         "danceability", "energy", "popularity_category")
 
 
-SNAPSHOT_COLS = ["name", "artist_name", "popularity", "popularity_category", "release_year",
-                 "primary_genre", "explicit", "duration_min", "danceability", "energy", "loudness",
-                 "speechiness", "acousticness", "instrumentalness", "liveness", "valence", "tempo",
-                 "track_age", "artist_popularity", "followers_log", "dance_energy_index",
-                 "mood_score", "vocal_density", "loudness_norm", "is_modern", "is_popular_artist",
-                 "artist_genre_count"]
+SNAPSHOT_COLS = list(schema.SNAPSHOT_COLUMNS)
 SNAPSHOT_SQL = (f"SELECT {', '.join(c if c != 'followers_log' else 'round(followers_log, 6) AS followers_log' for c in SNAPSHOT_COLS)} "
                 f"FROM (SELECT * FROM feat ORDER BY {SAMPLE_ORDER} LIMIT 150000)")
 
@@ -591,13 +587,8 @@ def q_export_csv(spark, sf_dir):
 # feature selection
 # ---------------------------------------------------------------------------
 
-CANDIDATES = ["danceability", "energy", "loudness", "speechiness", "acousticness",
-              "instrumentalness", "liveness", "valence", "tempo", "duration_min",
-              "explicit", "track_age", "artist_popularity", "followers_log",
-              "dance_energy_index", "mood_score", "vocal_density", "loudness_norm",
-              "is_modern", "is_popular_artist", "artist_genre_count",
-              "instrumentalness_log", "speechiness_log", "liveness_log"]
-LOG_CANDIDATES = ["instrumentalness_log", "speechiness_log", "liveness_log"]
+CANDIDATES = list(schema.SELECTION_CANDIDATES)
+LOG_CANDIDATES = [c for c in CANDIDATES if c.endswith("_log") and c[:-4] in AUDIO]
 
 # feature rows with every possible log column; rows of absent log columns are
 # dropped by the skewness condition below
@@ -852,7 +843,7 @@ def q_insight_recency(spark, sf_dir):
     return _ins().corr_ranked(feature_table(spark, sf_dir), ["track_age", "is_modern"])
 
 
-ARTIST_F = ["artist_popularity", "followers_log", "artist_genre_count", "is_popular_artist"]
+ARTIST_F = list(_insights_module().ARTIST_FEATURES)
 
 
 @query("insight_artist_vs_audio", "SELECT feature_group, round(avg(abs(c)), 6) AS mean_abs_corr, "
@@ -905,8 +896,8 @@ SELECT band, n, avg_popularity, hit_rate, CASE band {ords} END AS ord FROM (
 """
 
 
-TEMPO_BANDS = [("<90", None), ("90-120", 90.0), ("120-130", 120.0), ("130-150", 130.0), (">=150", 150.0)]
-DURATION_BANDS = [("<1.5", None), ("1.5-2.5", 1.5), ("2.5-4", 2.5), ("4-7", 4.0), (">7", 7.0)]
+TEMPO_BANDS = _insights_module().TEMPO_BANDS
+DURATION_BANDS = _insights_module().DURATION_BANDS
 
 
 @query("insight_tempo", band_sql("tempo", TEMPO_BANDS))
@@ -1185,10 +1176,7 @@ def q_metrics_roundtrip(spark, sf_dir):
 # scoring (P1-P5)
 # ---------------------------------------------------------------------------
 
-SCORE_INPUTS = ["danceability", "energy", "loudness", "speechiness", "acousticness",
-                "instrumentalness", "liveness", "valence", "tempo", "duration_min", "explicit",
-                "track_age", "artist_popularity", "followers_log", "is_modern",
-                "is_popular_artist", "artist_genre_count"]
+SCORE_INPUTS = list(schema.SCORE_DEFAULTS)
 
 
 @query("score_features", """
