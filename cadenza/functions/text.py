@@ -20,13 +20,34 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Python ``repr`` escapes that JSON lacks: ``\xNN`` and ``\UNNNNNNNN``. The
+# lookbehind keeps an escaped backslash (``\\x41`` is text, not an escape).
+_UNESCAPED = r"(?<!\\)((?:\\\\)*)"
+_HEX2 = _UNESCAPED + r"\\x([0-9a-fA-F]{2})"
+_HEX8 = _UNESCAPED + r"\\U([0-9a-fA-F]{8})"
+_MARK = "\ufdd0"  # a noncharacter: stands for a code point until after parsing
+
+
+def _decode_marks(x: Column) -> Column:
+    """Replace each mark + 8 hex digits by that code point (UTF-32 decode)."""
+    parts = F.split(x, _MARK)
+    rest = F.transform(F.slice(parts, 2, F.size(parts) - 1),
+                       lambda p: F.concat(F.decode(F.unhex(F.substring(p, 1, 8)), "UTF-32"),
+                                          F.substring(p, 9, 1 << 30)))
+    return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
+
+
 def parse_list_literal(c) -> Column:
     """``['a', "b's"]`` -> array<string>; NULL when the text is not a list.
 
-    ``\\xNN`` escapes become JSON ``\\u00NN`` first. Nothing is evaluated.
+    Lenient JSON (single quotes, any escaped character) reads Python list
+    literals; ``\\xNN`` becomes JSON ``\\u00NN`` first and ``\\UNNNNNNNN`` is
+    decoded after parsing. Nothing is evaluated.
     """
-    text = F.regexp_replace(_c(c), r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
-    return F.from_json(text, "array<string>", LIST_LITERAL_OPTIONS)
+    text = F.regexp_replace(_c(c), _HEX2, r"$1\\u00$2")
+    text = F.regexp_replace(text, _HEX8, "$1" + _MARK + "$2")
+    arr = F.from_json(text, "array<string>", LIST_LITERAL_OPTIONS)
+    return F.transform(arr, lambda x: F.when(F.instr(x, _MARK) > 0, _decode_marks(x)).otherwise(x))
 
 
 def list_or_empty(c) -> Column:

@@ -102,3 +102,9 @@ def test_sized_conf():
     c = sized_conf(100 * (1 << 40), 8000)
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert int(sized_conf(1 << 20, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_list_literal_escapes(spark):
+    vals = [repr(["a\\x41\x07"]), repr(["\U00018cd6z"]), repr(["\\U00018cd6"]), repr(["x\x00\U000e0001y", "b"])]
+    out = col_values(spark, vals, lambda c: first_of_list(c, "Unknown"))
+    assert out == ["a\\x41\x07", "\U00018cd6z", "\\U00018cd6", "x\x00\U000e0001y"]
