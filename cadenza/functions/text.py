@@ -13,7 +13,9 @@ LIST_LITERAL_OPTIONS = {
     "allowBackslashEscapingAnyCharacter": "true",
 }
 
-_EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+# every character Python treats as white space (str.isspace)
+_SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
+_EDGE_SPACE = "^" + _SPACE + "+|" + _SPACE + "+$"
 
 
 def _c(c) -> Column:

@@ -57,3 +57,17 @@ def test_release_year_rule(spark, values):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
     got = [r[0] for r in df.orderBy("i").select(release_year(F.col("s"))).collect()]
     assert got == [year_rule(v) for v in values]
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.text(alphabet=st.characters(blacklist_categories=("Cs",)), max_size=8)
+                .map(lambda t: t) | st.builds(lambda a, b, c: a + b + c,
+                                              st.sampled_from([" ", "\t", "\x1c", "\x85", "　", " ", ""]),
+                                              st.text(max_size=5),
+                                              st.sampled_from([" ", "\n", "\x1f", "\xa0", " ", ""])),
+                min_size=1, max_size=60))
+def test_trim_matches_python_strip(spark, values):
+    from cadenza.functions.text import trim_space
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
+    got = [r[0] for r in df.orderBy("i").select(trim_space(F.col("s"))).collect()]
+    assert got == [v.strip() for v in values]
