@@ -71,3 +71,40 @@ def test_trim_matches_python_strip(spark, values):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
     got = [r[0] for r in df.orderBy("i").select(trim_space(F.col("s"))).collect()]
     assert got == [v.strip() for v in values]
+
+
+cell = st.one_of(st.sampled_from(["NA", "None", "null", "", "n/a", "a,b", 'say "hi"', "two\nlines", " pad "]),
+                 st.text(alphabet=st.characters(blacklist_categories=("Cs", "Cc")), max_size=6))
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(cell, cell), min_size=1, max_size=30))
+def test_scan_csv_matches_pandas_reader(spark, tmp_path_factory, rows):
+    import pandas as pd
+    from pyspark.sql import types as T
+    from cadenza.sources.csv import scan_csv
+    d = tmp_path_factory.mktemp("csv")
+    path = str(d / "t.csv")
+    pd.DataFrame({"k": [str(i) for i in range(len(rows))], "a": [r[0] for r in rows],
+                  "b": [r[1] for r in rows]}).to_csv(path, index=False)
+    ref = pd.read_csv(path, dtype=str, keep_default_na=True)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ["k", "a", "b"]])
+    got = {r["k"]: (r["a"], r["b"]) for r in scan_csv(spark, path, schema).collect()}
+    for _, r in ref.iterrows():
+        want = tuple(None if pd.isna(v) else v for v in (r["a"], r["b"]))
+        assert got[r["k"]] == want
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.sampled_from(["a", "b", "c"])), st.integers(0, 5),
+                          st.integers(-3, 3)), min_size=1, max_size=40))
+def test_dedup_matches_pandas_keep_first(spark, rows):
+    import pandas as pd
+    from cadenza.operators.clean import dedup_keep_first
+    data = [(k, o, v, i) for i, (k, o, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "k string, o int, v int, i int")
+    got = sorted((r["k"] or "", r["o"], r["v"], r["i"]) for r in dedup_keep_first(df, "k", ["o", "v", "i"]).collect())
+    pdf = pd.DataFrame(data, columns=["k", "o", "v", "i"]).sort_values(["o", "v", "i"], kind="stable")
+    want = sorted((k or "", o, v, i) for k, o, v, i in
+                  pdf.drop_duplicates(subset="k", keep="first").itertuples(index=False, name=None))
+    assert got == want
