@@ -46,10 +46,13 @@ def parse_list_literal(c) -> Column:
     literals; ``\\xNN`` becomes JSON ``\\u00NN`` first and ``\\UNNNNNNNN`` is
     decoded after parsing. Nothing is evaluated.
     """
-    text = F.regexp_replace(_c(c), _HEX2, r"$1\\u00$2")
-    text = F.regexp_replace(text, _HEX8, "$1" + _MARK + "$2")
+    raw = _c(c)
+    # the escape passes only run on the (rare) texts that hold a backslash
+    escaped = F.regexp_replace(F.regexp_replace(raw, _HEX2, r"$1\\u00$2"), _HEX8, "$1" + _MARK + "$2")
+    text = F.when(raw.contains("\\"), escaped).otherwise(raw)
     arr = F.from_json(text, "array<string>", LIST_LITERAL_OPTIONS)
-    return F.transform(arr, lambda x: F.when(F.instr(x, _MARK) > 0, _decode_marks(x)).otherwise(x))
+    decoded = F.transform(arr, lambda x: F.when(F.instr(x, _MARK) > 0, _decode_marks(x)).otherwise(x))
+    return F.when(raw.contains("\\U"), decoded).otherwise(arr)
 
 
 def list_or_empty(c) -> Column:
