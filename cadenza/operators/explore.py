@@ -164,35 +164,51 @@ def bin_index(x: Column, lo: Column, hi: Column, n: int) -> Column:
               .otherwise(F.least(F.greatest(raw, F.lit(1)), F.lit(n)))).cast("int")
 
 
+def literal_bin(x: Column, lo: float | None, hi: float | None, n: int) -> Column:
+    """:func:`bin_index` with edges known on the driver: the same arithmetic
+    (``floor(n * (x - lo) / (hi - lo)) + 1``, clamped), with a constant
+    column decided here, so the per-row expression stays small."""
+    if lo is None:
+        return F.lit(None).cast("int")
+    if hi == lo:
+        return F.when(x.isNotNull(), F.lit(1))
+    raw = F.floor(F.lit(n) * (x - F.lit(float(lo))) / F.lit(float(hi) - float(lo))) + 1
+    # greatest/least skip NULL, so a missing value is kept missing explicitly
+    return F.when(x.isNotNull(), F.least(F.greatest(raw, F.lit(1)), F.lit(n))).cast("int")
+
+
 def histogram(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
     """Counts per equal-width bin for each of ``cols`` in one pass.
 
-    Plan: one-row min/max aggregate (broadcast, 1 row) -> stack the columns
-    -> ``groupBy(feature, bin).count()`` (combined map-side, at most
-    ``len(cols) * bins`` rows leave each task) -> left join onto the full bin
-    grid generated from the stats row, so empty bins show as 0.
-    Missing values are not counted.
+    Plan: one min/max aggregate (two numbers per column reach the driver),
+    then every row emits one integer ``column_index * bins + bin - 1`` per
+    column and a single ``groupBy(code).count()`` counts them (combined
+    map-side: at most ``len(cols) * bins`` rows leave each task). The bin
+    grid is ``range(len(cols) * bins)``, left-joined to the counts, so empty
+    bins show as 0. Missing values are not counted.
     """
     cols = _present(df, cols)
-    stats = df.agg(*[F.struct(F.min(c).cast("double").alias("lo"),
-                              F.max(c).cast("double").alias("hi")).alias(c) for c in cols])
-    stats_long = stats.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).lo.alias("lo"), F.col(c).hi.alias("hi"))
-        for c in cols])))
-    stacked = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])))
-    stacked = stacked.where(F.col("x").isNotNull())
-    binned = (stacked.join(F.broadcast(stats_long), "feature")
-                     .select("feature", bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin")))
-    counts = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
-    grid = (stats_long.where(F.col("lo").isNotNull())
-                      .select("feature", "lo", "hi",
-                              F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")))
-    width = (F.col("hi") - F.col("lo")) / bins
-    return (grid.join(counts, ["feature", "bin"], "left")
-                .select("feature", "bin",
-                        round_to(F.col("lo") + (F.col("bin") - 1) * width, 6).alias("bin_lo"),
-                        round_to(F.col("lo") + F.col("bin") * width, 6).alias("bin_hi"),
+    row = df.agg(*[F.struct(F.min(c).cast("double").alias("lo"),
+                            F.max(c).cast("double").alias("hi")).alias(c) for c in cols]).first()
+    stats = [(c, row[c]["lo"], row[c]["hi"]) for c in cols if row[c]["lo"] is not None]
+    spark = df.sparkSession
+    if not stats:
+        return spark.createDataFrame([], "feature string, bin int, bin_lo double, bin_hi double, n bigint")
+    codes = F.array(*[F.lit(i * bins) + literal_bin(F.col(c).cast("double"), lo, hi, bins) - 1
+                      for i, (c, lo, hi) in enumerate(stats)])
+    counts = (df.select(F.explode(codes).alias("code")).where(F.col("code").isNotNull())
+                .groupBy("code").agg(F.count(F.lit(1)).alias("n")))
+    names = F.array(*[F.lit(c) for c, _, _ in stats])
+    los = F.array(*[F.lit(float(lo)) for _, lo, _ in stats])
+    widths = F.array(*[F.lit((float(hi) - float(lo)) / bins) for _, lo, hi in stats])
+    idx = (F.col("code") / bins).cast("int") + 1
+    b = (F.col("code") % bins).cast("int") + 1
+    lo_c, w_c = F.element_at(los, idx), F.element_at(widths, idx)
+    grid = spark.range(len(stats) * bins).select(F.col("id").cast("int").alias("code"))
+    return (grid.join(counts, "code", "left")
+                .select(F.element_at(names, idx).alias("feature"), b.alias("bin"),
+                        round_to(lo_c + (b - 1) * w_c, 6).alias("bin_lo"),
+                        round_to(lo_c + b * w_c, 6).alias("bin_hi"),
                         F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
                 .orderBy("feature", "bin"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.numeric import pearson, round_to
 
-from cadenza.operators.explore import bin_index
+from cadenza.operators.explore import literal_bin
 from cadenza.schema import SELECTION_CANDIDATES, SELECTION_TOP_K
 
 MI_BINS = 10
@@ -72,19 +72,6 @@ def top_k_abs(scores: DataFrame, value: str, k: int = SELECTION_TOP_K) -> DataFr
                   .limit(k))
 
 
-def literal_bin(x, lo: float | None, hi: float | None, n: int):
-    """Equal-width bin 1..n with edges known on the driver: the same
-    arithmetic as ``bin_index`` (``floor(n * (x - lo) / (hi - lo)) + 1``,
-    clamped), but a constant column is decided here, so the per-row
-    expression stays small enough for whole-stage code generation."""
-    if lo is None:
-        return F.lit(None).cast("int")
-    if hi == lo:
-        return F.when(x.isNotNull(), F.lit(1))
-    raw = F.floor(F.lit(n) * (x - F.lit(float(lo))) / F.lit(float(hi) - float(lo))) + 1
-    return F.least(F.greatest(raw, F.lit(1)), F.lit(n)).cast("int")
-
-
 def mutual_info_binned(df: DataFrame, cols: list[str], target: str = "popularity",
                        bins: int = MI_BINS, digits: int = 6) -> DataFrame:
     """E4 (re-aimed): binned mutual information of each column with the
