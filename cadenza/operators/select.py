@@ -42,13 +42,13 @@ def column_profile(df: DataFrame, cols: list[str]) -> dict:
 
 
 def corr_with_target(df: DataFrame, cols: list[str], target: str = "popularity",
-                     digits: int = 6) -> DataFrame:
+                     digits: int = 6, profile: dict | None = None) -> DataFrame:
     """Pearson correlation of each column with the target, one pass.
 
     A profile pass picks the cheapest exact form per column: NULL for a
     constant column, the native ``corr`` when both sides are complete, the
     pairwise-complete ``pearson`` otherwise."""
-    prof = column_profile(df, cols + [target])
+    prof = profile or column_profile(df, cols + [target])
     n, t = prof["n"], prof["cols"][target]
     exprs = []
     for c in cols:
@@ -73,13 +73,15 @@ def top_k_abs(scores: DataFrame, value: str, k: int = SELECTION_TOP_K) -> DataFr
 
 
 def mutual_info_binned(df: DataFrame, cols: list[str], target: str = "popularity",
-                       bins: int = MI_BINS, digits: int = 6) -> DataFrame:
+                       bins: int = MI_BINS, digits: int = 6, profile: dict | None = None) -> DataFrame:
     """E4 (re-aimed): binned mutual information of each column with the
     target, over complete rows only. Bin edges are literals from one profile
     pass over the complete rows; each row emits (feature, bin_x) pairs for
     one ``groupBy(feature, bin_x, bin_y).count()``."""
     complete = df.select(*cols, target).na.drop()
-    prof = column_profile(complete, cols + [target])["cols"]
+    # a profile of all rows serves when no column has a missing value
+    full = profile is not None and all(v["count"] == profile["n"] for v in profile["cols"].values())
+    prof = (profile if full else column_profile(complete, cols + [target]))["cols"]
 
     def lit_bin(c):
         return literal_bin(F.col(c).cast("double"), prof[c]["lo"], prof[c]["hi"], bins)
@@ -123,8 +125,9 @@ def select_features(df: DataFrame, target: str = "popularity", k: int = SELECTIO
                     bins: int = MI_BINS) -> DataFrame:
     """E5: union of the top-``k`` by |corr| and by MI, sorted by name."""
     cols = candidates(df)
-    by_corr = top_k_abs(corr_with_target(df, cols, target), "corr", k).select("feature")
-    by_mi = top_k_abs(mutual_info_binned(df, cols, target, bins), "mi", k).select("feature")
+    prof = column_profile(df, cols + [target])
+    by_corr = top_k_abs(corr_with_target(df, cols, target, profile=prof), "corr", k).select("feature")
+    by_mi = top_k_abs(mutual_info_binned(df, cols, target, bins, profile=prof), "mi", k).select("feature")
     return by_corr.union(by_mi).distinct().orderBy("feature")
 
 

@@ -103,3 +103,13 @@ def test_mutual_info_ranks_dependence(spark):
     for fn in (mutual_info_binned, mutual_info_quantile):
         mi = {r["feature"]: r["mi"] for r in fn(df, ["dep", "noise"]).collect()}
         assert mi["dep"] > 1.0 > 0.1 > mi["noise"] >= 0.0
+
+
+def test_mutual_info_with_missing_values_uses_complete_rows(spark):
+    from cadenza.operators.select import column_profile, mutual_info_binned
+    rows = [(float(i % 10), None if i % 4 == 0 else float(i % 7), float(i % 10)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, popularity double")
+    prof = column_profile(df, ["a", "b", "popularity"])
+    shared = {r["feature"]: r["mi"] for r in mutual_info_binned(df, ["a", "b"], profile=prof).collect()}
+    alone = {r["feature"]: r["mi"] for r in mutual_info_binned(df, ["a", "b"]).collect()}
+    assert shared == alone
