@@ -14,15 +14,21 @@ from cadenza.functions.text import missing_marker_to_null
 from cadenza.operators.clean import normalise_nan
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType,
+             multi_line: bool = True) -> DataFrame:
     """Read a headed CSV with an explicit schema.
 
     Quoted fields use doubled quotes (``""``) and may span lines. Every text
     a CSV reader treats as missing (``NA``, ``None``, ``null`` ...) becomes
     NULL; NaN becomes NULL.
+
+    With ``multi_line`` (needed when quoted fields hold line breaks) a file
+    cannot be split, so parallelism comes from the number of files: give a
+    large input as many files (as Spark writes it), or pass ``False`` when no
+    field holds a line break and single files are split by byte ranges.
     """
     df = (spark.read.schema(schema)
-          .option("header", True).option("escape", '"').option("multiLine", True)
+          .option("header", True).option("escape", '"').option("multiLine", multi_line)
           .option("mode", "PERMISSIVE")
           .csv(path))
     df = df.select(*[missing_marker_to_null(c).alias(c) if t == "string" else F.col(c)
