@@ -1,9 +1,11 @@
 """Dashboard aggregates, histograms, correlation matrices, explorer views.
 
 All aggregates are single ``agg`` / ``groupBy`` passes (map-side combined).
-Table-wide constants (min/max for bin edges) come from a one-row aggregate
-joined back with a broadcast hint -- one row is a proven size bound -- so no
-operator ever funnels the table through a ``Window.partitionBy()``.
+Table-wide constants (min/max for bin edges, column means) come from a
+one-row aggregate -- either a few numbers read back as literals or the row
+joined back with a broadcast hint (one row is a proven size bound) -- so no
+operator funnels the table through a ``Window.partitionBy()``; the windows
+here run over aggregated rows only (classes, decades, <= 500 explorer rows).
 """
 
 from __future__ import annotations
