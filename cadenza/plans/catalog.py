@@ -958,15 +958,13 @@ SPLIT_SQL = "(('0x' || substr(md5(concat_ws('|', id, '42')), 1, 12))::BIGINT / 2
 BASE_CANDIDATES = [c for c in CANDIDATES if c not in LOG_CANDIDATES]
 COMPLETE_SQL = " AND ".join(f"{c} IS NOT NULL" for c in BASE_CANDIDATES + ["popularity", "popularity_category"])
 
-_SELECTED: dict[str, list[str]] = {}
-
-
 def selected_features(spark, sf_dir) -> list[str]:
     """E5 result as a (bounded) list of names, computed once per table set."""
-    if sf_dir not in _SELECTED:
-        rows = _select().select_features(feature_table(spark, sf_dir)).collect()
-        _SELECTED[sf_dir] = [r["feature"] for r in rows]
-    return _SELECTED[sf_dir]
+    from cadenza.plans import store
+
+    def build(s, d):
+        return {"names": [r["feature"] for r in _select().select_features(feature_table(s, d)).collect()]}
+    return store.bundle(spark, sf_dir, "selected", build)["names"]
 
 
 def _model():
