@@ -60,10 +60,19 @@ def list_or_empty(c) -> Column:
     return F.coalesce(parse_list_literal(c), F.array().cast("array<string>"))
 
 
+# a list of plain single-quoted strings (no quote or backslash inside), as
+# Python writes most lists: its first element needs no JSON parser
+_SIMPLE_LIST = r"^\['([^'\\]*)'(?:, '[^'\\]*')*\]$"
+_SIMPLE_FIRST = r"^\['([^'\\]*)'"
+
+
 def first_of_list(c, default: str | None) -> Column:
-    """First element of a list literal; ``default`` for empty or bad text."""
-    first = F.try_element_at(parse_list_literal(c), F.lit(1))
-    return F.coalesce(first, F.lit(default).cast("string"))
+    """First element of a list literal; ``default`` for empty or bad text.
+    Plain lists take a regular-expression fast path; everything else goes
+    through :func:`parse_list_literal`."""
+    col = _c(c)
+    parsed = F.coalesce(F.try_element_at(parse_list_literal(col), F.lit(1)), F.lit(default).cast("string"))
+    return F.when(col.rlike(_SIMPLE_LIST), F.regexp_extract(col, _SIMPLE_FIRST, 1)).otherwise(parsed)
 
 
 def trim_space(c) -> Column:
