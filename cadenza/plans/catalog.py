@@ -2,7 +2,10 @@
 
 ``QUERIES[name](spark, sf_dir) -> DataFrame`` and ``ORACLES[name] -> SQL``.
 Every query reads the whole given tables (through the mapped views) and runs
-the library operators; no row caps, id subsets or prefixes.
+the library operators; no row caps, id subsets or prefixes. Queries over the
+feature table read the joined tracks that :mod:`cadenza.plans.store` builds
+once per table set in the shared folder (the oracle rebuilds the same table in
+SQL from the raw tables); learning queries share one tuned-model bundle.
 """
 
 from __future__ import annotations
