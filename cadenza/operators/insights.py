@@ -1,8 +1,8 @@
 """The facts behind the dashboard's insight sentences, computed as group-bys.
 
-Each function is one aggregate pass over the feature table (bins use a
-one-row min/max aggregate joined back with a broadcast hint) followed by
-work on the small aggregated result only.
+Each function is one aggregate pass over the feature table (bins take their
+edges from one min/max aggregate) followed by work on the small aggregated
+result only.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.numeric import pearson, round_to
 
-from cadenza.operators.explore import bin_index
+from cadenza.operators.explore import literal_bin
 
 ARTIST_FEATURES = ["artist_popularity", "followers_log", "artist_genre_count", "is_popular_artist"]
 AUDIO_SET = ["danceability", "energy", "loudness", "speechiness", "acousticness",
@@ -71,16 +71,14 @@ def dance_energy_quadrants(df: DataFrame, limit: float = 0.5) -> DataFrame:
 
 def binned_mean(df: DataFrame, col: str, bins: int = 10, target: str = "popularity",
                 by: Column | None = None) -> DataFrame:
-    """Mean target per equal-width bin of ``col``."""
+    """Mean target per equal-width bin of ``col`` (I4, I5, I12, I13): one
+    min/max aggregate (two numbers to the driver), then one group-by."""
     src = df.where(F.col(col).isNotNull())
-    stats = src.agg(F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi"))
+    row = src.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi")).first()
     keys = [] if by is None else [by]
-    b = bin_index(F.col(col).cast("double"), F.col("_lo"), F.col("_hi"), bins).alias("bin")
-    # the one-row stats side is attached with a broadcast equi-join on a constant key
-    s = stats.withColumn("_k", F.lit(1))
-    t = src.withColumn("_k", F.lit(1)).join(F.broadcast(s), "_k")
-    return (t.groupBy(*keys, b)
-             .agg(F.count(F.lit(1)).alias("n"), round_to(F.avg(target), 6).alias("avg_popularity")))
+    b = literal_bin(F.col(col).cast("double"), row["lo"], row["hi"], bins).alias("bin")
+    return (src.groupBy(*keys, b)
+               .agg(F.count(F.lit(1)).alias("n"), round_to(F.avg(target), 6).alias("avg_popularity")))
 
 
 def acousticness_by_period(df: DataFrame, years: tuple[int, int] = (2010, 2020), bins: int = 10) -> DataFrame:
