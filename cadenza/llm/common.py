@@ -72,3 +72,36 @@ def ascii_lower(col):
 def crc_mod(col, n: int):
     """crc32 of the id written as text, modulo ``n`` (NULL for a NULL id)."""
     return F.crc32(F.encode(col.cast("string"), "UTF-8")) % n
+
+
+def carried(docs: DataFrame):
+    """All columns but the text as one struct, for steps that rebuild the rows."""
+    return F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+
+
+def packed_texts(docs: DataFrame, rest: bool = False) -> DataFrame:
+    """(doc_id, packed): texts compressed one by one, for steps that must shuffle
+    whole texts by document; with ``rest``, also all other columns. NULL text
+    packs as empty."""
+    import pyarrow as pa
+
+    def run(batches):
+        import zstandard
+
+        for batch in batches:
+            c = zstandard.ZstdCompressor(level=1)
+            packed = [c.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+            names = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(packed, pa.binary())], [*names, "packed"])
+
+    small_batches(docs.sparkSession)
+    own = id_text(docs)
+    if rest:
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(docs).alias("rest"))
+    return own.mapInArrow(run, ", ".join([f"{n} {t}" for n, t in own.dtypes if n != "text"] + ["packed binary"]))
+
+
+def unpack(value: bytes) -> str:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(value).decode()

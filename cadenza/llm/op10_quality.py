@@ -45,7 +45,8 @@ MAX_LANGUAGES = 64
 def base_counts(docs: DataFrame) -> DataFrame:
     """One row per document with its counts; ``docs``: doc_id, text, lang."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    carry = [F.col("row")] if "row" in docs.columns else []
+    d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"), *carry)
     d = d.withColumn("words", F.array_remove(F.split("text", SPACES), ""))
     d = d.withColumn("n_words", F.size("words").cast("long"))
     # three-word windows as hashes; bits below 26 then hold the position
@@ -79,7 +80,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", "n_words", "word_chars", *CHAR_CLASSES,
         (F.col("c_mark") + F.col("c_angle")).alias("n_symbols"),
         F.expr("size(lines) - size(array_distinct(lines))").cast("long").alias("n_dup_lines"),
-        repeat_words.cast("long").alias("n_repeat_words"), found.alias("common"))
+        repeat_words.cast("long").alias("n_repeat_words"), found.alias("common"), *carry)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -135,7 +136,8 @@ def judge(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float
         _distance("word_bins", "ref_words")))
     diverges = (F.coalesce("char_distance", F.lit(0.0)) > max_char) | (F.coalesce("word_distance", F.lit(0.0)) > max_word)
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    (~F.col("base_failed") & ~diverges).alias("kept"), "char_distance", "word_distance")
+                    (~F.col("base_failed") & ~diverges).alias("kept"), "char_distance", "word_distance",
+                    *([F.col("row")] if "row" in docs.columns else []))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +145,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns. The verdict is per
-    row value (doc_id, text, lang), so rows that repeat share it."""
-    kept = judge(docs.select("doc_id", "text", "lang")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents that the rules keep, row by row, with the columns they had."""
+    rows = docs.select("doc_id", "lang", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return judge(rows).where("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

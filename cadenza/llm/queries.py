@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from cadenza.llm.op1_jaccard import op1_jaccard_join
+from cadenza.llm.op2_lm import op2_lm_scores
 from cadenza.llm.op3_decontaminate import op3_decontaminate
+from cadenza.llm.op4_lines import op4_line_dedup
 from cadenza.llm.op5_toxicity import op5_toxicity
 from cadenza.llm.op6_token_ids import op6_token_ids
+from cadenza.llm.op7_substrings import op7_substring_dedup
 from cadenza.llm.op8_bestfit import op8_bestfit_packing
 from cadenza.llm.op9_chat import op9_chat_format
 from cadenza.llm.op10_quality import op10_quality_rules
 
 QUERIES = {f.__name__: f for f in (
-    op3_decontaminate, op5_toxicity, op6_token_ids, op8_bestfit_packing, op9_chat_format, op10_quality_rules)}
+    op1_jaccard_join, op2_lm_scores, op3_decontaminate, op4_line_dedup, op5_toxicity, op6_token_ids, op7_substring_dedup,
+    op8_bestfit_packing, op9_chat_format, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
