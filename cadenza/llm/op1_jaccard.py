@@ -6,14 +6,15 @@ similarity ``num/den`` or more share T = ceil(num n / den) shingles or more, n
 the larger size. The inverted lists are ordered by length, estimated from counts
 in a fixed number of buckets. As in DivideSkip a set keeps its most frequent
 shingles aside as long lists, which are never built: of the rest, the short
-lists, its partner must still be in ``C`` or more. The short lists are merged by
+lists, its partner must still be in c(n) or more. The short lists are merged by
 a shuffle, occurrences are counted per candidate, and the long lists are probed
 by binary search in the candidate's sorted set.
 
 A list may be long all the same where many near copies meet, and its pairs are
-never spelt out. Classes choose the list neighbour they meet most often among
-the smallest of their lists; following these choices gives families, each with a
-head. Every member is compared with its head. Members that differ from the head
+never spelt out. Classes choose, among the
+smallest members of their lists, the one they meet most often; following these
+choices up gives families, each with a head. Every member is compared with its
+head, and leaves the family if they have less than half in common. Members that differ from the head
 in the sets dx and dy differ from each other in (dx xor dy), so two members
 link only if they share o = ceil((|dx| + |dy| - D) / 2) of these few differences,
 D being the largest difference a pair of their sizes may have. If o <= 0 both
@@ -34,6 +35,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +44,10 @@ from cadenza.llm import kernel
 from cadenza.llm.common import documents, id_text, packed_texts, small_batches, unpack, written
 from cadenza.llm.components import components
 
-BUCKETS = 1 << 18
-C = 3
+BUCKETS = 1 << 20               # of shingle counts: 4 MB on every executor
+CHUNK = 4096                    # buckets in a row of the counts
+C = 3                           # least number of short lists that a pair must share ...
+C_SHARE = 40                    # ... or one for each so many shingles
 
 
 def _sets(col, k: int):
@@ -62,37 +66,59 @@ def _class_of(s: np.ndarray) -> int:
 
 
 def _profile(k: int):
-    """Kind 0: (doc_id, class, set size) of every document; kind 1: (bucket, count)."""
+    """(doc_id, class, set size) of every document, then the task's shingle
+    counts by bucket, packed a chunk a row."""
     def run(batches):
-        counts = np.zeros(BUCKETS, np.int64)
-        names = ["kind", "a", "b", "n"]
+        import zstandard
+
+        total = np.zeros(BUCKETS, np.int64)
+        names = ["doc_id", "cls", "n", "chunk", "counts"]
         for batch in batches:
             ids, rows, held = batch.column("doc_id").to_pylist(), [], []
             for row, s in _sets(batch.column("text"), k):
                 rows.append((ids[row], _class_of(s), len(s)))
                 held.append((s % np.uint64(BUCKETS)).astype(np.int64))
             if held:
-                counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                total += np.bincount(np.concatenate(held), minlength=BUCKETS)
             a, b, n = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                                              pa.array(n, pa.int64())], names)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(at), pa.array(counts[at])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()),
+                                              pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names)
+        chunks = np.flatnonzero(total.reshape(-1, CHUNK).any(1))
+        c = zstandard.ZstdCompressor(level=1)
+        packed = [c.compress(total[i * CHUNK:(i + 1) * CHUNK].tobytes()) for i in chunks]
+        none = pa.nulls(len(chunks), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(chunks.astype(np.int32)), pa.array(packed, pa.binary())], names)
     return run
 
 
+def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    import zstandard
+
+    d, total = zstandard.ZstdDecompressor(), np.zeros(CHUNK, np.int64)
+    for packed in pdf["counts"]:
+        total += np.frombuffer(d.decompress(packed), np.int64)
+    return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].to_numpy(), "counts": [total.tobytes()]})
+
+
 class Rule:
     """The similarity bound as whole numbers."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.smallest = -(-num // (den - num)) if num < den else None   # sizes below link with equal sets only
-        self.c = max(1, min(C, -(-num * self.smallest // den))) if self.smallest else 1
+
+        self.least = self.c(self.smallest) if self.smallest else 1
+
+    def c(self, n: int) -> int:
+        """How many short lists a pair must share that has a set of ``n``."""
+        return max(1, min(max(C, n // C_SHARE), -(-self.num * n // self.den)))
+
+    def c_column(self, n):
+        return F.greatest(F.lit(1), F.least(F.greatest(F.lit(C), F.floor(n / C_SHARE)), F.ceil(self.num * n / self.den)))
 
     def short(self, n: int) -> int:
         """How many short lists a set of ``n`` shingles needs."""
-        needed = -(-self.num * n // self.den)
-        return min(n, n - needed + self.c)
+        return min(n, n - -(-self.num * n // self.den) + self.c(n))
 
     def linked(self, common, na, nb):
         return self.den * common >= self.num * (na + nb - common)
@@ -127,16 +153,25 @@ def _postings(k: int, rule: Rule, shared):
 
 
 def _fetch(k: int):
-    """(class, size, sorted set as bytes) of the wanted documents."""
+    """(class, packed text) of the wanted documents."""
     def run(batches):
         for batch in batches:
             texts = pa.array([unpack(p) for p in batch.column("packed").to_pylist()], pa.string())
-            rows = [(_class_of(s), len(s), s.tobytes()) for _, s in _sets(texts, k)]
-            c, n, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.binary())], ["cls", "n", "grams"])
+            cls = [_class_of(s) for _, s in _sets(texts, k)]
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), batch.column("packed")], ["cls", "packed"])
     return run
 
 
+def _unpacked_sets(batch, names: tuple[str, ...], k: int):
+    """The sets of the batch's packed texts, each different class once."""
+    known: dict[int, np.ndarray] = {}
+    for cls, packed in names:
+        new = {c: p for c, p in zip(batch.column(cls).to_pylist(), batch.column(packed).to_pylist(), strict=True) if c not in known}
+        texts = pa.array([unpack(p) for p in new.values()], pa.string())
+        known.update(zip(new, (s for _, s in _sets(texts, k)), strict=True))
+    return known
+
+
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Probe the smaller set's members in the larger, sorted one."""
     if len(a) > len(b):
@@ -145,30 +180,32 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(pos, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def _probe(rule: Rule):
+def _probe(k: int, rule: Rule):
     def run(batches):
         for batch in batches:
-            rows = []
-            for x, y, p, q in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ga", "gb")), strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                if rule.linked(_overlap(p, q), len(p), len(q)):
-                    rows.append((x, y))
+            sets = _unpacked_sets(batch, (("a", "ta"), ("b", "tb")), k)
+            rows = [(x, y) for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
+                    if rule.linked(_overlap(sets[x], sets[y]), len(sets[x]), len(sets[y]))]
             a, b = zip(*rows, strict=True) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return run
 
 
-def _compare(rule: Rule):
-    """Members against their head: whether linked, and the differences in the
-    order of the difference lists, added shingles before missing ones."""
+def _compare(k: int, rule: Rule):
+    """Members that have at least half in common with their head: whether they
+    are linked, and the differences in the order of the difference lists, added
+    shingles before missing ones."""
     def run(batches):
         for batch in batches:
+            sets = _unpacked_sets(batch, (("a", "ta"), ("b", "tb")), k)
             rows = []
-            for x, h, p, q in zip(*(batch.column(c).to_pylist() for c in ("cls", "head", "ga", "gb")), strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            for x, h in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                p, q = sets[x], sets[h]
+                common = _overlap(p, q)
+                if 2 * common < len(p) + len(q) - common:
+                    continue
                 added, missing = np.setdiff1d(p, q, True), np.setdiff1d(q, p, True)
-                linked = rule.linked(len(p) - len(added), len(p), len(q))
-                rows.append((x, h, len(p), len(q), len(added), len(added) + len(missing), linked,
+                rows.append((x, h, len(p), len(q), len(added), len(added) + len(missing), rule.linked(common, len(p), len(q)),
                              np.concatenate((added, missing)).tobytes()))
             cols = list(zip(*rows, strict=True)) or [()] * 8
             types = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
@@ -225,16 +262,16 @@ def _probe_differences(rule: Rule):
     return run
 
 
-def _families(lists: DataFrame, c: int) -> DataFrame:
-    """(cls, head): chains of "the smallest class that I meet most" followed up."""
-    low = lists.groupBy("gram").agg(F.min("cls").alias("low"))
-    meet = lists.join(low, "gram").where("cls <> low").groupBy("cls", "low").agg(F.count("*").alias("n")).where(F.col("n") >= c)
+def _families(lists: DataFrame) -> DataFrame:
+    """(a, b): a class and its head; chains of "the smallest class that I meet
+    most" followed up."""
+    meet = lists.where("cls <> low").groupBy("cls", "low").agg(F.count("*").alias("n")).where(F.col("n") >= C)
     up = written(meet.groupBy("cls").agg(F.max(F.struct("n", (-F.col("low").cast("decimal(38,0)")).alias("neg"), "low")).alias("best"))
                  .select("cls", F.col("best.low").alias("head")), "family")
     for _ in range(3):      # pointer doubling: chains of up to 8 steps; longer ones just make more families
         n = up.select(F.col("cls").alias("head"), F.col("head").alias("next"))
         up = written(up.join(n, "head", "left").select("cls", F.coalesce("next", "head").alias("head")), "family")
-    return up
+    return up.select(F.col("cls").alias("a"), F.col("head").alias("b"))
 
 
 def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -242,45 +279,46 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     spark = docs.sparkSession
     small_batches(spark)
     text, rule = id_text(docs), Rule(num, den)
-    profile = written(text.mapInArrow(_profile(k), "kind int, a long, b long, n long"), "shingle-profile")
-    members = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n")
+    profile = written(text.mapInArrow(_profile(k), "doc_id long, cls long, n long, chunk int, counts binary"), "shingle-profile")
+    members = profile.where("chunk IS NULL").select("doc_id", "cls", "n")
     if rule.smallest is None:                     # only equal sets link
         return members, members.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    sketch = profile.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toPandas()    # at most BUCKETS rows
+    chunks = profile.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(_add_up, "chunk int, counts binary")
     counts = np.zeros(BUCKETS, np.int64)
-    counts[sketch["a"]] = sketch["n"]
-    shared = spark.sparkContext.broadcast(counts)
+    for row in chunks.collect():                  # BUCKETS numbers in all
+        counts[row.chunk * CHUNK:(row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.int64)
+    shared = spark.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
 
     def postings():
         return text.mapInArrow(_postings(k, rule, shared), "gram long, cls long")
 
-    met = postings().groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("gram")
-    lists = written(postings().join(met, "gram", "left_semi").distinct(), "short-lists")
-    family = _families(lists, rule.c)
+    met = postings().groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("gram", "low")
+    lists = written(postings().join(met, "gram").distinct(), "short-lists")
+    sizes = members.groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    # texts of the classes that may have a partner, from one document each
+    wanted = lists.groupBy("cls").agg(F.count("*").alias("lists")).where(F.col("lists") >= rule.least).select("cls")
+    ids = sizes.join(wanted, "cls", "left_semi").select("doc_id").where("doc_id IS NOT NULL").distinct()
+    texts = packed_texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(_fetch(k), "cls long, packed binary")
+    texts = written(texts.dropDuplicates(["cls"]), "class-texts")
+    ta = texts.select(F.col("cls").alias("a"), F.col("packed").alias("ta"))
+    tb = texts.select(F.col("cls").alias("b"), F.col("packed").alias("tb"))
+    member = _families(lists).where("a <> b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+    member = written(member.mapInArrow(_compare(k, rule), _MEMBER.ddl), "family-members")
+    to_head = member.where("linked").select(F.col("cls").alias("a"), F.col("head").alias("b"))
     # pairs of different families, by number of short lists they share
-    own = lists.join(family, "cls", "left").select("gram", "cls", F.coalesce("head", "cls").alias("head"))
+    family = member.select("cls", "head")
+    own = lists.join(family, "cls", "left").select("gram", "cls", F.coalesce("head", "cls").alias("head")).repartition("gram")
     several = own.groupBy("gram").agg(F.min("head").alias("lo"), F.max("head").alias("hi")).where("lo <> hi").select("gram")
-    own = written(own.join(several, "gram", "left_semi"), "family-lists")
+    own = own.join(several, "gram", "left_semi")
     a = own.select("gram", F.col("cls").alias("a"), F.col("head").alias("ha"))
     b = own.select("gram", F.col("cls").alias("b"), F.col("head").alias("hb"))
-    sizes = members.groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    pairs = a.join(b, "gram").where("a < b AND ha <> hb").groupBy("a", "b").agg(F.count("*").alias("met")).where(F.col("met") >= rule.c)
-    pairs = written(pairs.select("a", "b"), "candidates")
-    # the sets of all classes that take part, read from one document each
-    wanted = family.select("cls").unionByName(family.select(F.col("head").alias("cls")))
-    wanted = wanted.unionByName(pairs.select(F.col("a").alias("cls"))).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    ids = sizes.join(wanted, "cls", "left_semi").select("doc_id").where("doc_id IS NOT NULL").distinct()
-    sets = packed_texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(_fetch(k), "cls long, n long, grams binary")
-    sets = written(sets.dropDuplicates(["cls"]), "shingle-sets")
-    ga = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
-    gb = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    fits = (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
-    across = pairs.join(ga.drop("ga"), "a").join(gb.drop("gb"), "b").where(fits).select("a", "b")
-    across = across.join(ga, "a").join(gb, "b").select("a", "b", "ga", "gb").mapInArrow(_probe(rule), "a long, b long")
-    pool = family.where("cls <> head").join(ga.select(F.col("a").alias("cls"), "ga"), "cls").join(
-        gb.select(F.col("b").alias("head"), "gb"), "head")
-    member = written(pool.select("cls", "head", "ga", "gb").mapInArrow(_compare(rule), _MEMBER.ddl), "family-members")
-    to_head = member.where("linked").select(F.col("cls").alias("a"), F.col("head").alias("b"))
+    pairs = a.join(b, "gram").where("a < b AND ha <> hb").groupBy("a", "b").agg(F.count("*").alias("met")).where(F.col("met") >= rule.least)
+    na, nb = sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb"))
+    fits = F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")
+    enough = F.col("met") >= F.least(rule.c_column(F.col("na")), rule.c_column(F.col("nb")))
+    pairs = written(pairs.join(na, "a").join(nb, "b").where(fits & enough).select("a", "b"), "candidates")
+    across = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_probe(k, rule), "a long, b long")
+    # pairs of one family, by the differences from its head that they share
     within = written(member.mapInArrow(_difference_lists(rule), "head long, gram long, cls long, linked boolean, near boolean"), "differences")
     x, y = within.alias("x"), within.alias("y")
     same = [F.col("x.head") == F.col("y.head"), F.col("x.gram") == F.col("y.gram")]
