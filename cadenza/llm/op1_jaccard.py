@@ -14,12 +14,13 @@ A list may be long all the same where many near copies meet, and its pairs are
 never spelt out. Classes choose, among the
 smallest members of their lists, the one they meet most often; following these
 choices up gives families, each with a head. Every member is compared with its
-head, and leaves the family if they have less than half in common. Members that differ from the head
-in the sets dx and dy differ from each other in (dx xor dy), so two members
-link only if they share o = ceil((|dx| + |dy| - D) / 2) of these few differences,
-D being the largest difference a pair of their sizes may have. If o <= 0 both
-link to the head. Else they meet in a short list of differences, added shingles
-first, where again only |d| - o + 1 of them are needed. Pairs of different
+head, and leaves the family if they have less than half in common. A
+family's majority set holds what most of its members hold. Members that differ
+from it in dx and dy differ from each other in (dx xor dy), so they link only if
+they share o = ceil((|dx| + |dy| - D) / 2) of these few differences, D being the
+largest difference that a linked pair of their sizes may have. If o <= 0 both
+link to the family's centre, the member with the most room. Else they meet in a
+short list of differences, where again only |d| - o + 1 are needed. Pairs of different
 families come from the short lists directly. Links between classes then give
 the connected components.
 
@@ -44,8 +45,8 @@ from cadenza.llm import kernel
 from cadenza.llm.common import documents, id_text, packed_texts, small_batches, unpack, written
 from cadenza.llm.components import components
 
-BUCKETS = 1 << 20               # of shingle counts: 4 MB on every executor
-CHUNK = 4096                    # buckets in a row of the counts
+BUCKETS = 1 << 22               # of shingle counts: 16 MB on every executor
+CHUNK = 16384                   # buckets in a row of the counts
 C = 3                           # least number of short lists that a pair must share ...
 C_SHARE = 40                    # ... or one for each so many shingles
 
@@ -191,10 +192,9 @@ def _probe(k: int, rule: Rule):
     return run
 
 
-def _compare(k: int, rule: Rule):
-    """Members that have at least half in common with their head: whether they
-    are linked, and the differences in the order of the difference lists, added
-    shingles before missing ones."""
+def _compare(k: int):
+    """Members that have at least half in common with their head, and the
+    differences: added shingles before missing ones."""
     def run(batches):
         for batch in batches:
             sets = _unpacked_sets(batch, (("a", "ta"), ("b", "tb")), k)
@@ -202,43 +202,88 @@ def _compare(k: int, rule: Rule):
             for x, h in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
                 p, q = sets[x], sets[h]
                 common = _overlap(p, q)
-                if 2 * common < len(p) + len(q) - common:
-                    continue
-                added, missing = np.setdiff1d(p, q, True), np.setdiff1d(q, p, True)
-                rows.append((x, h, len(p), len(q), len(added), len(added) + len(missing), rule.linked(common, len(p), len(q)),
-                             np.concatenate((added, missing)).tobytes()))
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            types = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], _MEMBER.names)
+                if 2 * common >= len(p) + len(q) - common:
+                    rows.append((x, h, len(p), len(q), len(p) - common, np.concatenate((np.setdiff1d(p, q, True), np.setdiff1d(q, p, True))).tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            types = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
+                                             ["cls", "head", "n", "head_n", "n_added", "diff"])
     return run
 
 
-class _MEMBER:
-    names = ["cls", "head", "n", "head_n", "n_added", "n_diff", "linked", "diff"]
-    ddl = "cls long, head long, n long, head_n long, n_added long, n_diff long, linked boolean, diff binary"
+def _spell_out(batches):
+    """(head, gram, of_head) of every difference."""
+    for batch in batches:
+        parts = []
+        for h, added, diff in zip(*(batch.column(c).to_pylist() for c in ("head", "n_added", "diff")), strict=True):
+            g = np.frombuffer(diff, np.uint64)
+            parts.append((np.full(len(g), h), g, np.arange(len(g)) >= added))
+        if parts:
+            h, g, of_head = (np.concatenate(p) for p in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(kernel.signed(g)), pa.array(of_head)], ["head", "gram", "of_head"])
+
+
+_MEMBER = "cls long, head long, n long, phi long, n_added long, diff binary"
+
+
+def _recentre(rule: Rule):
+    """Differences from the family's majority set instead of from the head: those
+    that most members have (``flips``) change sides. phi is |d| - r n, with
+    r = (den - num) / (den + num), times (den + num)."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for x, h, n, added, diff, flips in zip(*(batch.column(c).to_pylist() for c in ("cls", "head", "n", "n_added", "diff", "flips")), strict=True):
+                g = np.frombuffer(diff, np.uint64)
+                plus, minus = g[:added], g[added:]              # of x only; of the head only
+                for of_head in (False, True):
+                    f = np.array([v["gram"] for v in flips or () if v["of_head"] == of_head], np.int64).view(np.uint64)
+                    if of_head:      # the majority lacks these: x differs where it has them
+                        minus, plus = np.setdiff1d(minus, f), np.concatenate((plus, np.setdiff1d(f, minus)))
+                    else:            # the majority has these: x differs where it lacks them
+                        plus, minus = np.setdiff1d(plus, f), np.concatenate((minus, np.setdiff1d(f, plus)))
+                d = np.concatenate((np.sort(plus), np.sort(minus)))
+                rows.append((x, h, n, (rule.den + rule.num) * len(d) - (rule.den - rule.num) * n, len(plus), d.tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.binary()], strict=True)],
+                                             ["cls", "head", "n", "phi", "n_added", "diff"])
+    return run
+
+
+def _apart(p: bytes, q: bytes) -> int:
+    p, q = np.sort(np.frombuffer(p, np.uint64)), np.sort(np.frombuffer(q, np.uint64))
+    return len(p) + len(q) - 2 * _overlap(p, q)
+
+
+def _centre(rule: Rule):
+    """Adds whether a member is linked to its family's centre."""
+    def run(batches):
+        for batch in batches:
+            linked = [rule.linked((n + zn - _apart(d, zd)) // 2, n, zn)
+                      for n, zn, d, zd in zip(*(batch.column(c).to_pylist() for c in ("n", "zn", "diff", "zdiff")), strict=True)]
+            keep = ["cls", "head", "n", "phi", "diff", "z", "zphi"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(linked, pa.bool_())], [*keep, "linked"])
+    return run
 
 
 def _difference_lists(rule: Rule):
-    """(head, shingle, class, linked, near): the short lists of differences that
-    a member needs. A pair to find has a member that isn't linked to the head.
-    With r = (den - num) / (den + num): against one whose difference is over
-    r (its size + the head's), a member needs o >= |d| (1 - r) / 2 common ones
-    (``near``); an unlinked member against a linked one may need
-    as few as (|d| - r (n + head_n)) / 2, so its list goes on (not ``near``)."""
-    num, den = rule.num, rule.den
+    """(head, gram, class, linked, near): the short lists of differences that a
+    member needs, shingles that the majority lacks before those it has. Members
+    x and y link only if they share o = ceil((phi(x) + phi(y)) / 2) differences;
+    the centre z has the smallest phi, so o <= 0 means that both link to z. A pair
+    to find has a member that doesn't, whose phi is over -phi(z): against it o is
+    (phi(x) - phi(z)) / 2 or more (``near``), against any (phi(x) + phi(z)) / 2."""
+    unit = 2 * (rule.den + rule.num)
 
     def run(batches):
         for batch in batches:
             parts = []
-            for x, h, n, hn, d, linked, diff in zip(*(batch.column(c).to_pylist() for c in
-                                                      ("cls", "head", "n", "head_n", "n_diff", "linked", "diff")), strict=True):
-                if not d:
-                    continue
-                near = d - max(1, -(-(d * 2 * num) // (2 * (den + num)))) + 1
-                far = near
-                if not linked:
-                    far = d - max(1, -(-(d * (den + num) - (den - num) * (n + hn)) // (2 * (den + num)))) + 1
-                g = np.frombuffer(diff, np.uint64)[:max(near, far)]
+            for x, h, phi, zphi, linked, diff in zip(*(batch.column(c).to_pylist() for c in
+                                                       ("cls", "head", "phi", "zphi", "linked", "diff")), strict=True):
+                g = np.frombuffer(diff, np.uint64)
+                near = len(g) - max(1, -(-(phi - zphi) // unit)) + 1
+                far = near if linked else len(g) - max(1, -(-(phi + zphi) // unit)) + 1
+                g = g[:max(near, far, 0)]
                 m = len(g)
                 parts.append((np.full(m, h), g, np.full(m, x), np.full(m, linked), np.arange(m) < near))
             if parts:
@@ -251,17 +296,46 @@ def _difference_lists(rule: Rule):
 def _probe_differences(rule: Rule):
     def run(batches):
         for batch in batches:
-            rows = []
-            for x, y, na, nb, p, q in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "da", "db")), strict=True):
-                p, q = np.sort(np.frombuffer(p, np.uint64)), np.sort(np.frombuffer(q, np.uint64))
-                apart = len(p) + len(q) - 2 * _overlap(p, q)
-                if rule.linked((na + nb - apart) // 2, na, nb):
-                    rows.append((x, y))
+            rows = [(x, y) for x, y, na, nb, p, q in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "da", "db")), strict=True)
+                    if rule.linked((na + nb - _apart(p, q)) // 2, na, nb)]
             a, b = zip(*rows, strict=True) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return run
 
 
+def _within_families(compared: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) between members of one family that matter: all members
+    linked to the centre, and every linked pair with a member that isn't."""
+    num, den = rule.num, rule.den
+    # the majority set: differences that more than half of a family (with its head) have
+    size = compared.groupBy("head").agg((F.count("*") + 1).alias("size"))
+    shared = compared.mapInArrow(_spell_out, "head long, gram long, of_head boolean").groupBy("head", "gram", "of_head").agg(F.count("*").alias("n"))
+    flips = shared.join(size, "head").where(2 * F.col("n") > F.col("size")).groupBy("head").agg(
+        F.collect_list(F.struct("gram", "of_head")).alias("flips"))
+    heads = compared.groupBy("head").agg(F.max("head_n").alias("n")).select(
+        F.col("head").alias("cls"), "head", "n", F.lit(0).cast("long").alias("n_added"), F.lit(b"").alias("diff"))
+    member = compared.select("cls", "head", "n", "n_added", "diff").unionByName(heads).join(flips, "head", "left")
+    member = written(member.select("cls", "head", "n", "n_added", "diff", "flips").mapInArrow(_recentre(rule), _MEMBER), "family-members")
+    z = member.groupBy("head").agg(F.min(F.struct("phi", "cls")).alias("z")).select("head", F.col("z.cls").alias("z"), F.col("z.phi").alias("zphi"))
+    z = z.join(member.select(F.col("cls").alias("z"), "head", F.col("n").alias("zn"), F.col("diff").alias("zdiff")), ["head", "z"])
+    member = member.join(z, "head").select("cls", "head", "n", "phi", "diff", "z", "zphi", "zn", "zdiff").mapInArrow(
+        _centre(rule), "cls long, head long, n long, phi long, diff binary, z long, zphi long, linked boolean")
+    member = written(member, "family-centres")
+    to_centre = member.where("linked AND cls <> z").select(F.col("cls").alias("a"), F.col("z").alias("b"))
+    lists = written(member.mapInArrow(_difference_lists(rule), "head long, gram long, cls long, linked boolean, near boolean"), "differences")
+    x, y = lists.alias("x"), lists.alias("y")
+    same = [F.col("x.head") == F.col("y.head"), F.col("x.gram") == F.col("y.gram")]
+    mixed = x.where("NOT x.linked").join(y.where("y.linked AND y.near"), same).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    loose = x.where("NOT x.linked AND x.near").join(y.where("NOT y.linked AND y.near"), [*same, F.col("x.cls") < F.col("y.cls")])
+    inside = mixed.unionByName(loose.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))).distinct()
+    da = member.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("diff").alias("da"))
+    db = member.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("diff").alias("db"))
+    fits = F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")
+    inside = inside.join(da, "a").join(db, "b").where(fits).select("a", "b", "na", "nb", "da", "db").mapInArrow(
+        _probe_differences(rule), "a long, b long")
+    return to_centre.unionByName(inside)
+
+
 def _families(lists: DataFrame) -> DataFrame:
     """(a, b): a class and its head; chains of "the smallest class that I meet
     most" followed up."""
@@ -303,33 +377,22 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     ta = texts.select(F.col("cls").alias("a"), F.col("packed").alias("ta"))
     tb = texts.select(F.col("cls").alias("b"), F.col("packed").alias("tb"))
     member = _families(lists).where("a <> b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-    member = written(member.mapInArrow(_compare(k, rule), _MEMBER.ddl), "family-members")
-    to_head = member.where("linked").select(F.col("cls").alias("a"), F.col("head").alias("b"))
+    member = written(member.mapInArrow(_compare(k), "cls long, head long, n long, head_n long, n_added long, diff binary"), "family-compared")
     # pairs of different families, by number of short lists they share
     family = member.select("cls", "head")
-    own = lists.join(family, "cls", "left").select("gram", "cls", F.coalesce("head", "cls").alias("head")).repartition("gram")
+    family = sizes.join(family, "cls", "left").select("cls", "n", F.coalesce("head", "cls").alias("head"))
+    own = lists.join(family, "cls").select("gram", "cls", "n", "head").repartition("gram")
     several = own.groupBy("gram").agg(F.min("head").alias("lo"), F.max("head").alias("hi")).where("lo <> hi").select("gram")
     own = own.join(several, "gram", "left_semi")
-    a = own.select("gram", F.col("cls").alias("a"), F.col("head").alias("ha"))
-    b = own.select("gram", F.col("cls").alias("b"), F.col("head").alias("hb"))
-    pairs = a.join(b, "gram").where("a < b AND ha <> hb").groupBy("a", "b").agg(F.count("*").alias("met")).where(F.col("met") >= rule.least)
-    na, nb = sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb"))
+    a = own.select("gram", F.col("cls").alias("a"), F.col("head").alias("ha"), F.col("n").alias("na"))
+    b = own.select("gram", F.col("cls").alias("b"), F.col("head").alias("hb"), F.col("n").alias("nb"))
     fits = F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")
+    pairs = a.join(b, [a["gram"] == b["gram"], F.col("a") < F.col("b"), F.col("ha") != F.col("hb"), fits])
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("na").alias("na"), F.min("nb").alias("nb"))
     enough = F.col("met") >= F.least(rule.c_column(F.col("na")), rule.c_column(F.col("nb")))
-    pairs = written(pairs.join(na, "a").join(nb, "b").where(fits & enough).select("a", "b"), "candidates")
+    pairs = written(pairs.where(enough).select("a", "b"), "candidates")
     across = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_probe(k, rule), "a long, b long")
-    # pairs of one family, by the differences from its head that they share
-    within = written(member.mapInArrow(_difference_lists(rule), "head long, gram long, cls long, linked boolean, near boolean"), "differences")
-    x, y = within.alias("x"), within.alias("y")
-    same = [F.col("x.head") == F.col("y.head"), F.col("x.gram") == F.col("y.gram")]
-    mixed = x.where("NOT x.linked").join(y.where("y.linked"), same).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    loose = x.where("NOT x.linked AND x.near").join(y.where("NOT y.linked AND y.near"), [*same, F.col("x.cls") < F.col("y.cls")])
-    inside = mixed.unionByName(loose.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))).distinct()
-    da = member.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("diff").alias("da"))
-    db = member.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("diff").alias("db"))
-    inside = inside.join(da, "a").join(db, "b").where(fits).select("a", "b", "na", "nb", "da", "db").mapInArrow(
-        _probe_differences(rule), "a long, b long")
-    return members, to_head.unionByName(across).unionByName(inside)
+    return members, across.unionByName(_within_families(member, rule))
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
