@@ -129,13 +129,14 @@ def near_lines(docs: DataFrame, first: DataFrame, min_chars: int = MIN_CHARS) ->
         _emit(min_chars), "kind int, variant long, position int, line long, doc_id long, place int, text string")
     found = written(found, "line-variants")
     texts = found.where("kind = 0").groupBy("line").agg(F.first("text").alias("text"))
-    v = found.where("kind = 1").select("variant", "position", "line", F.struct("doc_id", "place", "line").alias("at"))
-    v = v.groupBy("variant", "position", "line").agg(F.min("at").alias("at"))      # a document that repeats
-    groups = v.groupBy("variant", "position").agg(F.min("at").alias("top"), F.max("line").alias("hi"), F.min("line").alias("lo"))
-    replaced = v.where("position >= 0").join(groups.where("position >= 0 AND lo <> hi").select("variant", "position", "top"),
-                                             ["variant", "position"])
-    whole = v.where("position < 0").select("variant", F.col("at").alias("whole"))
-    longer = v.where("position >= 0").join(whole, "variant")
+    # one exchange by variant serves the groups and the joins
+    v = found.where("kind = 1").select("variant", "position", "line", "doc_id", "place").repartition("variant")
+    at = F.struct("doc_id", "place", "line")
+    groups = v.groupBy("variant", "position").agg(F.min(at).alias("top"), F.max("line").alias("hi"), F.min("line").alias("lo"))
+    groups = groups.where("position >= 0 AND lo <> hi").select(F.col("variant").alias("gv"), F.col("position").alias("gp"), "top")
+    replaced = v.join(groups, [F.col("variant") == F.col("gv"), F.col("position") - F.col("gp") == 0])
+    whole = v.where("position < 0").select(F.col("variant").alias("wv"), at.alias("whole"))
+    longer = v.where("position >= 0").withColumn("at", at).join(whole, F.col("variant") == F.col("wv"))
     later = [replaced.where("top.line <> line").select("line", F.col("top.line").alias("witness")),
              longer.where("whole < at").select("line", F.col("whole.line").alias("witness")),
              longer.where("whole > at").groupBy(F.col("whole.line").alias("line")).agg(F.min("at").alias("top")).select(
