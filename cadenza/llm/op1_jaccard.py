@@ -45,7 +45,7 @@ from cadenza.llm import kernel
 from cadenza.llm.common import documents, id_text, packed_texts, small_batches, unpack, written
 from cadenza.llm.components import components
 
-BUCKETS = 1 << 22               # of shingle counts: 16 MB on every executor
+BUCKETS = 1 << 21               # of shingle counts: 8 MB on every executor
 CHUNK = 16384                   # buckets in a row of the counts
 C = 3                           # least number of short lists that a pair must share ...
 C_SHARE = 40                    # ... or one for each so many shingles
@@ -370,8 +370,11 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     lists = written(postings().join(met, "gram").distinct(), "short-lists")
     sizes = members.groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
     # texts of the classes that may have a partner, from one document each
-    wanted = lists.groupBy("cls").agg(F.count("*").alias("lists")).where(F.col("lists") >= rule.least).select("cls")
-    ids = sizes.join(wanted, "cls", "left_semi").select("doc_id").where("doc_id IS NOT NULL").distinct()
+    # (a partner of a set of n has num n / den shingles at least, and c doesn't fall with the size)
+    smallest = F.ceil(num * F.col("n") / den)
+    wanted = lists.groupBy("cls").agg(F.count("*").alias("lists")).join(sizes, "cls").where(F.col("lists") >= rule.c_column(smallest))
+    wanted = written(wanted.select("cls", "n", "doc_id"), "classes")
+    ids = wanted.select("doc_id").where("doc_id IS NOT NULL").distinct()
     texts = packed_texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(_fetch(k), "cls long, packed binary")
     texts = written(texts.dropDuplicates(["cls"]), "class-texts")
     ta = texts.select(F.col("cls").alias("a"), F.col("packed").alias("ta"))
@@ -380,7 +383,7 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     member = written(member.mapInArrow(_compare(k), "cls long, head long, n long, head_n long, n_added long, diff binary"), "family-compared")
     # pairs of different families, by number of short lists they share
     family = member.select("cls", "head")
-    family = sizes.join(family, "cls", "left").select("cls", "n", F.coalesce("head", "cls").alias("head"))
+    family = wanted.join(family, "cls", "left").select("cls", "n", F.coalesce("head", "cls").alias("head"))
     own = lists.join(family, "cls").select("gram", "cls", "n", "head").repartition("gram")
     several = own.groupBy("gram").agg(F.min("head").alias("lo"), F.max("head").alias("hi")).where("lo <> hi").select("gram")
     own = own.join(several, "gram", "left_semi")
