@@ -363,11 +363,10 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
         counts[row.chunk * CHUNK:(row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.int64)
     shared = spark.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
 
-    def postings():
-        return text.mapInArrow(_postings(k, rule, shared), "gram long, cls long")
-
-    met = postings().groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("gram", "low")
-    lists = written(postings().join(met, "gram").distinct(), "short-lists")
+    # one exchange by shingle serves the lists' heads and the lists
+    postings = text.mapInArrow(_postings(k, rule, shared), "gram long, cls long").repartition("gram")
+    met = postings.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("gram", "low")
+    lists = written(postings.join(met, "gram").distinct(), "short-lists")
     sizes = members.groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
     # texts of the classes that may have a partner, from one document each
     # (a partner of a set of n has num n / den shingles at least, and c doesn't fall with the size)
