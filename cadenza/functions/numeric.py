@@ -79,6 +79,20 @@ def round_to(c, digits: int = 0) -> Column:
     return F.round(_c(c) * F.lit(scale), 0) / F.lit(scale)
 
 
+def round_score(c) -> Column:
+    """A score in [0, 2**20) rounded to two digits as Python's ``round`` does:
+    the stored binary value decides (2.675 is below its tie and goes down), exact
+    ties go to the even digit. The two parts of the score times 100 are exact, so
+    the comparison with the tie is too."""
+    x = _c(c)
+    high = F.floor(x * F.lit(2.0 ** 20)) / F.lit(2.0 ** 20)
+    low = (x - high) * F.lit(100.0)
+    whole = F.floor(high * F.lit(100.0)).cast("double")
+    over = high * F.lit(100.0) - whole - F.lit(0.5)
+    up = (over > -low) | ((over == -low) & (whole % 2 == 1))
+    return F.when(up, whole + 1).otherwise(whole) / F.lit(100.0)
+
+
 def pearson(x, y) -> Column:
     """Pearson correlation over rows where both sides are present; NULL when
     either side has zero variance (``corr`` raises there under ANSI mode)."""

@@ -14,6 +14,7 @@ from cadenza.schema import YEAR_RANGE
 def dedup_keep_first(df: DataFrame, key: str, order_by: list[str] | None = None,
                      drop_order: bool = False) -> DataFrame:
     """One row per ``key``: the first by ``order_by`` (then all other columns).
+    For the first in a file, scan with positions and order by ``schema.POSITION``.
 
     Written as ``groupBy(key).agg(min(struct(order..., rest...)))`` rather than
     a ``row_number`` window: the aggregate is combined map-side, so a key that
@@ -79,7 +80,7 @@ def sanity_filter(df: DataFrame, year_range: tuple[int, int] = YEAR_RANGE) -> Da
 
 def clean_artists(df: DataFrame, key: str = "id", order_by: list[str] | None = None) -> DataFrame:
     """Keep-first dedup, parsed genre list, primary genre, genre count."""
-    df = dedup_keep_first(df, key, order_by)
+    df = dedup_keep_first(df, key, order_by, drop_order=bool(order_by))
     genres = list_or_empty("genres")
     return df.select(
         *[F.col(c) for c in df.columns],

@@ -79,12 +79,6 @@ def scaler_stage(stats: dict) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__")
 
 
-def scaled_frame(df: DataFrame, stats: dict) -> DataFrame:
-    """The scaled columns as a DataFrame (for inspection and the oracle)."""
-    return df.select("*", *[((F.col(c) - F.lit(m)) / F.lit(s)).alias(f"{c}{SCALED_SUFFIX}")
-                            for c, (m, s) in stats.items()])
-
-
 def assembler(feats: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=[f"{c}{SCALED_SUFFIX}" for c in feats], outputCol=FEATURES_COL,
                            handleInvalid="keep")
@@ -194,12 +188,15 @@ class Trained:
 
 def prepare(df: DataFrame, feats: list[str], key: str = "id", cap: int | None = None,
             test_fraction: float = 0.2, seed: int = SEED):
-    """M1-M4 together: complete frame, split, label codes, scaler stats."""
-    frame = with_split(training_frame(df, feats, key=key, cap=cap, seed=seed), key, test_fraction, seed)
+    """M1-M4 together: complete frame, split, label codes, scaler stats. Labels
+    are coded over the whole frame, so a class that only test rows have is
+    known; ``cap`` bounds the rows to fit on, never the test rows."""
+    frame = with_split(training_frame(df, feats, key=key), key, test_fraction, seed)
+    indexer = label_indexer().fit(frame)
+    classes = list(indexer.labelsArray[0])
     train = frame.where(~F.col("is_test"))
+    train = sample_exact(train, cap, key, seed) if cap else train
     test = frame.where(F.col("is_test"))
-    indexer = label_indexer().fit(train)
-    classes = list(indexer.labelsArray[0])
     train, test = indexer.transform(train), indexer.transform(test)
     stats = scaler_stats(train, feats)
     return train, test, classes, stats

@@ -519,6 +519,17 @@ def q_explorer_view(spark, sf_dir):
     return _explore().explorer_view(feature_table(spark, sf_dir))
 
 
+def _explorer_sorted(column):
+    def fn(spark, sf_dir):
+        return _explore().explorer_view(feature_table(spark, sf_dir), sort_col=column)
+    return fn
+
+
+for _column in schema.EXPLORER_SORT_CHOICES:
+    query(f"explorer_by_{_column}", f"SELECT {', '.join(EXPLORER_COLS)} FROM {EXPLORER_SRC} ORDER BY {_column} DESC NULLS LAST, "
+          + ", ".join(f"{c} ASC NULLS LAST" for c in EXPLORER_COLS) + " LIMIT 500")(_explorer_sorted(_column))
+
+
 @query("explorer_page", f"""
 SELECT * FROM (SELECT *, cast(row_number() OVER (ORDER BY {EXPLORER_ORDER}) AS INTEGER) AS row
                FROM ({EXPLORER_SQL})) WHERE row > 40 AND row <= 60
@@ -547,8 +558,8 @@ def q_scatter_sample(spark, sf_dir):
 
 
 SNAPSHOT_COLS = list(schema.SNAPSHOT_COLUMNS)
-SNAPSHOT_SQL = (f"SELECT {', '.join(c if c != 'followers_log' else 'round(followers_log, 6) AS followers_log' for c in SNAPSHOT_COLS)} "
-                f"FROM (SELECT * FROM feat ORDER BY {SAMPLE_ORDER} LIMIT 150000)")
+SNAPSHOT_SELECT = f"SELECT {', '.join(c if c != 'followers_log' else 'round(followers_log, 6) AS followers_log' for c in SNAPSHOT_COLS)} "
+SNAPSHOT_SQL = SNAPSHOT_SELECT + "FROM feat"
 
 
 def _snapshot(spark, sf_dir):
@@ -561,6 +572,12 @@ def q_dashboard_snapshot(spark, sf_dir):
     return _snapshot(spark, sf_dir).withColumn("followers_log", r6("followers_log"))
 
 
+@query("snapshot_sample", SNAPSHOT_SELECT + f"FROM (SELECT * FROM feat ORDER BY {SAMPLE_ORDER} LIMIT {schema.SNAPSHOT_CAP})")
+def q_snapshot_sample(spark, sf_dir):
+    from cadenza.plans.dashboard import snapshot_sample
+    return snapshot_sample(feature_table(spark, sf_dir)).withColumn("followers_log", r6("followers_log"))
+
+
 @query("snapshot_roundtrip", SNAPSHOT_SQL)
 def q_snapshot_roundtrip(spark, sf_dir):
     from cadenza.session import scratch_path
@@ -1204,18 +1221,18 @@ def q_score_features(spark, sf_dir):
 
 
 @query("score_category", """
-SELECT key, round_even(greatest(0.0, least(100.0, predicted)) * 100, 0) / 100 AS predicted_score,
+SELECT key, model, cast(printf('%.2f', greatest(0.0::DOUBLE, least(100.0::DOUBLE, predicted))) AS DOUBLE) AS predicted_score,
        CASE WHEN greatest(0.0, least(100.0, predicted)) >= 70 THEN 'Hit 🔥'
             WHEN greatest(0.0, least(100.0, predicted)) >= 40 THEN 'Mainstream 🎵'
             WHEN greatest(0.0, least(100.0, predicted)) >= 10 THEN 'Emerging 🌱'
             ELSE 'Underground 🎸' END AS predicted_category
-FROM preds WHERE model = 'Discount rule'
+FROM preds
 """)
 def q_score_category(spark, sf_dir):
-    from cadenza.functions.numeric import clip, score_label
-    p = _preds(spark, sf_dir).where(F.col("model") == "Discount rule")
+    from cadenza.functions.numeric import clip, round_score, score_label
+    p = _preds(spark, sf_dir)
     s = clip(F.col("predicted"), 0.0, 100.0)
-    return p.select("key", (F.bround(s * 100, 0) / 100).alias("predicted_score"),
+    return p.select("key", "model", round_score(s).alias("predicted_score"),
                     score_label(s).alias("predicted_category"))
 
 
@@ -1239,7 +1256,7 @@ def q_score_stream(spark, sf_dir):
     model, feats, test = _scoring_model(spark, sf_dir)
     req = feature_table(spark, sf_dir).select("id", *SCORE_INPUTS)
     src = scratch_path(spark, "requests")
-    req.repartition(4).write.mode("overwrite").parquet(src)
+    req.write.mode("overwrite").parquet(src)
     return score_files(spark, model, feats, src, spark.read.parquet(src).schema, keep=["id"])
 
 
@@ -1250,6 +1267,7 @@ def q_score_stream(spark, sf_dir):
 
 @query("scan_csv", f"SELECT {RAW_COLS} FROM m_tracks")
 def q_scan_csv(spark, sf_dir):
+    """The file's columns stand in reverse order, beside one that isn't in the schema."""
     from cadenza.plans import store
     from cadenza.schema import TRACKS_SCHEMA
     from cadenza.session import scratch_path
@@ -1257,7 +1275,8 @@ def q_scan_csv(spark, sf_dir):
 
     def write_csv(s, d):
         path = scratch_path(s, "tracks-csv")
-        (tables.music_tracks(s, d, with_order=False).write.mode("overwrite")
+        tracks = tables.music_tracks(s, d, with_order=False)
+        (tracks.select(*reversed(tracks.columns), F.lit("x").alias("note")).write.mode("overwrite")
          .option("header", True).option("escape", '"').csv(path))
         return {"path": path}
     path = store.bundle(spark, sf_dir, "tracks_csv", write_csv)["path"]

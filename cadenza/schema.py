@@ -35,8 +35,6 @@ SNAPSHOT_COLUMNS = [
     "is_modern", "is_popular_artist", "artist_genre_count",
 ]
 SNAPSHOT_CAP = 150_000
-TRAINING_CAP = 100_000
-SCATTER_CAP = 5_000
 SEED = 42
 
 EXPLORER_COLUMNS = [
@@ -130,10 +128,5 @@ ARTISTS_SCHEMA = T.StructType([
     T.StructField("genres", T.StringType()),
 ])
 
-METRICS_SCHEMA = T.StructType([
-    T.StructField("task", T.StringType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("ordinal", T.IntegerType()),
-    T.StructField("metric", T.StringType()),
-    T.StructField("value", T.DoubleType()),
-])
+# where a row stands in the files it was read from: file, start of the split, row
+POSITION = ["_file", "_block", "_row"]

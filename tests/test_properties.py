@@ -89,7 +89,7 @@ def test_scan_csv_matches_pandas_reader(spark, tmp_path_factory, rows):
                   "b": [r[1] for r in rows]}).to_csv(path, index=False)
     ref = pd.read_csv(path, dtype=str, keep_default_na=True)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ["k", "a", "b"]])
-    got = {r["k"]: (r["a"], r["b"]) for r in scan_csv(spark, path, schema).collect()}
+    got = {r["k"]: (r["a"], r["b"]) for r in scan_csv(spark, path, schema, multi_line=True).collect()}
     for _, r in ref.iterrows():
         want = tuple(None if pd.isna(v) else v for v in (r["a"], r["b"]))
         assert got[r["k"]] == want

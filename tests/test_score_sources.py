@@ -53,6 +53,54 @@ def test_scan_csv_markers_and_quotes(spark, tmp_dir):
     assert df["c"]["name"] is None and df["c"]["popularity"] is None
 
 
+def test_scan_csv_binds_columns_by_name(spark, tmp_dir):
+    from cadenza.sources.csv import bad_values
+    path = os.path.join(tmp_dir, "artists.csv")
+    with open(path, "w") as fh:
+        fh.write("name,genres,id,popularity,followers\nAnn,\"['pop']\",a1,50,1e3\nBob,[],a2,many,NA\nCy,[],a3,1,2,3\n")
+    got = {r["id"]: r for r in scan_csv(spark, path, ARTISTS_SCHEMA).collect()}
+    assert got["a1"].asDict() == {"id": "a1", "followers": 1000.0, "popularity": 50.0, "genres": "['pop']"}
+    assert got["a2"]["popularity"] is None and got["a2"]["followers"] is None
+    counts = {r["column"]: (r["n_missing"], r["n_bad"]) for r in bad_values(spark, path, ARTISTS_SCHEMA).collect()}
+    assert counts == {"id": (0, 0), "followers": (1, 0), "popularity": (0, 1), "genres": (0, 0), None: (0, 1)}
+    with pytest.raises(ValueError, match="duration_ms"):
+        scan_csv(spark, path, TRACKS_SCHEMA)
+
+
+def test_keep_first_in_file_order(spark, tmp_dir):
+    from cadenza.operators.clean import clean_artists
+    from cadenza.plans.training import in_files
+    path = os.path.join(tmp_dir, "artists.csv")
+    with open(path, "w") as fh:
+        fh.write("id,followers,popularity,genres\n" + "".join(f"a{i % 500},{5000 - i},{i % 7},[]\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = scan_csv(spark, path, ARTISTS_SCHEMA, positions=True)
+        assert df.rdd.getNumPartitions() > 4
+        got = {r["id"]: r["followers"] for r in clean_artists(df, order_by=in_files(df)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"a{i}": 5000.0 - i for i in range(500)}
+
+
+def test_round_score_is_pythons_round(spark):
+    from cadenza.functions.numeric import round_score
+    values = [2.675, 1.115, 12.125, 12.375, 0.005, 0.125, 99.995, 100.0, 0.0] + [i / 1000 for i in range(0, 100_000, 5)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").select("v", round_score("v").alias("r"))
+    assert [r for r in df.collect() if r["r"] != (None if r["v"] is None else round(r["v"], 2))] == []
+
+
+def test_classes_of_test_rows_are_known(spark):
+    from cadenza.operators import model
+    rows = [(f"k{i}", float(i), float(i % 90), "Hit") for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, x double, popularity double, popularity_category string")
+    label = F.when(model.split_flag("id"), "Underground").otherwise("Hit")
+    train, test, classes, _ = model.prepare(df.withColumn("popularity_category", label), ["x"], cap=10)
+    assert classes == ["Hit", "Underground"] and train.count() == 10
+    assert {r["label"] for r in test.select("label").collect()} == {1.0}
+    assert test.count() == df.where(model.split_flag("id")).count()
+
+
 def test_snapshot_roundtrip_and_artifacts_missing(spark, tmp_dir):
     df = spark.createDataFrame([("s", 1994, 50.0)], "name string, release_year int, popularity double")
     path = parquet.write_snapshot(df, os.path.join(tmp_dir, "snap"))
