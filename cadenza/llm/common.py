@@ -79,6 +79,43 @@ def carried(docs: DataFrame):
     return F.struct(*[F.col(c) for c in docs.columns if c != "text"])
 
 
+FILTER_BITS = 1 << 26           # of an id filter: 8 MB on the driver and on every executor
+
+
+def _filter_positions(col):
+    """Two places of a value in an id filter, from 1 as the bitmap functions count."""
+    return [(F.pmod(h, F.lit(FILTER_BITS)) + 1).alias(f"at{i}") for i, h in enumerate((F.xxhash64(col), F.xxhash64(col, F.lit(1))))]
+
+
+def likely_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be in ``ids`` (a Bloom filter of fixed size, so
+    a few others may stay; an exact semi join follows). It keeps texts nobody
+    wants out of that join's shuffle."""
+    import numpy as np
+    import pyarrow as pa
+
+    bit = ids.select(F.explode(F.array(*_filter_positions(F.col("doc_id")))).alias("at"))
+    maps = bit.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in maps.toLocalIterator():            # FILTER_BITS bits in all
+        own = np.frombuffer(row.bits, np.uint8)
+        bits[(row.part - 1) * len(own):row.part * len(own)] = own
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        held = shared.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for name in ("at0", "at1"):
+                at = batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64) - 1
+                keep &= (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
+
+    small_batches(docs.sparkSession)
+    placed = id_text(docs).where("doc_id IS NOT NULL")
+    return placed.select("doc_id", "text", *_filter_positions(F.col("doc_id"))).mapInArrow(run, "doc_id long, text string")
+
+
 def packed_texts(docs: DataFrame, rest: bool = False) -> DataFrame:
     """(doc_id, packed): texts compressed one by one, for steps that must shuffle
     whole texts by document; with ``rest``, also all other columns. NULL text

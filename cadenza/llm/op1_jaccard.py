@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import kernel
-from cadenza.llm.common import documents, id_text, packed_texts, small_batches, unpack, written
+from cadenza.llm.common import documents, id_text, likely_among, packed_texts, small_batches, unpack, written
 from cadenza.llm.components import components
 
 BUCKETS = 1 << 21               # of shingle counts: 8 MB on every executor
@@ -374,7 +374,7 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     wanted = lists.groupBy("cls").agg(F.count("*").alias("lists")).join(sizes, "cls").where(F.col("lists") >= rule.c_column(smallest))
     wanted = written(wanted.select("cls", "n", "doc_id"), "classes")
     ids = wanted.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    texts = packed_texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(_fetch(k), "cls long, packed binary")
+    texts = packed_texts(likely_among(docs, ids)).join(ids, "doc_id", "left_semi").mapInArrow(_fetch(k), "cls long, packed binary")
     texts = written(texts.dropDuplicates(["cls"]), "class-texts")
     ta = texts.select(F.col("cls").alias("a"), F.col("packed").alias("ta"))
     tb = texts.select(F.col("cls").alias("b"), F.col("packed").alias("tb"))
