@@ -1,22 +1,25 @@
 """Scoring with a class-based bigram model (Brown classes found by exchange).
 
-Learning, all of it counted over every training document: word counts; the
-``UNITS`` most frequent words are units of their own, every other word belongs
-to one of ``TAILS`` units by a hash of its last two bytes, and the end is a unit;
+Learning, all of it counted over every training document: word counts; every
+word seen ``MIN_COUNT`` times or more is a unit of its own, rarer words belong to
+one of ``TAILS`` units by a hash of their last two bytes, and the end is a unit;
 counts of unit pairs. The exchange clustering starts from units dealt by rank
-and runs as its distributed form does (Uszkoreit and Brants 2008): in each round
-Spark sums each unit's neighbours by class, every unit's best class is worked
-out against the classes of the last round, and half of the units may move; a
-round that lowers the likelihood is undone and fewer units may move. What the
-driver holds is bounded by units x classes, whatever the corpus.
+and runs as its distributed form does (Uszkoreit and Brants 2008): each worker
+holds the neighbours of a share of the units and a copy of the class map (one
+byte a unit). In each round it sums each unit's neighbours by class and works out
+its best class against the class table of the last round, and half of the units
+may move; a round that lowers the likelihood is undone and fewer units may move.
+It ends when no move gains, or a round gains under ``TOLERANCE`` nats a token. The
+driver holds the class map and the table of class pairs, never pairs of units.
 
 Model: P(w | v) = P(class w | class v) P(unit | class) P(w | unit). Transitions
 are interpolated with the class shares (weight ``MU``), the other two have half
-a count added, with one unseen word a unit.
+a count added, with one unseen word a tail unit.
 
-Scoring: transitions, units and the ``CACHED`` most frequent words' counts come
-from a broadcast of fixed size; the other words go, with their frequency in the
-document, through a join with the count table, summed per document.
+Words are numbered by falling count. The ``CACHED`` first come from a broadcast of
+fixed size; the others go through joins with the count table: while pairs are
+counted by the pair, while documents are scored by the document, whose text then
+meets the counts of its own rare words.
 
 Edge cases: NULL or empty text is the end alone. Rows that repeat a doc_id are
 one document: its texts' tokens and scores are added up, each with its own
@@ -35,26 +38,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import kernel
-from cadenza.llm.common import crc_mod, documents, id_text, small_batches, written
+from cadenza.llm.common import crc_mod, documents, id_text, packed_texts, small_batches, unpack, written
 
-UNITS = 2048
+MIN_COUNT = 5
 TAILS = 256
 CLASSES = 48
 CACHED = 1 << 18
-ROUNDS = 10
+TOLERANCE = 1e-3
 MU = 50.0
 END = np.uint64(0x5DEECE66D1CE4E5B)      # the end's "word hash"
-END_UNIT = UNITS + TAILS
-ALL_UNITS = END_UNIT + 1
 
 
 def _hashed(col):
-    """(first row, texts, hash of every word, unit by its ending, document cuts) by block."""
+    """(first row, texts, hash of every word, tail unit by its ending, document cuts) by block."""
     for lo, hi, data, offs in kernel.blocks(col):
         data = kernel.lower(data)
         start, end, doc = kernel.words(data, offs)
         tail = kernel.span_hash(data, np.maximum(start, end - 2), end) % np.uint64(TAILS)
-        yield lo, hi - lo, kernel.span_hash(data, start, end), UNITS + tail.astype(np.int64), kernel.bounds(doc, hi - lo)
+        yield lo, hi - lo, kernel.span_hash(data, start, end), tail.astype(np.int64), kernel.bounds(doc, hi - lo)
 
 
 def _count_words(batches):
@@ -66,16 +67,16 @@ def _count_words(batches):
         h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         keys, first, n = np.unique(h, return_index=True, return_counts=True)
         tail = np.concatenate(tails)[first] if parts else np.zeros(0, np.int64)
-        keys, n, tail = np.append(keys, END), np.append(n, len(batch)), np.append(tail, END_UNIT)
+        keys, n, tail = np.append(keys, END), np.append(n, len(batch)), np.append(tail, TAILS)
         yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(keys)), pa.array(tail), pa.array(n.astype(np.int64))], ["h", "tail", "c"])
 
 
 class Lookup:
-    """Counts of the most frequent words and the unit of every word."""
+    """Counts and numbers of some words, by hash."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, rank: np.ndarray):
+    def __init__(self, h: np.ndarray, c: np.ndarray, number: np.ndarray):
         order = np.argsort(h)
-        self.h, self.c, self.rank = h[order], c[order], rank[order]
+        self.h, self.c, self.number = h[order], c[order], number[order]
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place or 0, whether it is there)."""
@@ -84,50 +85,52 @@ class Lookup:
         pos = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         return pos, self.h[pos] == h
 
-    def units(self, h: np.ndarray, tail: np.ndarray):
+    def units(self, h: np.ndarray, tail: np.ndarray, n_words: int):
+        """(unit, count, whether the word is there); words that aren't get their tail unit."""
         pos, there = self.find(h)
         if not len(self.h):
-            return tail, pos, there
-        own = there & (self.rank[pos] < UNITS)
-        return np.where(own, self.rank[pos], tail), pos, there
+            return n_words + tail, np.zeros(len(h), np.int64), there
+        own = there & (self.number[pos] < n_words)
+        return np.where(own, self.number[pos], n_words + tail), np.where(there, self.c[pos], 0), there
 
 
-def _with_ends(units: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The unit sequence with an end after every document, and where each begins."""
-    out = np.insert(units, cut[1:], END_UNIT)
+def _with_ends(units: np.ndarray, cut: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence with an end after every document, and where each begins."""
+    out = np.insert(units, cut[1:], end)
     return out, cut[:-1] + np.arange(len(cut) - 1)
 
 
-def _pairs(seq: np.ndarray) -> np.ndarray:
-    """Codes of the unit pairs; an end stands before the first unit too."""
-    return np.concatenate(([END_UNIT], seq[:-1])) * ALL_UNITS + seq
+def _count_pairs(shared, n_words: int, all_cached: bool):
+    """(u, v, n) of unit pairs; where open_u or open_v is set, it is the hash of a word that isn't cached."""
+    end = n_words + TAILS
+    names = ["u", "v", "n", "open_u", "open_v"]
 
+    def closed(held):
+        k, n = np.unique(np.concatenate(held), return_counts=True)
+        no = np.zeros(len(k), bool)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k // (end + 1), k % (end + 1), n.astype(np.int64), no, no)], names)
 
-def _count_pairs(shared):
     def run(batches):
-        lookup = shared.value
-        keys, counts, held, size = [], [], [], 0
-
-        def fold():
-            nonlocal keys, counts, held, size
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            keys.append(k)
-            counts.append(n)
-            both, which = np.unique(np.concatenate(keys), return_inverse=True)
-            counts = [np.bincount(which, weights=np.concatenate(counts)).astype(np.int64)]
-            keys, held, size = [both], [], 0
-
+        lookup, held, size = shared.value, [], 0
         for batch in batches:
-            for _, n, h, tail, cut in _hashed(batch.column("text")):
-                seq, _ = _with_ends(lookup.units(h, tail)[0], cut)
-                held.append(_pairs(seq))
-                size += len(seq)
-            if size > 1_000_000:
-                fold()
+            for _, _, h, tail, cut in _hashed(batch.column("text")):
+                units, _, there = lookup.units(h, tail, n_words)
+                is_open = np.zeros(len(h), bool) if all_cached else ~there
+                v, _ = _with_ends(np.where(is_open, h.view(np.int64), units), cut, end)
+                open_v, _ = _with_ends(is_open, cut, False)
+                # an end stands before the first unit too
+                u, open_u = np.concatenate(([end], v[:-1])), np.concatenate(([False], open_v[:-1]))
+                some = open_u | open_v
+                held.append(u[~some] * (end + 1) + v[~some])
+                size += len(held[-1])
+                if some.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                        u[some], v[some], np.ones(int(some.sum()), np.int64), open_u[some], open_v[some])], names)
+            if size > 4_000_000:
+                yield closed(held)
+                held, size = [], 0
         if held:
-            fold()
-        for k, n in zip(keys, counts, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(k // ALL_UNITS), pa.array(k % ALL_UNITS), pa.array(n)], ["u", "v", "n"])
+            yield closed(held)
     return run
 
 
@@ -140,82 +143,131 @@ def _likelihood(pairs: np.ndarray) -> float:
     return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(1)).sum() - _xlogx(pairs.sum(0)).sum())
 
 
-def _sums(pairs: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(units x classes after the unit, units x classes before it), summed by Spark."""
-    spark = pairs.sparkSession
-    rows = spark.createDataFrame([(i, int(c)) for i, c in enumerate(classes)], "unit long, class int")
-    after = pairs.join(F.broadcast(rows.select(F.col("unit").alias("v"), "class")), "v").groupBy(F.col("u").alias("unit"), "class").agg(F.sum("n").alias("n"))
-    before = pairs.join(F.broadcast(rows.select(F.col("unit").alias("u"), "class")), "u").groupBy(F.col("v").alias("unit"), "class").agg(F.sum("n").alias("n"))
-    both = after.withColumn("side", F.lit(0)).unionByName(before.withColumn("side", F.lit(1))).toPandas()
-    out = np.zeros((2, ALL_UNITS, CLASSES))
-    out[both["side"], both["unit"], both["class"]] = both["n"]
-    return out[0], out[1]
+def _class_sums(batch, side: str, classes: np.ndarray) -> np.ndarray:
+    """(rows x classes): each unit's neighbours on one side, by class."""
+    at, n = batch.column(f"{side}_at"), batch.column(f"{side}_n")
+    row = np.repeat(np.arange(len(batch)), at.value_lengths().to_numpy())
+    code = row * CLASSES + classes[at.flatten().to_numpy()]
+    return np.bincount(code, weights=n.flatten().to_numpy(), minlength=len(batch) * CLASSES).reshape(-1, CLASSES)
 
 
-def _table(after: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    pairs = np.zeros((CLASSES, CLASSES))
-    np.add.at(pairs, classes, after)
-    return pairs
+def _table_rows(shared):
+    def run(batches):
+        classes, table = shared.value, np.zeros((CLASSES, CLASSES))
+        for batch in batches:
+            np.add.at(table, classes[batch.column("unit").to_numpy()], _class_sums(batch, "after", classes))
+        i, j = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(table[i, j].astype(np.int64))], ["i", "j", "n"])
+    return run
 
 
-def _gains(after, before, classes, pairs):
-    """Gain of moving each unit to each class, against the given class table."""
-    rows, cols = pairs.sum(1), pairs.sum(0)
-    own = after.sum(1)
-    gain = np.zeros((ALL_UNITS, CLASSES))
-    for side, total, table in ((after, rows, pairs), (before, cols, pairs.T)):
-        here = table[classes]
+def class_table(near: DataFrame, shared) -> np.ndarray:
+    """Counts of class pairs, summed by Spark."""
+    rows = near.select("unit", "after_at", "after_n").mapInArrow(_table_rows(shared), "i long, j long, n long")
+    out = np.zeros((CLASSES, CLASSES))
+    for r in rows.groupBy("i", "j").agg(F.sum("n").alias("n")).collect():     # CLASSES x CLASSES rows
+        out[r.i, r.j] = r.n
+    return out
+
+
+def _gains(sums, own_class: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Gain of moving each unit (a row of both sums) to each class, against the given class table."""
+    after, before = sums
+    own, gain = after.sum(1), np.zeros_like(after)
+    for side, t in ((after, table), (before, table.T)):
+        total, down = t.sum(1), np.ascontiguousarray(t.T)
+        flat = _xlogx(down)
+        here = t[own_class]
         leave = (_xlogx(np.maximum(here - side, 0)) - _xlogx(here)).sum(1)
-        leave -= _xlogx(np.maximum(total[classes] - own, 0)) - _xlogx(total[classes])
-        for c in range(CLASSES):
-            enter = (_xlogx(table[c] + side) - _xlogx(table[c])).sum(1) - (_xlogx(total[c] + own) - _xlogx(total[c]))
-            gain[:, c] += enter + leave
-    gain[np.arange(ALL_UNITS), classes] = 0
+        leave -= _xlogx(np.maximum(total[own_class] - own, 0)) - _xlogx(total[own_class])
+        gain += leave[:, None] - (_xlogx(total + own[:, None]) - _xlogx(total))
+        row, c = np.nonzero(side)                      # only the classes a unit meets count
+        x = down[c] + side[row, c][:, None]
+        x = x * np.log(x) - flat[c]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        if len(first):
+            gain[row[first]] += np.add.reduceat(x, first)
+    gain[np.arange(len(own)), own_class] = 0
     return gain
 
 
-def exchange(pairs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of every unit, class pair counts, counts of units)."""
-    classes = np.arange(ALL_UNITS) % (CLASSES - 1)
-    classes[END_UNIT] = CLASSES - 1                # the end keeps a class of its own
-    after, before = _sums(pairs, classes)
-    table = _table(after, classes)
-    best, share = _likelihood(table), 2
-    for k in range(rounds):
-        gain = _gains(after, before, classes, table)
-        gain[:, CLASSES - 1] = -np.inf
-        to = gain.argmax(1)
-        pick = (gain[np.arange(ALL_UNITS), to] > 1e-9) & ((np.arange(ALL_UNITS) * 2654435761 + k * 40503) // 64 % share == 0)
-        pick[END_UNIT] = False
+def _wishes(shared, table: np.ndarray):
+    """Units that gain by a move and their best class, as packed numbers."""
+    def run(batches):
+        classes = shared.value
+        for batch in batches:
+            unit = batch.column("unit").to_numpy()
+            gain = _gains((_class_sums(batch, "after", classes), _class_sums(batch, "before", classes)), classes[unit], table)
+            gain[:, CLASSES - 1] = -np.inf             # the end keeps a class of its own
+            to = gain.argmax(1)
+            move = (gain[np.arange(len(to)), to] > 1e-9) & (unit != len(classes) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([unit[move].astype(np.int32).tobytes()], pa.binary()),
+                                              pa.array([to[move].astype(np.int8).tobytes()], pa.binary())], ["unit", "best"])
+    return run
+
+
+def exchange(near: DataFrame, n_units: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class of every unit, class pair counts); ``near``: each unit's neighbours (unit, after_at, after_n, before_at, before_n)."""
+    sc = near.sparkSession.sparkContext
+    classes = (np.arange(n_units) % (CLASSES - 1)).astype(np.int8)
+    classes[-1] = CLASSES - 1
+    shared = sc.broadcast(classes)
+    table = class_table(near, shared)
+    best, share, k, wishes = _likelihood(table), 2, 0, None
+    while True:
+        if wishes is None:
+            found = near.mapInArrow(_wishes(shared, table), "unit binary, best binary").collect()
+            wishes = [np.frombuffer(b"".join(bytes(r[i]) for r in found), t) for i, t in ((0, np.int32), (1, np.int8))]
+        pick = (wishes[0].astype(np.int64) * 2654435761 + k * 40503) // 64 % share == 0
+        k += 1
         if not pick.any():
             break
-        moved = np.where(pick, to, classes)
-        new_after, new_before = _sums(pairs, moved)
-        new_table = _table(new_after, moved)
+        moved = classes.copy()
+        moved[wishes[0][pick]] = wishes[1][pick]
+        new_shared = sc.broadcast(moved)
+        new_table = class_table(near, new_shared)
         now = _likelihood(new_table)
         if now > best:
-            classes, after, before, table, best = moved, new_after, new_before, new_table, now
+            small = now - best < TOLERANCE * table.sum()
+            shared.unpersist()
+            classes, shared, table, best, wishes = moved, new_shared, new_table, now, None
+            if small:
+                break
         else:
+            new_shared.unpersist()
             share *= 2
-    return classes, table, before.sum(1)
+    shared.unpersist()
+    return classes, table
 
 
 class Model:
-    """Arrays of fixed size; log10 throughout."""
+    """Arrays of fixed size and the class map; log10 throughout."""
 
-    def __init__(self, lookup: Lookup, classes, table, unit_counts, tail_n, tail_v, n: int, v: int):
-        self.lookup, self.classes, self.n, self.v = lookup, classes, n, v
-        size = np.bincount(classes, minlength=CLASSES)
-        mass = np.bincount(classes, weights=unit_counts, minlength=CLASSES)
+    def __init__(self, lookup: Lookup, n_words: int, classes, table, tail_n, tail_v, n: int, v: int):
+        self.lookup, self.n_words, self.classes, self.n, self.v = lookup, n_words, classes, n, v
+        size, mass = np.bincount(classes, minlength=CLASSES), table.sum(0)
         share = (mass + 0.5) / (mass.sum() + 0.5 * CLASSES)
         self.step = np.log10((table + MU * share[None, :]) / (table.sum(1)[:, None] + MU))
-        self.emit = np.log10((unit_counts + 0.5) / (mass[classes] + 0.5 * size[classes]))
+        self.within = np.log10(mass + 0.5 * size)  # of each class: its units' denominator
+        self.tail_n = tail_n
         self.tail = tail_n + 0.5 * (tail_v + 1)    # of each tail unit: its words' denominator
         self.total = n + 0.5 * (v + 1)
 
 
-def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the counts of all words (h, tail, c) as a written table."""
+def numbered(counts: DataFrame) -> DataFrame:
+    """All words (h, tail, c) with their number by falling count, as a written table."""
+    ranked = counts.where(F.col("tail") < TAILS).orderBy(F.desc("c"), "h").withColumn("at", F.monotonically_increasing_id())
+    ranked = written(ranked, "lm-ranked").withColumn("part", F.shiftright("at", 33))
+    first, parts = 0, []
+    for r in ranked.groupBy("part").count().orderBy("part").collect():         # one row a partition
+        parts.append((r.part, first - (r.part << 33)))
+        first += r["count"]
+    parts = counts.sparkSession.createDataFrame(parts, "part long, shift long")
+    return ranked.join(F.broadcast(parts), "part").select("h", "tail", "c", (F.col("at") + F.col("shift")).alias("number"))
+
+
+def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the counts of all words (h, tail, c) and their numbers, as written tables."""
     spark = docs.sparkSession
     small_batches(spark)
     text = id_text(docs)
@@ -223,44 +275,64 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
         F.first("tail").alias("tail"), F.sum("c").alias("c"))
     counts = written(counts.where("c > 0"), "lm-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.where(F.col("tail") < END_UNIT).orderBy(F.desc("c"), "h").limit(CACHED).select("h", "c", "tail").toPandas()
-    lookup = Lookup(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), np.arange(len(top)))
-    # words beyond the units, by tail unit
-    tails = counts.groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()   # TAILS + 1 rows
-    tail_n, tail_v = np.zeros(ALL_UNITS), np.zeros(ALL_UNITS)
-    tail_n[tails["tail"]], tail_v[tails["tail"]] = tails["n"], tails["v"]
-    head = top.iloc[:UNITS]
-    np.subtract.at(tail_n, head["tail"].to_numpy(np.int64), head["c"].to_numpy(float))
-    np.subtract.at(tail_v, head["tail"].to_numpy(np.int64), 1.0)
-    pairs = text.mapInArrow(_count_pairs(spark.sparkContext.broadcast(lookup)), "u long, v long, n long")
-    pairs = written(pairs.groupBy("u", "v").agg(F.sum("n").alias("n")), "lm-pairs")
-    classes, table, unit_counts = exchange(pairs)
-    return Model(lookup, classes, table, unit_counts, tail_n, tail_v, int(total.n or 0), int(total.v)), counts
+    n_words = counts.where((F.col("tail") < TAILS) & (F.col("c") >= MIN_COUNT)).count()
+    end, words = n_words + TAILS, numbered(counts)
+    top = words.where(F.col("number") < CACHED).select("h", "c", "number").toPandas()
+    lookup = Lookup(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), top["number"].to_numpy(np.int64))
+    tail_n, tail_v = np.zeros(TAILS), np.zeros(TAILS)
+    for r in counts.where((F.col("tail") < TAILS) & (F.col("c") < MIN_COUNT)).groupBy("tail").agg(
+            F.sum("c").alias("n"), F.count("*").alias("v")).collect():         # TAILS rows
+        tail_n[r.tail], tail_v[r.tail] = r.n, r.v
+    pairs = text.mapInArrow(_count_pairs(spark.sparkContext.broadcast(lookup), n_words, int(total.v) <= CACHED),
+                            "u long, v long, n long, open_u boolean, open_v boolean")
+    pairs = written(pairs, "lm-pairs")
+    unit = F.when(F.col("number") < n_words, F.col("number")).otherwise(F.col("tail") + n_words)
+    rare = words.where(F.col("number") >= CACHED).select("h", unit.alias("unit"))
+    for side, other in (("u", "v"), ("v", "u")):
+        opened = pairs.where(f"open_{side}").join(rare, F.col(side) == F.col("h")).select(
+            F.col("unit").alias(side), other, "n", F.lit(False).alias(f"open_{side}"), f"open_{other}")
+        pairs = pairs.where(f"NOT open_{side}").unionByName(opened)
+    pairs = written(pairs.groupBy("u", "v").agg(F.sum("n").alias("n")).select(F.col("u").cast("int"), F.col("v").cast("int"), "n"), "lm-unit-pairs")
+    sides = [pairs.groupBy(F.col(own).alias("unit")).agg(F.collect_list(F.struct(F.col(other).alias("at"), "n")).alias("x")).select(
+        "unit", F.col("x.at").alias(f"{name}_at"), F.col("x.n").alias(f"{name}_n"))
+        for own, other, name in (("u", "v", "after"), ("v", "u", "before"))]
+    near = written(sides[0].join(sides[1], "unit"), "lm-neighbours")   # each unit has neighbours on both sides, at least an end
+    classes, table = exchange(near, end + 1)
+    return Model(lookup, n_words, classes, table, tail_n, tail_v, int(total.n or 0), int(total.v)), counts, words
 
 
 _ROW = "doc_id long, n_tokens long, n_known long, base double, score double"
 
 
-def _local(shared, end_count: int):
-    """What a document's score takes from the broadcast."""
+def _scored(shared, end_count: int):
+    """Scores of texts; ``found`` has the words of the document that the broadcast hasn't."""
     def run(batches):
         m = shared.value
+        end = m.n_words + TAILS
         for batch in batches:
+            text, more = batch.column("text") if "text" in batch.schema.names else pa.array(
+                [unpack(x) for x in batch.column("packed").to_pylist()], pa.string()), None
+            if "found" in batch.schema.names:
+                f = batch.column("found").flatten()
+                h, first = np.unique(f.field("h").to_numpy().view(np.uint64), return_index=True)
+                more = Lookup(h, f.field("c").to_numpy()[first], f.field("number").to_numpy()[first])
             out = []
-            for _, n, h, tail, cut in _hashed(batch.column("text")):
-                units, pos, there = m.lookup.units(h, tail)
-                seq, first = _with_ends(units, cut)
+            for _, _, h, tail, cut in _hashed(text):
+                units, c, there = m.lookup.units(h, tail, m.n_words)
+                if more is not None:
+                    units_, c_, there_ = more.units(h, tail, m.n_words)
+                    units, c, there = np.where(there, units, units_), np.where(there, c, c_), there | there_
+                seq, first = _with_ends(units, cut, end)
                 cls = m.classes[seq]
-                lp = m.step[np.concatenate(([m.classes[END_UNIT]], cls[:-1])), cls] + m.emit[seq]
-                score = np.add.reduceat(lp, first)
-                c = np.where(there, m.lookup.c[pos], 0) if len(m.lookup.h) else np.zeros(len(h))
-                known = np.where(there, np.log10(np.maximum(c + 0.5, 0.5) / m.total), 0.0)
-                inside = np.where(there & (units >= UNITS), np.log10((c + 0.5) / m.tail[units]), 0.0)
-                ends = np.concatenate((known, [0.0])), np.concatenate((inside, [0.0])), np.concatenate((there.astype(np.int64), [0]))
-                sums = [_per_document(x, cut) for x in ends]
-                base = sums[0] + math.log10((end_count + 0.5) / m.total)
-                out.append((np.diff(cut) + 1,
-                            sums[2].astype(np.int64) + (end_count > 0), base, score + sums[1]))
+                rare = units >= m.n_words
+                of_tail = np.where(rare, units - m.n_words, 0)
+                mass = np.where(rare, m.tail_n[of_tail], c)
+                emit = np.log10(_with_ends(mass, cut, end_count)[0] + 0.5) - m.within[cls]
+                lp = m.step[np.concatenate(([m.classes[end]], cls[:-1])), cls] + emit
+                inside = np.where(rare, np.log10((c + 0.5) / m.tail[of_tail]), 0.0)
+                sums = [_per_document(x, cut) for x in (there.astype(np.int64), np.log10((c + 0.5) / m.total), inside)]
+                out.append((np.diff(cut) + 1, sums[0] + (end_count > 0), sums[1] + math.log10((end_count + 0.5) / m.total),
+                            np.add.reduceat(lp, first) + sums[2]))
             if out:
                 cols = [np.concatenate(x) for x in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, cols)], [c.split()[0] for c in _ROW.split(", ")])
@@ -268,61 +340,51 @@ def _local(shared, end_count: int):
 
 
 def _per_document(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Sums of ``x`` (one longer than the words) by document."""
+    """Sums of ``x`` by document."""
     total = np.concatenate((np.zeros(1, x.dtype), np.cumsum(x)))
     return total[cut[1:]] - total[cut[:-1]]
 
 
-def _tail_words(shared):
-    """(doc_id, word, unit, frequency) of the words that aren't cached."""
+def _other_words(shared):
+    """(doc_id, word) of the words that aren't cached, once a text."""
     def run(batches):
         m = shared.value
         for batch in batches:
             ids = batch.column("doc_id")
-            for lo, n, h, tail, cut in _hashed(batch.column("text")):
-                _, there = m.lookup.find(h)
-                at = np.flatnonzero(~there)
+            for lo, _, h, _, cut in _hashed(batch.column("text")):
+                at = np.flatnonzero(~m.lookup.find(h)[1])
                 doc = np.searchsorted(cut, at, "right") - 1
                 order = np.lexsort((h[at], doc))
                 at, doc = at[order], doc[order]
                 new = np.ones(len(at), bool)
                 new[1:] = (h[at[1:]] != h[at[:-1]]) | (doc[1:] != doc[:-1])
-                first = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(lo + doc[first])), pa.array(kernel.signed(h[at[first]])), pa.array(tail[at[first]].astype(np.int32)),
-                     pa.array(np.diff(np.append(first, len(at))).astype(np.int32))], ["doc_id", "h", "unit", "tf"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + doc[new])), pa.array(kernel.signed(h[at[new]]))], ["doc_id", "h"])
     return run
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame, words: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     text = id_text(docs)
     shared = spark.sparkContext.broadcast(model)
-    end = counts.where(F.col("tail") == END_UNIT).first()
-    local = text.mapInArrow(_local(shared, int(end.c) if end else 0), _ROW).groupBy("doc_id").agg(
+    end = counts.where(F.col("tail") == TAILS).first()
+    if model.v > CACHED:
+        found = text.mapInArrow(_other_words(shared), "doc_id long, h long").join(
+            words.where(F.col("number") >= CACHED).select("h", "c", "number"), "h")
+        found = found.groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_list(F.struct("h", "c", "number")).alias("found"))
+        text = packed_texts(docs).join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select(
+            "doc_id", "packed", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
+    out = text.mapInArrow(_scored(shared, int(end.c) if end else 0), _ROW).groupBy("doc_id").agg(
         *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
-    rest = text.mapInArrow(_tail_words(shared), "doc_id long, h long, unit int, tf int")
-    c = F.coalesce("c", F.lit(0))
-    tails = spark.createDataFrame([(i, float(model.tail[i])) for i in range(UNITS, END_UNIT)], "unit int, own double")   # TAILS rows
-    rest = rest.join(counts.select("h", "c"), "h", "left").join(F.broadcast(tails), "unit")
-    rest = rest.groupBy("doc_id").agg(
-        F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("tf") * F.log10((c + 0.5) / F.lit(model.total))).alias("more_base"),
-        F.sum(F.col("tf") * F.log10((c + 0.5) / F.col("own"))).alias("more_score"))
-    rest = rest.withColumnRenamed("doc_id", "rest_id")
-    out = local.join(rest, F.col("doc_id").eqNullSafe(F.col("rest_id")), "left")
-    more = {n: F.coalesce(n, F.lit(0.0)) for n in ("more_known", "more_base", "more_score")}
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + more["more_known"].cast("long")).alias("n_known"),
-                      F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + more["more_base"]).alias("base_score"),
-                      (F.col("score") + more["more_score"]).alias("score"))
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
+                      F.col("base").alias("base_score"), "score")
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))
-    model, counts = learn(docs.where(~held))
-    scored = score(docs, model, counts)
+    model, counts, words = learn(docs.where(~held))
+    scored = score(docs, model, counts, words)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
                          perplexity.alias("perplexity"))
