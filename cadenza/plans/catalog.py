@@ -992,11 +992,6 @@ def _model():
     return model
 
 
-# ensemble sizes for the registered queries (the library defaults are the
-# reproduced 100 trees / 100 rounds; see README)
-QUERY_SIZES = dict(trees=10, forest_depth=8, boost_rounds=10, tree_depth=8)
-
-
 @query("training_frame", f"SELECT id, popularity, popularity_category FROM feat WHERE {COMPLETE_SQL}")
 def q_training_frame(spark, sf_dir):
     feats = selected_features(spark, sf_dir)
@@ -1096,7 +1091,7 @@ def _prepared(spark, sf_dir):
 def _reg_query(name):
     def fn(spark, sf_dir):
         m, feats, train, test, classes, stats = _prepared(spark, sf_dir)
-        t = m.train_regressors(train, test, feats, stats, names=[name], sizes=m.Sizes(**QUERY_SIZES))
+        t = m.train_regressors(train, test, feats, stats, names=[name])
         return t.metrics
     return fn
 
@@ -1104,8 +1099,7 @@ def _reg_query(name):
 def _clf_query(name):
     def fn(spark, sf_dir):
         m, feats, train, test, classes, stats = _prepared(spark, sf_dir)
-        t = m.train_classifiers(train, test, feats, stats, classes, names=[name],
-                                sizes=m.Sizes(**QUERY_SIZES))
+        t = m.train_classifiers(train, test, feats, stats, classes, names=[name])
         return t.metrics
     return fn
 
@@ -1127,10 +1121,8 @@ def _build_tuned(spark, sf_dir):
     from cadenza.session import scratch_path
     from cadenza.sources import artifacts
     m, feats, train, test, classes, stats = _prepared(spark, sf_dir)
-    grid = {"numTrees": [5, 8, 10], "maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 2]}
-    model, tuned, imp = m.tune_forest(train, test, feats, stats, grid=grid)
-    t = m.train_classifiers(train, test, feats, stats, classes,
-                            names=["Decision Tree", "Gaussian Naive Bayes"], sizes=m.Sizes(**QUERY_SIZES))
+    model, tuned, imp = m.tune_forest(train, test, feats, stats)
+    t = m.train_classifiers(train, test, feats, stats, classes)
     best = _metrics().best_model(t.metrics).first()["best_model"]
     cm = _metrics().confusion_matrix(t.predictions.where(F.col("model") == best))
     path = scratch_path(spark, "artifacts")
