@@ -6,18 +6,19 @@ histograms of the document with those of its language: characters by class and
 words by "one of the language's common words, or another". The distance is the
 square root of the Jensen-Shannon divergence in bits (0 to 1). The references
 are means over all documents of the language that pass the base rule, from the
-data given; a language with too few such documents is judged by the mean over
-all languages.
+data given. Every language with ``MIN_REFERENCE_DOCS`` such documents has one; its
+common words are fixed for four languages and counted over its documents for all
+others. A document without a reference is judged by the base rule alone.
 
 Edge cases: NULL or empty text has no words, so it fails the base rule. Every
-row gives one row, repeated rows too. NULL or unknown languages are judged by
-the pooled reference. Documents under ``min_words`` skip the divergence rule
+row gives one row, repeated rows too. NULL languages and those of few documents
+have no reference, so both distances are NULL. Documents under ``min_words`` skip the divergence rule
 (they fail the base rule already). An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import SPACES, table, written
@@ -39,11 +40,23 @@ MAX_REPEAT_PERCENT = 50
 MAX_CHAR_DISTANCE = 0.22
 MAX_WORD_DISTANCE = 0.275
 MIN_REFERENCE_DOCS = 20
-MAX_LANGUAGES = 64
+N_COMMON = 12
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """One row per document with its counts; ``docs``: doc_id, text, lang."""
+def common_words(docs: DataFrame) -> DataFrame:
+    """(own_lang, own_words): the most frequent words of every language without a fixed list."""
+    d = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    d = d.where(F.col("lang").isNotNull() & ~F.col("lang").isin(list(COMMON_WORDS)))
+    enough = d.groupBy("lang").count().where(F.col("count") >= MIN_REFERENCE_DOCS).select("lang")
+    words = d.select("lang", F.explode(F.array_remove(F.split("text", SPACES), "")).alias("w"))
+    words = words.groupBy("lang", F.lower("w").alias("w")).count().join(enough, "lang", "left_semi")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))
+    top = words.withColumn("place", place).where(F.col("place") <= N_COMMON)
+    return top.groupBy(F.col("lang").alias("own_lang")).agg(F.sort_array(F.collect_list("w")).alias("own_words"))
+
+
+def base_counts(docs: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """One row per document with its counts; ``docs``: doc_id, text, lang; ``own``: see ``common_words``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     carry = [F.col("row")] if "row" in docs.columns else []
     d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"), *carry)
@@ -76,6 +89,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
     found = F.expr("CASE lang " + " ".join(
         f"WHEN '{lang}' THEN transform({_sql_list(ws)}, w -> cast(size(listed) - size(array_remove(listed, w)) AS bigint))"
         for lang, ws in COMMON_WORDS.items()) + " ELSE array(cast(size(listed) AS bigint)) END")
+    if own is not None:
+        d = d.join(own, F.col("lang") == F.col("own_lang"), "left")
+        d = d.withColumn("hits_own", F.expr(
+            "CASE WHEN own_words IS NOT NULL THEN filter(transform(words, w -> lower(w)), w -> array_contains(own_words, w)) END"))
+        found = F.coalesce(F.expr("transform(own_words, w -> cast(size(hits_own) - size(array_remove(hits_own, w)) AS bigint))"), found)
     out = d.select(
         "doc_id", "lang", "n_words", "word_chars", *CHAR_CLASSES,
         (F.col("c_mark") + F.col("c_angle")).alias("n_symbols"),
@@ -108,32 +126,26 @@ def _distance(p: str, q: str):
 
 
 def references(hist: DataFrame) -> DataFrame:
-    """At most ``MAX_LANGUAGES`` rows: a language and its mean histograms; the
-    row with a NULL language is the mean over all documents."""
-    good = hist.where(~F.col("base_failed"))
-    n_chars, n_words = len(CHAR_CLASSES) + 1, max(map(len, COMMON_WORDS.values())) + 1
+    """A language and its mean histograms, for every language with enough good documents."""
+    good = hist.where(~F.col("base_failed") & F.col("lang").isNotNull())
+    n_chars, n_words = len(CHAR_CLASSES) + 1, max(N_COMMON, *map(len, COMMON_WORDS.values())) + 1
     means = [F.array(*[F.avg(F.get("chars", F.lit(i))) for i in range(n_chars)]).alias("ref_chars"),
              F.array(*[F.avg(F.get("word_bins", F.lit(i))) for i in range(n_words)]).alias("ref_words"),
              F.count("*").alias("ref_docs")]
-    known = good.where(F.col("lang").isNotNull()).groupBy("lang").agg(*means)
-    known = known.where(F.col("ref_docs") >= MIN_REFERENCE_DOCS).orderBy(F.desc("ref_docs"), "lang").limit(MAX_LANGUAGES - 1)
-    pooled = good.agg(*means).select(F.lit(None).cast("string").alias("lang"), "ref_chars", "ref_words", "ref_docs")
-    return known.unionByName(pooled)
+    return good.groupBy("lang").agg(*means).where(F.col("ref_docs") >= MIN_REFERENCE_DOCS)
 
 
 def judge(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """One row per document: counts, both distances, ``base_failed``, ``kept``."""
-    hist = _histograms(written(base_counts(docs), "quality-counts"))
-    ref = written(references(hist), "quality-reference")   # at most MAX_LANGUAGES rows
-    langs = [r.lang for r in ref.select("lang").collect() if r.lang is not None]
-    key = F.when(F.col("lang").isin(langs), F.col("lang")).otherwise(F.lit("")) if langs else F.lit("")
-    ref = ref.select(F.coalesce("lang", F.lit("")).alias("ref_lang"), "ref_chars", "ref_words")
-    j = hist.withColumn("ref_lang", key).join(F.broadcast(ref), "ref_lang", "left")
+    own = written(common_words(docs), "quality-common-words")
+    hist = _histograms(written(base_counts(docs, None if own.isEmpty() else own), "quality-counts"))
+    ref = written(references(hist), "quality-reference")   # one row a language; Spark broadcasts it while it is small
+    ref = ref.select(F.col("lang").alias("ref_lang"), "ref_chars", "ref_words")
+    j = hist.join(ref, F.col("lang") == F.col("ref_lang"), "left")
     j = j.withColumn("ref_words", F.slice("ref_words", F.lit(1), F.size("word_bins")))
-    j = j.withColumn("char_distance", F.when(F.col("n_words") >= MIN_WORDS, _distance("chars", "ref_chars")))
-    j = j.withColumn("word_distance", F.when(
-        (F.col("n_words") >= MIN_WORDS) & (F.col("ref_lang") != "") & F.col("lang").isin(list(COMMON_WORDS)),
-        _distance("word_bins", "ref_words")))
+    judged = (F.col("n_words") >= MIN_WORDS) & F.col("ref_lang").isNotNull()
+    j = j.withColumn("char_distance", F.when(judged, _distance("chars", "ref_chars")))
+    j = j.withColumn("word_distance", F.when(judged, _distance("word_bins", "ref_words")))
     diverges = (F.coalesce("char_distance", F.lit(0.0)) > max_char) | (F.coalesce("word_distance", F.lit(0.0)) > max_word)
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     (~F.col("base_failed") & ~diverges).alias("kept"), "char_distance", "word_distance",
