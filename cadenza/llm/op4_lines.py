@@ -2,8 +2,9 @@
 
 A line goes if an earlier line of the corpus (by doc_id, then place) is within
 one edit: equal, or one character replaced, added or left out. Both are judged
-on the input, so a line that itself goes can still be the earlier one. Lines
-under ``MIN_CHARS`` characters (white space at the ends doesn't count) stay.
+on the input, so a line that itself goes can still be the earlier one. White
+space at the ends of a line doesn't count. Lines under ``MIN_CHARS`` characters go
+only if they are equal; lines without a word stay.
 
 1. Equal lines meet by hash; the first place of each different line is kept.
 2. Two lines within one edit share their first or their last half, as counted in
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import id_text, packed_texts, small_batches, table, unpack, written
 
-MIN_CHARS = 20
+MIN_CHARS = 20           # of the near step
+EXACT_CHARS = 1          # of the exact step
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -147,10 +149,11 @@ def near_lines(docs: DataFrame, first: DataFrame, min_chars: int = MIN_CHARS) ->
     return near.groupBy("line").agg(F.min("witness").alias("witness"))
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, place) of every line that goes."""
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+    """(doc_id, place) of every line that goes; equal lines from ``exact_chars``
+    characters on (``min_chars`` if not given)."""
     small_batches(docs.sparkSession)
-    places = id_text(docs).mapInArrow(_places(min_chars), "line long, doc_id long, place int")
+    places = id_text(docs).mapInArrow(_places(min_chars if exact_chars is None else exact_chars), "line long, doc_id long, place int")
     first = places.groupBy("line").agg(F.min(F.struct("doc_id", "place")).alias("at"))
     first = written(first.select("line", "at.doc_id", "at.place"), "line-first")
     near = written(near_lines(docs, first, min_chars), "line-near")
@@ -173,10 +176,10 @@ def _cut(batches):
                                           pa.array(n_removed, pa.int64())], [*rest, "text", "n_lines", "n_removed"])
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, rest: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, rest: bool = False, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """doc_id, text without the lines that go, lines with a word, lines removed;
     with ``rest``, the other columns as a struct."""
-    gone = removed_lines(docs, min_chars).groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
+    gone = removed_lines(docs, min_chars, exact_chars).groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), "gone")
     j = packed_texts(docs, rest)
     kind = [f"rest {t}" for n, t in j.dtypes if n == "rest"]
