@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,27 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system: it may idle in the pool for long."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:                     # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with bounded batches, whose workers give memory back at the end of a task."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(task, schema)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: later steps start from files."""
     return materialize(df, name)
@@ -87,13 +111,22 @@ def _filter_positions(col):
     return [(F.pmod(h, F.lit(FILTER_BITS)) + 1).alias(f"at{i}") for i, h in enumerate((F.xxhash64(col), F.xxhash64(col, F.lit(1))))]
 
 
+def bit_filter(places: DataFrame, size: int) -> np.ndarray:
+    """``size`` bits as bytes, with a bit set for every value of the column ``at``
+    (from 0); built by Spark, ``size`` / 8 bytes on the driver."""
+    one = F.col("at") + 1                                     # the bitmap functions count from 1
+    maps = places.groupBy(F.bitmap_bucket_number(one).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
+    bits = np.zeros(size // 8, np.uint8)
+    for row in maps.toLocalIterator():
+        own = np.frombuffer(row.bits, np.uint8)
+        bits[(row.part - 1) * len(own):row.part * len(own)] = own
+    return bits
+
+
 def likely_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id may be in ``ids`` (a Bloom filter of fixed size, so
     a few others may stay; an exact semi join follows). It keeps texts nobody
     wants out of that join's shuffle."""
-    import numpy as np
-    import pyarrow as pa
-
     bit = ids.select(F.explode(F.array(*_filter_positions(F.col("doc_id")))).alias("at"))
     maps = bit.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -120,8 +153,6 @@ def packed_texts(docs: DataFrame, rest: bool = False) -> DataFrame:
     """(doc_id, packed): texts compressed one by one, for steps that must shuffle
     whole texts by document; with ``rest``, also all other columns. NULL text
     packs as empty."""
-    import pyarrow as pa
-
     def run(batches):
         import zstandard
 
