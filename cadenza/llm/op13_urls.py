@@ -72,6 +72,10 @@ def _codes(text):
     return F.array_append(symbols, F.lit(0))
 
 
+def _times(n: int):
+    return lambda x: x * n
+
+
 def _positions(pages: DataFrame) -> DataFrame:
     """One row a symbol: ``code`` instead of ``text``."""
     keep = [c for c in pages.columns if c != "text"]
@@ -80,7 +84,7 @@ def _positions(pages: DataFrame) -> DataFrame:
     # shifted copies added up, not looked up in a lambda: the optimizer may move the array's making into a lambda
     for k in range(ORDER + 1):
         moved = F.concat(zeros[k], symbols, zeros[ORDER - k])
-        part = F.transform(moved, lambda x, k=k: x * _WIDTH ** k) if k else moved
+        part = F.transform(moved, _times(_WIDTH ** k))
         codes = part if codes is None else F.zip_with(codes, part, lambda x, y: x + y)
     s = pages.withColumn("codes", F.slice(codes, F.lit(1), F.size(codes) - ORDER))
     return s.select(*keep, F.explode("codes").alias("code"))
