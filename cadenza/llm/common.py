@@ -54,12 +54,13 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Before Python tasks: ship the package, and bound the rows of an Arrow
-    batch, so that long texts don't fill a task's memory."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Before Python tasks: ship the package, and bound the rows and bytes of an
+    Arrow batch, so that long texts don't fill a task's memory."""
     work_dir(spark)
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def give_back() -> None:
@@ -107,8 +108,8 @@ FILTER_BITS = 1 << 26           # of an id filter: 8 MB on the driver and on eve
 
 
 def _filter_positions(col):
-    """Two places of a value in an id filter, from 1 as the bitmap functions count."""
-    return [(F.pmod(h, F.lit(FILTER_BITS)) + 1).alias(f"at{i}") for i, h in enumerate((F.xxhash64(col), F.xxhash64(col, F.lit(1))))]
+    """Two places of a value in an id filter."""
+    return [F.pmod(h, F.lit(FILTER_BITS)).alias(f"at{i}") for i, h in enumerate((F.xxhash64(col), F.xxhash64(col, F.lit(1))))]
 
 
 def bit_filter(places: DataFrame, size: int) -> np.ndarray:
@@ -123,50 +124,51 @@ def bit_filter(places: DataFrame, size: int) -> np.ndarray:
     return bits
 
 
-def likely_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id may be in ``ids`` (a Bloom filter of fixed size, so
-    a few others may stay; an exact semi join follows). It keeps texts nobody
-    wants out of that join's shuffle."""
+def _pack_column(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with its texts compressed one by one as the last column, ``packed``."""
+    import zstandard
+
+    c = zstandard.ZstdCompressor(level=1)
+    packed = [c.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+    names = [n for n in batch.schema.names if n != "text"]
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(packed, pa.binary())], [*names, "packed"])
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` with its column ``text`` compressed as ``packed`` (NULL as empty), for
+    steps that must shuffle whole texts."""
+    def run(batches):
+        yield from map(_pack_column, batches)
+
+    return map_arrow(df, run, ", ".join([f"{n} {t}" for n, t in df.dtypes if n != "text"] + ["packed binary"]))
+
+
+def packed_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, packed) of the rows whose doc_id may be in ``ids`` (a Bloom filter of
+    fixed size, so a few others may stay; an exact semi join follows). It keeps texts
+    nobody wants out of that join's shuffle. One Python task filters and packs."""
     bit = ids.select(F.explode(F.array(*_filter_positions(F.col("doc_id")))).alias("at"))
-    maps = bit.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in maps.toLocalIterator():            # FILTER_BITS bits in all
-        own = np.frombuffer(row.bits, np.uint8)
-        bits[(row.part - 1) * len(own):row.part * len(own)] = own
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(bit, FILTER_BITS))
 
     def run(batches):
         held = shared.value
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for name in ("at0", "at1"):
-                at = batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64) - 1
+                at = batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
                 keep &= (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
+            yield _pack_column(batch.select(["doc_id", "text"]).filter(pa.array(keep)))
 
-    small_batches(docs.sparkSession)
     placed = id_text(docs).where("doc_id IS NOT NULL")
-    return placed.select("doc_id", "text", *_filter_positions(F.col("doc_id"))).mapInArrow(run, "doc_id long, text string")
+    return map_arrow(placed.select("doc_id", "text", *_filter_positions(F.col("doc_id"))), run, "doc_id long, packed binary")
 
 
 def packed_texts(docs: DataFrame, rest: bool = False) -> DataFrame:
-    """(doc_id, packed): texts compressed one by one, for steps that must shuffle
-    whole texts by document; with ``rest``, also all other columns. NULL text
-    packs as empty."""
-    def run(batches):
-        import zstandard
-
-        for batch in batches:
-            c = zstandard.ZstdCompressor(level=1)
-            packed = [c.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(packed, pa.binary())], [*names, "packed"])
-
-    small_batches(docs.sparkSession)
+    """(doc_id, packed) of every document; with ``rest``, also all other columns as a struct."""
     own = id_text(docs)
     if rest:
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(docs).alias("rest"))
-    return own.mapInArrow(run, ", ".join([f"{n} {t}" for n, t in own.dtypes if n != "text"] + ["packed binary"]))
+    return packed(own)
 
 
 def unpack(value: bytes) -> str:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import kernel
-from cadenza.llm.common import documents, id_text, likely_among, packed_texts, small_batches, unpack, written
+from cadenza.llm.common import documents, id_text, map_arrow, packed_among, unpack, written
 from cadenza.llm.components import components
 
 BUCKETS = 1 << 21               # of shingle counts: 8 MB on every executor
@@ -309,30 +309,30 @@ def _within_families(compared: DataFrame, rule: Rule) -> DataFrame:
     num, den = rule.num, rule.den
     # the majority set: differences that more than half of a family (with its head) have
     size = compared.groupBy("head").agg((F.count("*") + 1).alias("size"))
-    shared = compared.mapInArrow(_spell_out, "head long, gram long, of_head boolean").groupBy("head", "gram", "of_head").agg(F.count("*").alias("n"))
+    shared = map_arrow(compared, _spell_out, "head long, gram long, of_head boolean").groupBy("head", "gram", "of_head").agg(F.count("*").alias("n"))
     flips = shared.join(size, "head").where(2 * F.col("n") > F.col("size")).groupBy("head").agg(
         F.collect_list(F.struct("gram", "of_head")).alias("flips"))
     heads = compared.groupBy("head").agg(F.max("head_n").alias("n")).select(
         F.col("head").alias("cls"), "head", "n", F.lit(0).cast("long").alias("n_added"), F.lit(b"").alias("diff"))
     member = compared.select("cls", "head", "n", "n_added", "diff").unionByName(heads).join(flips, "head", "left")
-    member = written(member.select("cls", "head", "n", "n_added", "diff", "flips").mapInArrow(_recentre(rule), _MEMBER), "family-members")
+    member = written(map_arrow(member.select("cls", "head", "n", "n_added", "diff", "flips"), _recentre(rule), _MEMBER), "family-members")
     z = member.groupBy("head").agg(F.min(F.struct("phi", "cls")).alias("z")).select("head", F.col("z.cls").alias("z"), F.col("z.phi").alias("zphi"))
     z = z.join(member.select(F.col("cls").alias("z"), "head", F.col("n").alias("zn"), F.col("diff").alias("zdiff")), ["head", "z"])
-    member = member.join(z, "head").select("cls", "head", "n", "phi", "diff", "z", "zphi", "zn", "zdiff").mapInArrow(
-        _centre(rule), "cls long, head long, n long, phi long, diff binary, z long, zphi long, linked boolean")
+    member = map_arrow(member.join(z, "head").select("cls", "head", "n", "phi", "diff", "z", "zphi", "zn", "zdiff"), _centre(rule), "cls long, head long, n long, phi long, diff binary, z long, zphi long, linked boolean")
     member = written(member, "family-centres")
     to_centre = member.where("linked AND cls <> z").select(F.col("cls").alias("a"), F.col("z").alias("b"))
-    lists = written(member.mapInArrow(_difference_lists(rule), "head long, gram long, cls long, linked boolean, near boolean"), "differences")
+    lists = written(map_arrow(member, _difference_lists(rule), "head long, gram long, cls long, linked boolean, near boolean"), "differences")
     x, y = lists.alias("x"), lists.alias("y")
     same = [F.col("x.head") == F.col("y.head"), F.col("x.gram") == F.col("y.gram")]
-    mixed = x.where("NOT x.linked").join(y.where("y.linked AND y.near"), same).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    mixed = x.where("NOT x.linked").join(y.where("y.linked AND y.near"), same).select(F.col("x.head").alias("head"), F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     loose = x.where("NOT x.linked AND x.near").join(y.where("NOT y.linked AND y.near"), [*same, F.col("x.cls") < F.col("y.cls")])
-    inside = mixed.unionByName(loose.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))).distinct()
-    da = member.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("diff").alias("da"))
-    db = member.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("diff").alias("db"))
+    inside = mixed.unionByName(loose.select(F.col("x.head").alias("head"), F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))).distinct()
+    # a class may be a member of one family and the head of another: its differences are the family's
+    da = member.select("head", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("diff").alias("da"))
+    db = member.select("head", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("diff").alias("db"))
     fits = F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")
-    inside = inside.join(da, "a").join(db, "b").where(fits).select("a", "b", "na", "nb", "da", "db").mapInArrow(
-        _probe_differences(rule), "a long, b long")
+    inside = inside.join(da, ["head", "a"]).join(db, ["head", "b"]).where(fits).select("a", "b", "na", "nb", "da", "db")
+    inside = map_arrow(inside, _probe_differences(rule), "a long, b long")
     return to_centre.unionByName(inside)
 
 
@@ -351,9 +351,8 @@ def _families(lists: DataFrame) -> DataFrame:
 def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, cls, n of every document; links (a, b) between classes)."""
     spark = docs.sparkSession
-    small_batches(spark)
     text, rule = id_text(docs), Rule(num, den)
-    profile = written(text.mapInArrow(_profile(k), "doc_id long, cls long, n long, chunk int, counts binary"), "shingle-profile")
+    profile = written(map_arrow(text, _profile(k), "doc_id long, cls long, n long, chunk int, counts binary"), "shingle-profile")
     members = profile.where("chunk IS NULL").select("doc_id", "cls", "n")
     if rule.smallest is None:                     # only equal sets link
         return members, members.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
@@ -364,9 +363,10 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     shared = spark.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
 
     # one exchange by shingle serves the lists' heads and the lists
-    postings = text.mapInArrow(_postings(k, rule, shared), "gram long, cls long").repartition("gram")
+    postings = map_arrow(text, _postings(k, rule, shared), "gram long, cls long").repartition("gram")
     met = postings.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("gram", "low")
     lists = written(postings.join(met, "gram").distinct(), "short-lists")
+    shared.destroy()
     sizes = members.groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
     # texts of the classes that may have a partner, from one document each
     # (a partner of a set of n has num n / den shingles at least, and c doesn't fall with the size)
@@ -374,12 +374,13 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     wanted = lists.groupBy("cls").agg(F.count("*").alias("lists")).join(sizes, "cls").where(F.col("lists") >= rule.c_column(smallest))
     wanted = written(wanted.select("cls", "n", "doc_id"), "classes")
     ids = wanted.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    texts = packed_texts(likely_among(docs, ids)).join(ids, "doc_id", "left_semi").mapInArrow(_fetch(k), "cls long, packed binary")
+    # a merge join: the tasks that unpack are others than those that pack
+    texts = map_arrow(packed_among(docs, ids).join(ids.hint("merge"), "doc_id", "left_semi"), _fetch(k), "cls long, packed binary")
     texts = written(texts.dropDuplicates(["cls"]), "class-texts")
     ta = texts.select(F.col("cls").alias("a"), F.col("packed").alias("ta"))
     tb = texts.select(F.col("cls").alias("b"), F.col("packed").alias("tb"))
     member = _families(lists).where("a <> b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-    member = written(member.mapInArrow(_compare(k), "cls long, head long, n long, head_n long, n_added long, diff binary"), "family-compared")
+    member = written(map_arrow(member, _compare(k), "cls long, head long, n long, head_n long, n_added long, diff binary"), "family-compared")
     # pairs of different families, by number of short lists they share
     family = member.select("cls", "head")
     family = wanted.join(family, "cls", "left").select("cls", "n", F.coalesce("head", "cls").alias("head"))
@@ -393,7 +394,7 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("na").alias("na"), F.min("nb").alias("nb"))
     enough = F.col("met") >= F.least(rule.c_column(F.col("na")), rule.c_column(F.col("nb")))
     pairs = written(pairs.where(enough).select("a", "b"), "candidates")
-    across = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_probe(k, rule), "a long, b long")
+    across = map_arrow(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb"), _probe(k, rule), "a long, b long")
     return members, across.unionByName(_within_families(member, rule))
 
 

@@ -2,8 +2,11 @@
 
 Learning, all of it counted over every training document: word counts; every
 word seen ``MIN_COUNT`` times or more is a unit of its own, rarer words belong to
-one of ``TAILS`` units by a hash of their last two bytes, and the end is a unit;
-counts of unit pairs. The exchange clustering starts from units dealt by rank
+one of ``TAILS`` units by a hash of their last two bytes, and the end is a unit.
+Every text is written once as numbers of units, with what its score has that no
+class changes. Unit pairs are counted in the tasks, and travel and are kept as
+packed blocks by part of the units, a block holding all neighbours of its units.
+The exchange clustering starts from units dealt by rank
 and runs as its distributed form does (Uszkoreit and Brants 2008): each worker
 holds the neighbours of a share of the units and a copy of the class map (one
 byte a unit). In each round it sums each unit's neighbours by class and works out
@@ -17,9 +20,9 @@ are interpolated with the class shares (weight ``MU``), the other two have half
 a count added, with one unseen word a tail unit.
 
 Words are numbered by falling count. The ``CACHED`` first come from a broadcast of
-fixed size; the others go through joins with the count table: while pairs are
-counted by the pair, while documents are scored by the document, whose text then
-meets the counts of its own rare words.
+fixed size; a text's other words go through a join with the count table, and come
+back to it by a hash of the text, so that copies, or rows without an id, make no
+group of their own.
 
 Edge cases: NULL or empty text is the end alone. Rows that repeat a doc_id are
 one document: its texts' tokens and scores are added up, each with its own
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import kernel
-from cadenza.llm.common import crc_mod, documents, id_text, packed_texts, small_batches, unpack, written
+from cadenza.llm.common import crc_mod, documents, id_text, map_arrow, packed, unpack, written
 
 MIN_COUNT = 5
 TAILS = 256
@@ -46,6 +49,8 @@ CLASSES = 48
 CACHED = 1 << 18
 TOLERANCE = 1e-3
 MU = 50.0
+PART_TOKENS = 400_000                    # of the training tokens, for each part of the units
+HELD_PAIRS = 2_000_000                   # of a task, before it adds equal ones up
 END = np.uint64(0x5DEECE66D1CE4E5B)      # the end's "word hash"
 
 
@@ -100,40 +105,83 @@ def _with_ends(units: np.ndarray, cut: np.ndarray, end: int) -> tuple[np.ndarray
     return out, cut[:-1] + np.arange(len(cut) - 1)
 
 
-def _count_pairs(shared, n_words: int, all_cached: bool):
-    """(u, v, n) of unit pairs; where open_u or open_v is set, it is the hash of a word that isn't cached."""
-    end = n_words + TAILS
-    names = ["u", "v", "n", "open_u", "open_v"]
+def _pack_pairs(own: np.ndarray, other: np.ndarray, n: np.ndarray) -> bytes:
+    """Unit pairs in order of their own unit, compressed."""
+    import zstandard
 
-    def closed(held):
+    raw = np.diff(own, prepend=0).astype(np.int32).tobytes() + other.astype(np.int32).tobytes() + n.astype(np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpack_pairs(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    m = len(raw) // 16
+    return (np.cumsum(np.frombuffer(raw, np.int32, m), dtype=np.int64), np.frombuffer(raw, np.int32, m, 4 * m),
+            np.frombuffer(raw, np.int64, m, 8 * m))
+
+
+def _by_part(own: np.ndarray, other: np.ndarray, n: np.ndarray, parts: int):
+    """(part, packed pairs) by the part of the own unit, as lists."""
+    order = np.lexsort((other, own, own % parts))
+    own, other, n = own[order], other[order], n[order]
+    part = own % parts
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    last = np.append(first[1:], len(part))
+    return part[first].tolist(), [_pack_pairs(own[a:b], other[a:b], n[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+
+
+def _count_pairs(end: int, parts: int):
+    """(part, 0, packed) pairs of a unit and the next in a document, ends around it, counted in the task."""
+    def flush(held):
         k, n = np.unique(np.concatenate(held), return_counts=True)
-        no = np.zeros(len(k), bool)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k // (end + 1), k % (end + 1), n.astype(np.int64), no, no)], names)
+        part, packed = _by_part(k // (end + 1), k % (end + 1), n, parts)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(packed, pa.binary())], ["part", "packed"])
 
     def run(batches):
-        lookup, held, size = shared.value, [], 0
+        import zstandard
+
+        d, held, size = zstandard.ZstdDecompressor(), [], 0
         for batch in batches:
-            for _, _, h, tail, cut in _hashed(batch.column("text")):
-                units, _, there = lookup.units(h, tail, n_words)
-                is_open = np.zeros(len(h), bool) if all_cached else ~there
-                v, _ = _with_ends(np.where(is_open, h.view(np.int64), units), cut, end)
-                open_v, _ = _with_ends(is_open, cut, False)
-                # an end stands before the first unit too
-                u, open_u = np.concatenate(([end], v[:-1])), np.concatenate(([False], open_v[:-1]))
-                some = open_u | open_v
-                held.append(u[~some] * (end + 1) + v[~some])
+            for raw in batch.column("units").to_pylist():
+                seq = np.concatenate(([end], np.frombuffer(d.decompress(raw), np.int32), [end])).astype(np.int64)
+                held.append(seq[:-1] * (end + 1) + seq[1:])
                 size += len(held[-1])
-                if some.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                        u[some], v[some], np.ones(int(some.sum()), np.int64), open_u[some], open_v[some])], names)
-            if size > 4_000_000:
-                yield closed(held)
-                held, size = [], 0
+                if size > HELD_PAIRS:
+                    yield flush(held)
+                    held, size = [], 0
         if held:
-            yield closed(held)
+            yield flush(held)
+    return run
+
+
+def _merge(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs of several blocks added up, in order."""
+    own, other, n = (np.concatenate(x) for x in zip(*map(_unpack_pairs, blocks), strict=True))
+    order = np.lexsort((other, own))
+    own, other, n = own[order], other[order], n[order]
+    first = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(other, prepend=-1) != 0))
+    return own[first], other[first], np.add.reduceat(n, first)
+
+
+def _followers(parts: int):
+    """A part's pairs added up: whole as (part, after), and turned round, each by the part of its second unit."""
+    def run(group: pa.Table) -> pa.Table:
+        own, other, n = _merge(group.column("packed").to_pylist())
+        part, packed = _by_part(other.astype(np.int64), own, n, parts)
+        here = group.column("part")[0].as_py()
+        return pa.table({"part": pa.array([here, *part], pa.int64()), "after": pa.array([_pack_pairs(own, other, n), *[None] * len(part)], pa.binary()),
+                         "before": pa.array([None, *packed], pa.binary())})
     return run
 
 
+def _both_sides(group: pa.Table) -> pa.Table:
+    after = [x for x in group.column("after").to_pylist() if x is not None]
+    before = _merge([x for x in group.column("before").to_pylist() if x is not None])
+    return pa.table({"after": pa.array(after, pa.binary()), "before": pa.array([_pack_pairs(*before)], pa.binary())})
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
@@ -143,19 +191,22 @@ def _likelihood(pairs: np.ndarray) -> float:
     return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(1)).sum() - _xlogx(pairs.sum(0)).sum())
 
 
-def _class_sums(batch, side: str, classes: np.ndarray) -> np.ndarray:
-    """(rows x classes): each unit's neighbours on one side, by class."""
-    at, n = batch.column(f"{side}_at"), batch.column(f"{side}_n")
-    row = np.repeat(np.arange(len(batch)), at.value_lengths().to_numpy())
-    code = row * CLASSES + classes[at.flatten().to_numpy()]
-    return np.bincount(code, weights=n.flatten().to_numpy(), minlength=len(batch) * CLASSES).reshape(-1, CLASSES)
+def _class_sums(packed: bytes, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(units, units x classes): the neighbours of a part's units on one side, by class."""
+    own, other, n = _unpack_pairs(packed)
+    new = np.diff(own, prepend=-1) != 0
+    code = (np.cumsum(new) - 1) * CLASSES + classes[other]
+    units = own[new]
+    return units, np.bincount(code, weights=n, minlength=len(units) * CLASSES).reshape(-1, CLASSES)
 
 
 def _table_rows(shared):
     def run(batches):
         classes, table = shared.value, np.zeros((CLASSES, CLASSES))
         for batch in batches:
-            np.add.at(table, classes[batch.column("unit").to_numpy()], _class_sums(batch, "after", classes))
+            for packed in batch.column("after").to_pylist():
+                units, sums = _class_sums(packed, classes)
+                np.add.at(table, classes[units], sums)
         i, j = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(table[i, j].astype(np.int64))], ["i", "j", "n"])
     return run
@@ -163,7 +214,7 @@ def _table_rows(shared):
 
 def class_table(near: DataFrame, shared) -> np.ndarray:
     """Counts of class pairs, summed by Spark."""
-    rows = near.select("unit", "after_at", "after_n").mapInArrow(_table_rows(shared), "i long, j long, n long")
+    rows = map_arrow(near.select("after"), _table_rows(shared), "i long, j long, n long")
     out = np.zeros((CLASSES, CLASSES))
     for r in rows.groupBy("i", "j").agg(F.sum("n").alias("n")).collect():     # CLASSES x CLASSES rows
         out[r.i, r.j] = r.n
@@ -196,18 +247,19 @@ def _wishes(shared, table: np.ndarray):
     def run(batches):
         classes = shared.value
         for batch in batches:
-            unit = batch.column("unit").to_numpy()
-            gain = _gains((_class_sums(batch, "after", classes), _class_sums(batch, "before", classes)), classes[unit], table)
-            gain[:, CLASSES - 1] = -np.inf             # the end keeps a class of its own
-            to = gain.argmax(1)
-            move = (gain[np.arange(len(to)), to] > 1e-9) & (unit != len(classes) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array([unit[move].astype(np.int32).tobytes()], pa.binary()),
-                                              pa.array([to[move].astype(np.int8).tobytes()], pa.binary())], ["unit", "best"])
+            for after, before in zip(batch.column("after").to_pylist(), batch.column("before").to_pylist(), strict=True):
+                unit, sums = _class_sums(after, classes)       # every unit has neighbours on both sides, at least an end
+                gain = _gains((sums, _class_sums(before, classes)[1]), classes[unit], table)
+                gain[:, CLASSES - 1] = -np.inf             # the end keeps a class of its own
+                to = gain.argmax(1)
+                move = (gain[np.arange(len(to)), to] > 1e-9) & (unit != len(classes) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([unit[move].astype(np.int32).tobytes()], pa.binary()),
+                                                  pa.array([to[move].astype(np.int8).tobytes()], pa.binary())], ["unit", "best"])
     return run
 
 
 def exchange(near: DataFrame, n_units: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class of every unit, class pair counts); ``near``: each unit's neighbours (unit, after_at, after_n, before_at, before_n)."""
+    """(class of every unit, class pair counts); ``near``: packed neighbours on both sides, a row a part of the units."""
     sc = near.sparkSession.sparkContext
     classes = (np.arange(n_units) % (CLASSES - 1)).astype(np.int8)
     classes[-1] = CLASSES - 1
@@ -216,7 +268,7 @@ def exchange(near: DataFrame, n_units: int) -> tuple[np.ndarray, np.ndarray]:
     best, share, k, wishes = _likelihood(table), 2, 0, None
     while True:
         if wishes is None:
-            found = near.mapInArrow(_wishes(shared, table), "unit binary, best binary").collect()
+            found = map_arrow(near, _wishes(shared, table), "unit binary, best binary").collect()
             wishes = [np.frombuffer(b"".join(bytes(r[i]) for r in found), t) for i, t in ((0, np.int32), (1, np.int8))]
         pick = (wishes[0].astype(np.int64) * 2654435761 + k * 40503) // 64 % share == 0
         k += 1
@@ -240,18 +292,25 @@ def exchange(near: DataFrame, n_units: int) -> tuple[np.ndarray, np.ndarray]:
     return classes, table
 
 
+class Vocabulary:
+    """The most frequent words and what all words need: arrays of fixed size; log10 throughout."""
+
+    def __init__(self, lookup: Lookup, n_words: int, tail_n, tail_v, end_count: int, n: int, v: int):
+        self.lookup, self.n_words, self.end_count, self.n, self.v = lookup, n_words, end_count, n, v
+        self.tail_n = tail_n
+        self.tail = tail_n + 0.5 * (tail_v + 1)    # of each tail unit: its words' denominator
+        self.total = n + 0.5 * (v + 1)
+
+
 class Model:
-    """Arrays of fixed size and the class map; log10 throughout."""
+    """The class map and the tables of class pairs."""
 
-    def __init__(self, lookup: Lookup, n_words: int, classes, table, tail_n, tail_v, n: int, v: int):
-        self.lookup, self.n_words, self.classes, self.n, self.v = lookup, n_words, classes, n, v
+    def __init__(self, vocabulary: Vocabulary, classes, table):
+        self.vocabulary, self.n_words, self.classes, self.n = vocabulary, vocabulary.n_words, classes, vocabulary.n
         size, mass = np.bincount(classes, minlength=CLASSES), table.sum(0)
         share = (mass + 0.5) / (mass.sum() + 0.5 * CLASSES)
         self.step = np.log10((table + MU * share[None, :]) / (table.sum(1)[:, None] + MU))
         self.within = np.log10(mass + 0.5 * size)  # of each class: its units' denominator
-        self.tail_n = tail_n
-        self.tail = tail_n + 0.5 * (tail_v + 1)    # of each tail unit: its words' denominator
-        self.total = n + 0.5 * (v + 1)
 
 
 def numbered(counts: DataFrame) -> DataFrame:
@@ -266,49 +325,35 @@ def numbered(counts: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(parts), "part").select("h", "tail", "c", (F.col("at") + F.col("shift")).alias("number"))
 
 
-def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, the counts of all words (h, tail, c) and their numbers, as written tables."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    text = id_text(docs)
-    counts = text.mapInArrow(_count_words, "h long, tail long, c long").groupBy("h").agg(
-        F.first("tail").alias("tail"), F.sum("c").alias("c"))
+def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame, DataFrame]:
+    """The vocabulary, the counts of all words (h, tail, c) and their numbers, as written tables."""
+    counts = map_arrow(id_text(docs), _count_words, "h long, tail long, c long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
     counts = written(counts.where("c > 0"), "lm-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_words = counts.where((F.col("tail") < TAILS) & (F.col("c") >= MIN_COUNT)).count()
-    end, words = n_words + TAILS, numbered(counts)
+    words = written(numbered(counts), "lm-words")
     top = words.where(F.col("number") < CACHED).select("h", "c", "number").toPandas()
     lookup = Lookup(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), top["number"].to_numpy(np.int64))
     tail_n, tail_v = np.zeros(TAILS), np.zeros(TAILS)
     for r in counts.where((F.col("tail") < TAILS) & (F.col("c") < MIN_COUNT)).groupBy("tail").agg(
             F.sum("c").alias("n"), F.count("*").alias("v")).collect():         # TAILS rows
         tail_n[r.tail], tail_v[r.tail] = r.n, r.v
-    pairs = text.mapInArrow(_count_pairs(spark.sparkContext.broadcast(lookup), n_words, int(total.v) <= CACHED),
-                            "u long, v long, n long, open_u boolean, open_v boolean")
-    pairs = written(pairs, "lm-pairs")
-    unit = F.when(F.col("number") < n_words, F.col("number")).otherwise(F.col("tail") + n_words)
-    rare = words.where(F.col("number") >= CACHED).select("h", unit.alias("unit"))
-    for side, other in (("u", "v"), ("v", "u")):
-        opened = pairs.where(f"open_{side}").join(rare, F.col(side) == F.col("h")).select(
-            F.col("unit").alias(side), other, "n", F.lit(False).alias(f"open_{side}"), f"open_{other}")
-        pairs = pairs.where(f"NOT open_{side}").unionByName(opened)
-    pairs = written(pairs.groupBy("u", "v").agg(F.sum("n").alias("n")).select(F.col("u").cast("int"), F.col("v").cast("int"), "n"), "lm-unit-pairs")
-    sides = [pairs.groupBy(F.col(own).alias("unit")).agg(F.collect_list(F.struct(F.col(other).alias("at"), "n")).alias("x")).select(
-        "unit", F.col("x.at").alias(f"{name}_at"), F.col("x.n").alias(f"{name}_n"))
-        for own, other, name in (("u", "v", "after"), ("v", "u", "before"))]
-    near = written(sides[0].join(sides[1], "unit"), "lm-neighbours")   # each unit has neighbours on both sides, at least an end
-    classes, table = exchange(near, end + 1)
-    return Model(lookup, n_words, classes, table, tail_n, tail_v, int(total.n or 0), int(total.v)), counts, words
+    end = counts.where(F.col("tail") == TAILS).first()
+    return Vocabulary(lookup, n_words, tail_n, tail_v, int(end.c) if end else 0, int(total.n or 0), int(total.v)), counts, words
 
 
-_ROW = "doc_id long, n_tokens long, n_known long, base double, score double"
+_SEQUENCE = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emit double, units binary"
 
 
-def _scored(shared, end_count: int):
-    """Scores of texts; ``found`` has the words of the document that the broadcast hasn't."""
+def _encode(shared):
+    """A document's units and what its score has that no class changes: the base
+    score, and log10 of every token's count in its unit and of its unit's count.
+    ``found`` has the words of the document that the broadcast hasn't."""
     def run(batches):
-        m = shared.value
-        end = m.n_words + TAILS
+        import zstandard
+
+        vocab, z = shared.value, zstandard.ZstdCompressor(level=1)
+        n_words, end = vocab.n_words, math.log10(vocab.end_count + 0.5)
         for batch in batches:
             text, more = batch.column("text") if "text" in batch.schema.names else pa.array(
                 [unpack(x) for x in batch.column("packed").to_pylist()], pa.string()), None
@@ -316,26 +361,79 @@ def _scored(shared, end_count: int):
                 f = batch.column("found").flatten()
                 h, first = np.unique(f.field("h").to_numpy().view(np.uint64), return_index=True)
                 more = Lookup(h, f.field("c").to_numpy()[first], f.field("number").to_numpy()[first])
-            out = []
-            for _, _, h, tail, cut in _hashed(text):
-                units, c, there = m.lookup.units(h, tail, m.n_words)
+            for lo, m, h, tail, cut in _hashed(text):
+                units, c, there = vocab.lookup.units(h, tail, n_words)
                 if more is not None:
-                    units_, c_, there_ = more.units(h, tail, m.n_words)
+                    units_, c_, there_ = more.units(h, tail, n_words)
                     units, c, there = np.where(there, units, units_), np.where(there, c, c_), there | there_
-                seq, first = _with_ends(units, cut, end)
-                cls = m.classes[seq]
-                rare = units >= m.n_words
-                of_tail = np.where(rare, units - m.n_words, 0)
-                mass = np.where(rare, m.tail_n[of_tail], c)
-                emit = np.log10(_with_ends(mass, cut, end_count)[0] + 0.5) - m.within[cls]
-                lp = m.step[np.concatenate(([m.classes[end]], cls[:-1])), cls] + emit
-                inside = np.where(rare, np.log10((c + 0.5) / m.tail[of_tail]), 0.0)
-                sums = [_per_document(x, cut) for x in (there.astype(np.int64), np.log10((c + 0.5) / m.total), inside)]
-                out.append((np.diff(cut) + 1, sums[0] + (end_count > 0), sums[1] + math.log10((end_count + 0.5) / m.total),
-                            np.add.reduceat(lp, first) + sums[2]))
-            if out:
-                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, cols)], [c.split()[0] for c in _ROW.split(", ")])
+                rare = units >= n_words
+                of_tail = np.where(rare, units - n_words, 0)
+                own = np.log10(np.where(rare, vocab.tail_n[of_tail], c) + 0.5) + np.where(rare, np.log10((c + 0.5) / vocab.tail[of_tail]), 0.0)
+                units = units.astype(np.int32)
+                packed = [z.compress(units[a:b].tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                columns = [np.diff(cut) + 1, _per_document(there.astype(np.int64), cut) + (vocab.end_count > 0),
+                           _per_document(np.log10((c + 0.5) / vocab.total), cut) + end - math.log10(vocab.total), _per_document(own, cut) + end]
+                yield pa.RecordBatch.from_arrays([batch.column(x).slice(lo, m) for x in ("doc_id", "held_out")] + [*map(pa.array, columns), pa.array(packed, pa.binary())],
+                                                 [c.split()[0] for c in _SEQUENCE.split(", ")])
+    return run
+
+
+def encode(docs: DataFrame, vocab: Vocabulary, words: DataFrame) -> DataFrame:
+    """Every row's text as numbers of units, written; ``docs``: doc_id, text, held_out."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    if vocab.v <= CACHED:
+        return written(map_arrow(docs, _encode(shared), _SEQUENCE), "lm-sequences")
+    # texts meet the counts of their own rare words by the text, so copies and rows without an id are no group
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+    found = map_arrow(docs.select(key, "text"), _other_words(shared), "key long, h long").join(
+        words.where(F.col("number") >= CACHED).select("h", "c", "number"), "h")
+    found = found.groupBy(F.col("key").alias("found_key")).agg(F.collect_set(F.struct("h", "c", "number")).alias("found"))
+    # a merge join: the tasks that unpack are others than those that pack
+    joined = packed(docs.select("doc_id", "held_out", key, "text")).join(found.hint("merge"), F.col("key") == F.col("found_key"), "left")
+    joined = joined.select("doc_id", "held_out", "packed", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
+    return written(map_arrow(joined, _encode(shared), _SEQUENCE), "lm-sequences")
+
+
+def fit(sequences: DataFrame, vocab: Vocabulary) -> Model:
+    """The classes of all units, from the sequences that aren't held out."""
+    end = vocab.n_words + TAILS
+    parts = max(1, -(-vocab.n // PART_TOKENS))
+    pairs = map_arrow(sequences.where("NOT held_out").select("units"), _count_pairs(end, parts), "part long, packed binary")
+    near = pairs.groupBy("part").applyInArrow(_followers(parts), "part long, after binary, before binary")
+    near = near.groupBy("part").applyInArrow(_both_sides, "after binary, before binary")
+    return Model(vocab, *exchange(written(near, "lm-neighbours"), end + 1))
+
+
+def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the counts of all words (h, tail, c) and their numbers, as written tables."""
+    vocab, counts, words = vocabulary(docs)
+    return fit(encode(_marked(docs), vocab, words), vocab), counts, words
+
+
+def _marked(docs: DataFrame, held=None) -> DataFrame:
+    return id_text(docs).withColumn("held_out", F.lit(False) if held is None else held)
+
+
+_ROW = "doc_id long, n_tokens long, n_known long, base double, score double"
+
+
+def _scored(shared):
+    def run(batches):
+        import zstandard
+
+        (n_words, classes, step, within), d = shared.value, zstandard.ZstdDecompressor()
+        end = n_words + TAILS
+        for batch in batches:
+            units = [np.frombuffer(d.decompress(x), np.int32) for x in batch.column("units").to_pylist()]
+            if not units:
+                continue
+            cut = np.concatenate(([0], np.cumsum([len(u) for u in units])))
+            seq, first = _with_ends(np.concatenate(units), cut, end)
+            cls = classes[seq]
+            lp = step[np.concatenate(([classes[end]], cls[:-1])), cls] - within[cls]
+            score = np.add.reduceat(lp, first) + batch.column("emit").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "base")), pa.array(score)],
+                                             [c.split()[0] for c in _ROW.split(", ")])
     return run
 
 
@@ -346,45 +444,40 @@ def _per_document(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def _other_words(shared):
-    """(doc_id, word) of the words that aren't cached, once a text."""
+    """(key, word) of the words that aren't cached, once a text."""
     def run(batches):
-        m = shared.value
+        lookup = shared.value.lookup
         for batch in batches:
-            ids = batch.column("doc_id")
+            keys = batch.column("key")
             for lo, _, h, _, cut in _hashed(batch.column("text")):
-                at = np.flatnonzero(~m.lookup.find(h)[1])
+                at = np.flatnonzero(~lookup.find(h)[1])
                 doc = np.searchsorted(cut, at, "right") - 1
                 order = np.lexsort((h[at], doc))
                 at, doc = at[order], doc[order]
                 new = np.ones(len(at), bool)
                 new[1:] = (h[at[1:]] != h[at[:-1]]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + doc[new])), pa.array(kernel.signed(h[at[new]]))], ["doc_id", "h"])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(lo + doc[new])), pa.array(kernel.signed(h[at[new]]))], ["key", "h"])
     return run
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, words: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    small_batches(spark)
-    text = id_text(docs)
-    shared = spark.sparkContext.broadcast(model)
-    end = counts.where(F.col("tail") == TAILS).first()
-    if model.v > CACHED:
-        found = text.mapInArrow(_other_words(shared), "doc_id long, h long").join(
-            words.where(F.col("number") >= CACHED).select("h", "c", "number"), "h")
-        found = found.groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_list(F.struct("h", "c", "number")).alias("found"))
-        text = packed_texts(docs).join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select(
-            "doc_id", "packed", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
-    out = text.mapInArrow(_scored(shared, int(end.c) if end else 0), _ROW).groupBy("doc_id").agg(
+def score_sequences(sequences: DataFrame, model: Model) -> DataFrame:
+    shared = sequences.sparkSession.sparkContext.broadcast((model.n_words, model.classes, model.step, model.within))
+    out = map_arrow(sequences, _scored(shared), _ROW).groupBy("doc_id").agg(
         *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
                       F.col("base").alias("base_score"), "score")
 
 
+def score(docs: DataFrame, model: Model, counts: DataFrame, words: DataFrame) -> DataFrame:
+    return score_sequences(encode(_marked(docs), model.vocabulary, words), model)
+
+
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))
-    model, counts, words = learn(docs.where(~held))
-    scored = score(docs, model, counts, words)
+    vocab, _, words = vocabulary(docs.where(~held))
+    sequences = encode(_marked(docs, held), vocab, words)
+    scored = score_sequences(sequences, fit(sequences, vocab))
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
                          perplexity.alias("perplexity"))

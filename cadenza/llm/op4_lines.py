@@ -17,122 +17,207 @@ only if they are equal; lines without a word stay.
    minimum only: no pairs, and groups of any size are summed before the shuffle.
 4. The edit distance of each line to its witness is verified on the texts.
 
+Lines, halves and variants are hashed block by block on the bytes or code points
+of whole Arrow columns. Where a step needs few of the lines, a filter of fixed
+size over their hashes keeps the others in the task; an exact join follows.
+
+The bound is one edit: a line of n characters has n variants then, but n (n - 1) / 2
+for two edits (45,000 rows for 300 characters).
+
 Edge cases: NULL or empty text has no lines to remove and stays as it is. Rows
 that repeat a doc_id share their places: equal lines in equal places are ties
-and all stay. A NULL doc_id sorts first. An empty table gives an empty result.
+and all stay. A NULL doc_id sorts first, and all rows without one share their
+places too. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import id_text, packed_texts, small_batches, table, unpack, written
+from cadenza.llm import kernel
+from cadenza.llm.common import bit_filter, id_text, map_arrow, packed_texts, table, unpack, written
 
 MIN_CHARS = 20           # of the near step
 EXACT_CHARS = 1          # of the exact step
+FILTER_BITS = 1 << 26    # of a filter over hashes: 8 MB
 _SPACE = " \t\n\x0b\x0c\r"
-
-
-def _hash(s: str) -> int:
-    h = xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
-def _lines(text: str, min_chars: int):
-    """(place, line) of the lines that take part."""
-    for k, line in enumerate(text.split("\n")):
-        line = line.strip(_SPACE)
-        if len(line) >= min_chars:
-            yield k, line
-
-
-def _batch(rows: list[tuple], types: dict) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(types)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
-
-
-def _places(min_chars: int):
-    """(line hash, doc_id, place) of every line; with ``doc_id`` and place packed as read."""
-    types = {"line": pa.int64(), "doc_id": pa.int64(), "place": pa.int32()}
-
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[ord(c) for c in _SPACE]] = True
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _places_of(col):
+    """By block: (row, place, start, end) of every line with a word, its white space
+    at the ends left off, the block's bytes, and the code points before each byte."""
+    for lo, _, data, offs in kernel.blocks(col):
+        word = np.flatnonzero(~_IS_SPACE[data])
+        if not len(word):
+            continue
+        breaks = np.flatnonzero(data == 0x0A)
+        # a word's byte belongs to the line behind so many breaks of its document
+        line = np.searchsorted(breaks, word)
+        doc = np.searchsorted(offs, word, "right") - 1
+        first = np.flatnonzero((np.diff(line, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        start, end = word[first], word[np.append(first[1:], len(word)) - 1] + 1
+        doc = doc[first]
+        place = line[first] - np.searchsorted(breaks, offs[doc])
+        points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        # the last byte of a line may be inside a character: none is, as all separators are ASCII
+        yield lo + doc, place, start, end, data, points
+
+
+def _bits(hashes: DataFrame, name: str):
+    """A broadcast filter of a column of hashes."""
+    mask = F.lit(FILTER_BITS - 1)
+    at = F.explode(F.array(F.col(name).bitwiseAND(mask), F.shiftrightunsigned(name, 30).bitwiseAND(mask))).alias("at")
+    return hashes.sparkSession.sparkContext.broadcast(bit_filter(hashes.select(at), FILTER_BITS))
+
+
+def _likely(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(h), bool)
+    for at in (h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(30)) & np.uint64(FILTER_BITS - 1)):
+        keep &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return keep
+
+
+def _columns(names: str, *arrays) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(kernel.signed(a) if a.dtype == np.uint64 else a) for a in arrays],
+                                      names.split())
+
+
+def _places(min_chars: int, shared=None):
+    """(line hash, doc_id, place) of every line; with ``shared``, of those its filter holds."""
     def run(batches):
         for batch in batches:
-            yield _batch([(_hash(line), d, k) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
-                          for k, line in _lines(t or "", min_chars)], types)
+            ids = batch.column("doc_id")
+            for row, place, start, end, data, points in _places_of(batch.column("text")):
+                keep = points[end] - points[start] >= min_chars
+                h = kernel.span_hash(data, start[keep], end[keep])
+                row, place = row[keep], place[keep]
+                if shared is not None:
+                    keep = _likely(shared.value, h)
+                    h, row, place = h[keep], row[keep], place[keep]
+                yield _columns("line doc_id place", h, ids.take(pa.array(row)), place.astype(np.int32))
     return run
 
 
-def halves(line: str):
-    """(key, side) for the line as the shorter and as the longer of a pair; side
+def _halves(data: np.ndarray, points: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """(key, side) of every line, as the shorter and as the longer of a pair; side
     0: the first half is equal, so the edit is in the rest; 1: the other way."""
-    n = len(line)
-    for m in (n, n - 1):
+    heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    first, n = points[start], points[end] - points[start]
+    for less in (0, 1):
+        m = n - less
         q = m // 2
-        yield _hash(f"{m}<{line[:q]}"), 0
-        yield _hash(f"{m}>{line[n - q:]}"), 1
+        salt = kernel.mix(m.astype(np.uint64) * _STEP + np.uint64(1))
+        yield kernel.mix(kernel.span_hash(data, start, heads[first + q]) ^ salt), 0
+        yield kernel.mix(kernel.span_hash(data, heads[first + n - q], end) ^ ~salt), 1
+
 
+def _keys(min_chars: int, shared=None):
+    """(key, line, side) of every line, once a block; with ``shared``, of the keys its filter holds."""
+    def run(batches):
+        for batch in batches:
+            for _, _, start, end, data, points in _places_of(batch.column("text")):
+                keep = points[end] - points[start] >= min_chars
+                start, end = start[keep], end[keep]
+                h, first = np.unique(kernel.span_hash(data, start, end), return_index=True)
+                if not len(h):
+                    continue
+                for key, side in _halves(data, points, start[first], end[first]):
+                    keep = slice(None) if shared is None else _likely(shared.value, key)
+                    yield _columns("key line side", key[keep], h[keep], np.full(len(h[keep]), side, np.int32))
+    return run
 
-def _keys(min_chars: int):
-    types = {"key": pa.int64(), "line": pa.int64(), "side": pa.int32()}
 
+def _texts(min_chars: int, shared):
+    """(line, doc_id, place, text): of every line that the filter holds, the first place in the batch."""
     def run(batches):
         for batch in batches:
-            lines = {line for t in batch.column("text").to_pylist() for _, line in _lines(t or "", min_chars)}
-            yield _batch([(key, h, side) for line in lines for h in (_hash(line),) for key, side in halves(line)], types)
+            rows = []
+            ids = batch.column("doc_id")
+            none = ids.is_null().to_numpy(zero_copy_only=False)
+            order = ids.fill_null(0).to_numpy()
+            for row, place, start, end, data, points in _places_of(batch.column("text")):
+                keep = points[end] - points[start] >= min_chars
+                row, place, start, end = row[keep], place[keep], start[keep], end[keep]
+                h = kernel.span_hash(data, start, end)
+                keep = np.flatnonzero(_likely(shared.value, h))
+                if not len(keep):
+                    continue
+                keep = keep[np.lexsort((place[keep], order[row[keep]], ~none[row[keep]], h[keep]))]
+                keep = keep[np.diff(h[keep], prepend=h[keep][0] + np.uint64(1)) != 0]
+                raw = data.tobytes()
+                rows.append(_columns("line doc_id place text", h[keep], ids.take(pa.array(row[keep])), place[keep].astype(np.int32), pa.array(
+                    [raw[a:b].decode() for a, b in zip(start[keep].tolist(), end[keep].tolist(), strict=True)], pa.string())))
+            yield from rows
     return run
 
 
-def variants(line: str, sides: set[int]):
-    """(hash, position) of the line with one character left out, in the halves
-    that may differ, and of the whole line (position -1)."""
-    n = len(line)
+def variant_hashes(lines: list[str], sides: list[set[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the line, position, hash): of every line whole (position -1) and
+    with one character left out, in the halves that may differ."""
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    first = np.concatenate(([0], np.cumsum(n)))
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    row = np.repeat(np.arange(len(lines)), n)
+    at = np.arange(len(points)) - first[row]
+    up = np.full(int(n.max(initial=0)) + 1, _BASE, np.uint64)
+    up[0] = 1
+    up = np.multiply.accumulate(up)[at]
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(points * up, dtype=np.uint64)))
+    whole = total[first[1:]] - total[first[:-1]]
+    before = total[:-1] - total[first[row]]
+    after = (whole[row] - before - points * up) * np.uint64(pow(int(_BASE), -1, 1 << 64))
+    left = kernel.mix((before + after) ^ (n[row] - 1).astype(np.uint64) * _STEP)
     q = (n - 1) // 2
-    at = range(q, n) if sides == {0} else range(0, n - q) if sides == {1} else range(n)
-    yield _hash(line), -1
-    for p in at:
-        yield _hash(line[:p] + line[p + 1:]), p
+    low = np.array([s == {0} for s in sides], bool)
+    high = np.array([s == {1} for s in sides], bool)
+    keep = np.where(low[row], at >= q[row], True) & np.where(high[row], at < (n - q)[row], True)
+    every = np.arange(len(lines))
+    return (np.concatenate((every, row[keep])), np.concatenate((np.full(len(lines), -1), at[keep])),
+            np.concatenate((kernel.mix(whole ^ n.astype(np.uint64) * _STEP), left[keep])))
 
 
-def _emit(min_chars: int):
-    """For the wanted lines of a document: the text (kind 0) and the variants (kind 1)."""
-    types = {"kind": pa.int32(), "variant": pa.int64(), "position": pa.int32(), "line": pa.int64(), "doc_id": pa.int64(),
-             "place": pa.int32(), "text": pa.string()}
-
-    def run(batches):
-        for batch in batches:
-            for d, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "wanted")), strict=True):
-                want = {w["place"]: (w["line"], set(w["sides"])) for w in wanted}
-                rows = []
-                for k, line in _lines(unpack(packed), min_chars):
-                    if k not in want or _hash(line) != want[k][0]:
-                        continue
-                    h, sides = want[k]
-                    rows.append((0, 0, 0, h, d, k, line))
-                    rows += [(1, v, p, h, d, k, None) for v, p in variants(line, sides)]
-                    if len(rows) > 100_000:
-                        yield _batch(rows, types)
-                        rows = []
-                if rows:
-                    yield _batch(rows, types)
-    return run
+def _variants(batches):
+    """(variant, position, line, doc_id, place) of every wanted line, some 100,000 characters at a time."""
+    for batch in batches:
+        texts, sides = batch.column("text").to_pylist(), batch.column("sides").to_pylist()
+        h, ids, place = batch.column("line"), batch.column("doc_id"), batch.column("place")
+        lo, held = 0, 0
+        for i, t in enumerate(texts):
+            held += len(t)
+            if held > 100_000 or i == len(texts) - 1:
+                row, at, v = variant_hashes(texts[lo:i + 1], [set(s) for s in sides[lo:i + 1]])
+                take = pa.array(lo + row)
+                yield _columns("variant position line doc_id place", v, at.astype(np.int32), h.take(take), ids.take(take), place.take(take))
+                lo, held = i + 1, 0
 
 
 def near_lines(docs: DataFrame, first: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(line, witness): different lines with an earlier one within one edit."""
     text = id_text(docs)
-    keys = text.mapInArrow(_keys(min_chars), "key long, line long, side int")
-    shared = keys.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
+    kind = "key long, line long, side int"
+    shared = map_arrow(text, _keys(min_chars), kind).groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b"))
+    shared = written(shared.where("a <> b").select("key"), "line-halves")
+    bits = _bits(shared, "key")
+    keys = map_arrow(text, _keys(min_chars, bits), kind)
     wanted = keys.join(shared, "key", "left_semi").groupBy("line").agg(F.collect_set("side").alias("sides"))
-    wanted = wanted.join(first, "line").groupBy("doc_id").agg(F.collect_list(F.struct("place", "line", "sides")).alias("wanted"))
-    found = packed_texts(docs).join(wanted, "doc_id").mapInArrow(
-        _emit(min_chars), "kind int, variant long, position int, line long, doc_id long, place int, text string")
-    found = written(found, "line-variants")
-    texts = found.where("kind = 0").groupBy("line").agg(F.first("text").alias("text"))
+    wanted = written(wanted.join(first, "line").select("line", "doc_id", "place", "sides"), "line-wanted")
+    bits.destroy()
+    bits = _bits(wanted, "line")
+    # every task sends the first place it saw; the join on line, doc_id and place keeps the corpus's first
+    texts = map_arrow(text, _texts(min_chars, bits), "line long, doc_id long, place int, text string")
+    w = wanted.select(F.col("line").alias("wl"), F.col("doc_id").alias("wd"), F.col("place").alias("wp"), "sides")
+    texts = texts.join(w.hint("merge"), (F.col("line") == F.col("wl")) & F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("place") == F.col("wp")))
+    texts = written(texts.select("line", "doc_id", "place", "sides", "text").dropDuplicates(["line"]), "line-texts")
+    bits.destroy()
     # one exchange by variant serves the groups and the joins
-    v = found.where("kind = 1").select("variant", "position", "line", "doc_id", "place").repartition("variant")
+    v = map_arrow(texts, _variants, "variant long, position int, line long, doc_id long, place int").repartition("variant")
     at = F.struct("doc_id", "place", "line")
     groups = v.groupBy("variant", "position").agg(F.min(at).alias("top"), F.max("line").alias("hi"), F.min("line").alias("lo"))
     groups = groups.where("position >= 0 AND lo <> hi").select(F.col("variant").alias("gv"), F.col("position").alias("gp"), "top")
@@ -145,20 +230,23 @@ def near_lines(docs: DataFrame, first: DataFrame, min_chars: int = MIN_CHARS) ->
                  "line", F.col("top.line").alias("witness"))]
     pairs = later[0].unionByName(later[1]).unionByName(later[2]).where("line <> witness").distinct()
     a, b = texts.select("line", F.col("text").alias("a")), texts.select(F.col("line").alias("witness"), F.col("text").alias("b"))
-    near = pairs.join(a, "line").join(b, "witness").where("levenshtein(a, b) <= 1")
+    near = pairs.join(a, "line").join(b, "witness").where(F.levenshtein("a", "b", 1) >= 0)
     return near.groupBy("line").agg(F.min("witness").alias("witness"))
 
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, place) of every line that goes; equal lines from ``exact_chars``
     characters on (``min_chars`` if not given)."""
-    small_batches(docs.sparkSession)
-    places = id_text(docs).mapInArrow(_places(min_chars if exact_chars is None else exact_chars), "line long, doc_id long, place int")
-    first = places.groupBy("line").agg(F.min(F.struct("doc_id", "place")).alias("at"))
-    first = written(first.select("line", "at.doc_id", "at.place"), "line-first")
+    least, kind = max(1, min_chars if exact_chars is None else exact_chars), "line long, doc_id long, place int"
+    at = F.struct("doc_id", "place")
+    first = map_arrow(id_text(docs), _places(least), kind).groupBy("line").agg(F.min(at).alias("at"), F.max(at).alias("last"))
+    first = written(first.select("line", "at.doc_id", "at.place", (F.col("at") < F.col("last")).alias("again")), "line-first")
     near = written(near_lines(docs, first, min_chars), "line-near")
-    f = first.join(near.select("line", F.lit(True).alias("near")), "line", "left").select(
-        "line", F.struct("doc_id", "place").alias("first_at"), F.coalesce("near", F.lit(False)).alias("near"))
+    # only lines in several places, and near ones, can go
+    f = first.join(near.select("line", F.lit(True).alias("near")), "line", "left").where("again OR near").select(
+        "line", at.alias("first_at"), F.coalesce("near", F.lit(False)).alias("near"))
+    f = written(f, "line-gone")
+    places = map_arrow(id_text(docs), _places(least, _bits(f, "line")), kind)
     gone = places.join(f, "line").where("near OR first_at < struct(doc_id, place)")
     return gone.select("doc_id", "place").distinct()
 
@@ -183,8 +271,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, rest: bool = False,
     gone = gone.select(F.col("doc_id").alias("gone_id"), "gone")
     j = packed_texts(docs, rest)
     kind = [f"rest {t}" for n, t in j.dtypes if n == "rest"]
-    j = j.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").drop("gone_id")
-    return j.mapInArrow(_cut, ", ".join(["doc_id long", *kind, "text string, n_lines long, n_removed long"]))
+    # a merge join: the tasks that unpack are others than those that pack
+    j = j.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").drop("gone_id")
+    return map_arrow(j, _cut, ", ".join(["doc_id long", *kind, "text string, n_lines long, n_removed long"]))
 
 
 def clean_documents(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -57,15 +57,15 @@ def test_jaccard_components(docs, rows, k, num, den):
     assert got == {i: (len(sets[i]), root[i]) for i in sets}
 
 
-def test_likely_among_loses_no_wanted_id(spark, docs, rows):
-    from cadenza.llm.common import likely_among
+def test_packed_among_loses_no_wanted_id(spark, docs, rows):
+    from cadenza.llm.common import packed_among, unpack
     wanted = {i for i, _ in rows if i % 3 == 0} | {-7}
     more = docs.unionByName(spark.createDataFrame([(-7, "minus"), (None, "no id")], docs.schema))
-    got = {r.doc_id: r.text for r in likely_among(more, spark.createDataFrame([(i,) for i in wanted], "doc_id long")).collect()}
+    got = {r.doc_id: unpack(r.packed) for r in packed_among(more, spark.createDataFrame([(i,) for i in wanted], "doc_id long")).collect()}
     texts = dict(rows) | {-7: "minus"}
     assert wanted <= set(got) and None not in got and len(got) < len(wanted) + 5
     assert all(texts[i] == t for i, t in got.items())
-    assert not likely_among(docs, spark.createDataFrame([], "doc_id long")).collect()
+    assert not packed_among(docs, spark.createDataFrame([], "doc_id long")).collect()
 
 
 def test_substrings(docs, rows):
