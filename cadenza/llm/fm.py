@@ -1,6 +1,6 @@
 """A compressed FM-index over whole-number symbols, queried for many patterns at once.
 
-The rows are suffixes sorted by their first ``DEPTH`` symbols, which is enough
+The rows are suffixes sorted by their first ``depth`` symbols, which is enough
 for patterns up to that length: an interval's ends always lie between suffixes
 that differ within the pattern. Occurrences are counted in a wavelet matrix whose
 levels are bit vectors with one running count for every 64 bits.
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 
-DEPTH = 16
 
 
 class Bits:
@@ -30,12 +29,13 @@ class Bits:
 
 
 class FMIndex:
-    def __init__(self, text: np.ndarray):
-        """``text``: symbols from 0; 0 separates and is never looked for."""
+    def __init__(self, text: np.ndarray, depth: int):
+        """``text``: symbols from 0; 0 separates and is never looked for; ``depth``: of the longest pattern."""
+        self.depth = depth
         n = len(text)
         rank = text.astype(np.int64)
         width = 1
-        while width < DEPTH:
+        while width < depth:
             after = np.zeros(n, np.int64)
             after[:n - width] = rank[width:] + 1
             keys, rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + after, return_inverse=True)
@@ -76,6 +76,8 @@ class FMIndex:
         once. A pattern is dropped when only one row is left: that is itself.
         Gives the starts still matched at full length and their row intervals."""
         active = start
+        if length > self.depth:
+            raise ValueError(f"the index is sorted by {self.depth} symbols, not {length}")
         s = text[active + length - 1]
         lo, hi = self.first[s], self.first[s + 1]
         for j in range(length - 2, -1, -1):

@@ -62,18 +62,15 @@ def base_counts(docs: DataFrame, own: DataFrame | None = None) -> DataFrame:
     d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"), *carry)
     d = d.withColumn("words", F.array_remove(F.split("text", SPACES), ""))
     d = d.withColumn("n_words", F.size("words").cast("long"))
-    # three-word windows as hashes; bits below 26 then hold the position
+    # three-word windows as hashes, in order of hash and place
     d = d.withColumn("grams", F.expr(
         "CASE WHEN n_words >= 3 THEN transform(slice(words, 1, size(words) - 2),"
         " (w, i) -> xxhash64(w, get(words, i + 1), get(words, i + 2))) ELSE array() END"))
     d = d.withColumn("repeats", F.expr("size(array_distinct(grams)) < size(grams)"))
-    d = d.withColumn("packed", F.expr(
-        "CASE WHEN repeats THEN sort_array(transform(grams, (h, i) -> shiftleft(h, 26) | cast(i AS bigint))) END"))
+    d = d.withColumn("sorted", F.expr("CASE WHEN repeats THEN sort_array(transform(grams, (h, i) -> named_struct('h', h, 'i', i))) END"))
     d = d.withColumn("hits", F.expr(
-        "CASE WHEN repeats THEN sort_array(transform(filter(packed, (x, i) ->"
-        " get(grams, cast(x & 67108863 AS int)) <=> get(grams, cast(get(packed, i - 1) & 67108863 AS int))"
-        " OR get(grams, cast(x & 67108863 AS int)) <=> get(grams, cast(get(packed, i + 1) & 67108863 AS int))),"
-        " x -> cast(x & 67108863 AS int))) END"))
+        "CASE WHEN repeats THEN sort_array(transform(filter(sorted, (x, i) ->"
+        " x.h <=> get(sorted, i - 1).h OR x.h <=> get(sorted, i + 1).h), x -> x.i)) END"))
     repeat_words = F.expr(
         "CASE WHEN repeats THEN aggregate(transform(hits, (p, i) ->"
         " least(3, coalesce(get(hits, i + 1), p + 3) - p)), 0, (a, x) -> a + x) ELSE 0 END")

@@ -208,7 +208,7 @@ def _search(keys: list[bytes], docs: list[int], texts: list[list[bytes]], length
     owner = np.repeat(np.array(docs, np.int64), n + 1)
     windows = n - length + 1
     start = np.repeat(head, windows) + np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    index = FMIndex(text)
+    index = FMIndex(text, length)
     found, lo, hi = index.matches(text, start, length)
     low = owner[start]                               # by place of the window
     if len(found):

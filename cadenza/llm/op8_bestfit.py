@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import documents, id_text, small_batches, written
+from cadenza.llm.common import documents, id_text, map_arrow, written
 
 CAPACITY = 2048
 GROUP = 20_000
@@ -52,15 +52,17 @@ def _tokenise(capacity: int, path: str | None):
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return id_text(docs).mapInArrow(_tokenise(capacity, path), _PIECES)
+    return map_arrow(id_text(docs), _tokenise(capacity, path), _PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The largest bound of the dual-feasible functions on these lengths."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity) if len(lengths) else 0
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same from the number of pieces of each length from 0 to ``capacity``."""
+    count = count.astype(np.int64)
     size = np.arange(capacity + 1)
     total = count * size
     up_count, up_total = np.cumsum(count[::-1])[::-1], np.cumsum(total[::-1])[::-1]
@@ -106,12 +108,12 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return of, offset, np.array(fill, np.int64)
 
 
-_PACKED = _PIECES + ", bin long, offset long, given_up boolean, bins long, bound long"
+_PACKED = _PIECES + ", row long, bin long, offset long, given_up boolean, bins long, bound long"
 
 
 def _pack(capacity: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True],
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32", "row"], ascending=[False, True, True, True, True, True],
                               na_position="last").reset_index(drop=True)
         lengths = pdf["length"].to_numpy(np.int64)
         of, offset, fill = best_fit_decreasing(lengths, capacity)
@@ -126,29 +128,36 @@ def _pack(capacity: int, last: bool):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Every piece with its sequence and place. ``pieces`` is read more than once."""
-    rest, done, k = pieces, None, 0
-    n = rest.count()
+    """Every piece with its sequence and place, its group's sequences and bound, and the table's bound."""
+    rest = written(pieces.withColumn("row", F.monotonically_increasing_id()), "token-pieces")
+    count = np.zeros(capacity + 1, np.int64)
+    for r in rest.groupBy("length").count().collect():        # at most ``capacity`` rows
+        count[r.length] = r["count"]
+    total = F.lit(bound_of_counts(count, capacity)).cast("long")
+    n, done, k = int(count.sum()), None, 0
     while True:
         parts = max(1, -(-n // group))
         last = parts == 1 or k == ROUNDS - 1
-        part = F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.lit(k)), F.lit(parts))
+        part = F.pmod(F.xxhash64("row", F.lit(k)), F.lit(parts))
         packed = rest.withColumn("part", part).groupBy("part").applyInPandas(
             _with_part(_pack(capacity, last)), _PACKED + ", part long")
         packed = written(packed, f"packed-{k}")
-        # round in the top bits, then group, then the sequence of the group
-        sequence = F.shiftleft(F.lit(k).cast("long"), 56) + F.shiftleft(F.col("part"), 16) + F.col("bin")
-        kept = packed.where("NOT given_up").select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset")
+        # round, group and sequence of the group in bits of their own; a group has far less than 2**24 pieces
+        sequence = F.shiftleft(F.lit(k).cast("long"), 59) + F.shiftleft(F.col("part"), 24) + F.col("bin")
+        kept = packed.where("NOT given_up").select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset",
+                                                   F.col("bins").alias("group_bins"), F.col("bound").alias("group_bound"), total.alias("total_bound"))
         done = kept if done is None else done.unionByName(kept)
         if last:
             return done
-        rest = packed.where("given_up").select("doc_id", "piece", "start", "length", "ids_crc32")
+        rest = packed.where("given_up").select("doc_id", "piece", "start", "length", "ids_crc32", "row")
         n, k = rest.count(), k + 1
 
 
 def _with_part(f):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iloc[0])
+        if len(pdf) >= 1 << 24:
+            raise ValueError("a group of 2**24 pieces: choose a smaller one")
         return f(pdf).assign(part=part)
     return run
 
@@ -158,4 +167,4 @@ def op8_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, path: str | None = None) -> DataFrame:
-    return pack(written(token_pieces(docs, capacity, path), "token-pieces"), capacity, group)
+    return pack(token_pieces(docs, capacity, path), capacity, group)

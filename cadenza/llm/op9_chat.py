@@ -11,9 +11,10 @@ has that mark; it gives the loss mask (assistant texts only).
 Rows of a conversation stream through one task in order of turn; the task keeps
 the current prefix only. Every prefix is rendered whole, so the work grows with
 the square of a conversation's length. Only for a template that the caller
-declares ``context_free`` (a turn's rendering depends on that turn alone) are turns
-past ``EXACT_TURNS`` rendered on top of the last ``CONTEXT_TURNS`` turns, which gives
-the same rows and keeps cost and memory bounded; ``chat_template`` is one.
+declares ``context_free`` (a turn's rendering depends on that turn alone) is a
+prefix the last ``CONTEXT_TURNS`` turns, in conversations of any length, which gives
+the same rows and keeps cost and memory bounded; ``chat_template`` is one. A turn
+whose text can't be placed (a template that refuses the mark) has text_start -1.
 
 Edge cases: NULL text is empty, NULL role reads as ``user``, NULL turns come
 first; rows that tie on turn are ordered by role, then text. Rows with a NULL
@@ -33,7 +34,6 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import small_batches, table
 
 START, END = "<|im_start|>", "<|im_end|>"
-EXACT_TURNS = 512
 CONTEXT_TURNS = 8
 MARKS = [chr(c) for c in range(0xE000, 0xF900)]     # characters of private use
 Turn = tuple[str, str]
@@ -89,7 +89,7 @@ class _Renderer:
 
     def add(self, role: str, text: str) -> tuple[str, int, bool]:
         """(added output, where it starts, whether history was rewritten)."""
-        if self.context_free and self.n >= EXACT_TURNS:
+        if self.context_free and len(self.turns) > CONTEXT_TURNS:
             self.turns = self.turns[-CONTEXT_TURNS:]
             before = self.template(self.turns)
             self.done += len(self.out) - len(before)

@@ -64,7 +64,7 @@ def test_packed_among_loses_no_wanted_id(spark, docs, rows):
     got = {r.doc_id: unpack(r.packed) for r in packed_among(more, spark.createDataFrame([(i,) for i in wanted], "doc_id long")).collect()}
     texts = dict(rows) | {-7: "minus"}
     assert wanted <= set(got) and None not in got and len(got) < len(wanted) + 5
-    assert all(texts[i] == t for i, t in got.items())
+    assert all((texts[i] or "") == t for i, t in got.items())
     assert not packed_among(docs, spark.createDataFrame([], "doc_id long")).collect()
 
 
