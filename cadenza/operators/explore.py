@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.schema import SEED
+
 from cadenza.functions.numeric import pearson, round_to
 
 from cadenza.functions.text import search_match
@@ -371,3 +373,13 @@ def histogram_view(view: DataFrame, cols: tuple = ("popularity", "energy", "danc
 def histogram_audio(df: DataFrame, bins: int = 35) -> DataFrame:
     """Histograms of the nine audio features (missing values left out)."""
     return histogram(df, AUDIO_FEATURES, bins)
+
+
+def scatter(df: DataFrame, x: str, y: str, colour: str | None = None, n: int = 5000, key: str = "id",
+            seed: int = SEED) -> DataFrame:
+    """An exact sample of ``n`` points with two axes and the column they are
+    coloured by. Rows without a value on an axis make no point."""
+    from cadenza.operators.sampling import sample_exact
+    points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        key, F.col(x).alias("x"), F.col(y).alias("y"), *([F.col(colour).alias("colour")] if colour else []))
+    return sample_exact(points, n, key, seed).drop(key)

@@ -14,8 +14,7 @@ import random
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
-                                       LogisticRegression, NaiveBayes, OneVsRest,
+from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, NaiveBayes,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.numeric import round_to
 from cadenza.operators import metrics as M
+from cadenza.operators.boosting import Boosting
 from cadenza.operators.sampling import hash_fraction, sample_exact, split_flag
 from cadenza.schema import SEED, TUNE_CANDIDATES, TUNE_FOLDS, TUNE_GRID
 
@@ -35,7 +35,7 @@ SCALED_SUFFIX = "__sc"
 # tree learners: node ids cached between levels (deep trees), and lineage cut
 # into the checkpoint folder every 10 iterations (long boosting chains
 # survive executor loss without recomputing from the start)
-TREE_OPTS = dict(cacheNodeIds=True, checkpointInterval=10)
+TREE_OPTS = dict(cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512)
 
 
 # ---------------------------------------------------------------------------
@@ -98,8 +98,9 @@ class Sizes:
     extra: dict = field(default_factory=dict)
 
 
-def regressors(n: int, ystd: float, target: str = "popularity", sizes: Sizes | None = None) -> dict:
-    """Ordered dict name -> estimator.
+def regressors(n: int, ystd: float, target: str = "popularity", sizes: Sizes | None = None,
+               feats: list[str] | None = None) -> dict:
+    """Ordered dict name -> estimator. The deep booster is of second order.
 
     Objective mapping with ``standardization=False`` (Spark scales the label
     internally): ridge ``regParam = alpha * ystd / n``; lasso ``regParam =
@@ -123,15 +124,14 @@ def regressors(n: int, ystd: float, target: str = "popularity", sizes: Sizes | N
                                                featureSubsetStrategy="all", seed=SEED, **TREE_OPTS, **common),
         "Gradient Boosting": GBTRegressor(maxIter=s.boost_rounds, maxDepth=3, stepSize=0.1, seed=SEED,
                                           **TREE_OPTS, **common),
-        "Gradient Boosting (deep)": GBTRegressor(maxIter=s.boost_rounds, maxDepth=6, stepSize=0.1,
-                                                 seed=SEED, **TREE_OPTS, **common),
+        "Gradient Boosting (deep)": Boosting(feats or [], target, 0, s.boost_rounds, 6, 0.1, "second"),
     }
 
 
-def classifiers(n: int, sizes: Sizes | None = None) -> dict:
+def classifiers(n: int, sizes: Sizes | None = None, feats: list[str] | None = None, classes: int = 4) -> dict:
     """Ordered dict name -> estimator. Logistic ``C=1`` maps to
-    ``regParam = 1 / n`` on the mean loss; boosting is binary in Spark, so
-    the four-class boosters are ``OneVsRest``."""
+    ``regParam = 1 / n`` on the mean loss; boosting is binary in Spark, so the
+    boosters are our own, all classes in one pass, the deep one of second order."""
     s = sizes or Sizes()
     common = dict(featuresCol=FEATURES_COL, labelCol="label", predictionCol="prediction")
     return {
@@ -140,16 +140,18 @@ def classifiers(n: int, sizes: Sizes | None = None) -> dict:
         "Decision Tree": DecisionTreeClassifier(maxDepth=s.tree_depth, seed=SEED, **TREE_OPTS, **common),
         "Random Forest": RandomForestClassifier(numTrees=s.trees, maxDepth=s.forest_depth,
                                                 featureSubsetStrategy="sqrt", seed=SEED, **TREE_OPTS, **common),
-        "Gradient Boosting": OneVsRest(classifier=GBTClassifier(maxIter=s.boost_rounds, maxDepth=3,
-                                                                stepSize=0.1, seed=SEED, **TREE_OPTS),
-                                       **common),
+        "Gradient Boosting": Boosting(feats or [], "label", classes, s.boost_rounds, 3, 0.1, "first"),
         "Gaussian Naive Bayes": NaiveBayes(modelType="gaussian", **common),
-        "Gradient Boosting (deep)": OneVsRest(classifier=GBTClassifier(maxIter=s.boost_rounds, maxDepth=6,
-                                                                       stepSize=0.1, seed=SEED, **TREE_OPTS),
-                                              **common),
+        "Gradient Boosting (deep)": Boosting(feats or [], "label", classes, s.boost_rounds, 6, 0.1, "second"),
     }
 
 
+def fit_one(est, train: DataFrame, stats: dict, feats: list[str]):
+    """A model with ``transform``. Boosters read the features themselves: scaling
+    changes no split."""
+    return est.fit(train) if isinstance(est, Boosting) else pipeline(stats, feats, est).fit(train)
+
+
 def pipeline(stats: dict, feats: list[str], estimator) -> Pipeline:
     return Pipeline(stages=[scaler_stage(stats), assembler(feats), estimator])
 
@@ -205,12 +207,12 @@ def prepare(df: DataFrame, feats: list[str], key: str = "id", cap: int | None =
 def train_regressors(train: DataFrame, test: DataFrame, feats: list[str], stats: dict,
                      names: list[str] | None = None, sizes: Sizes | None = None) -> Trained:
     agg = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("popularity").alias("s")).first()
-    ests = regressors(agg["n"], agg["s"], sizes=sizes)
+    ests = regressors(agg["n"], agg["s"], sizes=sizes, feats=feats)
     models, preds = {}, None
     for i, (name, est) in enumerate(ests.items(), start=1):
         if names and name not in names:
             continue
-        m = pipeline(stats, feats, est).fit(train)
+        m = fit_one(est, train, stats, feats)
         models[name] = m
         p = regression_predictions(m, test, name, i)
         preds = p if preds is None else preds.unionByName(p)
@@ -221,12 +223,12 @@ def train_classifiers(train: DataFrame, test: DataFrame, feats: list[str], stats
                       classes: list[str], names: list[str] | None = None,
                       sizes: Sizes | None = None) -> Trained:
     n = train.count()
-    ests = classifiers(n, sizes=sizes)
+    ests = classifiers(n, sizes=sizes, feats=feats, classes=len(classes))
     models, preds = {}, None
     for i, (name, est) in enumerate(ests.items(), start=1):
         if names and name not in names:
             continue
-        m = pipeline(stats, feats, est).fit(train)
+        m = fit_one(est, train, stats, feats)
         models[name] = m
         p = class_predictions(m, test, name, i, classes)
         preds = p if preds is None else preds.unionByName(p)

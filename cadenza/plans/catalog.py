@@ -548,6 +548,10 @@ def q_sample_exact(spark, sf_dir):
     return sample_exact(feature_table(spark, sf_dir), 5000, "id").select("id", "popularity")
 
 
+def scatter_sql(x, y, colour, n):
+    return f"SELECT {x} AS x, {y} AS y, {colour} AS colour FROM feat WHERE {x} IS NOT NULL AND {y} IS NOT NULL ORDER BY {SAMPLE_ORDER} LIMIT {n}"
+
+
 @query("scatter_sample", f"""
 SELECT danceability, energy, popularity_category FROM feat ORDER BY {SAMPLE_ORDER} LIMIT 5000
 """)
@@ -557,6 +561,18 @@ def q_scatter_sample(spark, sf_dir):
         "danceability", "energy", "popularity_category")
 
 
+@query("scatter_loudness_popularity", scatter_sql("loudness", "popularity", "energy_category", 5000))
+def q_scatter_loudness(spark, sf_dir):
+    from cadenza.operators.explore import scatter
+    return scatter(feature_table(spark, sf_dir), "loudness", "popularity", "energy_category", 5000)
+
+
+@query("scatter_tempo_valence", scatter_sql("tempo", "valence", "popularity_category", 20000))
+def q_scatter_tempo(spark, sf_dir):
+    from cadenza.operators.explore import scatter
+    return scatter(feature_table(spark, sf_dir), "tempo", "valence", "popularity_category", 20000)
+
+
 SNAPSHOT_COLS = list(schema.SNAPSHOT_COLUMNS)
 SNAPSHOT_SELECT = f"SELECT {', '.join(c if c != 'followers_log' else 'round(followers_log, 6) AS followers_log' for c in SNAPSHOT_COLS)} "
 SNAPSHOT_SQL = SNAPSHOT_SELECT + "FROM feat"
@@ -1015,6 +1031,17 @@ def q_train_test_split(spark, sf_dir):
     return m.with_split(feature_table(spark, sf_dir)).groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("train_test_split_exact", f"""
+SELECT place <= ceil(0.2 * n) AS is_test, count(*) AS n, min(popularity) AS least, max(popularity) AS most, sum(popularity) AS total
+FROM (SELECT popularity, row_number() OVER (ORDER BY {SAMPLE_ORDER}) AS place, count(*) OVER () AS n FROM feat) GROUP BY 1
+""")
+def q_train_test_split_exact(spark, sf_dir):
+    from cadenza.operators.sampling import exact_split
+    split = exact_split(feature_table(spark, sf_dir), "id", 0.2)
+    return split.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.min("popularity").alias("least"),
+                                        F.max("popularity").alias("most"), F.sum("popularity").alias("total"))
+
+
 @query("standard_scale", " UNION ALL ".join(
     f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, "
     f"round(CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END, 6) AS std "
@@ -1081,11 +1108,21 @@ def q_gnb_sql(spark, sf_dir):
 # the reproduced library; quality, not values, is compared)
 # ---------------------------------------------------------------------------
 
-def _prepared(spark, sf_dir):
+def _build_prepared(spark, sf_dir):
+    """The complete rows with their split and label codes, written once for all learners."""
+    from cadenza.session import materialize
     m = _model()
     feats = selected_features(spark, sf_dir)
     train, test, classes, stats = m.prepare(feature_table(spark, sf_dir), feats)
-    return m, feats, train, test, classes, stats
+    cores = spark.sparkContext.defaultParallelism
+    return {"feats": feats, "train": materialize(train.repartition(cores, "id"), "train"), "test": materialize(test, "test"),
+            "classes": classes, "stats": stats}
+
+
+def _prepared(spark, sf_dir):
+    from cadenza.plans import store
+    b = store.bundle(spark, sf_dir, "prepared", _build_prepared)
+    return _model(), b["feats"], b["train"], b["test"], b["classes"], b["stats"]
 
 
 def _reg_query(name):
@@ -1122,11 +1159,8 @@ def _build_tuned(spark, sf_dir):
     from cadenza.sources import artifacts
     m, feats, train, test, classes, stats = _prepared(spark, sf_dir)
     model, tuned, imp = m.tune_forest(train, test, feats, stats)
-    t = m.train_classifiers(train, test, feats, stats, classes)
-    best = _metrics().best_model(t.metrics).first()["best_model"]
-    cm = _metrics().confusion_matrix(t.predictions.where(F.col("model") == best))
     path = scratch_path(spark, "artifacts")
-    artifacts.save(path, model, tuned, imp, cm)
+    artifacts.save(path, model, tuned, imp, classes=classes)
     out = artifacts.load(spark, path)
     out["path"] = path
     return out
@@ -1137,11 +1171,14 @@ def _tuned_bundle(spark, sf_dir):
     return store.bundle(spark, sf_dir, "tuned", _build_tuned)
 
 
-def _test_rows(spark, sf_dir):
-    m = _model()
-    feats = selected_features(spark, sf_dir)
-    frame = m.with_split(m.training_frame(feature_table(spark, sf_dir), feats))
-    return frame.where(F.col("is_test"))
+def _build_confusion(spark, sf_dir):
+    """The confusion matrix of the best of all classifiers."""
+    from cadenza.session import materialize
+    m, feats, train, test, classes, stats = _prepared(spark, sf_dir)
+    t = m.train_classifiers(train, test, feats, stats, classes)
+    best = _metrics().best_model(t.metrics).first()["best_model"]
+    cm = _metrics().confusion_matrix(t.predictions.where(F.col("model") == best))
+    return {"confusion": materialize(cm, "confusion")}
 
 
 @query("tune_forest")
@@ -1161,7 +1198,8 @@ def q_feature_importance(spark, sf_dir):
 
 @query("confusion_best")
 def q_confusion_best(spark, sf_dir):
-    return _tuned_bundle(spark, sf_dir)["confusion"]
+    from cadenza.plans import store
+    return store.bundle(spark, sf_dir, "confusion", _build_confusion)["confusion"]
 
 
 @query("model_roundtrip")
@@ -1169,9 +1207,8 @@ def q_model_roundtrip(spark, sf_dir):
     """Load the saved artifacts and score the held-out rows again."""
     from cadenza.sources import artifacts
     loaded = artifacts.load(spark, _tuned_bundle(spark, sf_dir)["path"])
-    preds = _model().regression_predictions(loaded["model"], _test_rows(spark, sf_dir),
-                                            "Tuned Random Forest", 1)
-    return _metrics().regression_metrics(preds)
+    preds = _model().regression_predictions(loaded["model"], _prepared(spark, sf_dir)[3], "Tuned Random Forest", 1)
+    return _metrics().regression_metrics(preds).withColumn("classes", F.lit(",".join(loaded["classes"])))
 
 
 @query("metrics_roundtrip", CLS_CTES + "SELECT * FROM mt")

@@ -64,7 +64,7 @@ def run(spark: SparkSession, tracks: DataFrame, artists: DataFrame, out_dir: str
     cm = metrics.confusion_matrix(clf.predictions.where(F.col("model") == best_clf))
     all_metrics = reg.metrics.unionByName(clf.metrics).unionByName(tuned)
     snap = dashboard.snapshot_sample(feats_df, snapshot_cap) if snapshot_cap else dashboard.snapshot(feats_df)
-    artifacts.save(out_dir, tuned_model, all_metrics, imp, cm, snap)
+    artifacts.save(out_dir, tuned_model, all_metrics, imp, cm, snap, classes)
     board = metrics.leaderboard(all_metrics.where(F.col("task") != "tuned"))
     return {
         "features": selected,

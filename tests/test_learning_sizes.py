@@ -22,10 +22,12 @@ def _record(monkeypatch, name, calls, stop):
 def test_sizes_grid_and_candidates(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_prepared", lambda s, d: (model, [], None, None, [], {}))
     calls = {}
-    _record(monkeypatch, "tune_forest", calls, False)
-    for name in ("train_classifiers", "train_regressors"):
+    for name in ("tune_forest", "train_classifiers", "train_regressors"):
         _record(monkeypatch, name, calls, True)
-    for run in (lambda: catalog._build_tuned(spark, ""), lambda: catalog.QUERIES["reg_forest"](spark, ""),
+    with pytest.raises(_Seen):
+        catalog._build_tuned(spark, "")
+    assert set(calls) == {"tune_forest"}            # the tuned forest waits for no classifier
+    for run in (lambda: catalog._build_confusion(spark, ""), lambda: catalog.QUERIES["reg_forest"](spark, ""),
                 lambda: catalog.QUERIES["clf_gbt_ovr"](spark, "")):
         calls.pop("train_classifiers", None)
         with pytest.raises(_Seen):

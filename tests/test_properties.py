@@ -108,3 +108,49 @@ def test_dedup_matches_pandas_keep_first(spark, rows):
     want = sorted((k or "", o, v, i) for k, o, v, i in
                   pdf.drop_duplicates(subset="k", keep="first").itertuples(index=False, name=None))
     assert got == want
+
+
+def test_exact_sample_and_split(spark):
+    import hashlib
+
+    from cadenza.operators import sampling
+    keys = [f"k{i}" for i in range(1000)] + ["same"] * 30
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "id string, v int").repartition(7)
+    order = sorted((hashlib.md5(f"{k}|42".encode()).hexdigest(), k) for k in keys)
+    for bucket in (1, 4):                      # one digit a step refines several times
+        sampling.BUCKET_HEX, kept, limit = bucket, sampling.BUCKET_HEX, sampling.BOUNDARY
+        sampling.BOUNDARY = 5
+        try:
+            for n in (0, 1, 7, 333, 1029, 1030, 5000):
+                got = sorted(r.id for r in sampling.sample_exact(df, n, "id").collect())
+                assert got == sorted(k for _, k in order[:n])
+            split = sampling.exact_split(df.where("id <> 'same'"), "id", 0.2)
+            assert {r.id for r in split.where("is_test").collect()} == {k for _, k in [x for x in order if x[1] != "same"][:200]}
+        finally:
+            sampling.BUCKET_HEX, sampling.BOUNDARY = kept, limit
+
+
+def test_scatter_axes(spark):
+    from cadenza.operators.explore import scatter
+    df = spark.createDataFrame([(1, 1.0, 2.0, "a"), (2, None, 2.0, "a"), (3, 3.0, None, "b"), (4, 4.0, 5.0, None)], "id int, u double, w double, c string")
+    assert sorted(tuple(r) for r in scatter(df, "u", "w", "c", 10).collect()) == [(1.0, 2.0, "a"), (4.0, 5.0, None)]
+    assert scatter(df, "w", "u", n=1).columns == ["x", "y"] and scatter(df, "w", "u", n=1).count() == 1
+
+
+def test_half_written_artifacts_are_not_read(spark, tmp_dir):
+    import pytest
+
+    from cadenza.sources import artifacts
+    from pyspark.ml import Pipeline
+    model = Pipeline(stages=[]).fit(spark.range(1))
+    m = spark.createDataFrame([("a", 1.0)], "metric string, value double")
+    imp = spark.createDataFrame([("f", 0.5)], "feature string, importance double")
+    path = artifacts.save(tmp_dir + "/x", model, m, imp, classes=["Emerging", "Hit"])
+    got = artifacts.load(spark, path)
+    assert got["classes"] == ["Emerging", "Hit"] and "confusion" not in got
+    artifacts._manifest(spark, []).write.mode("overwrite").parquet(path + "/manifest")
+    with pytest.raises(FileNotFoundError):
+        artifacts.load(spark, path)
+    artifacts._manifest(spark, ["model", "confusion"]).write.mode("overwrite").parquet(path + "/manifest")
+    with pytest.raises(FileNotFoundError):
+        artifacts.load(spark, path)
