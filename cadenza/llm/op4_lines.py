@@ -58,15 +58,16 @@ def _places_of(col):
         if not len(word):
             continue
         breaks = np.flatnonzero(data == 0x0A)
-        # a word's byte belongs to the line behind so many breaks of its document
-        line = np.searchsorted(breaks, word)
-        doc = np.searchsorted(offs, word, "right") - 1
-        first = np.flatnonzero((np.diff(line, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-        start, end = word[first], word[np.append(first[1:], len(word)) - 1] + 1
-        doc = doc[first]
-        place = line[first] - np.searchsorted(breaks, offs[doc])
-        points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        # the last byte of a line may be inside a character: none is, as all separators are ASCII
+        begin = np.unique(np.concatenate((offs[:-1], breaks + 1)))
+        # of each line's bytes with a word, the first and the last
+        first = np.searchsorted(word, np.append(begin, len(data)))
+        some = first[:-1] < first[1:]
+        begin = begin[some]
+        start, end = word[first[:-1][some]], word[first[1:][some] - 1] + 1
+        doc = np.searchsorted(offs, begin, "right") - 1
+        place = np.searchsorted(breaks, begin) - np.searchsorted(breaks, offs[doc])
+        points = np.zeros(len(data) + 1, np.int32)
+        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
         yield lo + doc, place, start, end, data, points
 
 
@@ -113,7 +114,7 @@ def _halves(data: np.ndarray, points: np.ndarray, start: np.ndarray, end: np.nda
     for less in (0, 1):
         m = n - less
         q = m // 2
-        salt = kernel.mix(m.astype(np.uint64) * _STEP + np.uint64(1))
+        salt = kernel.mix(m.astype(np.int64).astype(np.uint64) * _STEP + np.uint64(1))
         yield kernel.mix(kernel.span_hash(data, start, heads[first + q]) ^ salt), 0
         yield kernel.mix(kernel.span_hash(data, heads[first + n - q], end) ^ ~salt), 1
 
