@@ -50,6 +50,7 @@ CACHED = 1 << 18
 TOLERANCE = 1e-3
 MU = 50.0
 PART_TOKENS = 400_000                    # of the training tokens, for each part of the units
+SMALL = 32                               # counts whose part of a gain is looked up
 HELD_PAIRS = 2_000_000                   # of a task, before it adds equal ones up
 END = np.uint64(0x5DEECE66D1CE4E5B)      # the end's "word hash"
 
@@ -124,9 +125,9 @@ def _unpack_pairs(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _by_part(own: np.ndarray, other: np.ndarray, n: np.ndarray, parts: int):
     """(part, packed pairs) by the part of the own unit, as lists."""
-    order = np.lexsort((other, own, own % parts))
-    own, other, n = own[order], other[order], n[order]
     part = own % parts
+    order = np.argsort((part * (int(own.max(initial=0)) // parts + 1) + own // parts) << 32 | other)
+    own, other, n, part = own[order], other[order], n[order], part[order]
     first = np.flatnonzero(np.diff(part, prepend=-1))
     last = np.append(first[1:], len(part))
     return part[first].tolist(), [_pack_pairs(own[a:b], other[a:b], n[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
@@ -136,7 +137,7 @@ def _count_pairs(end: int, parts: int):
     """(part, 0, packed) pairs of a unit and the next in a document, ends around it, counted in the task."""
     def flush(held):
         k, n = np.unique(np.concatenate(held), return_counts=True)
-        part, packed = _by_part(k // (end + 1), k % (end + 1), n, parts)
+        part, packed = _by_part(k >> 32, k & 0xFFFFFFFF, n, parts)
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(packed, pa.binary())], ["part", "packed"])
 
     def run(batches):
@@ -146,7 +147,7 @@ def _count_pairs(end: int, parts: int):
         for batch in batches:
             for raw in batch.column("units").to_pylist():
                 seq = np.concatenate(([end], np.frombuffer(d.decompress(raw), np.int32), [end])).astype(np.int64)
-                held.append(seq[:-1] * (end + 1) + seq[1:])
+                held.append(seq[:-1] << 32 | seq[1:])
                 size += len(held[-1])
                 if size > HELD_PAIRS:
                     yield flush(held)
@@ -159,10 +160,11 @@ def _count_pairs(end: int, parts: int):
 def _merge(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Equal pairs of several blocks added up, in order."""
     own, other, n = (np.concatenate(x) for x in zip(*map(_unpack_pairs, blocks), strict=True))
-    order = np.lexsort((other, own))
-    own, other, n = own[order], other[order], n[order]
-    first = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(other, prepend=-1) != 0))
-    return own[first], other[first], np.add.reduceat(n, first)
+    key = own << 32 | other
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first] >> 32, key[first] & 0xFFFFFFFF, np.add.reduceat(n[order], first)
 
 
 def _followers(parts: int):
@@ -221,11 +223,18 @@ def class_table(near: DataFrame, shared) -> np.ndarray:
     return out
 
 
-def _gains(sums, own_class: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _steps(table: np.ndarray) -> list[np.ndarray]:
+    """For both sides: what 1, 2, ... more add to x log x of each cell of the class table."""
+    more = np.arange(1, SMALL + 1)[:, None, None]
+    return [_xlogx(down[None] + more) - _xlogx(down)[None] for down in (table.T, table)]
+
+
+def _gains(sums, own_class: np.ndarray, table: np.ndarray, steps: list[np.ndarray] | None = None) -> np.ndarray:
     """Gain of moving each unit (a row of both sums) to each class, against the given class table."""
+    steps = steps or _steps(table)
     after, before = sums
     own, gain = after.sum(1), np.zeros_like(after)
-    for side, t in ((after, table), (before, table.T)):
+    for side, t, step in ((after, table, steps[0]), (before, table.T, steps[1])):
         total, down = t.sum(1), np.ascontiguousarray(t.T)
         flat = _xlogx(down)
         here = t[own_class]
@@ -233,8 +242,11 @@ def _gains(sums, own_class: np.ndarray, table: np.ndarray) -> np.ndarray:
         leave -= _xlogx(np.maximum(total[own_class] - own, 0)) - _xlogx(total[own_class])
         gain += leave[:, None] - (_xlogx(total + own[:, None]) - _xlogx(total))
         row, c = np.nonzero(side)                      # only the classes a unit meets count
-        x = down[c] + side[row, c][:, None]
-        x = x * np.log(x) - flat[c]
+        met = side[row, c].astype(np.int64)
+        large = np.flatnonzero(met > SMALL)            # most units meet a class a few times only
+        x = step[np.minimum(met, SMALL) - 1, c]
+        y = down[c[large]] + met[large][:, None]
+        x[large] = y * np.log(y) - flat[c[large]]
         first = np.flatnonzero(np.diff(row, prepend=-1))
         if len(first):
             gain[row[first]] += np.add.reduceat(x, first)
@@ -245,11 +257,11 @@ def _gains(sums, own_class: np.ndarray, table: np.ndarray) -> np.ndarray:
 def _wishes(shared, table: np.ndarray):
     """Units that gain by a move and their best class, as packed numbers."""
     def run(batches):
-        classes = shared.value
+        classes, steps = shared.value, _steps(table)
         for batch in batches:
             for after, before in zip(batch.column("after").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 unit, sums = _class_sums(after, classes)       # every unit has neighbours on both sides, at least an end
-                gain = _gains((sums, _class_sums(before, classes)[1]), classes[unit], table)
+                gain = _gains((sums, _class_sums(before, classes)[1]), classes[unit], table, steps)
                 gain[:, CLASSES - 1] = -np.inf             # the end keeps a class of its own
                 to = gain.argmax(1)
                 move = (gain[np.arange(len(to)), to] > 1e-9) & (unit != len(classes) - 1)
