@@ -13,7 +13,8 @@ returns the packed pieces.
 * ``packing``: the rest becomes token pieces in sequences.
 
 Packing and the edit distances of lines aren't expressible in SQL, so there is
-no ORACLE_SQL; tests compare every stage with a brute-force version.
+no ORACLE_SQL; ``tests/llm`` compares the operators behind the stages with
+brute-force versions on small tables.
 """
 
 from __future__ import annotations
