@@ -221,93 +221,35 @@ def histogram(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
 # correlation
 # ---------------------------------------------------------------------------
 
-def _corr_complete(x: DataFrame, cols: list[str], constant: list[bool]) -> DataFrame:
-    """All columns complete: MLlib's distributed Pearson (a tree aggregate of
-    the Gram matrix); the k x k result (bounded by the column count) becomes
-    a long frame. Zero-variance entries (NaN) become NULL."""
-    import math
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    k = len(cols)
-    vec = VectorAssembler(inputCols=[f"x{i}" for i in range(k)], outputCol="_v").transform(x).select("_v")
-    mat = Correlation.corr(vec, "_v").first()[0].toArray()
-    rows = []
-    for i in range(k):
-        for j in range(k):
-            v = float(mat[i][j])
-            v = None if (math.isnan(v) or constant[i] or constant[j]) else max(-1.0, min(1.0, v))
-            rows.append((cols[i], cols[j], v))
-    return x.sparkSession.createDataFrame(rows, "row_feature string, col_feature string, v double")
-
-
 def corr_matrix(df: DataFrame, cols: list[str] = CORR_COLUMNS, digits: int = 4) -> DataFrame:
     """Full Pearson matrix, pairwise-complete, as long form
     (row_feature, col_feature, corr, label); ``label`` is rounded to 2,
-    half-to-even (G18). A zero-variance column gives NULL.
-
-    Plan: one small pass for the mean and missing count of each column (a
-    few numbers to the driver). With every column complete, MLlib's
-    ``Correlation`` does the rest in one tree aggregate. Otherwise ONE pass
-    of plain sums of the centred
-    values (stable, combined map-side): per column sum and sum of squares,
-    per pair the sum of products. Pairs that touch a column with missing
-    values get their own masked sums, so they stay pairwise-complete. The
-    cells are formed from the one-row result, never from rows.
+    half-to-even (G18). A zero-variance column, and a pair without a common
+    row, give NULL.
+
+    One pass, whether or not columns are complete: each row emits its pairs of
+    present values, ``groupBy(pair)`` keeps mergeable centred co-moments
+    (combined map-side, at most k (k + 1) / 2 rows leave a task). The cells
+    are formed on that small result.
     """
     cols = _present(df, cols)
     k = len(cols)
-    x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-    pre = x.agg(F.count(F.lit(1)).alias("n"),
-                *[F.avg(f"x{i}").alias(f"m{i}") for i in range(k)],
-                *[F.count(f"x{i}").alias(f"k{i}") for i in range(k)],
-                *[(F.min(f"x{i}") == F.max(f"x{i}")).alias(f"const{i}") for i in range(k)]).first()
-    n_all = pre["n"]
-    mean = [pre[f"m{i}"] or 0.0 for i in range(k)]
-    full = [pre[f"k{i}"] == n_all for i in range(k)]
-    if all(full) and n_all > 1:
-        long = _corr_complete(x, cols, [bool(pre[f"const{i}"]) for i in range(k)])
-        return long.select("row_feature", "col_feature", round_to("v", digits).alias("corr"),
-                           F.bround("v", 2).alias("label"))
-    c = [F.col(f"x{i}") - F.lit(mean[i]) for i in range(k)]
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(c[i]).alias(f"s{i}") for i in range(k) if full[i]]
-    aggs += [F.sum(c[i] * c[i]).alias(f"ss{i}") for i in range(k) if full[i]]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    for i, j in pairs:
-        aggs.append(F.sum(c[i] * c[j]).alias(f"p_{i}_{j}"))
-        if not (full[i] and full[j]):
-            both = c[i].isNotNull() & c[j].isNotNull()
-            aggs += [F.count(F.when(both, 1)).alias(f"n_{i}_{j}"),
-                     F.sum(F.when(both, c[i])).alias(f"sa_{i}_{j}"), F.sum(F.when(both, c[j])).alias(f"sb_{i}_{j}"),
-                     F.sum(F.when(both, c[i] * c[i])).alias(f"saa_{i}_{j}"),
-                     F.sum(F.when(both, c[j] * c[j])).alias(f"sbb_{i}_{j}")]
-    wide = x.agg(*aggs)
-    # unpivot the raw sums (column references only), then one formula for all cells
-    cells = []
-    for i, j in pairs:
-        if full[i] and full[j]:
-            parts = [F.col("n"), F.col(f"s{i}"), F.col(f"s{j}"), F.col(f"ss{i}"), F.col(f"ss{j}")]
-        else:
-            parts = [F.col(f"n_{i}_{j}"), F.col(f"sa_{i}_{j}"), F.col(f"sb_{i}_{j}"),
-                     F.col(f"saa_{i}_{j}"), F.col(f"sbb_{i}_{j}")]
-        names = ["n", "sa", "sb", "saa", "sbb"]
-        base = [p.alias(nm) for p, nm in zip(parts, names)] + [F.col(f"p_{i}_{j}").alias("sab")]
-        cells.append(F.struct(F.lit(cols[i]).alias("row_feature"), F.lit(cols[j]).alias("col_feature"), *base))
-        if i != j:
-            cells.append(F.struct(F.lit(cols[j]).alias("row_feature"), F.lit(cols[i]).alias("col_feature"),
-                                  *[p.alias(nm) for p, nm in zip([parts[0], parts[2], parts[1], parts[4], parts[3]],
-                                                                 names)],
-                                  F.col(f"p_{i}_{j}").alias("sab")))
-    long = wide.select(F.inline(F.array(*cells)))
-    n = F.col("n").cast("double")
-    ma, mb = F.col("sa") / n, F.col("sb") / n
-    cov = F.col("sab") / n - ma * mb
-    va, vb = F.col("saa") / n - ma * ma, F.col("sbb") / n - mb * mb
-    r = F.when((n > 0) & (va > 0) & (vb > 0), cov / F.sqrt(va * vb))
+    x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    emitted = F.array(*[F.struct(F.lit(n).alias("pair"), F.col(f"x{i}").alias("a"), F.col(f"x{j}").alias("b"))
+                        for n, (i, j) in enumerate(pairs)])
+    moments = (x.select(F.inline(emitted)).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+                .groupBy("pair").agg(F.covar_pop("a", "b").alias("cov"), F.var_pop("a").alias("va"),
+                                     F.var_pop("b").alias("vb")))
+    varied = (F.col("va") > 0) & (F.col("vb") > 0)
+    r = F.when(varied, F.col("cov") / (F.sqrt("va") * F.sqrt("vb")))
     r = F.when(r > 1.0, 1.0).when(r < -1.0, -1.0).otherwise(r)
-    return long.select("row_feature", "col_feature", r.alias("v")).select(
-        "row_feature", "col_feature", round_to("v", digits).alias("corr"), F.bround("v", 2).alias("label"))
+    cells = [(n, cols[i], cols[j]) for n, (i, j) in enumerate(pairs)]
+    cells += [(n, cols[j], cols[i]) for n, (i, j) in enumerate(pairs) if i != j]
+    names = df.sparkSession.createDataFrame(cells, "pair int, row_feature string, col_feature string")
+    return (names.join(moments.select("pair", r.alias("v")), "pair", "left")
+                 .select("row_feature", "col_feature", round_to("v", digits).alias("corr"),
+                         F.bround("v", 2).alias("label")))
 
 
 def corr_target_sorted(matrix: DataFrame, target: str = "popularity") -> DataFrame:

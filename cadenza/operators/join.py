@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from cadenza.session import materialize
+
 ARTIST_RENAME = {
     "id": "artist_id_key",
     "followers": "artist_followers",
@@ -27,61 +29,70 @@ def slim_dimension(artists: DataFrame, rename: dict = ARTIST_RENAME) -> DataFram
 
 SALTS = 64
 HOT_FRACTION = 0.01
-HOT_LIMIT = 1000
+SKETCH_ITEMS = 10_000       # counters of the heavy-hitter sketch
+
+
+def _top(key: str, fraction: float) -> list[Column]:
+    """One-pass aggregates: the rows, and a bounded sketch of the most frequent
+    present keys (mergeable, estimates within rows / ``SKETCH_ITEMS`` or so)."""
+    k = min(int(1 / fraction) + 1, SKETCH_ITEMS // 2)
+    return [F.count(F.lit(1)).alias("n"),
+            F.expr(f"approx_top_k(`{key}`, {k}, {SKETCH_ITEMS})").alias("top")]
+
+
+def _above(found: dict, fraction: float) -> list:
+    return [r["item"] for r in found["top"] or [] if r["item"] is not None and r["count"] > fraction * found["n"]]
 
 
-def hot_keys(fact: DataFrame, key: str, fraction: float = HOT_FRACTION,
-             limit: int = HOT_LIMIT) -> list:
-    """Present keys holding more than ``fraction`` of the fact rows. Reads
-    only the key column; the per-key counts are combined map-side and at
-    most ``limit`` keys (fewer than ``1 / fraction``) reach the driver."""
-    keys = fact.select(key)
-    total = keys.count()
-    if total == 0:
-        return []
-    counts = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    rows = counts.where(F.col("_n") > fraction * total).orderBy(F.desc("_n")).limit(limit).collect()
-    return [r[key] for r in rows]
+def hot_keys(fact: DataFrame, key: str, fraction: float = HOT_FRACTION) -> list:
+    """Present keys holding more than ``fraction`` of the fact rows (fewer than
+    ``1 / fraction``), by a sketch in one pass over the key column. A key near
+    the limit may be named too; salting it changes no row."""
+    return _above(fact.agg(*_top(key, fraction)).first().asDict(), fraction)
+
+
+def write_fact(fact: DataFrame, name: str, key: str, fraction: float = HOT_FRACTION) -> tuple[DataFrame, list]:
+    """The fact written to the shared folder, and its hot keys, found by the
+    sketch in the pass that writes it."""
+    seen = Observation()
+    written = materialize(fact.observe(seen, *_top(key, fraction)), name)
+    return written, _above(seen.get, fraction)
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, key: str,
                    fill: dict | None = None, null_safe: bool = True,
-                   salts: int = SALTS, hot_fraction: float | None = None) -> DataFrame:
+                   salts: int = SALTS, hot_fraction: float | None = None,
+                   hot: list | None = None) -> DataFrame:
     """Left equi-join; unmatched rows get ``fill`` values.
 
     ``null_safe`` (default) matches a missing key with a missing key, as the
     reproduced behaviour does; ``False`` gives SQL semantics. The dimension is
-    unique on ``key`` so the fact side never fans out. No broadcast hint on
-    the dimension: the planner broadcasts it when its measured size allows,
-    otherwise it is a sort-merge join (where AQE can still split skew).
-
-    Skew is salted explicitly. Fact rows whose key is missing -- and, with
-    ``hot_fraction`` set, rows of the :func:`hot_keys` (more than that share
-    of the rows) -- get a salt 1..``salts`` from a hash of the row
-    (deterministic, so a retried task puts its rows in the same place); all
-    other rows get 0. The dimension rows of those keys -- at most one for the
-    missing key, one per hot key -- are repeated once per salt. A key holding a
+    unique on ``key``, the missing key being one key, so the fact side never
+    fans out. No broadcast hint on the dimension: the planner broadcasts it
+    when its measured size allows, otherwise it is a sort-merge join.
+
+    Skew is salted explicitly. Fact rows whose key is missing or ``hot`` (from
+    :func:`write_fact`, or looked for here with ``hot_fraction``) get a salt
+    1..``salts`` from a hash of the row (deterministic, so a retried task puts
+    its rows in the same place); all other rows get 0. The dimension is read
+    once; its rows of those keys are repeated once per salt. A key holding a
     third of all rows thus spreads over ``salts`` partitions in one join.
-    Hot-key detection reads the fact's key column twice, so turn it on where
-    the fact side is a written table; by default hot present keys are left to
-    AQE's skew-join split, which needs no extra pass.
     """
     dim_key, fsalt, dsalt = "_dim_" + key, "_salt", "_dim_salt"
-    hot = hot_keys(fact, key, hot_fraction) if hot_fraction else []
-    salted = F.col(key).isNull()
-    if hot:
-        salted = salted | F.col(key).isin(hot)
+    if hot is None:
+        hot = hot_keys(fact, key, hot_fraction) if hot_fraction else []
+
+    def spread(c: str) -> Column:
+        return F.col(c).isNull() | F.col(c).isin(hot) if hot else F.col(c).isNull()
+
     row_hash = F.xxhash64(*[F.col(c) for c in fact.columns])
-    f = fact.withColumn(fsalt, F.when(salted, F.pmod(row_hash, F.lit(salts)) + 1)
+    f = fact.withColumn(fsalt, F.when(spread(key), F.pmod(row_hash, F.lit(salts)) + 1)
                                .otherwise(F.lit(0)).cast("int"))
     d = dim.withColumnRenamed(key, dim_key)
-    is_hot = F.col(dim_key).isin(hot) if hot else F.lit(False)
-    d_plain = d.where(F.col(dim_key).isNotNull() & ~is_hot).withColumn(dsalt, F.lit(0))
-    d_hot = d.where(is_hot)
-    if null_safe:
-        d_hot = d_hot.unionByName(d.where(F.col(dim_key).isNull()).limit(1))
-    d_hot = d_hot.withColumn(dsalt, F.explode(F.sequence(F.lit(1), F.lit(salts))))
-    d = d_plain.unionByName(d_hot)
+    if not null_safe:
+        d = d.where(F.col(dim_key).isNotNull())
+    d = d.withColumn(dsalt, F.explode(F.when(spread(dim_key), F.sequence(F.lit(1), F.lit(salts)))
+                                       .otherwise(F.array(F.lit(0)))))
     cond = f[key].eqNullSafe(d[dim_key]) & (f[fsalt] == d[dsalt])
     out = f.join(d, cond, "left").drop(dim_key, fsalt, dsalt)
     if fill:
@@ -90,8 +101,9 @@ def join_dimension(fact: DataFrame, dim: DataFrame, key: str,
     return out
 
 
-def join_artists(tracks: DataFrame, artists: DataFrame, null_safe: bool = True) -> DataFrame:
+def join_artists(tracks: DataFrame, artists: DataFrame, null_safe: bool = True,
+                 hot: list | None = None) -> DataFrame:
     """Slim artists, left join on ``artist_id_key``, fill 0/0/unknown/0."""
     slim = slim_dimension(artists)
-    out = join_dimension(tracks, slim, "artist_id_key", ARTIST_FILL, null_safe)
+    out = join_dimension(tracks, slim, "artist_id_key", ARTIST_FILL, null_safe, hot=hot)
     return out.withColumn("artist_genre_count", F.col("artist_genre_count").cast("int"))

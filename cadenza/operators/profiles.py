@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.numeric import round_to
+from cadenza.operators.join import HOT_FRACTION, join_dimension
 from cadenza.schema import AUDIO_FEATURES
+from cadenza.session import materialize
 
+BROADCAST_GROUPS = 100_000      # about 50 bytes a group: some 5 MB
 MOOD_LIMIT = 0.5
 # valence high/low x energy high/low
 MOOD_LABELS = {(True, True): "Happy-Energetic", (True, False): "Calm-Positive",
@@ -22,13 +25,28 @@ MOOD_LABELS = {(True, True): "Happy-Energetic", (True, False): "Calm-Positive",
 
 
 def genre_zscore(df: DataFrame, value: str = "popularity", group: str = "primary_genre",
-                 key: str = "id") -> DataFrame:
+                 key: str = "id", broadcast_rows: int = BROADCAST_GROUPS,
+                 hot_fraction: float = HOT_FRACTION) -> DataFrame:
     """Popularity as a z-score within its genre (sample std; a one-row genre
-    or a constant genre gives NULL)."""
-    stats = df.groupBy(group).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    return (df.select(key, group, value).join(stats, group)
-              .select(key, group, value,
-                      round_to(F.try_divide(F.col(value) - F.col("_m"), F.col("_s")), 6).alias("genre_z")))
+    or a constant genre gives NULL; rows without a genre go).
+
+    The group table is written and counted. Up to ``broadcast_rows`` groups it
+    is broadcast and the rows don't move; beyond, rows of groups with more than
+    ``hot_fraction`` of all rows (fewer than ``1 / hot_fraction``, named by
+    the group table itself) are salted in the shuffle join.
+    """
+    rows = df.select(key, group, value).where(F.col(group).isNotNull())
+    stats = materialize(rows.groupBy(group).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"),
+                                                F.count(F.lit(1)).alias("_n")), "groups")
+    size = stats.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows")).first()
+    slim = stats.select(group, "_m", "_s")
+    if size["groups"] <= broadcast_rows:
+        both = rows.join(F.broadcast(slim), group)
+    else:
+        hot = [r[group] for r in stats.where(F.col("_n") > hot_fraction * size["rows"]).select(group).collect()]
+        both = join_dimension(rows, slim, group, null_safe=False, hot=hot)
+    return both.select(key, group, value,
+                       round_to(F.try_divide(F.col(value) - F.col("_m"), F.col("_s")), 6).alias("genre_z"))
 
 
 def top_k(df: DataFrame, value: str = "dance_energy_index", k: int = 10,

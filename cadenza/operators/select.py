@@ -20,6 +20,7 @@ from cadenza.operators.explore import literal_bin
 from cadenza.schema import SELECTION_CANDIDATES, SELECTION_TOP_K
 
 MI_BINS = 10
+BOUNDARY = 10_000       # rows of a bracket that are put in order
 
 
 def candidates(df: DataFrame, names: list[str] = SELECTION_CANDIDATES) -> list[str]:
@@ -131,24 +132,96 @@ def select_features(df: DataFrame, target: str = "popularity", k: int = SELECTIO
     return by_corr.union(by_mi).distinct().orderBy("feature")
 
 
+def exact_quantiles(df: DataFrame, cols: list[str], parts: int, accuracy: int = 10_000,
+                    boundary: int = BOUNDARY) -> dict[str, list[float]]:
+    """The ``parts - 1`` inner quantiles of each complete numeric column: the
+    i-th is the value at place ceil(rows * i / parts) in ascending order. Exact
+    at any size, without putting a column in order.
+
+    A distributed order statistic: a bounded quantile sketch of the rows inside
+    a bracket gives a narrower bracket (its error is known), one pass counts the
+    rows below and inside it, and so on until a bracket holds one value or at
+    most ``boundary`` rows; only those rows are put in order. A bracket holds
+    about 1 / (accuracy / 4) of the rows of the one before. The driver gets the
+    ends and counts of ``len(cols) * (parts - 1)`` brackets.
+    """
+    xs = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    ends = xs.agg(F.count(F.lit(1)).alias("n"), *[f(f"x{i}").alias(f"{name}{i}") for i in range(len(cols))
+                                                  for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    n = ends["n"]
+    if not n:
+        return {c: [] for c in cols}
+    open_ = [{"col": i, "part": p, "rank": -(-n * p // parts), "lo": ends[f"lo{i}"], "hi": ends[f"hi{i}"],
+              "below": 0, "inside": n} for i in range(len(cols)) for p in range(1, parts)]
+    found: dict[tuple, float] = {}
+    slack = 2.0 / accuracy
+    while True:
+        for b in open_:
+            if b["lo"] == b["hi"]:
+                found[b["col"], b["part"]] = b["lo"]
+        open_ = [b for b in open_ if (b["col"], b["part"]) not in found]
+        wide = [b for b in open_ if b["inside"] > boundary]
+        if not wide:
+            break
+        # brackets with the same ends share a sketch
+        shared: dict[tuple, list] = {}
+        for b in wide:
+            shared.setdefault((b["col"], b["lo"], b["hi"]), []).append(b)
+        aggs = []
+        for (i, lo, hi), members in shared.items():
+            at = [(b["rank"] - b["below"]) / b["inside"] for b in members]
+            probs = [min(max(q + d, 0.0), 1.0) for q in at for d in (-slack, slack)]
+            aggs.append(F.percentile_approx(F.when(F.col(f"x{i}").between(lo, hi), F.col(f"x{i}")), probs, accuracy))
+        sketch = xs.agg(*[a.alias(f"s{k}") for k, a in enumerate(aggs)]).first()
+        tries = []
+        for k, members in enumerate(shared.values()):
+            for m, b in enumerate(members):
+                tries.append((b, sketch[f"s{k}"][2 * m], sketch[f"s{k}"][2 * m + 1]))
+        counts = xs.agg(*[c for k, (b, lo, hi) in enumerate(tries) for c in (
+            F.count(F.when(F.col(f"x{b['col']}") < lo, 1)).alias(f"b{k}"),
+            F.count(F.when(F.col(f"x{b['col']}") <= hi, 1)).alias(f"t{k}"))]).first()
+        moved = False
+        for k, (b, lo, hi) in enumerate(tries):
+            below, upto = counts[f"b{k}"], counts[f"t{k}"]
+            top = b["below"] + b["inside"]
+            old = (b["lo"], b["hi"])
+            if below < b["rank"]:                      # else the bracket missed: the old end stays
+                b["lo"], start = lo, below
+            else:
+                start = b["below"]
+            if upto >= b["rank"]:
+                b["hi"], top = hi, upto
+            b["below"], b["inside"] = start, top - start
+            moved |= old != (b["lo"], b["hi"])
+        if not moved:                                  # no narrower bracket: order what is left
+            break
+    if open_:
+        code = F.array(*[F.when(F.col(f"x{b['col']}").between(b["lo"], b["hi"]),
+                                F.struct(F.lit(k).alias("k"), F.col(f"x{b['col']}").alias("x")))
+                         for k, b in enumerate(open_)])
+        values = (xs.select(F.explode(F.array_compact(code)).alias("v")).groupBy("v.k", "v.x")
+                    .agg(F.count(F.lit(1)).alias("n")))
+        left = F.element_at(F.array(*[F.lit(b["rank"] - b["below"]) for b in open_]), F.col("k") + 1)
+        upto = F.sum("n").over(Window.partitionBy("k").orderBy("x"))
+        rows = (values.withColumn("upto", upto).where(F.col("upto") >= left)
+                      .groupBy("k").agg(F.min("x").alias("x")).collect())
+        for r in rows:
+            found[open_[r["k"]]["col"], open_[r["k"]]["part"]] = r["x"]
+    return {c: [found[i, p] for p in range(1, parts)] for i, c in enumerate(cols)}
+
+
 def mutual_info_quantile(df: DataFrame, cols: list[str], target: str = "popularity",
-                         bins: int = MI_BINS, accuracy: int = 10_000, digits: int = 6) -> DataFrame:
-    """E4, quantile bins: edges are approximate quantiles of each column (one
-    ``percentile_approx`` aggregate, bounded sketches), so every bin holds
-    about the same number of rows; a value's bin is the number of edges
-    below it. Ties at an edge and the sketch error make this a rows-only
-    check."""
+                         bins: int = MI_BINS, digits: int = 6) -> DataFrame:
+    """E4, quantile bins: edges are the exact quantiles of each column over
+    complete rows, so every bin holds about the same number of rows; a value's
+    bin is one more than the number of different edges below it."""
     complete = df.select(*cols, target).na.drop()
-    allc = cols + [target]
-    probs = [i / bins for i in range(1, bins)]
-    row = complete.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c)
-                         for c in allc]).first()
+    edges = exact_quantiles(complete, cols + [target], bins)
 
     def q_bin(c):
-        edges = sorted(set(row[c] or []))
         x = F.col(c).cast("double")
         out = F.lit(1)
-        for e in edges:
+        for e in sorted(set(edges[c])):
             out = out + (x > F.lit(float(e))).cast("int")
         return out
 

@@ -67,6 +67,13 @@ def joined(spark: SparkSession, sf_dir: str, null_safe: bool = True) -> DataFram
                              null_safe=null_safe)
 
 
+def build_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`joined` over the written clean tracks, whose hot keys are found in
+    the pass that writes them and salted."""
+    tracks, hot = join.write_fact(cleaned_tracks(spark, sf_dir), "tracks", "artist_id_key")
+    return join.join_artists(tracks, cleaned_artists(spark, sf_dir), hot=hot)
+
+
 def build_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lazy plan: scans -> clean -> keep-first dedup -> join -> features."""
     feats, _ = features.build(joined(spark, sf_dir))
@@ -80,7 +87,7 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     once; the feature columns stay lazy so each query reads only what it
     needs."""
     from cadenza.plans import store
-    j = store.table(spark, sf_dir, "joined", joined)
+    j = store.table(spark, sf_dir, "joined", build_joined)
     stats = store.bundle(spark, sf_dir, "feature_stats",
                          lambda _s, _d: features.table_stats(features.basic(j)))
     feats, _ = features.build(j, stats=stats)
@@ -486,6 +493,19 @@ def q_corr_matrix(spark, sf_dir):
     return _explore().corr_matrix(feature_table(spark, sf_dir))
 
 
+# columns with missing values: energy of explicit tracks, valence of unpopular ones
+GAPS_SQL = ("(SELECT * REPLACE (CASE WHEN explicit = 1 THEN NULL ELSE energy END AS energy, "
+            "CASE WHEN popularity < 20 THEN NULL ELSE valence END AS valence) FROM feat)")
+
+
+@query("corr_matrix_gaps", corr_matrix_sql().replace("FROM feat)", f"FROM {GAPS_SQL})", 1))
+def q_corr_matrix_gaps(spark, sf_dir):
+    gaps = (feature_table(spark, sf_dir)
+            .withColumn("energy", F.when(F.col("explicit") != 1, F.col("energy")))
+            .withColumn("valence", F.when(F.col("popularity") >= 20, F.col("valence"))))
+    return _explore().corr_matrix(gaps)
+
+
 @query("corr_target_sorted", corr_matrix_sql().replace(
     "SELECT row_feature, col_feature, round(v, 4) AS corr, cast(round_even(v, 2) AS DOUBLE) AS label FROM (",
     "SELECT row_feature AS feature, round(v, 4) AS corr, CASE WHEN round(v, 4) < 0 THEN 'negative' "
@@ -685,6 +705,26 @@ def q_mutual_info_binned(spark, sf_dir):
     return s.mutual_info_binned(df, s.candidates(df))
 
 
+def mi_quantile_sql(bins: int = 10) -> str:
+    cols = CANDIDATES + ["popularity"]
+    comp = f"(SELECT * FROM {FEAT_LOGS} WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in cols) + ")"
+    values = f"(SELECT row_number() OVER () AS r, {', '.join(f'cast({c} AS DOUBLE) AS {c}' for c in cols)} FROM {comp})"
+    return f""", qv AS MATERIALIZED (SELECT * FROM {values}),
+ql AS MATERIALIZED (SELECT r, feature, x FROM (UNPIVOT qv ON {', '.join(cols)} INTO NAME feature VALUE x)),
+qr AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) AS place,
+              count(*) OVER (PARTITION BY feature) AS n FROM ql),
+qe AS (SELECT feature, list(DISTINCT x) AS edges FROM qr, range(1, {bins}) AS p(i)
+       WHERE place = (n * i + {bins} - 1) // {bins} GROUP BY feature),
+qb AS (SELECT r, feature, 1 + len([e FOR e IN edges IF ql.x > e]) AS b FROM ql JOIN qe USING (feature)),
+qj AS (SELECT a.feature, a.b AS bx, y.b AS yb, count(*) AS nxy FROM qb a JOIN qb y ON a.r = y.r
+       WHERE a.feature <> 'popularity' AND y.feature = 'popularity' GROUP BY a.feature, a.b, y.b)
+SELECT feature, round(sum((cast(nxy AS DOUBLE) / n) * ln((cast(nxy AS DOUBLE) * n) / (cast(nx AS DOUBLE) * ny))), 6) AS mi
+FROM (SELECT feature, nxy, sum(nxy) OVER (PARTITION BY feature) AS n,
+             sum(nxy) OVER (PARTITION BY feature, bx) AS nx, sum(nxy) OVER (PARTITION BY feature, yb) AS ny FROM qj)
+WHERE {PRESENT}
+GROUP BY feature"""
+
+
 @query("select_features", SKEW_CTE + f"""
 SELECT DISTINCT feature FROM (
   SELECT feature FROM ({top15(CORR_ROWS, 'corr')})
@@ -1360,7 +1400,7 @@ def q_artist_vs_genre(spark, sf_dir):
     return _prof().artist_vs_genre(feature_table(spark, sf_dir))
 
 
-@query("mutual_info_quantile")
+@query("mutual_info_quantile", SKEW_CTE + mi_quantile_sql())
 def q_mutual_info_quantile(spark, sf_dir):
     s = _select()
     df = feature_table(spark, sf_dir)

@@ -136,3 +136,46 @@ def test_join_hot_key_salted(spark):
     assert out.where("artist_id_key <> 'hot' AND primary_genre = 'rock'").count() == 2000
     no_detect = join.join_dimension(fact, join.slim_dimension(artists), "artist_id_key", hot_fraction=None)
     assert no_detect.where("primary_genre = 'pop'").count() == 1000
+
+
+def test_write_fact_finds_hot_keys_and_dimension_is_read_once(spark, tmp_dir):
+    fact = spark.range(3000).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.lit(None).cast("string"))
+         .otherwise(F.col("id").cast("string")).alias("artist_id_key"))
+    written, hot = join.write_fact(fact, "fact", "artist_id_key")
+    assert hot == ["hot"] and written.count() == 3000
+    assert join.write_fact(fact.limit(0), "fact", "artist_id_key")[1] == []
+    spark.createDataFrame([("hot", 1.0, 90.0, "pop", 1), (None, 2.0, 5.0, "none", 1)],
+                          "id string, followers double, popularity double, primary_genre string, genre_count int") \
+         .write.parquet(f"{tmp_dir}/artists")
+    artists = spark.read.parquet(f"{tmp_dir}/artists")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = join.join_artists(written, artists, hot=hot)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 2 and "_salt" in plan and "Union" not in plan
+        assert {r["primary_genre"]: r["count"] for r in out.groupBy("primary_genre").count().collect()} == \
+            {"pop": 1000, "none": 1000, "unknown": 1000}
+        # the hot key's rows are dealt over many partitions
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spread = out.where("artist_id_key = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert spread > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_genre_zscore_without_a_small_group_table(spark):
+    from cadenza.operators.profiles import genre_zscore
+    df = spark.range(900).select(
+        F.col("id"), (F.col("id") % 17).cast("double").alias("popularity"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 101 == 1, F.lit(None).cast("string"))
+         .otherwise((F.col("id") % 40).cast("string")).alias("primary_genre"))
+    small, salted = genre_zscore(df), genre_zscore(df, broadcast_rows=0)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    plan = salted._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and "hot" in plan and "strategy=broadcast" not in plan
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, salted.collect()))
+    assert small.where("primary_genre IS NULL").count() == 0

@@ -113,3 +113,26 @@ def test_mutual_info_with_missing_values_uses_complete_rows(spark):
     shared = {r["feature"]: r["mi"] for r in mutual_info_binned(df, ["a", "b"], profile=prof).collect()}
     alone = {r["feature"]: r["mi"] for r in mutual_info_binned(df, ["a", "b"]).collect()}
     assert shared == alone
+
+
+def test_exact_quantiles_match_order(spark):
+    from cadenza.operators.select import exact_quantiles
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"normal": rng.normal(size=4000), "ties": rng.integers(0, 6, 4000).astype(float),
+                        "hot": np.where(rng.random(4000) < 0.4, 1.0, rng.exponential(size=4000)), "one": 2.0})
+    df = spark.createDataFrame(pdf).repartition(5)
+    expect = {c: [sorted(pdf[c])[-(-4000 * i // 10) - 1] for i in range(1, 10)] for c in pdf}
+    for accuracy, boundary in ((10_000, 10_000), (50, 100), (20, 0)):     # ordered at once; brackets first; brackets only
+        assert exact_quantiles(df, list(pdf), 10, accuracy, boundary) == expect, (accuracy, boundary)
+    assert exact_quantiles(df.limit(0), ["normal"], 4) == {"normal": []}
+
+
+def test_corr_matrix_is_one_pass_and_survives_empty_pairs(spark):
+    df = spark.createDataFrame([(1.0, None, 5.0), (None, 2.0, 6.0), (3.0, None, 9.0)], "a double, b double, c double")
+    m = {(r["row_feature"], r["col_feature"]): r["corr"] for r in explore.corr_matrix(df, ["a", "b", "c"]).collect()}
+    assert len(m) == 9 and m[("a", "b")] is None and m[("a", "a")] == 1.0 and m[("a", "c")] == m[("c", "a")] == 1.0
+    assert {r["corr"] for r in explore.corr_matrix(df.limit(0), ["a", "b"]).collect()} == {None}
+    from conftest import SF_SMALL
+    plan = explore.corr_matrix(spark.read.parquet(f"{SF_SMALL}/lineitem.parquet"), ["l_quantity", "l_tax"]) \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "partial_covar_pop" in plan
