@@ -171,7 +171,11 @@ def packed_texts(docs: DataFrame, rest: bool = False) -> DataFrame:
     return packed(own)
 
 
-def unpack(value: bytes) -> str:
+def unpack_bytes(value: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(value).decode()
+    return zstandard.ZstdDecompressor().decompress(value)
+
+
+def unpack(value: bytes) -> str:
+    return unpack_bytes(value).decode()

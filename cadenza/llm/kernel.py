@@ -96,13 +96,22 @@ def words(data: np.ndarray, offs: np.ndarray, is_space: np.ndarray = _IS_SPACE):
     return start, np.flatnonzero(last) + 1, np.searchsorted(offs, start, "right") - 1
 
 
-def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of ``values`` (bytes or code points)."""
+def running_hash(values: np.ndarray) -> np.ndarray:
+    """What ``span_hash`` sums up of ``values`` (bytes or code points), before each place:
+    made once where several sets of spans are hashed."""
     n = len(values)
-    up, down = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
+    own = values.astype(np.uint64)
+    own += np.uint64(1)
+    own *= _powers(n + 1)[0][:n]
+    np.cumsum(own, out=total[1:])
+    return total
+
+
+def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each span of ``values``; ``total``: their ``running_hash``, if at hand."""
+    total = running_hash(values) if total is None else total
+    h = (total[end] - total[start]) * _powers(len(total))[1][start]
     return mix(h ^ ((end - start).astype(np.uint64) * _STEP))
 
 

@@ -32,18 +32,22 @@ places too. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import kernel
-from cadenza.llm.common import bit_filter, id_text, map_arrow, packed_texts, table, unpack, written
+from cadenza.llm.common import bit_filter, id_text, map_arrow, packed_texts, table, unpack_bytes, written
 
 MIN_CHARS = 20           # of the near step
 EXACT_CHARS = 1          # of the exact step
 FILTER_BITS = 1 << 26    # of a filter over hashes: 8 MB
+BLOCK_BYTES = 1 << 17    # of whole texts at a time: their arrays of 8 bytes a character stay in the cache
 _SPACE = " \t\n\x0b\x0c\r"
+_WORD_TO_END = re.compile(rb"[^ \t\n\x0b\x0c\r][^\n]*")      # one match in each line with a word
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in _SPACE]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +57,7 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 def _places_of(col):
     """By block: (row, place, start, end) of every line with a word, its white space
     at the ends left off, the block's bytes, and the code points before each byte."""
-    for lo, _, data, offs in kernel.blocks(col):
+    for lo, _, data, offs in kernel.blocks(col, BLOCK_BYTES):
         word = np.flatnonzero(~_IS_SPACE[data])
         if not len(word):
             continue
@@ -106,7 +110,7 @@ def _places(min_chars: int, shared=None):
     return run
 
 
-def _halves(data: np.ndarray, points: np.ndarray, start: np.ndarray, end: np.ndarray):
+def _halves(data: np.ndarray, points: np.ndarray, total: np.ndarray, start: np.ndarray, end: np.ndarray):
     """(key, side) of every line, as the shorter and as the longer of a pair; side
     0: the first half is equal, so the edit is in the rest; 1: the other way."""
     heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
@@ -115,8 +119,8 @@ def _halves(data: np.ndarray, points: np.ndarray, start: np.ndarray, end: np.nda
         m = n - less
         q = m // 2
         salt = kernel.mix(m.astype(np.int64).astype(np.uint64) * _STEP + np.uint64(1))
-        yield kernel.mix(kernel.span_hash(data, start, heads[first + q]) ^ salt), 0
-        yield kernel.mix(kernel.span_hash(data, heads[first + n - q], end) ^ ~salt), 1
+        yield kernel.mix(kernel.span_hash(data, start, heads[first + q], total) ^ salt), 0
+        yield kernel.mix(kernel.span_hash(data, heads[first + n - q], end, total) ^ ~salt), 1
 
 
 def _keys(min_chars: int, shared=None):
@@ -126,10 +130,11 @@ def _keys(min_chars: int, shared=None):
             for _, _, start, end, data, points in _places_of(batch.column("text")):
                 keep = points[end] - points[start] >= min_chars
                 start, end = start[keep], end[keep]
-                h, first = np.unique(kernel.span_hash(data, start, end), return_index=True)
-                if not len(h):
+                if not len(start):
                     continue
-                for key, side in _halves(data, points, start[first], end[first]):
+                total = kernel.running_hash(data)
+                h, first = np.unique(kernel.span_hash(data, start, end, total), return_index=True)
+                for key, side in _halves(data, points, total, start[first], end[first]):
                     keep = slice(None) if shared is None else _likely(shared.value, key)
                     yield _columns("key line side", key[keep], h[keep], np.full(len(h[keep]), side, np.int32))
     return run
@@ -256,12 +261,12 @@ def _cut(batches):
     for batch in batches:
         texts, n_lines, n_removed = [], [], []
         for packed, gone in zip(batch.column("packed").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-            lines, gone = unpack(packed).split("\n"), set(gone or ())
-            texts.append("\n".join(line for k, line in enumerate(lines) if k not in gone))
-            n_lines.append(sum(bool(x.strip(_SPACE)) for x in lines))
+            raw, gone = unpack_bytes(packed), set(gone or ())
+            texts.append(b"\n".join(line for k, line in enumerate(raw.split(b"\n")) if k not in gone) if gone else raw)
+            n_lines.append(len(_WORD_TO_END.findall(raw)))
             n_removed.append(len(gone))
         rest = ["doc_id", *(["rest"] if "rest" in batch.schema.names else [])]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()),
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()),
                                           pa.array(n_removed, pa.int64())], [*rest, "text", "n_lines", "n_removed"])
 
 
