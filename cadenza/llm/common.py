@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import os
 import tempfile
 import zipfile
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.llm.kernel import column_bytes
 from cadenza.session import materialize, work_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -129,7 +131,9 @@ def _pack_column(batch: pa.RecordBatch) -> pa.RecordBatch:
     import zstandard
 
     c = zstandard.ZstdCompressor(level=1)
-    packed = [c.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+    data, offs = column_bytes(batch.column("text"))
+    raw, at = memoryview(np.ascontiguousarray(data)), offs.tolist()
+    packed = [c.compress(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]
     names = [n for n in batch.schema.names if n != "text"]
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(packed, pa.binary())], [*names, "packed"])
 
@@ -171,10 +175,16 @@ def packed_texts(docs: DataFrame, rest: bool = False) -> DataFrame:
     return packed(own)
 
 
-def unpack_bytes(value: bytes) -> bytes:
+@functools.cache
+def _decompressor():
+    """One a worker: a new one for every text costs more than most texts."""
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(value)
+    return zstandard.ZstdDecompressor()
+
+
+def unpack_bytes(value: bytes) -> bytes:
+    return _decompressor().decompress(value)
 
 
 def unpack(value: bytes) -> str:

@@ -54,9 +54,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _places_of(col):
+def _places_of(col, counted: bool = True):
     """By block: (row, place, start, end) of every line with a word, its white space
-    at the ends left off, the block's bytes, and the code points before each byte."""
+    at the ends left off, the block's bytes, and the code points before each byte
+    (None unless ``counted``)."""
     for lo, _, data, offs in kernel.blocks(col, BLOCK_BYTES):
         word = np.flatnonzero(~_IS_SPACE[data])
         if not len(word):
@@ -70,8 +71,10 @@ def _places_of(col):
         start, end = word[first[:-1][some]], word[first[1:][some] - 1] + 1
         doc = np.searchsorted(offs, begin, "right") - 1
         place = np.searchsorted(breaks, begin) - np.searchsorted(breaks, offs[doc])
-        points = np.zeros(len(data) + 1, np.int32)
-        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+        points = None
+        if counted:
+            points = np.zeros(len(data) + 1, np.int32)
+            np.cumsum((data & 0xC0) != 0x80, out=points[1:])
         yield lo + doc, place, start, end, data, points
 
 
@@ -99,10 +102,11 @@ def _places(min_chars: int, shared=None):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            for row, place, start, end, data, points in _places_of(batch.column("text")):
-                keep = points[end] - points[start] >= min_chars
-                h = kernel.span_hash(data, start[keep], end[keep])
-                row, place = row[keep], place[keep]
+            for row, place, start, end, data, points in _places_of(batch.column("text"), min_chars > 1):
+                if points is not None:          # a line with a word has one character
+                    keep = points[end] - points[start] >= min_chars
+                    row, place, start, end = row[keep], place[keep], start[keep], end[keep]
+                h = kernel.span_hash(data, start, end)
                 if shared is not None:
                     keep = _likely(shared.value, h)
                     h, row, place = h[keep], row[keep], place[keep]
