@@ -10,9 +10,12 @@ the regularised linear objectives is documented per function.
 
 from __future__ import annotations
 
+import itertools
 import random
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, NaiveBayes,
                                        RandomForestClassifier)
@@ -20,8 +23,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor,
                                    LinearRegression, RandomForestRegressor)
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions.numeric import round_to
@@ -239,14 +241,59 @@ def train_classifiers(train: DataFrame, test: DataFrame, feats: list[str], stats
 # Tuned forest
 # ---------------------------------------------------------------------------
 
-def draw_params(est, grid: dict = TUNE_GRID, k: int = TUNE_CANDIDATES, seed: int = SEED) -> list:
-    """k distinct parameter maps drawn with a seed from the full grid."""
-    full = ParamGridBuilder()
-    for name, values in grid.items():
-        full = full.addGrid(est.getParam(name), values)
-    maps = full.build()
+def draw_params(grid: dict = TUNE_GRID, k: int = TUNE_CANDIDATES, seed: int = SEED) -> list[dict]:
+    """k distinct parameter choices drawn with a seed from the full grid."""
+    full = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     rng = random.Random(seed)
-    return [maps[i] for i in sorted(rng.sample(range(len(maps)), min(k, len(maps))))]
+    return [full[i] for i in sorted(rng.sample(range(len(full)), min(k, len(full))))]
+
+
+def min_rows_to_split(spark: SparkSession, model, minimum: int):
+    """The forest as it would be with splits only at nodes of ``minimum`` rows or
+    more. Growth is greedy from the root and a node's split depends on its own
+    rows alone, so cutting every smaller node of a grown tree to a leaf gives
+    the tree that the limit would have grown, and one fit serves all limits.
+    Rows count as often as the bagging drew them, as for the leaf minimum. The
+    nodes (one row each) are rewritten as a table in the shared folder."""
+    from cadenza.session import materialize, scratch_path
+    if minimum <= 2:
+        return model
+    path = scratch_path(spark, "forest")
+    model.write().overwrite().save(path)
+    node = F.col("nodeData")
+    small = node["rawCount"] < minimum
+    cut = (node.withField("leftChild", F.when(small, -1).otherwise(node["leftChild"]))
+               .withField("rightChild", F.when(small, -1).otherwise(node["rightChild"])))
+    nodes = materialize(spark.read.parquet(f"{path}/data").withColumn("nodeData", cut), "forest-nodes")
+    nodes.write.mode("overwrite").parquet(f"{path}/data")
+    return type(model).load(path)
+
+
+def forest_scores(forest, folded: DataFrame, candidates: list[dict], folds: int, parallelism: int) -> list[float]:
+    """Mean R2 over the folds of each candidate. Candidates that differ only in
+    ``minRowsToSplit`` share a fit; the fits of a fold run side by side."""
+    ev = RegressionEvaluator(labelCol="popularity", predictionCol="prediction", metricName="r2")
+    spark = folded.sparkSession
+    shared: dict = {}
+    for i, c in enumerate(candidates):
+        shared.setdefault(tuple((n, v) for n, v in c.items() if n != "minRowsToSplit"), []).append(i)
+    totals = [0.0] * len(candidates)
+    for fold in range(folds):
+        rest = folded.where(F.col("fold") != fold).persist()
+        held = folded.where(F.col("fold") == fold).persist()
+
+        def score(item):
+            grown = forest.copy({forest.getParam(n): v for n, v in item[0]}).fit(rest)
+            return [(i, ev.evaluate(min_rows_to_split(spark, grown, candidates[i].get("minRowsToSplit", 2)).transform(held)))
+                    for i in item[1]]
+
+        with ThreadPool(max(1, min(parallelism, len(shared)))) as pool:
+            for scored in pool.map(inheritable_thread_target(spark)(score), shared.items()):
+                for i, r2 in scored:
+                    totals[i] += r2
+        rest.unpersist()
+        held.unpersist()
+    return [t / folds for t in totals]
 
 
 def tune_forest(train: DataFrame, test: DataFrame, feats: list[str], stats: dict,
@@ -258,21 +305,19 @@ def tune_forest(train: DataFrame, test: DataFrame, feats: list[str], stats: dict
     importance frame)."""
     rf = RandomForestRegressor(featuresCol=FEATURES_COL, labelCol="popularity",
                                featureSubsetStrategy="sqrt", seed=seed, **TREE_OPTS)
-    maps = draw_params(rf, grid, k, seed)
-    ev = RegressionEvaluator(labelCol="popularity", predictionCol="prediction", metricName="r2")
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, evaluator=ev, numFolds=folds,
-                        foldCol="fold", parallelism=parallelism, seed=seed)
+    candidates = draw_params(grid, k, seed)
     prep = Pipeline(stages=[scaler_stage(stats), assembler(feats)]).fit(train)
-    folded = prep.transform(train).withColumn(
-        "fold", (hash_fraction(key, seed + 1) * folds).cast("int"))
-    cvm = cv.fit(folded)
-    best = cvm.bestModel
+    ready = prep.transform(train)
+    folded = ready.withColumn("fold", (hash_fraction(key, seed + 1) * folds).cast("int"))
+    scores = forest_scores(rf, folded, candidates, folds, parallelism)
+    best_cv = max(scores)
+    params = candidates[scores.index(best_cv)]
+    grown = rf.copy({rf.getParam(n): v for n, v in params.items() if n != "minRowsToSplit"}).fit(ready)
+    best = min_rows_to_split(train.sparkSession, grown, params.get("minRowsToSplit", 2))
     model = PipelineModel(stages=list(prep.stages) + [best])
     preds = regression_predictions(model, test, "Tuned Random Forest", 1)
     reg = M.regression_metrics(preds).where(F.col("metric").isin("MAE", "RMSE", "R2"))
-    best_cv = max(cvm.avgMetrics)
     spark = train.sparkSession
-    params = {p.name: v for p, v in cvm.getEstimatorParamMaps()[cvm.avgMetrics.index(best_cv)].items()}
     extra = spark.createDataFrame(
         [("tuned", "Tuned Random Forest", 1, "best_cv_r2", float(best_cv))] +
         [("tuned", "Tuned Random Forest", 1, f"param_{k2}", float(v)) for k2, v in sorted(params.items())],
@@ -285,7 +330,6 @@ def tune_forest(train: DataFrame, test: DataFrame, feats: list[str], stats: dict
 def importance(tree_model, feats: list[str]) -> DataFrame:
     """(feature, importance) sorted descending. The vector has one
     entry per feature (bounded by the feature count)."""
-    from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     vals = [float(v) for v in tree_model.featureImportances.toArray().tolist()]
     df = spark.createDataFrame(list(zip(feats, vals)), "feature string, importance double")

@@ -94,6 +94,7 @@ TUNE_GRID = {
     "numTrees": [50, 75, 100],
     "maxDepth": [8, 12, 15],
     "minInstancesPerNode": [1, 2],
+    "minRowsToSplit": [2, 5],
 }
 TUNE_CANDIDATES = 3
 TUNE_FOLDS = 2
