@@ -1111,6 +1111,98 @@ def q_reg_linear_single(spark, sf_dir):
                                  round_to(F.lit(float(lr.intercept)), 4).alias("intercept"))
 
 
+# Closed forms of the registered estimators: one feature each, so that the optimum
+# of the reproduced objective is a formula of means and (co)variances.
+SINGLE = "danceability"
+STEP_FEATURE = "track_age"
+
+
+def _single_fit(spark, sf_dir, kind, name, feature, sizes=None):
+    """(training rows with label codes, fitted model) of one registered estimator on one feature."""
+    m = _model()
+    train, test, classes, stats = m.prepare(feature_table(spark, sf_dir), [feature])
+    agg = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("popularity").alias("s")).first()
+    ests = m.regressors(agg["n"], agg["s"], sizes=sizes) if kind == "reg" else m.classifiers(agg["n"], sizes=sizes)
+    return train, m.fit_one(ests[name], train, stats, [feature]), classes
+
+
+def _single_sql(slope):
+    """``slope`` on the scaled feature; the intercept is the mean of the target."""
+    return f"""
+, st AS (SELECT covar_pop(popularity, {SINGLE}) / stddev_pop({SINGLE}) AS c, count(*) AS n, avg(popularity) AS m
+         FROM feat WHERE NOT {SPLIT_SQL})
+SELECT round({slope}, 3) AS slope, round(m, 3) AS intercept FROM st
+"""
+
+
+def _single_query(name):
+    def fn(spark, sf_dir):
+        lr = _single_fit(spark, sf_dir, "reg", name, SINGLE)[1].stages[-1]
+        return spark.range(1).select(round_to(F.lit(float(lr.coefficients[0])), 3).alias("slope"),
+                                     round_to(F.lit(float(lr.intercept)), 3).alias("intercept"))
+    return fn
+
+
+for _key, _name, _slope in [
+        ("reg_linear_closed", "Linear Regression", "c"),
+        ("reg_ridge_closed", "Ridge Regression", "c * n / (n + 1)"),
+        ("reg_lasso_closed", "Lasso Regression", "sign(c) * greatest(abs(c) - 0.1, 0)"),
+        ("reg_elasticnet_closed", "ElasticNet", "sign(c) * greatest(abs(c) - 0.05, 0) / 1.05")]:
+    query(_key, _single_sql(_slope))(_single_query(_name))
+
+
+@query("reg_tree_stump", f"""
+, tr AS (SELECT popularity AS y, cast({STEP_FEATURE} AS DOUBLE) AS x FROM feat WHERE NOT {SPLIT_SQL}),
+cuts AS (SELECT DISTINCT x AS cut FROM tr),
+gains AS (SELECT cut, sum(y) FILTER (x <= cut) ^ 2 / count(*) FILTER (x <= cut)
+                    + sum(y) FILTER (x > cut) ^ 2 / count(*) FILTER (x > cut) AS gain
+          FROM tr, cuts WHERE cut < (SELECT max(x) FROM tr) GROUP BY cut),
+best AS (SELECT arg_max(cut, gain) AS cut FROM gains)
+SELECT round(avg(y), 4) AS predicted, count(*) AS n, min(x) AS least, max(x) AS most
+FROM tr, best GROUP BY x <= cut
+""")
+def q_reg_tree_stump(spark, sf_dir):
+    """The registered tree at depth 1: the best of all cuts between neighbouring values."""
+    train, model, _ = _single_fit(spark, sf_dir, "reg", "Decision Tree", STEP_FEATURE, _model().Sizes(tree_depth=1))
+    return (model.transform(train).groupBy(round_to("prediction", 4).alias("predicted"))
+                 .agg(F.count(F.lit(1)).alias("n"), F.min(STEP_FEATURE).alias("least"), F.max(STEP_FEATURE).alias("most")))
+
+
+@query("clf_tree_stump", f"""
+, tr AS (SELECT popularity_category AS y, cast({STEP_FEATURE} AS DOUBLE) AS x FROM feat WHERE NOT {SPLIT_SQL}),
+cuts AS (SELECT DISTINCT x AS cut FROM tr),
+sides AS (SELECT cut, x <= cut AS low, y, count(*) AS n FROM tr, cuts WHERE cut < (SELECT max(x) FROM tr) GROUP BY ALL),
+gains AS (SELECT cut, sum(purity) AS gain FROM (
+            SELECT cut, low, sum(n * n) / sum(n) AS purity FROM sides GROUP BY cut, low) GROUP BY cut),
+best AS (SELECT arg_max(cut, gain) AS cut FROM gains),
+named AS (SELECT low, arg_max(y, n) AS predicted FROM sides WHERE cut = (SELECT cut FROM best) GROUP BY low)
+SELECT named.predicted, tr.y AS actual, count(*) AS n
+FROM tr, best, named WHERE named.low = (tr.x <= best.cut) GROUP BY 1, 2
+""")
+def q_clf_tree_stump(spark, sf_dir):
+    """The registered tree at depth 1: the cut of least Gini impurity, each side's commonest class."""
+    train, model, classes = _single_fit(spark, sf_dir, "clf", "Decision Tree", STEP_FEATURE, _model().Sizes(tree_depth=1))
+    names = F.array(*[F.lit(c) for c in classes])
+    return (model.transform(train)
+                 .groupBy(F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"),
+                          F.col("popularity_category").alias("actual"))
+                 .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("clf_logistic_shares", f"""
+, tr AS (SELECT popularity_category AS class FROM feat WHERE NOT {SPLIT_SQL})
+SELECT class, round(count(*) / (SELECT count(*) FROM tr), 3) AS mean_probability FROM tr GROUP BY class
+""")
+def q_clf_logistic_shares(spark, sf_dir):
+    """Optimality of the unpenalised intercepts: the mean probability of a class is its share."""
+    from pyspark.ml.functions import vector_to_array
+    train, model, classes = _single_fit(spark, sf_dir, "clf", "Logistic Regression", SINGLE)
+    p = vector_to_array("probability")
+    row = model.transform(train).agg(*[F.avg(p[i]).alias(c) for i, c in enumerate(classes)])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("class"), round_to(c, 3).alias("mean_probability"))
+                                          for c in classes])).alias("r")).select("r.*")
+
+
 GNB_FEATS = AUDIO
 
 
