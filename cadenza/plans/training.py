@@ -40,8 +40,7 @@ def features_from_sources(tracks: DataFrame, artists: DataFrame,
     known before any model code runs and test rows do not leak)."""
     t = clean.clean_tracks(tracks, order_by=order_by or in_files(tracks))
     a = clean.clean_artists(artists, order_by=in_files(artists))
-    t, hot = join.write_fact(t, "tracks", "artist_id_key")
-    j = materialize(join.join_artists(t, a, hot=hot), "joined")
+    j = materialize(join.join_written(t, a), "joined")
     if fit_on == "train":
         train_rows = features.basic(model.with_split(j, key).where(~F.col("is_test")))
         return features.build(j, stats=features.table_stats(train_rows))

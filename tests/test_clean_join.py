@@ -179,3 +179,50 @@ def test_genre_zscore_without_a_small_group_table(spark):
     assert "_salt" in plan and "hot" in plan and "strategy=broadcast" not in plan
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, salted.collect()))
     assert small.where("primary_genre IS NULL").count() == 0
+
+
+def _music(spark, folder):
+    """Tables with repeated and missing keys, and ties in all of the order's columns."""
+    at = "timestamp'2001-02-03'"
+    li = [(1, 7, 3, 1, 5.0, 900.0, 0.05, 0.02, "R"), (1, 7, 3, 1, 5.0, 900.0, 0.01, 0.02, "N"), (1, 7, 3, 1, 4.0, 900.0, 0.09, 0.02, "N"),
+          (1, 8, 2, 2, 9.0, 800.0, 0.05, 0.02, "R"), (1, 7, 9, 2, 1.0, 100.0, 0.05, 0.02, "R"), (2, 7, 3, None, 5.0, 700.0, 0.05, 0.0, "A"),
+          (3, 8, None, None, 6.0, None, None, 0.0, None), (None, 7, 3, 1, 5.0, 1.0, 0.0, 0.0, "R"), (2, 99, 3, 1, 5.0, 1.0, 0.0, 0.0, "R")]
+    frames = {
+        "lineitem": spark.createDataFrame(li, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double,"
+                                              "l_extendedprice double, l_discount double, l_tax double, l_returnflag string"),
+        "orders": spark.sql(f"select k o_orderkey, {at} + make_dt_interval(d) o_orderdate, cast(d * 10 as double) o_totalprice "
+                            "from values (1L, 1), (1L, 40), (2L, 2), (3L, 3) t(k, d)"),
+        "part": spark.sql("select k p_partkey, n p_name, s p_size from values (7L, 'b', 5), (7L, 'a', 9), (8L, 'c', 1) t(k, n, s)")}
+    for name, frame in frames.items():
+        frame.write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_dedup_of_narrow_rows_picks_the_same_rows(spark, tmp_dir):
+    from cadenza.sources import tables
+    d = _music(spark, tmp_dir)
+    wide = clean.dedup_keep_first(tables.music_tracks(spark, d), "id", tables.TRACK_ORDER, drop_order=True)
+    narrow = clean.first_rows(tables.music_rows(spark, d), "id", tables.TRACK_ORDER, tables.music_columns)
+    assert narrow.columns == wide.columns == tables.MUSIC_COLUMNS
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.collect())) and wide.count() == 3
+    # what the shuffle carries doesn't hold the computed columns
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate"):]
+    assert "Supplier#" in plan and "Supplier#" not in below
+
+
+def test_written_dimension_is_broadcast_if_counted_small(spark):
+    artists = spark.createDataFrame([("a", 1.0, 2.0, "g", 1), (None, 3.0, 4.0, "h", 2)],
+                                    "id string, followers double, popularity double, primary_genre string, genre_count int")
+    tracks = spark.range(50).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "z").alias("artist_id_key"))
+    tracks = tracks.groupBy("id").agg(F.max("artist_id_key").alias("artist_id_key"))
+    want = sorted(map(str, join.join_artists(tracks, artists).collect()))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        small, large = join.join_written(tracks, artists), join.join_written(tracks, artists, max_rows=1)
+        assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, small.collect())) == sorted(map(str, large.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
