@@ -136,3 +136,22 @@ def test_corr_matrix_is_one_pass_and_survives_empty_pairs(spark):
     plan = explore.corr_matrix(spark.read.parquet(f"{SF_SMALL}/lineitem.parquet"), ["l_quantity", "l_tax"]) \
         ._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and "partial_covar_pop" in plan
+
+
+def test_corr_matrix_emits_blocks_not_pairs(spark):
+    """17 columns have 153 pairs; a row gives at most one row per four of them and column."""
+    cols = [f"c{i}" for i in range(17)]
+    df = spark.range(400).select(*[F.when(F.col("id") % (i + 2) != 0, (F.col("id") * (i * 37 + 11)) % 101).cast("double").alias(c)
+                                   for i, c in enumerate(cols)])
+    got = explore.corr_matrix(df, cols)
+    ref = df.toPandas()[cols].corr()
+    assert all(abs(r["corr"] - ref.loc[r["row_feature"], r["col_feature"]]) < 1e-4 for r in got.collect())
+    assert got.count() == 17 * 17
+    old = spark.conf.get("spark.sql.debug.maxToStringFields")
+    try:
+        spark.conf.set("spark.sql.debug.maxToStringFields", 10000)
+        plan = explore.corr_matrix(df, cols)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", old)
+    emitted = [line for line in plan.split("\n") if "Generate inline" in line][-1]
+    assert 17 <= emitted.count("struct(block,") <= 17 * 5
