@@ -155,3 +155,20 @@ def test_corr_matrix_emits_blocks_not_pairs(spark):
         spark.conf.set("spark.sql.debug.maxToStringFields", old)
     emitted = [line for line in plan.split("\n") if "Generate inline" in line][-1]
     assert 17 <= emitted.count("struct(block,") <= 17 * 5
+
+
+def test_scores_are_made_a_few_columns_at_a_time(spark):
+    """No aggregate or row generator holds the expressions of all columns."""
+    from cadenza.operators.select import MI_BLOCK, corr_with_target, mutual_info_binned, mutual_info_quantile
+    cols = [f"c{i}" for i in range(11)]
+    df = spark.range(600).select(*[((F.col("id") * (i + 3)) % 17).cast("double").alias(c) for i, c in enumerate(cols)],
+                                 (F.col("id") % 13).cast("double").alias("popularity"))
+    ref = df.toPandas()
+    got = {r["feature"]: r["corr"] for r in corr_with_target(df, cols).collect()}
+    assert list(got) == cols and all(abs(got[c] - ref[c].corr(ref["popularity"])) < 1e-6 for c in cols)
+    plan = corr_with_target(df, cols)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [corr(") == -(-11 // explore.CORR_BLOCK)
+    for fn in (mutual_info_binned, mutual_info_quantile):
+        whole = {r["feature"]: r["mi"] for r in fn(df, cols).collect()}
+        assert whole == {c: fn(df.select(c, *[x for x in cols if x != c], "popularity"), [c]).first()["mi"] for c in cols}
+        assert fn(df, cols)._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(") == -(-11 // MI_BLOCK)
