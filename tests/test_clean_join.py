@@ -226,3 +226,14 @@ def test_written_dimension_is_broadcast_if_counted_small(spark):
         assert sorted(map(str, small.collect())) == sorted(map(str, large.collect())) == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_models_still_run_after_a_fact_was_written(spark):
+    """An Observation would leave a manager in the session that tasks can't carry."""
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import VectorAssembler
+    join.write_fact(spark.range(20).select(F.lit("k").alias("artist_id_key")), "fact", "artist_id_key")
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(
+        spark.range(40).select((F.col("id") % 2).cast("double").alias("label"), F.col("id").cast("double").alias("x")))
+    done = NaiveBayes(modelType="gaussian").fit(rows).transform(rows)
+    assert done.groupBy("prediction").count().agg(F.sum("count")).first()[0] == 40
