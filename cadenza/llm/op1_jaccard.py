@@ -21,8 +21,11 @@ they share o = ceil((|dx| + |dy| - D) / 2) of these few differences, D being the
 largest difference that a linked pair of their sizes may have. If o <= 0 both
 link to the family's centre, the member with the most room. Else they meet in a
 short list of differences, where again only |d| - o + 1 are needed. Pairs of different
-families come from the short lists directly. Links between classes then give
-the connected components.
+families come from the short lists directly, but a pair is made only if the sketches
+of its sets allow a link: a sketch has a bit for each of ``SKETCH`` buckets, whether it
+holds an odd number of shingles, so two sets differ in as many shingles or more as
+their sketches in bits. Texts that share a frequent passage and little else fail that
+before they become rows. Links between classes then give the connected components.
 
 Edge cases: NULL, empty or wordless texts have the empty set and link with
 nothing. Fewer than ``k`` words: the whole sequence is one shingle. Rows that
@@ -33,6 +36,7 @@ largest set. A NULL doc_id gets a row with a NULL component and no links. Ties
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -49,6 +53,8 @@ BUCKETS = 1 << 21               # of shingle counts: 8 MB on every executor
 CHUNK = 16384                   # buckets in a row of the counts
 C = 3                           # least number of short lists that a pair must share ...
 C_SHARE = 40                    # ... or one for each so many shingles
+SKETCH = 512                    # bits of a set's sketch; unrelated sets of up to about 1,100 shingles differ in more than a link allows
+SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
 
 
 def _sets(col, k: int):
@@ -66,6 +72,12 @@ def _class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of the set's members by bucket of their upper bits, packed into whole numbers."""
+    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _profile(k: int):
     """(doc_id, class, set size) of every document, then the task's shingle
     counts by bucket, packed a chunk a row."""
@@ -128,6 +140,10 @@ class Rule:
         """The largest symmetric difference of a linked pair."""
         return (self.den - self.num) * (na + nb) // (self.den + self.num)
 
+    def within_spread(self, apart, na, nb):
+        """Whether sets that are at least ``apart`` may link, on columns."""
+        return (self.den + self.num) * apart <= (self.den - self.num) * (na + nb)
+
 
 def _postings(k: int, rule: Rule, shared):
     """(shingle, class) of the short lists."""
@@ -154,12 +170,17 @@ def _postings(k: int, rule: Rule, shared):
 
 
 def _fetch(k: int):
-    """(class, packed text) of the wanted documents."""
+    """(class, packed text, sketch) of the wanted documents."""
     def run(batches):
         for batch in batches:
             texts = pa.array([unpack(p) for p in batch.column("packed").to_pylist()], pa.string())
-            cls = [_class_of(s) for _, s in _sets(texts, k)]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), batch.column("packed")], ["cls", "packed"])
+            cls, sketch = [], [np.zeros((0, len(SKETCHES)), np.int64)]
+            for _, s in _sets(texts, k):
+                cls.append(_class_of(s))
+                sketch.append(_sketch(s)[None])
+            sketch = np.concatenate(sketch)
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), batch.column("packed"), *(pa.array(c) for c in sketch.T.copy())],
+                                             ["cls", "packed", *SKETCHES])
     return run
 
 
@@ -375,7 +396,8 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     wanted = written(wanted.select("cls", "n", "doc_id"), "classes")
     ids = wanted.select("doc_id").where("doc_id IS NOT NULL").distinct()
     # a merge join: the tasks that unpack are others than those that pack
-    texts = map_arrow(packed_among(docs, ids).join(ids.hint("merge"), "doc_id", "left_semi"), _fetch(k), "cls long, packed binary")
+    texts = map_arrow(packed_among(docs, ids).join(ids.hint("merge"), "doc_id", "left_semi"), _fetch(k),
+                      ", ".join(["cls long, packed binary", *(f"{c} long" for c in SKETCHES)]))
     texts = written(texts.dropDuplicates(["cls"]), "class-texts")
     ta = texts.select(F.col("cls").alias("a"), F.col("packed").alias("ta"))
     tb = texts.select(F.col("cls").alias("b"), F.col("packed").alias("tb"))
@@ -384,13 +406,16 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     # pairs of different families, by number of short lists they share
     family = member.select("cls", "head")
     family = wanted.join(family, "cls", "left").select("cls", "n", F.coalesce("head", "cls").alias("head"))
-    own = lists.join(family, "cls").select("gram", "cls", "n", "head").repartition("gram")
+    family = family.join(texts.select("cls", *SKETCHES), "cls")
+    own = lists.join(family, "cls").select("gram", "cls", "n", "head", *SKETCHES).repartition("gram")
     several = own.groupBy("gram").agg(F.min("head").alias("lo"), F.max("head").alias("hi")).where("lo <> hi").select("gram")
     own = own.join(several, "gram", "left_semi")
-    a = own.select("gram", F.col("cls").alias("a"), F.col("head").alias("ha"), F.col("n").alias("na"))
-    b = own.select("gram", F.col("cls").alias("b"), F.col("head").alias("hb"), F.col("n").alias("nb"))
+    a = own.select("gram", F.col("cls").alias("a"), F.col("head").alias("ha"), F.col("n").alias("na"), *[F.col(c).alias(f"a{c}") for c in SKETCHES])
+    b = own.select("gram", F.col("cls").alias("b"), F.col("head").alias("hb"), F.col("n").alias("nb"), *[F.col(c).alias(f"b{c}") for c in SKETCHES])
     fits = F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")
-    pairs = a.join(b, [a["gram"] == b["gram"], F.col("a") < F.col("b"), F.col("ha") != F.col("hb"), fits])
+    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in SKETCHES])
+    near = rule.within_spread(apart, F.col("na"), F.col("nb"))
+    pairs = a.join(b, [a["gram"] == b["gram"], F.col("a") < F.col("b"), F.col("ha") != F.col("hb"), fits, near])
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("na").alias("na"), F.min("nb").alias("nb"))
     enough = F.col("met") >= F.least(rule.c_column(F.col("na")), rule.c_column(F.col("nb")))
     pairs = written(pairs.where(enough).select("a", "b"), "candidates")
