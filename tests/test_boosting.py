@@ -80,3 +80,39 @@ def test_constant_features_and_one_class(spark):
     for classes in (0, 1, 3):
         model = Boosting(["a"], "y", classes, rounds=2).fit(df)
         assert {r.prediction for r in model.transform(df).collect()} == {0.0}
+
+
+def test_kept_state_serves_a_whole_round(monkeypatch):
+    """Gradients are computed once a round, not once a level, and a worker that kept nothing gets the same trees."""
+    import numpy as np
+
+    from cadenza.operators import boosting
+
+    rng = np.random.default_rng(0)
+    blocks = [(rng.integers(0, 8, (500, 3)).astype(np.uint8), rng.integers(0, 3, 500).astype(float)) for _ in range(2)]
+    calls, whole = [], boosting.gradients
+    monkeypatch.setattr(boosting, "gradients", lambda *a: calls.append(1) or whole(*a))
+
+    class Data:
+        forget = False
+
+        def mapPartitionsWithIndex(self, run):
+            self.run = run
+            return self
+
+        def collect(self):
+            if self.forget:
+                boosting._MARGINS.clear()
+            return self.run(0, iter(blocks))
+
+    est = boosting.Boosting(["a", "b", "c"], "y", 3, 2, 4, 0.1, "second")
+    grown = []
+    for name in ("kept", "lost"):
+        data, trees = Data(), []
+        data.forget = name == "lost"
+        for _ in range(2):
+            trees.append(boosting._grow(est, data, 1, name, np.zeros(3), trees, 8, 3))
+        grown.append(trees)
+        if name == "kept":
+            assert len(calls) == 2 * len(blocks)
+    assert all((a == b).all() for x, y in zip(*grown) for p, q in zip(x, y) for a, b in zip(p, q))
