@@ -117,3 +117,18 @@ def test_a_pass_sends_rows_once_a_tree_not_histograms(spark, monkeypatch):
     est = RandomForestRegressor(featuresCol=model.FEATURES_COL, labelCol="popularity", numTrees=2, maxDepth=3)
     fitted = model.fit_one(est, rows.drop("features"), stats, feats)
     assert fitted.transform(rows.drop("features")).where("prediction is null").count() == 0
+
+
+def test_fits_side_by_side_ship_the_package_once(monkeypatch):
+    import time
+    from multiprocessing.pool import ThreadPool
+    from types import SimpleNamespace
+
+    from cadenza import session
+
+    monkeypatch.setattr(session, "_SHIPPED", set())
+    sent = []
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="app", addPyFile=lambda path: (time.sleep(0.2), sent.append(path))))
+    with ThreadPool(3) as pool:
+        pool.map(session.ship_package, [fake] * 3)
+    assert len(sent) == 1
