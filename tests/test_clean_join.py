@@ -237,3 +237,35 @@ def test_models_still_run_after_a_fact_was_written(spark):
         spark.range(40).select((F.col("id") % 2).cast("double").alias("label"), F.col("id").cast("double").alias("x")))
     done = NaiveBayes(modelType="gaussian").fit(rows).transform(rows)
     assert done.groupBy("prediction").count().agg(F.sum("count")).first()[0] == 40
+
+
+def test_first_of_lines_are_the_first_tracks_without_another_shuffle(spark, tmp_dir):
+    from cadenza.plans import catalog
+    d = _music(spark, tmp_dir)
+    want = sorted(map(str, catalog.first_tracks(spark, d).collect()))
+    broadcast, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"
+    old = {k: spark.conf.get(k) for k in (broadcast, adaptive)}
+    try:
+        lines = catalog.first_of_lines(spark, d)
+        assert sorted(map(str, lines.collect())) == want and len(want) == 3
+        spark.conf.set(broadcast, "-1")
+        spark.conf.set(adaptive, "false")
+        lines = catalog.first_of_lines(spark, d)
+        assert sorted(map(str, lines.collect())) == want
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        with_line = plan[:plan.index("isnull(l_linenumber")]
+        assert "hashpartitioning(l_orderkey" in with_line and "hashpartitioning(k_order" not in with_line
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_shuffles_of_a_built_table_grow_with_its_rows(spark):
+    from cadenza.session import ROWS_A_PARTITION, shuffles_for
+    key, size = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    parts, unset = spark.conf.get(key), spark.conf.get(size, None)
+    with shuffles_for(spark, 1000 * ROWS_A_PARTITION + 1):
+        assert spark.conf.get(key) == "1001" and spark.conf.get(size) != unset
+    with shuffles_for(spark, 1):
+        assert spark.conf.get(key) == parts
+    assert (spark.conf.get(key), spark.conf.get(size, None)) == (parts, unset)
