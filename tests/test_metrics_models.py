@@ -93,3 +93,16 @@ def test_gaussian_nb_matches_mllib(spark):
     train, test, classes, stats = model.prepare(df, feats, test_fraction=0.0001)
     agree = ours.join(df, "id").where(F.col("predicted") == F.col("popularity_category")).count()
     assert agree / df.count() > 0.8
+
+
+def test_shallow_booster_keeps_no_node_ids(spark):
+    """Same trees either way; a persisted table of node ids a level only costs time."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from cadenza.operators import model
+    est = model.regressors(100, 1.0, sizes=model.Sizes(boost_rounds=3))["Gradient Boosting"]
+    assert not est.getCacheNodeIds() and (est.getMaxIter(), est.getMaxDepth()) == (3, 3)
+    rows = spark.range(300).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows.withColumn("popularity", F.col("a") * F.col("b")))
+    trees = [est.copy({est.cacheNodeIds: kept}).fit(rows).toDebugString.split("\n")[1:] for kept in (False, True)]
+    assert trees[0] == trees[1]
