@@ -132,3 +132,47 @@ def test_fits_side_by_side_ship_the_package_once(monkeypatch):
     with ThreadPool(3) as pool:
         pool.map(session.ship_package, [fake] * 3)
     assert len(sent) == 1
+
+
+def _walk(nodes, x):
+    at = nodes[0]
+    while at["leftChild"] >= 0:
+        low = x[at["split"]["featureIndex"]] <= at["split"]["leftCategoriesOrThreshold"][0]
+        at = nodes[at["leftChild"] if low else at["rightChild"]]
+    return at
+
+
+def test_packed_trees_give_what_the_nodes_say(spark):
+    """Prediction, shares, importances and a saved copy, against a walk over the nodes; no Spark model is built on the driver."""
+    from pyspark.ml import PipelineModel
+
+    rows = _rows(spark).withColumn("x", F.col("features"))
+    for est in (RandomForestRegressor(labelCol="popularity", numTrees=4, maxDepth=7, featureSubsetStrategy="sqrt", seed=5),
+                RandomForestClassifier(labelCol="label", numTrees=4, maxDepth=7, seed=5)):
+        grown = forest.grow_forest(est, rows)
+        assert not hasattr(grown, "_java_obj")
+        trees = _nodes(spark, grown)
+        path = scratch_path(spark, "piped")
+        PipelineModel(stages=[grown]).write().overwrite().save(path)
+        again = PipelineModel.load(path).stages[0]
+        assert again.totalNumNodes == grown.totalNumNodes == sum(len(t) for t in trees.values())
+        assert again.getOrDefault("maxDepth") == 7 and (again.featureImportances.toArray() == grown.featureImportances.toArray()).all()
+        for model_ in (grown, again):
+            for r in model_.transform(rows.limit(60)).collect():
+                leaves = [_walk(t, r["features"]) for t in trees.values()]
+                if "probability" not in r:
+                    assert r["prediction"] == pytest.approx(np.mean([n["prediction"] for n in leaves]))
+                else:
+                    shares = sum(np.array(n["impurityStats"]) / sum(n["impurityStats"]) for n in leaves)
+                    assert np.allclose(r["rawPrediction"].toArray(), shares) and np.allclose(r["probability"].toArray(), shares / 4)
+                    assert r["prediction"] == shares.argmax()
+
+
+def test_words_of_codes_and_labels_that_are_no_class(spark):
+    for bins, width in ((32, 18), (256, 5), (2, 40), (32, 3)):
+        codes = np.random.default_rng(2).integers(0, bins, (9, width)).astype(np.uint8)
+        assert (forest.unpack(forest.pack(codes, bins).tobytes(), 9, width, bins) == codes).all()
+    with pytest.raises(ValueError):
+        forest.grow_forest(RandomForestClassifier(labelCol="popularity"), _rows(spark).withColumn("popularity", F.lit(0.5)))
+    with pytest.raises(ValueError):
+        forest.grow_forest(RandomForestRegressor(labelCol="popularity"), _rows(spark).where("id < 0"))
