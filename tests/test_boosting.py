@@ -116,3 +116,60 @@ def test_kept_state_serves_a_whole_round(monkeypatch):
         if name == "kept":
             assert len(calls) == 2 * len(blocks)
     assert all((a == b).all() for x, y in zip(*grown) for p, q in zip(x, y) for a, b in zip(p, q))
+
+
+def test_a_task_that_kept_nothing_adds_a_few_rounds_only(spark, table, monkeypatch):
+    """Blocks are written anew with their margins, so work doesn't grow with the rounds; the trees are the same."""
+    from cadenza.operators import boosting
+
+    x, codes, _ = table
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, codes)], "a double, b double, c double, y double").repartition(3)
+    grown, sinces = [], []
+    whole = boosting._grow
+
+    def noted(est, data, parts, run, base, trees, bins, k, since=0):
+        sinces.append(len(trees) - since)
+        return whole(est, data, parts, run, base, trees, bins, k, since)
+    monkeypatch.setattr(boosting, "_grow", noted)
+    for carry, lineage in ((2, 50), (1000, 50), (1, 2)):
+        monkeypatch.setattr(boosting, "CARRY", carry)
+        monkeypatch.setattr(boosting, "LINEAGE", lineage)
+        grown.append(Boosting(["a", "b", "c"], "y", 4, rounds=7, depth=3, rate=0.3, kind="second").fit(df).trees)
+    assert max(sinces[:7]) < 2 and max(sinces[7:14]) == 6 and max(sinces[14:]) == 0
+    for other in grown[1:]:
+        assert all(np.allclose(a, b) for r, s in zip(grown[0], other) for p, q in zip(r, s) for a, b in zip(p, q))
+
+
+def test_sums_of_pairs_of_features_and_of_remainders():
+    """Cells of two features at a time, of one, and of chosen rows are the plain sums; sibling = parent - child."""
+    from cadenza.operators import boosting
+
+    rng = np.random.default_rng(3)
+    codes = np.asfortranarray(rng.integers(0, 5, (4000, 5)).astype(np.uint8))
+    at, g = rng.integers(0, 3, 4000), rng.normal(size=4000)
+    for use in (None, np.flatnonzero(rng.random(4000) < 0.3), np.arange(40)):
+        rows = np.arange(4000) if use is None else use
+        out = np.zeros((2, 3, 5, 5))
+        boosting._cells(codes, use, at[rows], [g[rows], None], 3, 5, out)
+        for node in range(3):
+            for f in range(5):
+                for v in range(5):
+                    hit = (at[rows] == node) & (codes[rows, f] == v)
+                    assert out[1, node, f, v] == hit.sum() and abs(out[0, node, f, v] - g[rows][hit].sum()) < 1e-9
+
+
+def test_squared_error_booster_of_the_regressors(spark, table, monkeypatch):
+    """The registered booster starts at the mean and grows by shared histograms, without Spark's learner."""
+    from pyspark.ml.regression import GBTRegressor
+
+    from cadenza.operators import model
+
+    x, _, score = table
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, score))], "i long, a double, b double, c double, popularity double")
+    est = model.regressors(240, 1.0, sizes=model.Sizes(boost_rounds=4))["Gradient Boosting"]
+
+    def no(*a):
+        raise AssertionError("Spark's learner was called")
+    monkeypatch.setattr(GBTRegressor, "fit", no)
+    got = model.fit_one(est, df, {}, ["a", "b", "c"]).transform(df).orderBy("i").toPandas()
+    assert np.allclose(got.prediction, brute(x, score, 0, 4, 3, 0.1, "first")[:, 0], atol=1e-6)
