@@ -173,3 +173,20 @@ def test_squared_error_booster_of_the_regressors(spark, table, monkeypatch):
     monkeypatch.setattr(GBTRegressor, "fit", no)
     got = model.fit_one(est, df, {}, ["a", "b", "c"]).transform(df).orderBy("i").toPandas()
     assert np.allclose(got.prediction, brute(x, score, 0, 4, 3, 0.1, "first")[:, 0], atol=1e-6)
+
+
+def test_models_are_fitted_side_by_side_in_their_order(spark, monkeypatch):
+    import threading
+
+    from cadenza.operators import model
+
+    together = threading.Barrier(3, timeout=60)      # passes only if three fits run at once
+
+    def fit(est, train, stats, feats):
+        if est < 4:
+            together.wait()
+        return est * 10
+    monkeypatch.setattr(model, "fit_one", fit)
+    df = spark.range(1)
+    assert list(model.fit_all({"a": 4, "b": 3, "c": 2, "d": 1}, df, {}, []).items()) == [("a", 40), ("b", 30), ("c", 20), ("d", 10)]
+    assert model.fit_all({"a": 4}, df, {}, []) == {"a": 40} and model.fit_all({}, df, {}, []) == {}
