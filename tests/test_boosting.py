@@ -130,7 +130,9 @@ def test_a_task_that_kept_nothing_adds_a_few_rounds_only(spark, table, monkeypat
     def noted(est, data, parts, run, base, trees, bins, k, since=0):
         sinces.append(len(trees) - since)
         return whole(est, data, parts, run, base, trees, bins, k, since)
+    grown.append(Boosting(["a", "b", "c"], "y", 4, rounds=7, depth=3, rate=0.3, kind="second").fit(df).trees)     # in one task
     monkeypatch.setattr(boosting, "_grow", noted)
+    monkeypatch.setattr(boosting, "ALONE_ROWS", 0)
     for carry, lineage in ((2, 50), (1000, 50), (1, 2)):
         monkeypatch.setattr(boosting, "CARRY", carry)
         monkeypatch.setattr(boosting, "LINEAGE", lineage)
@@ -190,3 +192,20 @@ def test_models_are_fitted_side_by_side_in_their_order(spark, monkeypatch):
     df = spark.range(1)
     assert list(model.fit_all({"a": 4, "b": 3, "c": 2, "d": 1}, df, {}, []).items()) == [("a", 40), ("b", 30), ("c", 20), ("d", 10)]
     assert model.fit_all({"a": 4}, df, {}, []) == {"a": 40} and model.fit_all({}, df, {}, []) == {}
+
+
+def test_few_rows_are_grown_in_one_task(spark, table, monkeypatch):
+    """No pass over an RDD by the driver, and none at all for no rows."""
+    from cadenza.operators import boosting
+
+    x, _, score = table
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, score)], "a double, b double, c double, y double").repartition(3)
+    both = []
+    for rows in (0, 1 << 19):
+        monkeypatch.setattr(boosting, "ALONE_ROWS", rows)
+        if rows:
+            monkeypatch.setattr(boosting, "_carry", None)
+        both.append(Boosting(["a", "b", "c"], "y", rounds=5, depth=3, rate=0.3).fit(df))
+    assert all(np.allclose(a, b) for r, s in zip(both[0].trees, both[1].trees) for p, q in zip(r, s) for a, b in zip(p, q))
+    none = Boosting(["a", "b", "c"], "y", rounds=2).fit(df.where("a < -1"))
+    assert len(none.trees) == 2 and none.transform(df).first()["prediction"] == 0.0
